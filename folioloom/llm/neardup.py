@@ -1 +1,327 @@
-"""To come."""
+"""Near-duplicates by b-bit MinHash.
+
+Documents with equal sets of 3-word shingles are one node. Every node gets 120 minima; bands of five make buckets, and
+the low four bits of each minimum are packed into words. Within a bucket the share of equal low bits, corrected for
+chance collisions, estimates the similarity; each node is compared on its full set with the partners that look most
+alike, in rounds: links merge nodes into components, and a round proposes only pairs across components, so the work
+follows the number of nodes and not of pairs, as in Boruvka's algorithm.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import small, written
+
+#: Link: 100 * intersection >= LEAST * union.
+LEAST = 85
+#: At a similarity of 0.85 the chance that no band of five is equal in both is (1 - 0.85^5)^24, under one in a million.
+BANDS, ROWS, BITS = 24, 5, 4
+MINIMA = BANDS * ROWS
+#: Estimates at least this high are confirmed on full sets: five standard deviations below 0.85.
+PROPOSED = 0.68
+#: Partners that the first round proposes to a node in each bucket; each later round proposes four times as many.
+PARTNERS = 8
+#: A larger bucket is divided by further bands, and after that into parts that share one member.
+LARGE, FURTHER = 2048, 6
+
+_rng = np.random.default_rng(97)
+_ODD = _rng.integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = _rng.integers(1, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = _rng.integers(1, 2**63, BANDS, dtype=np.uint64)
+_SHINGLE = _rng.integers(1, 2**63, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, planes array<long>"
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A fixed permutation of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text: of runs of three words, or of all words if there are fewer;
+    none without words. Words are split at ASCII white space, A-Z lower-cased."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    flat = lists.flatten()
+    offsets = np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py() if len(lists) else np.zeros(1, np.int64)
+    coded = flat.dictionary_encode()
+    names = np.array([xxhash.xxh3_64_intdigest(w.as_buffer() if w.is_valid else b"") for w in coded.dictionary], np.uint64)
+    words = names[np.asarray(coded.indices)] if len(flat) else np.zeros(0, np.uint64)
+    blank = len(names) > 0 and np.asarray(pc.equal(pc.binary_length(flat), 0))
+    runs = words[:-2] * _SHINGLE[0] + words[1:-1] * _SHINGLE[1] + words[2:] * _SHINGLE[2]
+    runs = mixed(runs)
+    found = []
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        if b - a >= 3:
+            found.append(np.unique(runs[a : b - 2]))
+        elif b - a == 0 or (b - a == 1 and blank[a]):
+            found.append(np.zeros(0, np.uint64))
+        else:
+            part = words[a:b] * _SHINGLE[: b - a]
+            found.append(mixed(np.array([part.sum(dtype=np.uint64) + np.uint64(b - a)], np.uint64)))
+    return found
+
+
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """MINIMA minima of a set that isn't empty."""
+    low = np.full(MINIMA, 2**64 - 1, np.uint64)
+    for i in range(0, len(shingles), 2048):
+        np.minimum(low, (shingles[None, i : i + 2048] * _ODD[:, None]).min(axis=1), out=low)
+    return low
+
+
+def packed(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of minima: band hashes (BANDS a row) and the low bits, as BITS planes of two words each."""
+    bands = mixed((low.reshape(-1, BANDS, ROWS) * _MIX).sum(axis=2, dtype=np.uint64) + _BAND)
+    planes = []
+    for bit in range(BITS):
+        bits = np.zeros((len(low), 128), np.uint8)
+        bits[:, :MINIMA] = (low >> np.uint64(bit)) & np.uint64(1)
+        planes.append(np.packbits(bits, axis=1).view(np.uint64))
+    return bands, np.concatenate(planes, axis=1) if len(low) else np.zeros((0, 2 * BITS), np.uint64)
+
+
+def likeness(planes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Estimated similarity of each row of planes to each row of others, corrected for chance collisions."""
+    words = planes.shape[1] // BITS
+    unlike = np.zeros((len(planes), len(others), words), np.uint64)
+    for bit in range(BITS):
+        at = slice(bit * words, (bit + 1) * words)
+        unlike |= planes[:, None, at] ^ others[None, :, at]
+    equal = 1 - np.bitwise_count(unlike).sum(axis=2) / MINIMA
+    chance = 1 / 2**BITS
+    return (equal - chance) / (1 - chance)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    width = values.shape[1]
+    offsets = np.arange(0, (len(values) + 1) * width, width, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64).reshape(-1)))
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, len(whole), 1024):
+            batch = whole.slice(at, 1024)
+            sets = shingle_sets(batch.column(1))
+            low = np.array([minima(s) if len(s) else np.zeros(MINIMA, np.uint64) for s in sets], np.uint64)
+            bands, planes = packed(low.reshape(-1, MINIMA))
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists(bands), _lists(planes)],
+                names=["doc_id", "n_shingles", "set_key", "bands", "planes"],
+            )
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, len(whole), 512):
+            batch = whole.slice(at, 512)
+            sets = shingle_sets(batch.column(1))
+            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            values = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["node", "shingles"]
+            )
+
+
+def _proposals(partners: int):
+    """For rows (bucket, node, n, comp, planes) sorted by bucket: pairs a < b across components of a bucket whose sizes
+    and estimates allow a link; for each node the `partners` most alike, and the bucket's first node."""
+
+    def of_bucket(nodes: np.ndarray, sizes: np.ndarray, comps: np.ndarray, planes: np.ndarray) -> set[tuple[int, int]]:
+        found = set()
+        step = max(1, 1_000_000 // len(nodes))
+        for at in range(0, len(nodes), step):
+            part = slice(at, at + step)
+            alike = likeness(planes[part], planes)
+            fits = 100 * np.minimum(sizes[part, None], sizes) >= LEAST * np.maximum(sizes[part, None], sizes)
+            alike[~fits | (comps[part, None] == comps) | (nodes[part, None] == nodes)] = -1
+            if len(nodes) > partners + 1:
+                order = np.argsort(-alike, axis=1, kind="stable")[:, :partners]
+                order = np.concatenate([order, np.zeros((len(order), 1), order.dtype)], axis=1)
+            else:
+                order = np.broadcast_to(np.arange(len(nodes)), alike.shape)
+            rows = np.repeat(np.arange(len(alike)), order.shape[1])
+            columns = order.reshape(-1)
+            sure = alike[rows, columns] >= PROPOSED
+            a, b = nodes[part][rows[sure]], nodes[columns[sure]]
+            found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+        return found
+
+    def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        fresh: list[tuple[int, int]] = []
+        rest: list[np.ndarray] | None = None
+
+        def take(columns: list[np.ndarray], last: bool) -> list[np.ndarray] | None:
+            buckets = columns[0]
+            edges = np.flatnonzero(np.diff(buckets)) + 1
+            bounds = [0, *edges.tolist(), *([len(buckets)] if last else [])]
+            for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+                if j - i > 1:
+                    for pair in of_bucket(*(c[i:j] for c in columns[1:])):
+                        if pair not in seen:
+                            seen.add(pair)
+                            fresh.append(pair)
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+            return None if last else [c[bounds[-1] :] for c in columns]
+
+        def flushed() -> pa.RecordBatch:
+            a, b = zip(*fresh, strict=True) if fresh else ((), ())
+            fresh.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            columns = [np.asarray(batch.column(i)) for i in range(4)]
+            columns.append(np.asarray(batch.column(4).flatten()).view(np.uint64).reshape(len(batch), -1))
+            if rest is not None:
+                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+            rest = take(columns, False)
+            if len(fresh) > 50_000:
+                yield flushed()
+        if rest is not None:
+            take(rest, True)
+        yield flushed()
+
+    return proposed
+
+
+def star_components(edges: DataFrame) -> DataFrame:
+    """node and comp, the smallest node that is reachable over edges (a, b); nodes without an edge are absent.
+
+    Alternating large and small stars: neighbours move to the smallest neighbour until every component is one star.
+    Minima come from partial sums, so a node with very many neighbours is no single task's burden.
+    """
+    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        stars = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        stars = written(stars, "large-stars")
+        low = stars.groupBy("a").agg(F.min("b").alias("low"))
+        joined = stars.join(low, "a")
+        following = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(joined.select("a", F.col("low").alias("b")))
+        following = written(following.filter("a <> b").distinct(), "small-stars")
+        same = following.exceptAll(edges).isEmpty() and edges.exceptAll(following).isEmpty()
+        edges = following
+        if same:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(
+                edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
+            )
+
+
+def divided(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """members (bucket, node, size of its bucket) with large buckets divided: by each of a few further bands, and
+    what is still too large into parts that all hold the bucket's first node. Equal in two bands, ten minima, are 20 %
+    of the pairs at a similarity of 0.85; over all buckets and divisions the chance to miss a pair stays under 1e-5."""
+    if members.filter(F.col("held") > LARGE).isEmpty():
+        return members.select("bucket", "node")
+    own = members.filter(F.col("held") > LARGE).join(nodes.select("node", "bands"), "node")
+    start = F.pmod("bucket", F.lit(BANDS)).cast("int")
+    further = F.transform(
+        F.sequence(F.lit(1), F.lit(FURTHER)),
+        lambda i: F.xxhash64("bucket", i, F.get("bands", F.pmod(start + i * 5, F.lit(BANDS)).cast("int"))),
+    )
+    again = own.select(F.explode(further).alias("bucket"), "node")
+    sizes = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("first"))
+    again = again.join(sizes.filter("held > 1"), "bucket")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("held") / LARGE)).cast("int")
+    parts = again.withColumn("part", part).select(F.xxhash64("bucket", "part").alias("bucket"), "node", "first")
+    firsts = parts.select("bucket", F.col("first").alias("node")).distinct()
+    return members.filter(F.col("held") <= LARGE).select("bucket", "node").unionByName(
+        parts.select("bucket", "node").unionByName(firsts).distinct()
+    )
+
+
+def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and comp for the nodes that have a link to another."""
+    each = nodes.select("node", F.explode("bands").alias("bucket"))
+    held = F.count(F.lit(1)).over(Window.partitionBy("bucket"))
+    members = written(each.withColumn("held", held).filter("held > 1"), "bucket-members")
+    members = divided(members, nodes)
+    wide = written(members.join(nodes.select("node", "n_shingles", "planes"), "node"), "bucket-planes")
+    wanted = small(written(wide.select("node").distinct(), "wanted"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(wanted, "node", "left_semi")
+    sets = written(texts.mapInArrow(_sets, "node long, shingles array<long>").filter(F.size("shingles") > 0), "shingle-sets")
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    comps = spark.createDataFrame([], "node long, comp long")
+    links = tested = None
+    partners = PARTNERS
+    while True:
+        now = wide.join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        if links is not None:
+            mixed_ = now.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
+            now = now.join(mixed_, "bucket", "left_semi")
+        now = now.select("bucket", "node", "n_shingles", "comp", "planes").repartition(parts, "bucket").sortWithinPartitions("bucket", "node")
+        pairs = now.mapInArrow(_proposals(partners), "a long, b long").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs, "proposed")
+        left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
+        both = F.size(F.array_intersect("set_a", "set_b"))
+        either = F.size("set_a") + F.size("set_b") - both
+        confirmed = written(pairs.join(left, "a").join(right, "b").filter(100 * both >= LEAST * either).select("a", "b").distinct(), "confirmed")
+        if confirmed.isEmpty():
+            return comps
+        links = confirmed if links is None else links.unionByName(confirmed)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        comps = written(star_components(links), "components")
+        partners *= 4
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """SIGNED for each row of docs, written."""
+    return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signed, SIGNED), "signed")
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept for each row of docs.
+
+    Null and empty texts, and texts without words, have an empty set and no link. Rows that share a doc_id count as one
+    document; a row without doc_id is linked with nothing, has no component and is kept. Ties go to the smallest
+    doc_id. An empty table gives an empty result. Extra columns are ignored.
+    """
+    signed = signatures(docs)
+    full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    nodes = full.groupBy("set_key").agg(
+        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("planes").alias("planes")
+    )
+    nodes = written(nodes, "nodes")
+    comps = linked(docs, nodes)
+    names = nodes.join(small(comps), "node", "left").select("set_key", F.coalesce("comp", "node").alias("named"))
+    names = written(names, "named")
+    # ids that stand in several sets (rows that share a doc_id) tie these together
+    rows = signed.select("doc_id", "n_shingles", "set_key").join(small(names, 400_000), "set_key", "left")
+    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("named")).otherwise(F.col("doc_id"))
+    return rows.select(
+        "doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept")
+    )
+
+
+def unique(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with their columns, that components() keeps, one for each doc_id. Texts are shuffled only if a
+    doc_id is repeated."""
+    found = written(components(docs).select("doc_id", "kept"), "kept")
+    gone = written(found.filter("NOT kept").select("doc_id").distinct(), "dropped")
+    out = docs.join(small(gone), "doc_id", "left_anti").select(*(docs[c] for c in docs.columns))
+    if not found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        nulls = out.filter(F.col("doc_id").isNull())
+        out = out.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(nulls)
+    return out
