@@ -52,7 +52,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text: of runs of three words, or of all words if there are fewer;
     none without words. Words are split at ASCII white space, A-Z lower-cased."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.fill_null(texts, "")
     lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
     flat = lists.flatten()
     offsets = np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py() if len(lists) else np.zeros(1, np.int64)
@@ -114,7 +114,7 @@ def _lists(values: np.ndarray) -> pa.Array:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, len(whole), 1024):
-            batch = whole.slice(at, 1024)
+            batch = whole.take(pa.array(range(at, min(at + 1024, len(whole)))))  # slices keep offsets that casts lose
             sets = shingle_sets(batch.column(1))
             low = np.array([minima(s) if len(s) else np.zeros(MINIMA, np.uint64) for s in sets], np.uint64)
             bands, planes = packed(low.reshape(-1, MINIMA))
@@ -128,7 +128,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, len(whole), 512):
-            batch = whole.slice(at, 512)
+            batch = whole.take(pa.array(range(at, min(at + 512, len(whole)))))
             sets = shingle_sets(batch.column(1))
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             values = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))

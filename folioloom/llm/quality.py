@@ -117,7 +117,7 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     for batch in batches:
-        texts = batch.column(1).cast(pa.large_binary())
+        texts = batch.column(1).cast(pa.binary())
         rows = [judge(t.as_py(), compress) for t in texts]
         columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
         arrays = [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
@@ -141,7 +141,7 @@ def keep(docs: DataFrame) -> DataFrame:
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=LEVEL).compress
         for batch in batches:
-            texts = batch.column(at).cast(pa.large_binary())
+            texts = batch.column(at).cast(pa.binary())
             yield batch.filter(pa.array([judge(t.as_py(), compress)[6] for t in texts], pa.bool_()))
 
     return docs.mapInArrow(kept, schema)
