@@ -1 +1,223 @@
-"""To come."""
+"""Language-model scores: the likelihood of a text over all its segmentations into subwords.
+
+The vocabulary is an existing tokenizer's. Its pieces' scores are ranks and not probabilities, so each piece gets its
+share of the training words' pieces (as that tokenizer cuts them, smoothed). A word's probability is the sum over all
+ways to cut it into pieces, by forward recursion in log space; a text's is the product over its words and an end.
+
+Texts are coded once into blocks: a block holds its own dictionary and its documents as runs of numbers. Only the
+dictionaries are summed over the corpus, and scores return to each block's dictionary, so no task needs all words.
+"""
+
+from __future__ import annotations
+
+import math
+import os
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+VOCABULARY = os.environ.get("TOKENIZER_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+#: Added to a word's count (base score) and to a piece's.
+SMOOTH = 0.1
+#: Bytes of text in a block.
+BLOCK = 24_000_000
+#: Stands before a word's first letter in the vocabulary.
+MARK = "▁"
+#: The text's end: no word holds a space.
+END = b" "
+
+CODED = "block string, doc_id long, held_out boolean, ids array<int>, id int, word binary, n long, kind string"
+SCORED = (
+    "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+)
+LOG10 = math.log(10)
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks: a row for each document and one for each of the block's distinct tokens, with its training count."""
+    task, made = TaskContext.get().partitionId(), 0
+    names = [x.split()[0] for x in CODED.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.int64(), pa.string()]
+    known: dict[bytes, int] = {}
+    ids: list[np.ndarray] = []
+    docs: list[tuple] = []
+    size = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        nonlocal made, size
+        block = f"{task}-{made}"
+        made += 1
+        counts = np.zeros(len(known), np.int64)
+        for (_, held), own in zip(docs, ids, strict=True):
+            if not held:
+                counts += np.bincount(own, minlength=len(known))
+        for at in range(0, len(docs), 256):
+            part, runs = docs[at : at + 256], ids[at : at + 256]
+            offsets = np.cumsum([0, *map(len, runs)]).astype(np.int32)
+            columns = {
+                "block": pa.array([block] * len(part)), "doc_id": pa.array([d for d, _ in part], pa.int64()), "held_out": pa.array([h for _, h in part]),
+                "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(runs))), "kind": pa.array(["doc"] * len(part)),
+            }
+            yield row_batch(columns, len(part))
+        columns = {
+            "block": pa.array([block] * len(known)), "id": pa.array(range(len(known)), pa.int32()), "word": pa.array(list(known), pa.binary()),
+            "n": pa.array(counts), "kind": pa.array(["word"] * len(known)),
+        }
+        yield row_batch(columns, len(known))
+        known.clear(), ids.clear(), docs.clear()
+        size = 0
+
+    def row_batch(columns: dict, rows: int) -> pa.RecordBatch:
+        arrays = [columns[n].cast(k) if n in columns else pa.nulls(rows, k) for n, k in zip(names, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+    for batch in batches:
+        for doc, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+            words.append(END)
+            ids.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
+            docs.append((doc, held))
+            size += sum(map(len, words))
+            if size > BLOCK:
+                yield from out()
+    if docs:
+        yield from out()
+
+
+def coded(docs: DataFrame, fold: int = 0, folds: int = 10) -> DataFrame:
+    """CODED, written. Rows whose crc32 of the doc_id's text leaves `fold` when divided by `folds` are held out."""
+    own = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
+    rows = docs.select(F.col("doc_id").cast("long"), (own % folds == fold).alias("held_out"), F.col("text").cast("string"))
+    return written(rows.mapInArrow(_coded, CODED), "lm-blocks")
+
+
+def piece_counts(words: DataFrame, vocabulary: str) -> dict[int, int]:
+    """How often each piece stands in the words (word, c), as the tokenizer cuts them. One number for each piece of
+    the vocabulary reaches the driver."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from sentencepiece import SentencePieceProcessor
+
+        model = SentencePieceProcessor(model_file=vocabulary)
+        totals = np.zeros(model.get_piece_size(), np.int64)
+        for batch in batches:
+            texts = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
+            own = model.encode(texts, num_threads=1) if texts else []
+            times = np.repeat(np.asarray(batch.column(1)), [len(x) for x in own])
+            np.add.at(totals, np.array([i for x in own for i in x], np.int64), times)
+        at = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(totals[at])], names=["piece", "n"])
+
+    found = words.select("word", "c").mapInArrow(cut, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return {r["piece"]: r["n"] for r in found.collect()}
+
+
+class Lattice:
+    """All ways to cut a word into pieces."""
+
+    def __init__(self, vocabulary: str, counts: dict[int, int], ends: int):
+        from sentencepiece import SentencePieceProcessor
+
+        model = SentencePieceProcessor(model_file=vocabulary)
+        size = model.get_piece_size()
+        usable = [i for i in range(size) if not model.is_control(i) and not model.is_unknown(i)]
+        total = math.log(sum(counts.get(i, 0) for i in usable) + ends + SMOOTH * (len(usable) + 1))
+        log = {i: math.log(counts.get(i, 0) + SMOOTH) - total for i in usable}
+        self.pieces = {model.id_to_piece(i): log[i] for i in usable if not model.is_byte(i)}
+        self.bytes = {int(model.id_to_piece(i)[3:5], 16): log[i] for i in usable if model.is_byte(i)}
+        self.unknown = math.log(SMOOTH) - total  # a character that a vocabulary without bytes lacks
+        self.longest = max(map(len, self.pieces))
+        self.end = math.log(ends + SMOOTH) - total
+        # beginnings of pieces: no longer piece can follow where a beginning ends
+        self.starts = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+
+    def of_character(self, c: str) -> float:
+        """A character that is no piece, by its bytes."""
+        return sum(self.bytes.get(b, self.unknown) for b in c.encode("utf-8", "replace"))
+
+    def log_probability(self, word: str) -> float:
+        """The natural logarithm of the sum over all segmentations, by forward recursion."""
+        text = MARK + word
+        n = len(text)
+        pieces, starts, longest = self.pieces, self.starts, self.longest
+        into: list[list[float]] = [[] for _ in range(n + 1)]
+        here = 0.0
+        for i in range(n):
+            if i:
+                ways = into[i]
+                if not ways:
+                    continue  # within a piece only
+                here = ways[0]
+                if len(ways) > 1:
+                    top = max(ways)
+                    here = top + math.log(sum([math.exp(x - top) for x in ways]))
+            if text[i] not in pieces:
+                into[i + 1].append(here + self.of_character(text[i]))
+            for j in range(i + 1, min(n, i + longest) + 1):
+                part = text[i:j]
+                if part not in starts:
+                    break
+                if part in pieces:
+                    into[j].append(here + pieces[part])
+        top = max(into[n])
+        return top + math.log(sum(math.exp(x - top) for x in into[n]))
+
+
+def scores(docs: DataFrame, vocabulary: str = VOCABULARY, fold: int = 0, folds: int = 10) -> DataFrame:
+    """SCORED for each row of docs: score is the lattice's log10 probability of the text, base_score the smoothed
+    unigram one of its words.
+
+    A null or empty text has the end as its only token. A null doc_id counts as empty text in the choice of held-out
+    rows. Without training rows every count is 0 and all scores follow from smoothing alone. Repeated rows count and
+    are scored each; an empty table gives an empty result. Extra columns are ignored.
+    """
+    blocks = coded(docs, fold, folds)
+    words = blocks.filter("kind = 'word'")
+    totals = written(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
+    trained = totals.filter("c > 0")
+    n, v = trained.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    ends = trained.filter(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    counts = piece_counts(trained.filter(F.col("word") != F.lit(END)), vocabulary)
+    model = docs.sparkSession.sparkContext.broadcast((counts, ends))
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(vocabulary, *model.value)
+        for batch in batches:
+            c = np.asarray(batch.column(1)).astype(np.float64)
+            base = np.log10((c + SMOOTH) / (n + SMOOTH * (v + 1)))
+            own = [
+                (lattice.end if w == END else lattice.log_probability(w.decode("utf-8", "replace"))) / LOG10
+                for w in batch.column(0).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(c > 0), pa.array(base), pa.array(own, pa.float64())], names=["word", "seen", "base", "own"]
+            )
+
+    by_word = written(totals.mapInArrow(weighed, "word binary, seen boolean, base double, own double"), "lm-weights")
+    back = words.select("block", "id", "word").join(by_word, "word").select("block", "id", "seen", "base", "own")
+    none = {"doc_id": "long", "held_out": "boolean", "ids": "array<int>"}
+    back = back.select("block", *(F.lit(None).cast(t).alias(c) for c, t in none.items()), "id", "seen", "base", "own")
+    none = {"id": "int", "seen": "boolean", "base": "double", "own": "double"}
+    texts = blocks.filter("kind = 'doc'").select("block", *("doc_id held_out ids".split()), *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
+
+    def of_block(table: pa.Table) -> pa.Table:
+        is_word = pc.is_valid(table.column("id"))
+        own, rows = table.filter(is_word), table.filter(pc.invert(is_word))
+        order = np.argsort(own.column("id").to_numpy())
+        seen, base, model_ = (own.column(c).to_numpy(zero_copy_only=False)[order] for c in ("seen", "base", "own"))
+        runs = [np.asarray(x.values) for x in rows.column("ids")]
+        columns = [
+            rows.column("doc_id"), rows.column("held_out"), pa.array([len(x) for x in runs], pa.int64()),
+            pa.array([int(seen[x].sum()) for x in runs], pa.int64()), pa.array([n] * len(runs), pa.int64()),
+            pa.array([float(base[x].sum()) for x in runs], pa.float64()), pa.array([float(model_[x].sum()) for x in runs], pa.float64()),
+        ]
+        return pa.table(columns, names=[x.split()[0] for x in SCORED.split(", ")])
+
+    return texts.unionByName(back).groupBy("block").applyInArrow(of_block, SCORED)
