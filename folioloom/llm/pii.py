@@ -1 +1,221 @@
-"""To come."""
+"""Personal data: base patterns, and contextual extraction bootstrapped from them.
+
+Base entities and keys of a plain shape are seeds. The words before a seed are a lexical pattern; other tokens that
+could be identifiers and stand behind the same words are instances of it. Patterns and instances form a graph: a
+pattern is trusted by the share of its instances that are, an instance by its patterns, in rounds. Instances that
+trusted patterns lead to are found too, though no base pattern knows their shape.
+
+Texts are read once. What a text holds is one row; the graph is built from these rows, and the spans go back to them.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import small, written
+
+KINDS = ("email", "ip", "card", "phone")
+#: The kind of spans that the method adds; it comes after the others at one start.
+LEARNT = "id"
+#: Rounds over the graph; distinct seeds and instances that a pattern needs; trust from which a pattern or an instance counts.
+ROUNDS, SEEDS, INSTANCES, TRUST = 3, 3, 4, 0.6
+#: Added to a pattern's instances as untrusted ones.
+DOUBT = 1.0
+
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
+_DOTTED = re.compile(r"[0-9.]+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_DIGIT = re.compile(r"[0-9]")
+_TOKEN = re.compile(r"[0-9A-Za-z@+][0-9A-Za-z@._+/=:-]*[0-9A-Za-z=]")
+_CONTEXT = re.compile(r"[^\W\d_]+|[=:#]")
+_KEY = re.compile(r"(?:[0-9a-f]{32,}|[A-Za-z]{2,6}[-_][0-9A-Za-z]{16,})\Z")
+#: Characters before a token in which its context is looked for.
+BEFORE = 48
+
+FOUND = (
+    "row_id string, doc_id long, n_email long, n_ip long, n_card long, n_phone long, "
+    "base array<struct<start:long,kind:int,end:long>>, "
+    "tokens array<struct<start:long,end:long,instance:string,pattern:string,seed:boolean,base:boolean>>"
+)
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping. Starts are looked for at each @ only, so long runs of letters cost nothing."""
+    end = 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and not _NOT_LOCAL.match(text, start - 1):
+            start -= 1
+        m = start < at and _DOMAIN.match(text, at + 1)
+        if m:
+            yield start, m.end()
+            end = m.end()
+        else:
+            end = max(end, at + 1) if start == at else end
+        at = text.find("@", max(at + 1, end if m else at + 1))
+
+
+def ips(text: str) -> Iterator[tuple[int, int]]:
+    """Four groups of digits joined by single dots, leftmost; dropped if a part is over 255. Each run of digits and
+    dots is cut at its dots once, however long it is."""
+    for run in _DOTTED.finditer(text):
+        groups = run.group().split(".")
+        if len(groups) < 4:
+            continue
+        starts, at = [], run.start()
+        for g in groups:
+            starts.append(at)
+            at += len(g) + 1
+        i = 0
+        while i + 3 < len(groups):
+            four = groups[i : i + 4]
+            if all(four):
+                if all(len(g.lstrip("0")) <= 3 and int(g[-3:]) <= 255 for g in four):
+                    yield starts[i], starts[i + 3] + len(four[3])
+                i += 4
+            else:
+                i += 1
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the base entities, in order; kind by its place in KINDS."""
+    found = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
+    if _DIGIT.search(text):
+        found += [(a, 1, b) for a, b in ips(text)]
+        for m in _CARD.finditer(text):
+            digits = m.group().replace(" ", "").replace("-", "")
+            if 14 <= len(digits) <= 19 and luhn(digits):
+                found.append((m.start(), 2, m.end()))
+        if "+" in text:
+            for m in _PHONE.finditer(text):
+                if 10 <= sum(c.isdigit() for c in m.group()) <= 15:
+                    found.append((m.start(), 3, m.end()))
+    return sorted(found)
+
+
+def pattern_before(text: str, start: int) -> str | None:
+    """The last two words or signs before a place, on its line; None without a word."""
+    line = text[max(0, start - BEFORE) : start].rpartition("\n")[2]
+    context = [c.lower() for c in _CONTEXT.findall(line)][-2:]
+    return " ".join(context) if any(c.isalpha() for c in context) else None
+
+
+def identifier_like(token: str) -> bool:
+    """Whether a token could be an identifier: four digits or more among at least six characters, or an @."""
+    return (len(token) >= 6 and sum("0" <= c <= "9" for c in token) >= 4) or "@" in token
+
+
+def tokens_of(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
+    """(start, end, instance, pattern, seed, base) of the base entities and of other tokens like identifiers."""
+    found = []
+    for start, _, end in base:
+        pattern = pattern_before(text, start)
+        if pattern:
+            found.append((start, end, text[start:end], pattern, True, True))
+    if not (_DIGIT.search(text) or "@" in text):
+        return found
+    taken = 0
+    spans = sorted((s, e) for s, _, e in base)
+    for m in _TOKEN.finditer(text):
+        token = m.group()
+        if not identifier_like(token):
+            continue
+        while taken < len(spans) and spans[taken][1] <= m.start():
+            taken += 1
+        if any(s < m.end() and m.start() < e for s, e in spans[taken : taken + 4]):
+            continue
+        pattern = pattern_before(text, m.start())
+        if pattern:
+            found.append((m.start(), m.end(), token, pattern, bool(_KEY.match(token)), False))
+    return found
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
+    token = pa.struct([
+        ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("pattern", pa.string()),
+        ("seed", pa.bool_()), ("base", pa.bool_()),
+    ])
+    names = ["row_id", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "tokens"]
+    task, row = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        ids, counts, bases, tokens = [], [[], [], [], []], [], []
+        for text in batch.column(1):
+            text = text.as_py() or ""
+            base = base_spans(text)
+            ids.append(f"{task}-{row}")
+            row += 1
+            for kind in range(4):
+                counts[kind].append(sum(k == kind for _, k, _ in base))
+            bases.append([{"start": a, "kind": k, "end": b} for a, k, b in base])
+            keys = token.names if hasattr(token, "names") else [f.name for f in token]
+            tokens.append([dict(zip(keys, t, strict=True)) for t in tokens_of(text, base)])
+        arrays = [pa.array(ids, pa.string()), batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(bases, pa.list_(span)), pa.array(tokens, pa.list_(token))]
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def trusted_patterns(edges: DataFrame) -> DataFrame:
+    """pattern and trust for the patterns that end above TRUST. edges: pattern, instance, seed, distinct.
+
+    A pattern's trust is the mean trust of its instances, with DOUBT untrusted ones added; an instance's trust is 1 if
+    it is a seed, else that of its most trusted pattern. Only patterns that lead to SEEDS seeds take part.
+    """
+    support = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds"))
+    able = support.filter((F.col("seeds") >= SEEDS) & (F.col("n") >= INSTANCES)).select("pattern")
+    edges = written(edges.join(small(written(able, "pii-able")), "pattern", "left_semi"), "pii-edges")
+    trust = F.col("seed").cast("double")
+    scored = edges.withColumn("trust", trust)
+    for r in range(ROUNDS):
+        patterns = scored.groupBy("pattern").agg((F.sum("trust") / (F.count(F.lit(1)) + DOUBT)).alias("p"))
+        patterns = written(patterns, f"pii-patterns-{r}")
+        if r == ROUNDS - 1:
+            return patterns.filter(F.col("p") >= TRUST).select("pattern", F.col("p").alias("trust"))
+        best = edges.join(small(patterns), "pattern").groupBy("instance").agg(
+            F.max("p").alias("p"), F.max(F.col("seed").cast("int")).alias("is_seed")
+        )
+        best = best.select("instance", F.when(F.col("is_seed") == 1, 1.0).otherwise(F.col("p")).alias("trust"))
+        scored = written(edges.join(best, "instance"), f"pii-scored-{r}")
+    raise AssertionError
+
+
+def found(docs: DataFrame) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of each row of docs.
+
+    A null text is empty and, like any text without entities, has the digest of the empty string and no spans. Repeated
+    rows count once in the graph (its edges are distinct) and get their own results. An empty table gives an empty
+    result. Extra columns are ignored.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_found, FOUND)
+    rows = written(rows, "pii-rows")
+    each = rows.filter(F.size("tokens") > 0).select("row_id", F.explode("tokens").alias("t")).select("row_id", "t.*")
+    edges = each.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    trusted = written(trusted_patterns(edges), "pii-trusted")
+    more = each.filter("NOT base").join(small(trusted), "pattern", "left_semi")
+    more = more.groupBy("row_id").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")).alias("more"))
+    more = written(more.withColumnRenamed("row_id", "more_id"), "pii-more")
+    out = rows.drop("tokens").join(small(more, 200_000), F.col("row_id") == F.col("more_id"), "left")
+    names = F.array(*(F.lit(k) for k in (*KINDS, LEARNT)))
+    label = lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))
+    every = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:long,kind:int,end:long>>"))))
+    return out.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2(F.array_join(F.transform("base", label), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform(every, label), ",").alias("spans"),
+    )
