@@ -40,12 +40,10 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z lower-cased and nothing else. Where no other letter has a lower case, lower() is the same and faster."""
-    other = text.rlike(r"[[\p{IsUppercase}\p{Lt}]&&[^A-Z]]")
-    return F.when(
-        other, F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    ).otherwise(F.lower(text))
+def ascii_lower(word: Column) -> Column:
+    """A-Z lower-cased and nothing else. For a word of ASCII alone lower() is the same and faster."""
+    other = F.translate(word, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(other)
 
 
 def word_count(text: Column) -> Column:

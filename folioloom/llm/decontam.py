@@ -3,7 +3,8 @@
 The training side is an index of postings (term, document, position). A benchmark item's windows are searched from
 their rarest terms: the postings of a window's two rarest terms, each shifted by the term's offset, are intersected,
 which leaves the few places where the window may start; there the rest of the item is compared with the document's
-token list. Only the rare terms' postings are stored and moved; documents are read again where a place was left.
+token list. The index is stored once, for the terms of the benchmark, as no other can be asked for; only the rare terms'
+postings are moved, and documents are read again where a place was left.
 """
 
 from __future__ import annotations
@@ -16,12 +17,18 @@ from .common import ascii_lower, small, written
 
 #: Words of a window, and lists that are intersected before places are compared in full.
 WINDOW, LISTS = 10, 2
-TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word before A-Z are lower-cased, which moves no word's ends.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def raw_terms(text: Column) -> Column:
+    """The words of a text in order, as they are written; null for a null text."""
+    return F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
 
 
 def terms(text: Column) -> Column:
-    """The words of a text, A-Z lower-cased, in order; null for a null text."""
-    return F.regexp_extract_all(ascii_lower(text), F.lit(TERM), F.lit(0))
+    """The words of a text in order, A-Z lower-cased; null for a null text."""
+    return F.transform(raw_terms(text), ascii_lower)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -38,16 +45,17 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return split.select("item_id", "words", F.explode(starts).alias("first"), F.least(F.lit(size), F.size("words")).alias("length"))
 
 
-def occurrences(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """term and n, its number of postings in docs, for the terms of the vocabulary (column term)."""
-    found = docs.select(F.explode(terms(docs["text"])).alias("term"))
-    return found.join(small(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+def postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The positional index of the vocabulary's terms (term_no, term) over keyed docs: term_no, doc_id, text_key, pos
+    (from 0)."""
+    found = docs.select("doc_id", "text_key", F.posexplode(raw_terms(docs["text"])).alias("pos", "raw"))
+    found = found.select("doc_id", "text_key", "pos", ascii_lower(F.col("raw")).alias("term"))
+    return found.join(small(vocabulary), "term").select("term_no", "doc_id", "text_key", "pos")
 
 
-def postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """The positional index of the vocabulary's terms over keyed docs: term, doc_id, text_key, pos (from 0)."""
-    found = docs.select("doc_id", "text_key", F.posexplode(terms(docs["text"])).alias("pos", "term"))
-    return found.join(small(vocabulary), "term").select("term", "doc_id", "text_key", "pos")
+def numbered(names: DataFrame) -> DataFrame:
+    """term_no and term for the distinct terms (column term) of a benchmark."""
+    return names.distinct().withColumn("term_no", F.row_number().over(Window.orderBy("term")))
 
 
 def rarest(found: DataFrame, counts: DataFrame, lists: int = LISTS) -> DataFrame:
@@ -67,14 +75,14 @@ def rarest(found: DataFrame, counts: DataFrame, lists: int = LISTS) -> DataFrame
     return (
         ranked.withColumns({"lists": several, "least": never})
         .filter("least > 0")
-        .select("item_id", "words", "first", "length", "term", (F.col("first") + F.col("at")).alias("offset"), "lists")
+        .select("item_id", "words", "first", "length", "term_no", (F.col("first") + F.col("at")).alias("offset"), "lists")
     )
 
 
 def places(index: DataFrame, rare: DataFrame) -> DataFrame:
     """doc_id, text_key, item_no, start: where an item, laid over a document from start (which may be negative), has
-    a window whose rarest terms all stand where they should. rare: item_no, first, term, offset, lists."""
-    lists = index.join(small(rare), "term").select(
+    a window whose rarest terms all stand where they should. rare: item_no, first, term_no, offset, lists."""
+    lists = index.join(small(rare), "term_no").select(
         "doc_id", "text_key", "item_no", "first", "lists", (F.col("pos") - F.col("offset")).alias("start"), "offset"
     )
     met = lists.groupBy("doc_id", "text_key", "item_no", "first", "start").agg(
@@ -87,20 +95,18 @@ def phrase_hits(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFr
     """doc_id, text_key, item_id, pos and length: each place (pos from 0, in words) where a window of an item stands in
     a document, both in keyed docs."""
     found = written(windows(items, size), "decon-windows")
-    vocabulary = written(found.select(F.explode("words").alias("term")).distinct(), "decon-terms")
-    counts = written(occurrences(docs, vocabulary), "decon-counts")
-    numbered = found.select("item_id", "words").distinct().withColumn("item_no", F.xxhash64("item_id", "words"))
-    rare = written(
-        rarest(found, counts).withColumn("item_no", F.xxhash64("item_id", "words")).drop("item_id", "words"), "decon-rare"
-    )
-    index = postings(docs, written(rare.select("term").distinct(), "decon-anchors"))
-    laid = written(places(index, rare), "decon-places")
+    vocabulary = written(numbered(found.select(F.explode("words").alias("term"))), "decon-terms")
+    index = written(postings(docs, vocabulary), "decon-index")
+    counts = index.groupBy("term_no").agg(F.count(F.lit(1)).alias("n")).join(vocabulary, "term_no")
+    item_no = F.xxhash64("item_id", "words")
+    rare = rarest(found, written(counts, "decon-counts")).withColumn("item_no", item_no).drop("item_id", "words")
+    laid = written(places(index, written(rare, "decon-rare")), "decon-places")
     names = written(laid.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct(), "decon-docs")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))
     read = docs.join(small(names), same, "left_semi").dropDuplicates(["doc_id", "text_key"])
     read = read.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), terms(F.col("text")).alias("tokens"))
-    numbered = written(numbered, "decon-items")
-    pairs = laid.join(small(numbered, 100_000), "item_no").join(read, same)
+    every = written(found.select("item_id", "words").distinct().withColumn("item_no", item_no), "decon-items")
+    pairs = laid.join(small(every, 100_000), "item_no").join(read, same)
     # the document's words under the item; before its first word there is nothing
     skip = F.greatest(F.lit(0), -F.col("start"))
     under = F.slice("tokens", F.greatest(F.lit(0), F.col("start")) + 1, F.size("words") - skip)
@@ -122,7 +128,8 @@ def proximity_hits(docs: DataFrame, queries: DataFrame, within: int) -> DataFram
     document and cut to the neighbourhood, a block of positions at a time."""
     each = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"), F.size(F.array_distinct("terms")).alias("lists"))
     each = written(each, "near-terms")
-    index = written(postings(docs, each.select("term").distinct()), "near-index")
+    vocabulary = written(numbered(each.select("term")), "near-vocabulary")
+    index = written(postings(docs, vocabulary).join(small(vocabulary), "term_no").drop("term_no"), "near-index")
     counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("query_id").orderBy("n", "term")
     ranked = each.join(counts, "term").withColumn("rank", F.row_number().over(order))
@@ -153,7 +160,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
 
     Null and empty texts have no words and no hits; null or empty items have no window, and an item_id that is null
     is left out of the ids but counted. Repeated rows give repeated results, repeated items count once. Empty tables
-    give empty results or no hits. Extra columns are ignored. docs is read three times rather than shuffled.
+    give empty results or no hits. Extra columns are ignored. docs is read three times rather than shuffled: for the index,
+    for the documents with a place, and for n_words.
     """
     named = keyed(docs)
     hits = written(phrase_hits(named, items, size), "decon-hits")
@@ -168,8 +176,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
         ids, F.col("id").eqNullSafe(ids["doc_id"]) & (F.col("key") == ids["text_key"])
     )
     found = written(found.select("id", "key", "n_hit", "n_items", F.sha2(F.concat_ws(",", F.sort_array("ids")), 256).alias("sha")), "decon-found")
-    n_words = F.coalesce(F.size(terms(F.col("text"))), F.lit(0)).cast("long")
-    rows = named.select(*by, F.when(F.col("text").isNull(), 0).otherwise(n_words).cast("long").alias("n_words"))
+    rows = named.select(*by, F.coalesce(F.regexp_count("text", F.lit(TERM)), F.lit(0)).cast("long").alias("n_words"))
     out = rows.join(small(found), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
