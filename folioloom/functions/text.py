@@ -142,7 +142,7 @@ def normalized_span(text: Column) -> Column:
 
 
 def metric_text(value: Column) -> Column:
-    return F.coalesce(F.format_string("%.3f", value), F.lit("N/A"))
+    return F.when(value.isNull(), "N/A").otherwise(F.format_string("%.3f", value))
 
 
 def keyword_hits(text: Column, keywords: tuple[str, ...]) -> Column:

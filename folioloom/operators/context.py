@@ -16,25 +16,30 @@ def compress(hits: DataFrame, budget: int = BUDGET, ratio: float = RATIO) -> Dat
 
     If a query's texts exceed the budget, each keeps its sentences most like the query: by score, until the next would
     exceed the ratio of its words; then in text order, each distinct sentence once. A text of which nothing fits is
-    clipped. One window over the sentences of a text replaces the greedy loop, as word counts are never negative.
+    clipped. Sentences are scored, ordered and summed within their row, so only the query's total needs a shuffle.
     """
     n = T.word_count(F.col("text"))
-    sized = hits.withColumn("total_words", F.sum(n).over(Window.partitionBy("query")))
-    long = sized.filter(F.col("total_words") > budget)
+    sized = hits.withColumns({"words_": n, "total_": F.sum(n).over(Window.partitionBy("query"))})
     asked = F.array_distinct(T.words(F.lower(F.col("query_text"))))
-    each = long.select("query", "doc", F.floor(n * ratio).alias("goal"), asked.alias("asked"), F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
-    each = each.withColumns({"score": T.overlap_score(F.col("asked"), F.col("s")), "words": T.word_count(F.col("s"))})
-    order = Window.partitionBy("query", "doc").orderBy(F.col("score").desc(), "pos").rowsBetween(Window.unboundedPreceding, 0)
-    kept = each.withColumn("upto", F.sum("words").over(order)).filter("upto <= goal")
-    # copies count in the budget, but the text shows one: the first place in the whole text
-    first = each.groupBy("query", "doc", "s").agg(F.min("pos").alias("at"))
-    shown = kept.select("query", "doc", "s").distinct().join(first, ["query", "doc", "s"])
-    shown = shown.groupBy("query", "doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]), " ").alias("shown"))
-    out = sized.join(shown, ["query", "doc"], "left")
-    cut = F.coalesce("shown", F.substring("text", 1, WHOLE_CLIP))
-    return out.withColumns(
-        {"content": F.when(F.col("total_words") > budget, cut).otherwise(F.col("text")), "compressed": F.col("total_words") > budget}
-    ).drop("shown", "total_words")
+    sized = sized.withColumns({"goal_": F.floor(F.col("words_") * ratio), "asked_": asked, "sentences_": T.sentences(F.col("text"))})
+    scored = F.transform(
+        "sentences_",
+        lambda s, i: F.struct((-T.overlap_score(F.col("asked_"), s)).alias("order"), i.alias("pos"), T.word_count(s).alias("n"), s.alias("s")),
+    )
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit(0).alias("upto"), none.alias("kept"))
+
+    def step(state, x):
+        fits = state["upto"] + x["n"] <= F.col("goal_")
+        # counts are never negative, so once one overflows all later ones do
+        return F.struct((state["upto"] + x["n"]).alias("upto"), F.when(fits, F.array_append(state["kept"], x["s"])).otherwise(state["kept"]).alias("kept"))
+
+    sized = sized.withColumn("kept_", F.when(F.col("total_") > budget, F.aggregate(F.array_sort(scored), start, step)["kept"]))
+    shown = F.filter(F.array_distinct("sentences_"), lambda s: F.array_contains("kept_", s))
+    cut = F.when(F.size("kept_") > 0, F.array_join(shown, " ")).otherwise(F.substring("text", 1, WHOLE_CLIP))
+    long = F.col("total_") > budget
+    out = sized.withColumns({"content": F.when(long, cut).otherwise(F.col("text")), "compressed": long})
+    return out.drop("words_", "total_", "goal_", "asked_", "sentences_", "kept_")
 
 
 def truncate(hits: DataFrame, budget: int = BUDGET, body: str = "text", order: str = "position") -> DataFrame:

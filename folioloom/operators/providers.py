@@ -6,20 +6,34 @@ for each worker.
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioloom.functions import text as T
 
+WORD = re.compile(r"\w+")
+
 
 def hashed_embedding(text: Column, dims: int = 64) -> Column:
-    """Bag of words hashed into `dims` buckets, of unit length."""
-    buckets = F.transform(T.tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    return T.unit(counts)
+    """Bag of words hashed into `dims` buckets, of unit length: a stand-in for a model, with the same Arrow interface."""
+
+    @F.pandas_udf("array<double>")
+    def embedded(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> np.ndarray:
+            own = [zlib.crc32(w.encode()) % dims for w in WORD.findall((t or "").lower())]
+            counts = np.bincount(own, minlength=dims).astype(float)
+            return counts / max(np.linalg.norm(counts), 1e-12)
+
+        return texts.map(one)
+
+    return embedded(text)
 
 
 def top_sentences(query: Column, context: Column, n: int = 2) -> Column:

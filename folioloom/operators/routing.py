@@ -13,22 +13,24 @@ def route(query: Column) -> Column:
     """struct<route, section, keyword, score, confidence>: the kind with most keywords in the question, the first on a
     tie; A at confidence 0.5 without any."""
     low = F.trim(F.lower(query))
-    kinds = list(P.ROUTES)
-    scores = [
-        F.struct(T.keyword_hits(low, P.ROUTES[k]).alias("score"), F.lit(-i).alias("first"), F.lit(k).alias("keyword"))
-        for i, k in enumerate(kinds)
+    kinds = [
+        F.struct(F.lit(-i).alias("first"), F.lit(k).alias("keyword"), F.array(*map(F.lit, words)).alias("words"))
+        for i, (k, words) in enumerate(P.ROUTES.items())
     ]
-    best = F.array_max(F.array(*scores))
-    letter, section = F.lit("B"), F.lit(None).cast("string")
-    for k, x in P.LETTER.items():
-        letter = F.when(best["keyword"] == k, x).otherwise(letter)
-    for k, x in P.SECTION_OF.items():
-        section = F.when(best["keyword"] == k, x).otherwise(section)
-    none = best["score"] == 0
-    return F.struct(
-        F.when(none, "A").otherwise(letter).alias("route"), F.when(~none, section).alias("section"), F.when(~none, best["keyword"]).alias("keyword"),
-        best["score"].alias("score"), F.when(none, 0.5).otherwise(F.least(best["score"] / F.lit(3.0), F.lit(1.0))).alias("confidence"),
-    )
+    hits = lambda words: F.size(F.filter(words, lambda w: F.contains(low, w)))
+    scores = F.transform(F.array(*kinds), lambda k: F.struct(hits(k["words"]).alias("score"), k["first"], k["keyword"]))
+    letters = F.create_map(*(F.lit(x) for pair in P.LETTER.items() for x in pair))
+    parts = F.create_map(*(F.lit(x) for pair in P.SECTION_OF.items() for x in pair))
+
+    def decided(best: Column) -> Column:
+        none = best["score"] == 0
+        return F.struct(
+            F.when(none, "A").otherwise(F.coalesce(F.try_element_at(letters, best["keyword"]), F.lit("B"))).alias("route"),
+            F.when(~none, F.try_element_at(parts, best["keyword"])).alias("section"), F.when(~none, best["keyword"]).alias("keyword"),
+            best["score"].alias("score"), F.when(none, 0.5).otherwise(F.least(best["score"] / F.lit(3.0), F.lit(1.0))).alias("confidence"),
+        )
+
+    return F.get(F.transform(F.array(F.array_max(scores)), decided), F.lit(0))
 
 
 def compare_targets(queries: DataFrame, docs: DataFrame, ordinal: str = "doc_no") -> DataFrame:
