@@ -14,6 +14,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of two or three numbers that a broadcast may hold (about 64 MB).
 BROADCAST_ROWS = 1_000_000
 
+#: Rows and bytes of a batch that goes to Python.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 * 1024 * 1024
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share; only where it is unset (tests on one
@@ -34,6 +37,15 @@ def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding the batches that go to Python in this session: by rows and, where Spark knows how, by bytes, so
+    that a worker's memory doesn't follow the length of texts."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most that many rows, else unmarked, for a shuffled join. df should be
     cheap to count: a written table."""

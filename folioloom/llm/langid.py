@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import in_batches
+
 #: N-grams of a profile, and the distance of one that a profile lacks.
 PROFILE = 300
 #: Counted n-grams that a task holds before it hands them on.
@@ -91,7 +93,7 @@ def profiles(labelled: DataFrame) -> dict[str, list[int]]:
     """Each language's profile, most frequent n-gram first, from all rows of labelled (lang, text) that have both.
     At most PROFILE n-grams of each language reach the driver."""
     rows = labelled.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = in_batches(rows).mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     best = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PROFILE)
     found: dict[str, list[int]] = {}
@@ -145,4 +147,4 @@ def predicted(docs: DataFrame, fold: int = 2, folds: int = 4) -> DataFrame:
             )
 
     schema = "doc_id long, held_out boolean, lang_pred string, score double"
-    return rows.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(judged, schema)
+    return in_batches(rows.select(F.col("doc_id").cast("long"), "held_out", "text")).mapInArrow(judged, schema)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import in_batches, small, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kind of spans that the method adds; it comes after the others at one start.
@@ -154,6 +154,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ("seed", pa.bool_()), ("base", pa.bool_()),
     ])
     names = ["row_id", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "tokens"]
+    keys = [f.name for f in token]
     task, row = TaskContext.get().partitionId(), 0
     for batch in batches:
         ids, counts, bases, tokens = [], [[], [], [], []], [], []
@@ -165,7 +166,6 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for kind in range(4):
                 counts[kind].append(sum(k == kind for _, k, _ in base))
             bases.append([{"start": a, "kind": k, "end": b} for a, k, b in base])
-            keys = token.names if hasattr(token, "names") else [f.name for f in token]
             tokens.append([dict(zip(keys, t, strict=True)) for t in tokens_of(text, base)])
         arrays = [pa.array(ids, pa.string()), batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(bases, pa.list_(span)), pa.array(tokens, pa.list_(token))]
         yield pa.RecordBatch.from_arrays(arrays, names=names)
@@ -202,7 +202,7 @@ def found(docs: DataFrame) -> DataFrame:
     rows count once in the graph (its edges are distinct) and get their own results. An empty table gives an empty
     result. Extra columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_found, FOUND)
+    rows = in_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(_found, FOUND)
     rows = written(rows, "pii-rows")
     each = rows.filter(F.size("tokens") > 0).select("row_id", F.explode("tokens").alias("t")).select("row_id", "t.*")
     edges = each.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))

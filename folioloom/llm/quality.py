@@ -15,6 +15,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
 #: (Size in bytes from which the band holds, lowest, highest ratio of the whole text). Prose that names few things
 #: twice stays well inside; a text at half the usual ratio of its length says everything twice.
 BANDS = (
@@ -130,7 +132,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
     A null or empty text has no words, so it fails the base rule. Repeated rows give repeated results; extra columns
     are ignored. Whole texts are read, however long; a task holds one batch of them.
     """
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_judged, SCHEMA)
+    return in_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(_judged, SCHEMA)
 
 
 def keep(docs: DataFrame) -> DataFrame:
@@ -144,4 +146,4 @@ def keep(docs: DataFrame) -> DataFrame:
             texts = batch.column(at).cast(pa.binary())
             yield batch.filter(pa.array([judge(t.as_py(), compress)[6] for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(kept, schema)
+    return in_batches(docs).mapInArrow(kept, schema)
