@@ -2,14 +2,14 @@
 
 Documents with equal sets of 3-word shingles are one node. Every node gets 120 minima; bands of five make buckets, and
 the low four bits of each minimum are packed into words. Within a bucket the share of equal low bits, corrected for
-chance collisions, estimates the similarity; each node is compared on its full set with the partners that look most
-alike, in rounds: links merge nodes into components, and a round proposes only pairs across components, so the work
-follows the number of nodes and not of pairs, as in Boruvka's algorithm.
+chance collisions, estimates the similarity. First the pairs of each bucket's spanning forest by estimate are compared
+on full sets, which merges nodes into components with a comparison or so for each node. Then all pairs that may still be
+links across components are compared within their bucket's task, bucket by bucket, so no row is made for a pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small, written
+from .common import in_batches, small, written
 
 #: Link: 100 * intersection >= LEAST * union.
 LEAST = 85
@@ -28,8 +28,6 @@ BANDS, ROWS, BITS = 24, 5, 4
 MINIMA = BANDS * ROWS
 #: Estimates at least this high are confirmed on full sets: five standard deviations below 0.85.
 PROPOSED = 0.68
-#: Partners that the first round proposes to a node in each bucket; each later round proposes four times as many.
-PARTNERS = 8
 #: A larger bucket is divided by further bands, and after that into parts that share one member.
 LARGE, FURTHER = 2048, 6
 
@@ -137,69 +135,147 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _proposals(partners: int):
-    """For rows (bucket, node, n, comp, planes) sorted by bucket: pairs a < b across components of a bucket whose sizes
-    and estimates allow a link; for each node the `partners` most alike, and the bucket's first node."""
-
-    def of_bucket(nodes: np.ndarray, sizes: np.ndarray, comps: np.ndarray, planes: np.ndarray) -> set[tuple[int, int]]:
-        found = set()
-        step = max(1, 1_000_000 // len(nodes))
-        for at in range(0, len(nodes), step):
-            part = slice(at, at + step)
-            alike = likeness(planes[part], planes)
-            fits = 100 * np.minimum(sizes[part, None], sizes) >= LEAST * np.maximum(sizes[part, None], sizes)
-            alike[~fits | (comps[part, None] == comps) | (nodes[part, None] == nodes)] = -1
-            if len(nodes) > partners + 1:
-                order = np.argsort(-alike, axis=1, kind="stable")[:, :partners]
-                order = np.concatenate([order, np.zeros((len(order), 1), order.dtype)], axis=1)
-            else:
-                order = np.broadcast_to(np.arange(len(nodes)), alike.shape)
-            rows = np.repeat(np.arange(len(alike)), order.shape[1])
-            columns = order.reshape(-1)
-            sure = alike[rows, columns] >= PROPOSED
-            a, b = nodes[part][rows[sure]], nodes[columns[sure]]
-            found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
-        return found
-
-    def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        fresh: list[tuple[int, int]] = []
-        rest: list[np.ndarray] | None = None
-
-        def take(columns: list[np.ndarray], last: bool) -> list[np.ndarray] | None:
-            buckets = columns[0]
-            edges = np.flatnonzero(np.diff(buckets)) + 1
-            bounds = [0, *edges.tolist(), *([len(buckets)] if last else [])]
-            for i, j in zip(bounds[:-1], bounds[1:], strict=True):
-                if j - i > 1:
-                    for pair in of_bucket(*(c[i:j] for c in columns[1:])):
-                        if pair not in seen:
-                            seen.add(pair)
-                            fresh.append(pair)
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-            return None if last else [c[bounds[-1] :] for c in columns]
-
-        def flushed() -> pa.RecordBatch:
-            a, b = zip(*fresh, strict=True) if fresh else ((), ())
-            fresh.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            columns = [np.asarray(batch.column(i)) for i in range(4)]
-            columns.append(np.asarray(batch.column(4).flatten()).view(np.uint64).reshape(len(batch), -1))
-            if rest is not None:
-                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
-            rest = take(columns, False)
-            if len(fresh) > 50_000:
-                yield flushed()
+def by_bucket(batches: Iterator[pa.RecordBatch], found: Callable, lists: int) -> Iterator[list[np.ndarray]]:
+    """For rows (bucket, ..., list columns) sorted by bucket: found(columns) of each bucket with two rows or more. The
+    last `lists` columns are lists of one width, and come as matrices; a bucket may span batches."""
+    rest: list[np.ndarray] | None = None
+
+    def columns_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+        plain = [np.asarray(batch.column(i)) for i in range(batch.num_columns - lists)]
+        wide = [batch.column(i) for i in range(batch.num_columns - lists, batch.num_columns)]
+        return plain + [np.asarray(c.flatten()).view(np.uint64).reshape(len(batch), -1) for c in wide]
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = columns_of(batch)
         if rest is not None:
-            take(rest, True)
-        yield flushed()
+            columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+        bounds = [0, *(np.flatnonzero(np.diff(columns[0])) + 1).tolist()]
+        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+            if j - i > 1:
+                yield found(*(c[i:j] for c in columns))
+        rest = [c[bounds[-1] :] for c in columns]
+    if rest is not None and len(rest[0]) > 1:
+        yield found(*rest)
+
+
+def fitting(sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be alike enough."""
+    return 100 * np.minimum(sizes, others) >= LEAST * np.maximum(sizes, others)
+
+
+def spanning_pairs(bucket: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, planes: np.ndarray) -> set[tuple[int, int]]:
+    """The pairs a < b of a bucket's spanning forest of the highest estimates, as far as estimates reach PROPOSED."""
+    found = set()
+    best, by = np.full(len(nodes), -1.0), np.zeros(len(nodes), np.int64)
+    outside = np.ones(len(nodes), bool)
+    at = 0
+    for _ in range(len(nodes) - 1):
+        outside[at] = False
+        alike = likeness(planes[at : at + 1], planes)[0]
+        alike[~fitting(sizes[at], sizes)] = -1
+        nearer = alike > best
+        best[nearer], by[nearer] = alike[nearer], at
+        at = int(np.where(outside, best, -2.0).argmax())
+        if best[at] >= PROPOSED and nodes[at] != nodes[by[at]]:
+            found.add(tuple(sorted((int(nodes[at]), int(nodes[by[at]])))))
+    return found
 
-    return proposed
+
+def across(bucket: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, comps: np.ndarray, planes: np.ndarray, bands: np.ndarray):
+    """All pairs across components of a bucket that may be links, as arrays of row, row and estimate: one of each pair is
+    outside the bucket's most frequent component. A pair that shares an earlier band is left to that band's bucket."""
+    names, counts = np.unique(comps, return_counts=True)
+    own = np.flatnonzero(comps != names[counts.argmax()])
+    band = np.flatnonzero(bands[0] == bucket[:1].view(np.uint64)[0])
+    earlier = int(band[0]) if len(band) else 0  # a divided bucket is no band's, and leaves no pair to others
+    rows, columns, scores = [], [], []
+    step = max(1, 500_000 // len(nodes))
+    for i in range(0, len(own), step):
+        part = own[i : i + step]
+        alike = likeness(planes[part], planes)
+        able = (alike >= PROPOSED) & fitting(sizes[part, None], sizes) & (comps[part, None] != comps)
+        r, c = np.nonzero(able)
+        if earlier and len(r):
+            fresh = ~(bands[part[r], :earlier] == bands[c, :earlier]).any(axis=1)
+            r, c = r[fresh], c[fresh]
+        rows.append(part[r]), columns.append(c), scores.append(alike[r, c])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *rows]), np.concatenate([none, *columns]), np.concatenate([np.zeros(0), *scores])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[tuple[int, int]] = set()
+    for found in by_bucket(batches, spanning_pairs, 1):
+        fresh = sorted(found - seen)
+        seen.update(fresh)
+        if fresh:
+            a, b = zip(*fresh, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        if len(seen) > 1_000_000:
+            seen.clear()
+
+
+def _active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bucket and node of the rows that take part in a pair of across()."""
+
+    def found(bucket, nodes, sizes, comps, planes, bands):
+        r, c, _ = across(bucket, nodes, sizes, comps, planes, bands)
+        return bucket, nodes[np.unique(np.concatenate([r, c]))]
+
+    for bucket, nodes in by_bucket(batches, found, 2):
+        if len(nodes):
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[: len(nodes)]), pa.array(np.unique(nodes))], names=["bucket", "node"])
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) among the pairs of across(), each confirmed on its full sets unless links found before it in the
+    bucket have joined its components. The sets travel as binary beside the rows."""
+    held: dict[int, set] = {}
+    unfinished: tuple[int, set] = (0, set())
+
+    def noted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches without their sets, which are held for the batch and the bucket that it goes on with."""
+        nonlocal unfinished
+        for batch in it:
+            if not len(batch):
+                continue
+            for node in set(held) - unfinished[1]:
+                del held[node]
+            nodes = batch.column(1).to_pylist()
+            for node, data in zip(nodes, batch.column(6), strict=True):
+                if node not in held:
+                    held[node] = set(np.frombuffer(data.as_buffer(), np.uint64).tolist())
+            buckets = np.asarray(batch.column(0))
+            last = set(np.array(nodes)[buckets == buckets[-1]].tolist())
+            unfinished = (buckets[-1], last | (unfinished[1] if unfinished[0] == buckets[0] == buckets[-1] else set()))
+            yield batch.select([0, 1, 2, 3, 4, 5])
+
+    def found(bucket, nodes, sizes, comps, planes, bands):
+        r, c, scores = across(bucket, nodes, sizes, comps, planes, bands)
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        links = []
+        for i in np.argsort(-scores, kind="stable"):
+            x, y = root(int(comps[r[i]])), root(int(comps[c[i]]))
+            if x != y:
+                a, b = int(nodes[r[i]]), int(nodes[c[i]])
+                both = len(held[a] & held[b])
+                if 100 * both >= LEAST * (len(held[a]) + len(held[b]) - both):
+                    parent[x] = y
+                    links.append((a, b))
+        return links
+
+    for links in by_bucket(noted(batches), found, 2):
+        if links:
+            a, b = zip(*links, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def star_components(edges: DataFrame) -> DataFrame:
@@ -255,40 +331,57 @@ def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     held = F.count(F.lit(1)).over(Window.partitionBy("bucket"))
     members = written(each.withColumn("held", held).filter("held > 1"), "bucket-members")
     members = divided(members, nodes)
-    wide = written(members.join(nodes.select("node", "n_shingles", "planes"), "node"), "bucket-planes")
-    wanted = small(written(wide.select("node").distinct(), "wanted"))
+    wide = written(members.join(nodes.select("node", "n_shingles", "planes", "bands"), "node"), "bucket-planes")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_buckets = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket", "node")
+    pairs = in_buckets(wide.select("bucket", "node", "n_shingles", "planes")).mapInArrow(_pairs, "a long, b long")
+    pairs = written(pairs.distinct(), "spanning-pairs")
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    either = F.size("set_a") + F.size("set_b") - both
+    links = pairs.join(left, "a").join(right, "b").filter(100 * both >= LEAST * either).select("a", "b").distinct()
+    comps = merged(docs.sparkSession.createDataFrame([], "node long, comp long"), written(links, "spanning-links"))
+    now = wide.join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    several = now.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
+    now = written(now.join(several, "bucket", "left_semi").select("bucket", "node", "n_shingles", "comp", "planes", "bands"), "mixed-buckets")
+    active = written(in_buckets(now).mapInArrow(_active, "bucket long, node long"), "active")
+    sets = sets_of(docs, active.select("node"))
+    as_bytes = sets.mapInArrow(_as_bytes, "node long, shingles binary")
+    rows = now.join(active, ["bucket", "node"]).join(as_bytes, "node")
+    rows = rows.select("bucket", "node", "n_shingles", "comp", "planes", "bands", "shingles")
+    links = in_buckets(rows).mapInArrow(_confirmed, "a long, b long").distinct()
+    return merged(comps, written(links, "other-links"))
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and shingles of the wanted nodes, from their texts, written."""
+    wanted = small(written(wanted.distinct(), "wanted"))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(wanted, "node", "left_semi")
-    sets = written(texts.mapInArrow(_sets, "node long, shingles array<long>").filter(F.size("shingles") > 0), "shingle-sets")
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    comps = spark.createDataFrame([], "node long, comp long")
-    links = tested = None
-    partners = PARTNERS
-    while True:
-        now = wide.join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        if links is not None:
-            mixed_ = now.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
-            now = now.join(mixed_, "bucket", "left_semi")
-        now = now.select("bucket", "node", "n_shingles", "comp", "planes").repartition(parts, "bucket").sortWithinPartitions("bucket", "node")
-        pairs = now.mapInArrow(_proposals(partners), "a long, b long").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "proposed")
-        left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-        both = F.size(F.array_intersect("set_a", "set_b"))
-        either = F.size("set_a") + F.size("set_b") - both
-        confirmed = written(pairs.join(left, "a").join(right, "b").filter(100 * both >= LEAST * either).select("a", "b").distinct(), "confirmed")
-        if confirmed.isEmpty():
-            return comps
-        links = confirmed if links is None else links.unionByName(confirmed)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        comps = written(star_components(links), "components")
-        partners *= 4
+    return written(texts.mapInArrow(_sets, "node long, shingles array<long>").filter(F.size("shingles") > 0), "shingle-sets")
+
+
+def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values = [np.asarray(x.values).tobytes() for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], names=["node", "shingles"])
+
+
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, comp) that links between nodes make of comps. Links are first contracted to the components
+    that they join, so a round's graph is no larger than what it adds."""
+    ends = comps.withColumnsRenamed({"node": "id", "comp": "named"})
+    contracted = links.join(small(ends), F.col("a") == F.col("id"), "left").select(F.coalesce("named", "a").alias("a"), "b")
+    contracted = contracted.join(small(ends), F.col("b") == F.col("id"), "left").select("a", F.coalesce("named", "b").alias("b"))
+    stars = written(star_components(contracted), "stars")
+    moved = stars.withColumnsRenamed({"node": "old", "comp": "new"})
+    kept = comps.join(small(moved), F.col("comp") == F.col("old"), "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    return written(kept.unionByName(stars.join(comps.select("node"), "node", "left_anti")), "components")
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """SIGNED for each row of docs, written."""
-    return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signed, SIGNED), "signed")
+    return written(in_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(_signed, SIGNED), "signed")
 
 
 def components(docs: DataFrame) -> DataFrame:
