@@ -13,27 +13,30 @@ from __future__ import annotations
 import math
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_batches, written
 
 VOCABULARY = os.environ.get("TOKENIZER_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 #: Added to a word's count (base score) and to a piece's.
 SMOOTH = 0.1
 #: Bytes of text in a block.
-BLOCK = 24_000_000
+BLOCK = 48_000_000
 #: Stands before a word's first letter in the vocabulary.
 MARK = "▁"
 #: The text's end: no word holds a space.
 END = b" "
 
-CODED = "block string, doc_id long, held_out boolean, ids array<int>, id int, word binary, n long, kind string"
+#: A document has its packed ids; a word of a block's dictionary its number as key, and its training count n.
+CODED = "block long, key long, held_out boolean, ids binary, word binary, n long"
 SCORED = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 )
@@ -44,7 +47,8 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks: a row for each document and one for each of the block's distinct tokens, with its training count."""
     task, made = TaskContext.get().partitionId(), 0
     names = [x.split()[0] for x in CODED.split(", ")]
-    kinds = [pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.int64(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64()]
+    pack = zstandard.ZstdCompressor(level=1).compress
     known: dict[bytes, int] = {}
     ids: list[np.ndarray] = []
     docs: list[tuple] = []
@@ -52,30 +56,26 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> Iterator[pa.RecordBatch]:
         nonlocal made, size
-        block = f"{task}-{made}"
+        block = (task << 24) | made
         made += 1
         counts = np.zeros(len(known), np.int64)
         for (_, held), own in zip(docs, ids, strict=True):
             if not held:
                 counts += np.bincount(own, minlength=len(known))
-        for at in range(0, len(docs), 256):
-            part, runs = docs[at : at + 256], ids[at : at + 256]
-            offsets = np.cumsum([0, *map(len, runs)]).astype(np.int32)
-            columns = {
-                "block": pa.array([block] * len(part)), "doc_id": pa.array([d for d, _ in part], pa.int64()), "held_out": pa.array([h for _, h in part]),
-                "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(runs))), "kind": pa.array(["doc"] * len(part)),
-            }
-            yield row_batch(columns, len(part))
-        columns = {
-            "block": pa.array([block] * len(known)), "id": pa.array(range(len(known)), pa.int32()), "word": pa.array(list(known), pa.binary()),
-            "n": pa.array(counts), "kind": pa.array(["word"] * len(known)),
-        }
-        yield row_batch(columns, len(known))
+        for at in range(0, len(docs), 1024):
+            part, runs = docs[at : at + 1024], ids[at : at + 1024]
+            columns = {"key": [d for d, _ in part], "held_out": [h for _, h in part], "ids": [pack(r.tobytes()) for r in runs]}
+            yield row_batch(block, columns, len(part))
+        for at in range(0, len(known), 100_000):
+            words = list(islice(known, at, at + 100_000))
+            columns = {"key": range(at, at + len(words)), "word": words, "n": counts[at : at + len(words)]}
+            yield row_batch(block, columns, len(words))
         known.clear(), ids.clear(), docs.clear()
         size = 0
 
-    def row_batch(columns: dict, rows: int) -> pa.RecordBatch:
-        arrays = [columns[n].cast(k) if n in columns else pa.nulls(rows, k) for n, k in zip(names, kinds, strict=True)]
+    def row_batch(block: int, columns: dict, rows: int) -> pa.RecordBatch:
+        columns |= {"block": [block] * rows}
+        arrays = [pa.array(columns[n], k) if n in columns else pa.nulls(rows, k) for n, k in zip(names, kinds, strict=True)]
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     for batch in batches:
@@ -95,7 +95,7 @@ def coded(docs: DataFrame, fold: int = 0, folds: int = 10) -> DataFrame:
     """CODED, written. Rows whose crc32 of the doc_id's text leaves `fold` when divided by `folds` are held out."""
     own = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
     rows = docs.select(F.col("doc_id").cast("long"), (own % folds == fold).alias("held_out"), F.col("text").cast("string"))
-    return written(rows.mapInArrow(_coded, CODED), "lm-blocks")
+    return written(in_batches(rows).mapInArrow(_coded, CODED), "lm-blocks")
 
 
 def piece_counts(words: DataFrame, vocabulary: str) -> dict[int, int]:
@@ -179,7 +179,7 @@ def scores(docs: DataFrame, vocabulary: str = VOCABULARY, fold: int = 0, folds:
     are scored each; an empty table gives an empty result. Extra columns are ignored.
     """
     blocks = coded(docs, fold, folds)
-    words = blocks.filter("kind = 'word'")
+    words = blocks.filter("word IS NOT NULL")
     totals = written(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
     trained = totals.filter("c > 0")
     n, v = trained.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -190,34 +190,32 @@ def scores(docs: DataFrame, vocabulary: str = VOCABULARY, fold: int = 0, folds:
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary, *model.value)
         for batch in batches:
-            c = np.asarray(batch.column(1)).astype(np.float64)
-            base = np.log10((c + SMOOTH) / (n + SMOOTH * (v + 1)))
             own = [
                 (lattice.end if w == END else lattice.log_probability(w.decode("utf-8", "replace"))) / LOG10
                 for w in batch.column(0).to_pylist()
             ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(c > 0), pa.array(base), pa.array(own, pa.float64())], names=["word", "seen", "base", "own"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.float64())], names=["word", "c", "own"])
 
-    by_word = written(totals.mapInArrow(weighed, "word binary, seen boolean, base double, own double"), "lm-weights")
-    back = words.select("block", "id", "word").join(by_word, "word").select("block", "id", "seen", "base", "own")
-    none = {"doc_id": "long", "held_out": "boolean", "ids": "array<int>"}
-    back = back.select("block", *(F.lit(None).cast(t).alias(c) for c, t in none.items()), "id", "seen", "base", "own")
-    none = {"id": "int", "seen": "boolean", "base": "double", "own": "double"}
-    texts = blocks.filter("kind = 'doc'").select("block", *("doc_id held_out ids".split()), *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
+    by_word = written(totals.mapInArrow(weighed, "word binary, c long, own double"), "lm-weights")
+    back = words.select("block", "key", "word").join(by_word, "word")
+    back = back.select("block", "key", F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("binary").alias("ids"), "c", "own")
+    texts = blocks.filter("ids IS NOT NULL").select(
+        "block", "key", "held_out", "ids", F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("own")
+    )
 
     def of_block(table: pa.Table) -> pa.Table:
-        is_word = pc.is_valid(table.column("id"))
-        own, rows = table.filter(is_word), table.filter(pc.invert(is_word))
-        order = np.argsort(own.column("id").to_numpy())
-        seen, base, model_ = (own.column(c).to_numpy(zero_copy_only=False)[order] for c in ("seen", "base", "own"))
-        runs = [np.asarray(x.values) for x in rows.column("ids")]
-        columns = [
-            rows.column("doc_id"), rows.column("held_out"), pa.array([len(x) for x in runs], pa.int64()),
-            pa.array([int(seen[x].sum()) for x in runs], pa.int64()), pa.array([n] * len(runs), pa.int64()),
-            pa.array([float(base[x].sum()) for x in runs], pa.float64()), pa.array([float(model_[x].sum()) for x in runs], pa.float64()),
-        ]
-        return pa.table(columns, names=[x.split()[0] for x in SCORED.split(", ")])
+        own, rows = table.filter(pc.is_valid(table.column("c"))), table.filter(pc.is_valid(table.column("ids")))
+        order = np.argsort(own.column("key").to_numpy())
+        c, log = own.column("c").to_numpy()[order], own.column("own").to_numpy()[order]
+        base = np.log10((c + SMOOTH) / (n + SMOOTH * (v + 1)))
+        unpack = zstandard.ZstdDecompressor().decompress
+        found = []
+        for packed in rows.column("ids"):
+            x = np.frombuffer(unpack(packed.as_py()), np.int32)
+            found.append((len(x), int((c[x] > 0).sum()), n, float(base[x].sum()), float(log[x].sum())))
+        columns = list(zip(*found, strict=True)) or [()] * 5
+        kinds = [pa.int64()] * 3 + [pa.float64()] * 2
+        arrays = [rows.column("key"), rows.column("held_out"), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))]
+        return pa.table(arrays, names=[x.split()[0] for x in SCORED.split(", ")])
 
     return texts.unionByName(back).groupBy("block").applyInArrow(of_block, SCORED)
