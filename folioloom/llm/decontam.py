@@ -21,6 +21,10 @@ WINDOW, LISTS = 10, 2
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+#: Stands for the end of a document; no word is empty.
+END = ""
+
+
 def raw_terms(text: Column) -> Column:
     """The words of a text in order, as they are written; null for a null text."""
     return F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
@@ -47,15 +51,19 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """The positional index of the vocabulary's terms (term_no, term) over keyed docs: term_no, doc_id, text_key, pos
-    (from 0)."""
-    found = docs.select("doc_id", "text_key", F.posexplode(raw_terms(docs["text"])).alias("pos", "raw"))
+    (from 0). Where the vocabulary holds END, each row's end is a posting too, whose pos is its number of words."""
+    none = F.array().cast("array<string>")
+    every = F.array_append(F.coalesce(raw_terms(docs["text"]), none), F.lit(END))
+    found = docs.select("doc_id", "text_key", F.posexplode(every).alias("pos", "raw"))
     found = found.select("doc_id", "text_key", "pos", ascii_lower(F.col("raw")).alias("term"))
     return found.join(small(vocabulary), "term").select("term_no", "doc_id", "text_key", "pos")
 
 
 def numbered(names: DataFrame) -> DataFrame:
-    """term_no and term for the distinct terms (column term) of a benchmark."""
-    return names.distinct().withColumn("term_no", F.row_number().over(Window.orderBy("term")))
+    """term_no (from 1) and term for the distinct terms (column term) of a benchmark, and END as number 0."""
+    found = names.filter(F.col("term") != END).distinct().withColumn("term_no", F.row_number().over(Window.orderBy("term")))
+    end = names.sparkSession.range(1).select(F.lit(END).alias("term"), F.lit(0).alias("term_no"))
+    return found.unionByName(end)
 
 
 def rarest(found: DataFrame, counts: DataFrame, lists: int = LISTS) -> DataFrame:
@@ -91,12 +99,15 @@ def places(index: DataFrame, rare: DataFrame) -> DataFrame:
     return met.filter("n = lists").select("doc_id", "text_key", "item_no", "start").distinct()
 
 
-def phrase_hits(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, text_key, item_id, pos and length: each place (pos from 0, in words) where a window of an item stands in
-    a document, both in keyed docs."""
-    found = written(windows(items, size), "decon-windows")
+def indexed(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The vocabulary of the windows found, and the index of keyed docs over it, both written."""
     vocabulary = written(numbered(found.select(F.explode("words").alias("term"))), "decon-terms")
-    index = written(postings(docs, vocabulary), "decon-index")
+    return vocabulary, written(postings(docs, vocabulary), "decon-index")
+
+
+def phrase_hits(docs: DataFrame, found: DataFrame, vocabulary: DataFrame, index: DataFrame, size: int = WINDOW) -> DataFrame:
+    """doc_id, text_key, item_id, pos and length: each place (pos from 0, in words) where one of the windows found
+    stands in a document of keyed docs, whose index over the vocabulary is given."""
     counts = index.groupBy("term_no").agg(F.count(F.lit(1)).alias("n")).join(vocabulary, "term_no")
     item_no = F.xxhash64("item_id", "words")
     rare = rarest(found, written(counts, "decon-counts")).withColumn("item_no", item_no).drop("item_id", "words")
@@ -132,12 +143,12 @@ def proximity_hits(docs: DataFrame, queries: DataFrame, within: int) -> DataFram
     index = written(postings(docs, vocabulary).join(small(vocabulary), "term_no").drop("term_no"), "near-index")
     counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("query_id").orderBy("n", "term")
-    ranked = each.join(counts, "term").withColumn("rank", F.row_number().over(order))
+    ranked = written(each.join(counts, "term").withColumn("rank", F.row_number().over(order)), "near-ranked")
     leads = ranked.filter("rank = 1").select("query_id", "term", "lists")
     block = lambda c: F.floor(c / within)
-    lead = index.join(F.broadcast(leads), "term").select("query_id", "lists", "doc_id", "text_key", F.col("pos").alias("lead"))
+    lead = index.join(small(leads), "term").select("query_id", "lists", "doc_id", "text_key", F.col("pos").alias("lead"))
     lead = lead.withColumn("block", F.explode(F.array(block(F.col("lead")) - 1, block(F.col("lead")), block(F.col("lead")) + 1)))
-    every = index.join(F.broadcast(ranked.select("query_id", "term")), "term").withColumn("block", block(F.col("pos")))
+    every = index.join(small(ranked.select("query_id", "term")), "term").withColumn("block", block(F.col("pos")))
     near = lead.join(every, ["query_id", "text_key", "block"]).filter(lead["doc_id"].eqNullSafe(every["doc_id"]))
     near = near.select("query_id", "lists", lead["doc_id"], "text_key", "lead", "term", "pos").filter(F.abs(F.col("pos") - F.col("lead")) < within)
     by_lead = ["query_id", "doc_id", "text_key", "lead", "lists"]
@@ -160,11 +171,13 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
 
     Null and empty texts have no words and no hits; null or empty items have no window, and an item_id that is null
     is left out of the ids but counted. Repeated rows give repeated results, repeated items count once. Empty tables
-    give empty results or no hits. Extra columns are ignored. docs is read three times rather than shuffled: for the index,
-    for the documents with a place, and for n_words.
+    give empty results or no hits. Extra columns are ignored. docs is read twice rather than shuffled: for the index, and
+    for the documents with a place; the index holds each row's end, so also its number of words.
     """
     named = keyed(docs)
-    hits = written(phrase_hits(named, items, size), "decon-hits")
+    found = written(windows(items, size), "decon-windows")
+    vocabulary, index = indexed(named, found)
+    hits = written(phrase_hits(named, found, vocabulary, index, size), "decon-hits")
     by = ["doc_id", "text_key"]
     covered = hits.select(*by, F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("length") - 1)).alias("at"))
     n_hit = covered.distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n_hit"))
@@ -176,7 +189,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
         ids, F.col("id").eqNullSafe(ids["doc_id"]) & (F.col("key") == ids["text_key"])
     )
     found = written(found.select("id", "key", "n_hit", "n_items", F.sha2(F.concat_ws(",", F.sort_array("ids")), 256).alias("sha")), "decon-found")
-    rows = named.select(*by, F.coalesce(F.regexp_count("text", F.lit(TERM)), F.lit(0)).cast("long").alias("n_words"))
+    rows = index.filter("term_no = 0").select(*by, F.col("pos").cast("long").alias("n_words"))
     out = rows.join(small(found), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
@@ -187,7 +200,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
 
 def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of docs, with their columns, in which no window occurs."""
-    hits = phrase_hits(keyed(docs), items, size)
+    found = written(windows(items, size), "decon-windows")
+    named = keyed(docs)
+    hits = phrase_hits(named, found, *indexed(named, found), size)
     bad = small(written(hits.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct(), "decon-bad"))
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("own_row"), docs["doc_id"], F.xxhash64(docs["text"]).alias("text_key"))
     return rows.join(bad, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left_anti").select("own_row.*")
