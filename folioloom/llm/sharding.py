@@ -89,8 +89,8 @@ def shards_of(slim: DataFrame, shards: int, rows: DataFrame) -> DataFrame:
     items = [(b, t, r, key, 0) for key, _, b, t, r in alone if key not in cuts]
     if cuts:
         cut_df = F.broadcast(spark.createDataFrame(sorted(cuts.items()), schema))
-        rows = slim.join(cut_df, "group_key").groupBy("group_key", piece.alias("piece"))
-        sums = rows.agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("r"))
+        cut = slim.join(cut_df, "group_key").groupBy("group_key", piece.alias("piece"))
+        sums = cut.agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("r"))
         items += [(x.b, x.t, x.r, x.group_key, x.piece) for x in sums.collect()]
     rest = groups.filter(~large).groupBy(bundle.alias("bundle")).agg(F.sum("b"), F.sum("t"), F.sum("r"))
     items += [(x[1], x[2], x[3], "", x[0]) for x in rest.collect()]
