@@ -67,8 +67,8 @@ def numbered(names: DataFrame) -> DataFrame:
 
 
 def rarest(found: DataFrame, counts: DataFrame, lists: int = LISTS) -> DataFrame:
-    """For each window its rarest terms: item_id, words, first, length, term, offset (within the item), lists (how
-    many of them the window has). Ties go to the earlier word."""
+    """For each window its rarest terms: item_id, words, first, length, term, offset (within the item), bit (a power
+    of two of its own) and every (the sum of the window's bits). Ties go to the earlier word."""
     words = F.slice("words", F.col("first") + 1, F.col("length"))
     each = found.withColumn("window", F.monotonically_increasing_id()).select(
         "item_id", "words", "first", "length", "window", F.posexplode(words).alias("at", "term")
@@ -77,26 +77,28 @@ def rarest(found: DataFrame, counts: DataFrame, lists: int = LISTS) -> DataFrame
     once = once.select("window", "term", "x.*").join(counts, "term", "left")
     order = Window.partitionBy("window").orderBy(F.coalesce("n", F.lit(0)), "at")
     ranked = once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= lists)
-    several = F.count(F.lit(1)).over(Window.partitionBy("window"))
+    bit = F.expr("shiftleft(1, rank - 1)")
+    every = F.sum(bit).over(Window.partitionBy("window")).cast("int")
     # a window with a term that no document holds occurs nowhere
     never = F.min(F.coalesce("n", F.lit(0))).over(Window.partitionBy("window"))
     return (
-        ranked.withColumns({"lists": several, "least": never})
+        ranked.withColumns({"bit": bit, "every": every, "least": never})
         .filter("least > 0")
-        .select("item_id", "words", "first", "length", "term_no", (F.col("first") + F.col("at")).alias("offset"), "lists")
+        .select("item_id", "words", "first", "length", "term_no", (F.col("first") + F.col("at")).alias("offset"), "bit", "every")
     )
 
 
 def places(index: DataFrame, rare: DataFrame) -> DataFrame:
     """doc_id, text_key, item_no, start: where an item, laid over a document from start (which may be negative), has
-    a window whose rarest terms all stand where they should. rare: item_no, first, term_no, offset, lists."""
+    a window whose rarest terms all stand where they should. rare: item_no, first, term_no, offset, bit, every.
+    Bits and not counts are gathered, as repeated rows have their postings twice."""
     lists = index.join(small(rare), "term_no").select(
-        "doc_id", "text_key", "item_no", "first", "lists", (F.col("pos") - F.col("offset")).alias("start"), "offset"
+        "doc_id", "text_key", "item_no", "first", (F.col("pos") - F.col("offset")).alias("start"), "bit", "every"
     )
     met = lists.groupBy("doc_id", "text_key", "item_no", "first", "start").agg(
-        F.count(F.lit(1)).alias("n"), F.first("lists").alias("lists")
+        F.bit_or("bit").alias("met"), F.max("every").alias("every")
     )
-    return met.filter("n = lists").select("doc_id", "text_key", "item_no", "start").distinct()
+    return met.filter("met = every").select("doc_id", "text_key", "item_no", "start").distinct()
 
 
 def indexed(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -149,8 +151,9 @@ def proximity_hits(docs: DataFrame, queries: DataFrame, within: int) -> DataFram
     lead = index.join(small(leads), "term").select("query_id", "lists", "doc_id", "text_key", F.col("pos").alias("lead"))
     lead = lead.withColumn("block", F.explode(F.array(block(F.col("lead")) - 1, block(F.col("lead")), block(F.col("lead")) + 1)))
     every = index.join(small(ranked.select("query_id", "term")), "term").withColumn("block", block(F.col("pos")))
-    near = lead.join(every, ["query_id", "text_key", "block"]).filter(lead["doc_id"].eqNullSafe(every["doc_id"]))
-    near = near.select("query_id", "lists", lead["doc_id"], "text_key", "lead", "term", "pos").filter(F.abs(F.col("pos") - F.col("lead")) < within)
+    every = every.withColumnRenamed("doc_id", "near_id")
+    near = lead.join(every, ["query_id", "text_key", "block"]).filter(F.col("doc_id").eqNullSafe(F.col("near_id")))
+    near = near.select("query_id", "lists", "doc_id", "text_key", "lead", "term", "pos").filter(F.abs(F.col("pos") - F.col("lead")) < within)
     by_lead = ["query_id", "doc_id", "text_key", "lead", "lists"]
     ends = near.groupBy(*by_lead).agg(F.collect_list(F.struct("pos", "term")).alias("around"))
     # for each possible first word: all terms within the span that starts there
