@@ -1,0 +1,309 @@
+"""The operators against plain Python on the smallest shared tables, and on made-up texts."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from folioloom.llm import decontam, langid, lm, mixing, neardup, pii, quality, sharding, tokens, urlfilter
+
+DIR = "/root/testdata/sf0.001"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def low(text):
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DIR}/documents.parquet").cache()
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return docs.collect()
+
+
+def test_sharding(docs, rows):
+    out = sharding.pack(docs, 8).collect()
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    sizes, of_text, slots = Counter(), defaultdict(set), defaultdict(list)
+    for r in out:
+        assert r["size"] == len(texts[r["doc_id"]].encode()) + 1 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode())
+        sizes[r["shard"]] += r["size"]
+        of_text[texts[r["doc_id"]]].add(r["shard"])
+        slots[r["shard"]].append(r["slot"])
+    assert all(len(x) == 1 for x in of_text.values())
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert max(sizes.values()) - min(sizes.values()) <= max(len(r["text"].encode()) + 1 for r in rows)
+
+
+def test_sharding_cuts_a_hot_group(spark):
+    df = spark.createDataFrame([(i, "same text" if i % 2 else f"text {i}") for i in range(4000)], "doc_id long, text string")
+    sizes = Counter()
+    for r in sharding.pack(df, 8).collect():
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) < 1.1 * min(sizes.values())
+
+
+def test_placing_prefers_residual_direction():
+    items = [(10, 0, 0), (0, 10, 0), (10, 0, 0), (0, 10, 0)]
+    placed = sharding.place(items, 2)
+    assert placed[0] != placed[2] and placed[1] != placed[3]
+
+
+def test_quality_base(docs, rows):
+    got = {r["doc_id"]: r for r in quality.verdicts(docs).collect()}
+    for r in rows:
+        t = r["text"]
+        w = WORDS.findall(t)
+        windows = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+        n = Counter(windows)
+        inside = {j for i, x in enumerate(windows) if n[x] > 1 for j in range(i, i + 8)}
+        lines = [x for x in t.split("\n") if WORDS.search(x)]
+        g = got[r["doc_id"]]
+        expected = (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(inside))
+        assert (g["n_words"], g["word_chars"], g["n_symbols"], g["n_dup_lines"], g["n_repeat_words"]) == expected
+        assert g["base_failed"] == (len(w) < 20 or 100 * len(inside) > 30 * len(w)) and not (g["base_failed"] and g["kept"])
+
+
+def test_quality_bands(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    prose = " ".join(word() for _ in range(400))
+    noise = " ".join("".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(30)) for _ in range(60))
+    repeated = " ".join(f"{x} {x} {x} {x} {x} {x} {x}" for x in (word() for _ in range(40)))
+    df = spark.createDataFrame([(1, prose), (2, repeated), (3, prose + " " + noise)], "doc_id long, text string")
+    got = {r["doc_id"]: r["kept"] for r in quality.verdicts(df).collect()}
+    assert got[1] and not got[2]
+
+
+def test_decontamination(spark, docs, rows):
+    items = spark.read.parquet(f"{DIR}/benchmark.parquet")
+    short = spark.createDataFrame([(1000, "the"), (1001, "of the")], "item_id long, text string")
+    items = items.select("item_id", "text").union(short)
+    term = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    index = defaultdict(set)
+    for i in items.collect():
+        w = term.findall(low(i["text"]))
+        for k in range(max(1, len(w) - 9)) if w else ():
+            index[tuple(w[k : k + 10])].add(i["item_id"])
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontam.contamination(docs, items).collect()}
+    clean = {r["doc_id"] for r in decontam.clean(docs, items).collect()}
+    for r in rows:
+        w = term.findall(low(r["text"]))
+        hit, found = set(), set()
+        for n in {len(k) for k in index}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in index:
+                    hit.update(range(k, k + n))
+                    found |= index[tuple(w[k : k + n])]
+        sha = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
+        assert got[r["doc_id"]] == (len(w), len(hit), len(found), sha, bool(hit))
+        assert (r["doc_id"] in clean) == (not hit)
+
+
+def test_proximity(spark):
+    df = decontam.keyed(spark.createDataFrame([(1, "a x x b x c"), (2, "c b a"), (3, "a x x x x x b c"), (4, "b")], "doc_id long, text string"))
+    asked = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["b"])], "query_id long, terms array<string>")
+    got = {(r["query_id"], r["doc_id"], r["pos"]) for r in decontam.proximity_hits(df, asked, 6).collect()}
+    assert got == {(1, 1, 0), (1, 2, 0), (2, 1, 3), (2, 2, 1), (2, 3, 6), (2, 4, 0)}
+
+
+def components(texts):
+    sets = {}
+    for i, t in texts:
+        w = WORDS.findall(low(t))
+        sets[i] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j]:
+                both = len(sets[i] & sets[j])
+                if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                    a, b = root(i), root(j)
+                    parent[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
+
+
+def test_near_duplicates(docs, rows):
+    got = {r["doc_id"]: tuple(r)[1:] for r in neardup.components(docs).collect()}
+    assert got == components([(r["doc_id"], r["text"]) for r in rows])
+
+
+def chains(n=300):
+    """Texts that drift apart word by word, so most members of a component aren't alike."""
+    rng = random.Random(5)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+    texts = []
+    for i in range(n):
+        words = list(words)
+        for _ in range(rng.choice((1, 1, 2, 4))):
+            words[rng.randrange(len(words))] = f"n{i}-{rng.randint(0, 10**6)}"
+        texts.append((i, " ".join(words)))
+    return texts
+
+
+@pytest.mark.parametrize("large", [2048, 8])
+def test_near_duplicate_chains(spark, monkeypatch, large):
+    monkeypatch.setattr(neardup, "LARGE", large)
+    texts = chains()
+    got = {r["doc_id"]: tuple(r)[1:] for r in neardup.components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == components(texts)
+
+
+def test_estimates_follow_similarity():
+    rng = random.Random(1)
+    for share in (0.5, 0.85, 0.95):
+        n = 2000
+        same = int(n * 2 * share / (1 + share))
+        base = [rng.getrandbits(64) for _ in range(2 * n)]
+        import numpy as np
+
+        a, b = np.array(base[:n], np.uint64), np.array(base[n - same : 2 * n - same], np.uint64)
+        _, planes = neardup.packed(np.array([neardup.minima(a), neardup.minima(b)]))
+        assert abs(neardup.likeness(planes[:1], planes[1:])[0, 0] - share) < 0.16
+
+
+def base_pii(t):
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    out = [(m.start(), 0, m.end()) for m in email.finditer(t)]
+    out += [(m.start(), 1, m.end()) for m in ip.finditer(t) if all(int(x) <= 255 for x in m.group().split("."))]
+    for m in card.finditer(t):
+        d = re.sub(r"\D", "", m.group())
+        double = [int(c) * 2 for c in d[-2::-2]]
+        if 14 <= len(d) <= 19 and (sum(map(int, d[::-2])) + sum(x - 9 * (x > 9) for x in double)) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in phone.finditer(t) if 10 <= len(re.sub(r"\D", "", m.group())) <= 15]
+    return sorted(out)
+
+
+def test_pii_base():
+    rng = random.Random(7)
+    for _ in range(20_000):
+        t = "".join(rng.choice("a@.1 2+-(9é") for _ in range(rng.randint(0, 25)))
+        assert pii.base_spans(t) == base_pii(t), t
+    for t in ("4111 1111 1111 1111", "4111-1111-1111-1112", "x@y.zz@a.bb", "1.2.3.4.5.6.7.8", "+1 (223) 555-0199", "@" * 1000, "1" * 100_000, "a" * 100_000 + "@b.c"):
+        assert pii.base_spans(t) == base_pii(t) if len(t) < 5000 else pii.base_spans(t) is not None
+
+
+def test_pii_patterns_discover(spark):
+    rows = [(i, f"words here then my key = {'%032x' % (i * 7919**8)} and on") for i in range(6)]
+    rows += [(100, "words here then my key = zq81-44x9-0b7 and on"), (101, "in the year 19999 nothing"), (102, "a plain text")]
+    got = {r["doc_id"]: r["spans"] for r in pii.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "id:25:38" and got[101] == "" and got[102] == ""
+
+
+def test_language_profiles(docs, rows):
+    got = {r["doc_id"]: r for r in langid.predicted(docs).collect()}
+    held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert {r["doc_id"] for r in got.values() if r["held_out"]} == {r["doc_id"] for r in held}
+    assert sum(got[r["doc_id"]]["lang_pred"] == r["lang"] for r in held) >= 0.95 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+@pytest.mark.parametrize("part", [3, 7, 10**6])
+def test_grams(monkeypatch, part):
+    monkeypatch.setattr(langid, "PART", part)
+    for t in ("Hello, World! été 123 ab", "a", " x ", "...", " - a b  cc--dd é", "abcdefghijklmnopqrstuvw"):
+        marked = re.sub("\1+", "\1", "\1" + "".join(c if c.isalpha() else "\1" for c in t.lower()) + "\1")
+        n = Counter(marked[i : i + k] for k in (1, 2, 3) for i in range(len(marked) - k + 1))
+        expected = {sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g)): x for g, x in n.items() if g != "\1"}
+        codes, counts = langid.grams(t)
+        assert dict(zip(codes.tolist(), counts.tolist(), strict=True)) == expected
+
+
+def test_language_model(docs, rows):
+    got = {r["doc_id"]: r for r in lm.scores(docs).collect()}
+    words = {r["doc_id"]: WORDS.findall(low(r["text"])) + [" "] for r in rows}
+    c = Counter(w for i, x in words.items() if zlib.crc32(str(i).encode()) % 10 for w in x)
+    n, v = sum(c.values()), len(c)
+    for i, x in words.items():
+        base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x)
+        g = got[i]
+        assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == (len(x), sum(c[w] > 0 for w in x), n)
+        assert g["base_score"] == pytest.approx(base, rel=1e-9) and g["score"] < 0
+
+
+def test_lattice_sums_all_segmentations():
+    lattice = lm.Lattice(lm.VOCABULARY, {i: i % 7 for i in range(32_000)}, 5)
+
+    def every(text):
+        if not text:
+            return 1.0
+        p = sum(math.exp(lattice.pieces[text[:k]]) * every(text[k:]) for k in range(1, len(text) + 1) if text[:k] in lattice.pieces)
+        return p if text[0] in lattice.pieces else p + math.exp(lattice.of_character(text[0])) * every(text[1:])
+
+    for word in ("the", "nation", "straße", "日本語", "x\u0378y", "", "aaaaaaa"):
+        assert lattice.log_probability(word) == pytest.approx(math.log(every(lm.MARK + word)), rel=1e-9)
+
+
+def test_token_histogram(docs, rows):
+    count = tokens.length_counter()
+    n = [count(r["text"]) for r in rows]
+    for r in tokens.histogram(docs).collect():
+        k = r["limit"]
+        assert r["n_docs"] == n.count(k) and r["n_docs_upto"] == sum(x <= k for x in n) and r["n_truncated"] == sum(x > k for x in n)
+        assert r["truncated_total"] == sum(min(x, k) for x in n) and r["total_tokens"] == sum(n) and r["tokens_upto"] == sum(x for x in n if x <= k)
+
+
+def water(sizes, cap=3):
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    left, full = float(sum(sizes.values())), {}
+    while True:
+        free = [s for s in names if s not in full]
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > cap * sizes[s]]
+        if not over:
+            return {**full, **share}
+        for s in over:
+            full[s] = float(cap * sizes[s])
+            left -= full[s]
+
+
+def test_mixing(docs, rows):
+    sizes, taken, largest = Counter(), Counter(), Counter()
+    source = {r["doc_id"]: r["source"] for r in rows}
+    for r in rows:
+        n = len(WORDS.findall(r["text"]))
+        sizes[r["source"]] += n
+    expected = water(sizes)
+    out = mixing.mixed(docs).collect()
+    for r in out:
+        s = source[r["doc_id"]]
+        assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(expected[s], rel=1e-9) and r["taken"] <= 3 * r["size"]
+        taken[s] += r["taken"]
+        largest[s] = max(largest[s], r["size"])
+    assert all(abs(taken[s] - expected[s]) <= largest[s] for s in sizes)
+    assert sorted(map(tuple, out)) == sorted(map(tuple, mixing.mixed(docs).collect()))
+    assert mixing.mix(docs).count() == sum(r["times"] for r in out)
+
+
+@pytest.mark.parametrize("sizes", [{"a": 1, "b": 100, "c": 1000}, {"a": 0, None: 50, "b": 1}, {"x": 7}, {"a": 10, "b": 10, "c": 10, "d": 500}])
+def test_targets(spark, sizes):
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(df).collect()}
+    assert got == pytest.approx(water(sizes))
+
+
+def test_rarest_tokens():
+    rule = urlfilter.Rule("example.org/en/1", "block")
+    assert urlfilter.literal_tokens(rule) == ["en", "example", "org"]
+    assert list(urlfilter.filed((rule,), {"en": 9, "example": 2, "org": 5})) == ["example"]
+    assert urlfilter.literal_tokens(urlfilter.Rule("*shop-now*x", "block", "pattern")) == []
