@@ -56,16 +56,14 @@ def patents(texts: DataFrame) -> DataFrame:
     each = each.withColumn("start", F.aggregate(
         F.sequence(F.lit(0), F.col("pos")), F.lit(0), lambda s, i: s + F.length(F.get("after", i)) + F.when(i < F.col("pos"), F.length(F.get("found", i))).otherwise(0)
     ))
-    begin = F.greatest(F.lit(0), F.col("start") - 5)
     context = F.expr("substring(whole, greatest(0, start - 5) + 1, start + length(match) + 200 - greatest(0, start - 5))")
-    held = F.contains(context, F.col("patent_id"))
-    rest = F.when(held, F.trim(F.expr(f"substring({'context'}, instr(context, patent_id) + length(patent_id), 1000000)"))).otherwise(F.col("context"))
-    each = each.withColumn("context", context).withColumn("rest", rest).drop("begin")
+    each = each.withColumn("context", context)
+    behind = F.trim(F.expr("substring(context, instr(context, patent_id) + length(patent_id), 1000000)"))
+    each = each.withColumn("rest", F.when(F.contains("context", F.col("patent_id")), behind).otherwise(F.col("context")))
     quoted = F.regexp_extract("rest", "[\"'](.+?)[\"']", 1)
     phrase = F.trim(F.substring_index("rest", ".", 1))
     title = F.when(quoted != "", F.trim(quoted)).when(phrase != "", phrase).otherwise(F.col("patent_id"))
     no = F.row_number().over(Window.partitionBy("doc").orderBy("pos"))
-    del begin
     return each.select("doc", no.alias("patent_no"), "patent_id", F.substring(title, 1, 200).alias("title"))
 
 

@@ -14,7 +14,15 @@ META = (
     r"이\s+논문의\s+방법론", r"이\s+논문의\s+결과", r"참고\s*문헌(?:은|는)?\s+어디", r"what\s+section", r"where\s+(?:is|are).*(?:reference|section)",
     r"what\s+does\s+the\s+abstract", r"what\s+is\s+in\s+the\s+abstract", r"methodology\s+section", r"results?\s+section",
 )
-PLACEHOLDER = r"(?i)^paper_\d+$|^placeholder|^todo|^example"
+#: Questions that fit any document.
+GENERIC = (
+    r"^이\s+논문에서\s+제안된\s+모델", r"^이\s+논문에서\s+사용된\s+데이터셋", r"^이\s+논문에서\s+인용된\s+주요", r"^이\s+논문에서\s+언급된\s+특정",
+    r"^이\s+논문에서\s+사용된\s+주요", r"^이\s+논문에서\s+제안된\s+방법\s+중\s+하나", r"^이\s+논문에서\s+제시된\s+특정\s+결과\s+값", r"^이\s+논문에서\s+주장하는\s+특정\s+사실",
+    r"^이\s+논문에서\s+인용된\s+특정\s+연구", r"^what\s+are\s+the\s+key\s+contributions\s+of\s+the\s+model",
+    r"^what\s+is\s+one\s+specific\s+method\s+mentioned\s+in\s+the\s+paper",
+)
+#: Fixed value: names that stand for documents still to be chosen.
+PLACEHOLDER = r"(?:paper|doc|lecture|patent)_[A-Z]_[A-Za-z0-9_]+"
 SPAN_LEAST, SPAN_MOST = 5, 500
 PREVIEW = 900
 CONTENT_CLIP = 500
@@ -27,6 +35,13 @@ def applicable(queries: DataFrame, papers: DataFrame) -> DataFrame:
     return each.filter((F.col("paper") != "") & ~F.col("paper").rlike(PLACEHOLDER)).join(papers.select("paper"), "paper")
 
 
+def placeholder_ids(queries: DataFrame) -> DataFrame:
+    """query_id and placeholder for each name that a run must not begin with."""
+    each = queries.select("query_id", F.explode("applicable_papers").alias("paper"))
+    found = F.explode(F.regexp_extract_all("paper", F.lit(PLACEHOLDER), F.lit(0)))
+    return each.select("query_id", found.alias("placeholder")).distinct()
+
+
 def papers_without_queries(queries: DataFrame, papers: DataFrame) -> DataFrame:
     """Papers for which a run could not begin."""
     return papers.select("paper").join(applicable(queries, papers).select("paper"), "paper", "left_anti")
@@ -49,12 +64,14 @@ def needs_truth(papers: Column, by_paper: Column) -> Column:
 
 
 def query_fault(query: Column, kind: Column) -> Column:
-    """The first fault of a generated query, or null: about layout, English where Korean is wanted, or the reverse."""
+    """The first fault of a generated query, or null: about layout, fit for any document, English where Korean is wanted, or
+    the reverse."""
     korean = query.rlike("[가-힣]")
     english = kind == "crosslingual_en"
     return (
-        F.when(F.lower(query).rlike("(?:" + ")|(?:".join(META) + ")"), "meta").when(english & korean, "expected English").when(~english & ~korean, "expected Korean")
-    )
+        F.when(F.lower(query).rlike("(?:" + ")|(?:".join(META) + ")"), "meta")
+        .when(F.lower(query).rlike("(?:" + ")|(?:".join(GENERIC) + ")"), "generic").when(english & korean, "expected English").when(~english & ~korean, "expected Korean")
+    )
 
 
 def set_faults(queries: DataFrame, expected: DataFrame) -> DataFrame:

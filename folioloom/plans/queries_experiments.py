@@ -12,7 +12,7 @@ from folioloom.operators import routing
 from folioloom.plans.fixtures import Rows
 from folioloom.plans.registry import query, table
 
-_SETS = Rows("qs", "query_id int, applicable_papers array<string>", [(1, [" p1", "p2", "p1"]), (2, ["paper_3", ""]), (3, ["p2 + p1", "p3"]), (4, [])])
+_SETS = Rows("qs", "query_id int, applicable_papers array<string>", [(1, [" p1", "p2", "p1"]), (2, ["paper_A_nlp", ""]), (3, ["p2 + p1", "p3"]), (4, [])])
 _PAPERS = Rows("ps", "paper string", [("p1",), ("p2",), ("p3",), ("p4",)])
 _EACH = f"WITH {_SETS.cte}, {_PAPERS.cte}, e AS (SELECT DISTINCT query_id, trim(unnest(applicable_papers)) AS paper FROM qs), a AS (SELECT query_id, paper FROM e JOIN ps USING (paper))"
 
@@ -27,6 +27,11 @@ def papers_without_queries(spark: SparkSession, d: str) -> DataFrame:
     return E.papers_without_queries(_SETS.df(spark), _PAPERS.df(spark))
 
 
+@query("SELECT * FROM (VALUES (2, 'paper_A_nlp')) t(query_id, placeholder)")
+def placeholder_papers(spark: SparkSession, d: str) -> DataFrame:
+    return E.placeholder_ids(_SETS.df(spark))
+
+
 @query("SELECT * FROM (VALUES (1, ['p1', 'p2']), (2, []::VARCHAR[]), (3, ['p3']), (4, []::VARCHAR[])) t(query_id, papers)")
 def target_papers(spark: SparkSession, d: str) -> DataFrame:
     return _SETS.df(spark).select("query_id", E.target_papers(F.col("applicable_papers")).alias("papers"))
@@ -34,12 +39,12 @@ def target_papers(spark: SparkSession, d: str) -> DataFrame:
 
 _QUERIES = Rows("qq", "position int, query string, type string, answer_span string", [
     (0, "What section covers it?", "crosslingual_en", "long enough"), (1, "모델의 정확도는?", "crosslingual_en", "long enough"), (2, "정확도는 얼마인가?", "simple_qa", "long enough"),
-    (3, "How accurate?", "simple_qa", "long enough"), (4, "정확도는?", "simple_qa", "x"), (6, "무엇인가?", "citation", "long enough"),
+    (3, "How accurate?", "simple_qa", "long enough"), (7, "What are the key contributions of the model?", "crosslingual_en", "long enough"), (4, "정확도는?", "simple_qa", "x"), (6, "무엇인가?", "citation", "long enough"),
 ])
-_WANTED = Rows("ww", "position int, type string", [(0, "crosslingual_en"), (1, "crosslingual_en"), (2, "simple_qa"), (3, "simple_qa"), (4, "simple_qa"), (5, "simple_qa")])
+_WANTED = Rows("ww", "position int, type string", [(0, "crosslingual_en"), (1, "crosslingual_en"), (2, "simple_qa"), (3, "simple_qa"), (4, "simple_qa"), (5, "simple_qa"), (7, "crosslingual_en")])
 
 
-@query("SELECT * FROM (VALUES (0, 'meta'), (1, 'expected English'), (3, 'expected Korean'), (4, 'span'), (5, 'missing'), (6, 'extra')) t(position, fault)")
+@query("SELECT * FROM (VALUES (0, 'meta'), (1, 'expected English'), (3, 'expected Korean'), (4, 'span'), (5, 'missing'), (6, 'extra'), (7, 'generic')) t(position, fault)")
 def query_set_faults(spark: SparkSession, d: str) -> DataFrame:
     return E.set_faults(_QUERIES.df(spark), _WANTED.df(spark))
 
