@@ -285,6 +285,8 @@ def star_components(edges: DataFrame) -> DataFrame:
     Minima come from partial sums, so a node with very many neighbours is no single task's burden.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    fingerprint = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+    last = fingerprint(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
@@ -293,13 +295,13 @@ def star_components(edges: DataFrame) -> DataFrame:
         low = stars.groupBy("a").agg(F.min("b").alias("low"))
         joined = stars.join(low, "a")
         following = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(joined.select("a", F.col("low").alias("b")))
-        following = written(following.filter("a <> b").distinct(), "small-stars")
-        same = following.exceptAll(edges).isEmpty() and edges.exceptAll(following).isEmpty()
-        edges = following
-        if same:
+        edges = written(following.filter("a <> b").distinct(), "small-stars")
+        now = fingerprint(edges)
+        if now == last:  # distinct edges with the count and hash of those before
             return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
             )
+        last = now
 
 
 def divided(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -317,7 +319,7 @@ def divided(members: DataFrame, nodes: DataFrame) -> DataFrame:
     again = own.select(F.explode(further).alias("bucket"), "node")
     sizes = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("first"))
     again = again.join(sizes.filter("held > 1"), "bucket")
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("held") / LARGE)).cast("int")
+    part = F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("held") / LARGE)).cast("int")  # other parts in each bucket
     parts = again.withColumn("part", part).select(F.xxhash64("bucket", "part").alias("bucket"), "node", "first")
     firsts = parts.select("bucket", F.col("first").alias("node")).distinct()
     return members.filter(F.col("held") <= LARGE).select("bucket", "node").unionByName(
