@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from folioloom.functions import patterns as P
 from folioloom.functions import text as T
+from folioloom.operators.retrieval import small
 
 METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
 NOT_FOUND_ALL, NOT_FOUND_DOC = 0.2, 0.5
@@ -102,7 +103,7 @@ def grid(configs: DataFrame, papers: DataFrame, queries: DataFrame) -> DataFrame
     papers by an equal key; the few configurations are replicated last, in broadcast."""
     each = queries.withColumn("paper", F.explode(F.array_distinct(F.transform("applicable_papers", lambda p: F.trim(p)))))
     held = each.join(papers.select("paper"), "paper")
-    return held.join(F.broadcast(configs))
+    return held.join(small(configs, 10_000))
 
 
 def remaining(planned: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:

@@ -20,10 +20,10 @@ BLOCKS = "doc string, block_idx int, content string, page int, font_size double,
 
 
 def line_blocks(texts: DataFrame, doc: str = "doc_id", body: str = "text") -> DataFrame:
-    """BLOCKS-like rows of plain text: non-empty lines, # to ### as fonts 18, 14, 12, a page every 51 lines."""
-    each = texts.select(F.col(doc).alias("doc"), F.posexplode(F.split(body, "\n")).alias("line_no", "content"))
-    each = each.withColumn("content", F.trim(F.regexp_replace("content", r"^\s+|\s+$", ""))).filter("content <> ''")
-    each = each.withColumn("block_idx", F.row_number().over(Window.partitionBy("doc").orderBy("line_no")) - 1)
+    """BLOCKS-like rows of plain text: non-empty lines, # to ### as fonts 18, 14, 12, a page every 51 lines.
+    Lines are numbered within their row, so nothing is shuffled."""
+    stripped = F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    each = texts.select(F.col(doc).alias("doc"), F.posexplode(F.filter(stripped, lambda x: x != "")).alias("block_idx", "content"))
     font = F.when(F.startswith("content", F.lit("# ")), 18.0).when(F.startswith("content", F.lit("## ")), 14.0).when(F.startswith("content", F.lit("### ")), 12.0).otherwise(10.0)
     each = each.withColumn("font_size", font)
     return each.select(
