@@ -119,7 +119,70 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN covered USING (n) LEFT JOIN ids USING (n)"""
 
 
+_OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3
+    THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (
+  SELECT doc_id, doc_id AS c FROM d UNION SELECT ways.y, reached.c FROM reached JOIN ways ON ways.x = reached.doc_id),
+least_ AS (SELECT doc_id, min(c) AS component_id FROM reached GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d JOIN least_ USING (doc_id) LEFT JOIN sizes USING (doc_id)"""
+
+
+def _op10_sql() -> str:
+    rounds, last = "", "start"
+    for r in range(1, mixing.ROUNDS + 1):
+        before = ", ".join(f"last_{i}, gap_{i}" for i in range(1, r))
+        rounds += f""",
+fit_{r} AS (
+  SELECT d.source, key, gap, sum(size) OVER (PARTITION BY d.source ORDER BY key ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN {last} t ON d.source IS NOT DISTINCT FROM t.source WHERE key > after AND size <= gap AND size > 0),
+end_{r} AS (
+  SELECT source, CASE WHEN max(upto) <= any_value(gap) THEN '{mixing.ABOVE}' ELSE max(key) FILTER (upto <= gap) END AS key,
+    coalesce(max(upto) FILTER (upto <= gap), 0) AS words FROM fit_{r} GROUP BY source),
+round_{r} AS (
+  SELECT t.source, source_size, target, whole, {before + ", " if before else ""}coalesce(e.key, after) AS last_{r}, gap AS gap_{r},
+    coalesce(e.key, after) AS after, gap - coalesce(words, 0) AS gap
+  FROM {last} t LEFT JOIN end_{r} e ON e.source IS NOT DISTINCT FROM t.source)"""
+        last = f"round_{r}"
+    once = " OR ".join(
+        f"(key > {f'last_{r - 1}' if r > 1 else chr(39) * 2} AND key <= last_{r} AND size <= gap_{r})" for r in range(1, mixing.ROUNDS + 1)
+    )
+    weights = "[" + ", ".join(map(str, mixing.WEIGHTS)) + "]"
+    return rf"""
+WITH d AS (
+  SELECT doc_id, source, len(coalesce(regexp_extract_all(text, '[^ 	-]+'), []))::BIGINT AS size,
+    md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+w AS (SELECT *, ({weights})[(rank - 1) % {len(mixing.WEIGHTS)} + 1]::DOUBLE AS weight, (source_size * {mixing.CAP})::DOUBLE AS most FROM s),
+l AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / weight, rank
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0::DOUBLE))
+    / sum(weight) OVER (ORDER BY most / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (
+  SELECT source, source_size, coalesce(least(most, weight * (SELECT level FROM l WHERE level * weight < most
+    ORDER BY most / weight, rank LIMIT 1)), most) AS target FROM l),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-9::DOUBLE)::BIGINT ELSE 0 END AS whole FROM t),
+start AS (
+  SELECT *, floor(greatest(0::DOUBLE, target - whole * source_size) + 1e-6::DOUBLE)::BIGINT AS gap, '' AS after FROM q){rounds}
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN size > 0 AND ({once}) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN {last} t ON d.source IS NOT DISTINCT FROM t.source"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """op1, op2, op5 to op10 pack greedily, compress, link, learn, encode or fill in seeded order: no SQL states them;
-    brute-force tests do."""
-    return {"op3_urlfilter": _op3_sql(), "op4_decontamination": _OP4_SQL}
+    """op1, op2 and op6 to op9 pack greedily, compress, learn or encode: no SQL states them; brute-force tests do. op5's
+    SQL finds all links exactly."""
+    return {
+        "op3_urlfilter": _op3_sql(), "op4_decontamination": _OP4_SQL, "op5_neardup": _OP5_SQL, "op10_mixing": _op10_sql(),
+    }
