@@ -28,7 +28,7 @@ BANDS, ROWS, BITS = 24, 5, 4
 MINIMA = BANDS * ROWS
 #: Estimates at least this high are confirmed on full sets: five standard deviations below 0.85.
 PROPOSED = 0.68
-#: A larger bucket is divided by further bands, and after that into parts that share one member.
+#: A larger bucket is divided by further bands for the spanning forests, and into blocks for the other comparisons.
 LARGE, FURTHER = 2048, 6
 
 _rng = np.random.default_rng(97)
@@ -305,9 +305,9 @@ def star_components(edges: DataFrame) -> DataFrame:
 
 
 def divided(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """members (bucket, node, size of its bucket) with large buckets divided: by each of a few further bands, and
-    what is still too large into parts that all hold the bucket's first node. Equal in two bands, ten minima, are 20 %
-    of the pairs at a similarity of 0.85; over all buckets and divisions the chance to miss a pair stays under 1e-5."""
+    """members (bucket, node, size of its bucket) for the spanning forests, with large buckets divided by each of a few
+    further bands, and what is still too large into parts that all hold the bucket's first node. What this leaves out,
+    blocks() brings together."""
     if members.filter(F.col("held") > LARGE).isEmpty():
         return members.select("bucket", "node")
     own = members.filter(F.col("held") > LARGE).join(nodes.select("node", "bands"), "node")
@@ -327,13 +327,31 @@ def divided(members: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def blocks(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """bucket and node for the comparisons across components: large buckets of members as pairs of blocks, so that each
+    node outside a bucket's most frequent component meets all nodes of the bucket, and no task gets over LARGE of them."""
+    named = members.join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    large = written(named.filter(F.col("held") > LARGE), "large-buckets")
+    main = large.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    main = main.groupBy("bucket").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    large = large.join(main.filter(F.col("all") > F.col("most")), "bucket")
+    half = max(1, LARGE // 2)
+    rows, columns = F.ceil((F.col("all") - F.col("most")) / half).cast("int"), F.ceil(F.col("all") / half).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = large.select("bucket", "node", F.explode(F.sequence(F.lit(0), rows - 1)).alias("i"), own(columns).alias("j"))
+    outside = large.filter(F.col("comp") != F.col("main"))
+    outside = outside.select("bucket", "node", own(rows).alias("i"), F.explode(F.sequence(F.lit(0), columns - 1)).alias("j"))
+    cells = every.unionByName(outside).select(F.xxhash64("bucket", "i", "j").alias("bucket"), "node").distinct()
+    return members.filter(F.col("held") <= LARGE).select("bucket", "node").unionByName(cells)
+
+
 def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and comp for the nodes that have a link to another."""
     each = nodes.select("node", F.explode("bands").alias("bucket"))
     held = F.count(F.lit(1)).over(Window.partitionBy("bucket"))
     members = written(each.withColumn("held", held).filter("held > 1"), "bucket-members")
-    members = divided(members, nodes)
-    wide = written(members.join(nodes.select("node", "n_shingles", "planes", "bands"), "node"), "bucket-planes")
+    features = nodes.select("node", "n_shingles", "planes", "bands")
+    wide = written(divided(members, nodes).join(features, "node"), "bucket-planes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     in_buckets = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket", "node")
     pairs = in_buckets(wide.select("bucket", "node", "n_shingles", "planes")).mapInArrow(_pairs, "a long, b long")
@@ -344,6 +362,8 @@ def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     either = F.size("set_a") + F.size("set_b") - both
     links = pairs.join(left, "a").join(right, "b").filter(100 * both >= LEAST * either).select("a", "b").distinct()
     comps = merged(docs.sparkSession.createDataFrame([], "node long, comp long"), written(links, "spanning-links"))
+    if not members.filter(F.col("held") > LARGE).isEmpty():
+        wide = written(blocks(members, comps).join(features, "node"), "block-planes")
     now = wide.join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     several = now.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
     now = written(now.join(several, "bucket", "left_semi").select("bucket", "node", "n_shingles", "comp", "planes", "bands"), "mixed-buckets")
