@@ -85,6 +85,30 @@ def test_quality_bands(spark):
     assert got[1] and not got[2]
 
 
+def test_quality_rejects_noise(docs):
+    """Noise of each kind is rejected at each length from which its ratio is above prose's; prose of these lengths stays."""
+    import zstandard
+
+    rng = random.Random(11)
+    compress = zstandard.ZstdCompressor(level=quality.LEVEL).compress
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    alnum = letters + letters.upper() + "0123456789"
+    wide = "".join(map(chr, range(0x4E00, 0x9FFF)))
+    kinds = {"base64": (alnum + "+/", 6, 12, 320), "letters": (alnum, 2, 9, 320), "lower": (letters, 2, 9, 1920), "wide": (wide, 2, 9, 960)}
+    for kind, (alphabet, a, b, least) in kinds.items():
+        for size in (320, 500, 700, 1000, 2000, 3000, 5000, 30_000, 100_000):
+            words = []
+            while len(text := " ".join(words).encode()) < size:
+                words.extend("".join(rng.choices(alphabet, k=rng.randint(a, b))) for _ in range(1 + size // 200))
+            text = text[:size].decode(errors="ignore").encode()
+            if size >= least:
+                got = quality.judge(text, compress)
+                assert not got[5] and not got[6], (kind, size)
+                assert size < 4096 or got[9] == got[8], (kind, size)
+    clean = [r for r in quality.verdicts(docs).collect() if not r["base_failed"] and r["low"] <= r["ratio"]]
+    assert sum(r["kept"] for r in clean) >= 0.98 * len(clean) and len(clean) > 100
+
+
 def test_decontamination(spark, docs, rows):
     items = spark.read.parquet(f"{DIR}/benchmark.parquet")
     short = spark.createDataFrame([(1000, "the"), (1001, "of the")], "item_id long, text string")
