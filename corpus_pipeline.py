@@ -18,8 +18,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
-    return neardup.unique(docs)
+    """One document of each group of near-duplicates stays: the one with the smallest id. A link is a similarity of 0.8 over
+    runs of five words, or op5's."""
+    return neardup.unique(docs, (neardup.OP5, neardup.STAGE))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Near-duplicates by b-bit MinHash.
 
-Documents with equal sets of 3-word shingles are one node. Every node gets 120 minima; bands of five make buckets, and
-the low four bits of each minimum are packed into words. Within a bucket the share of equal low bits, corrected for
+A Scheme says how wide shingles are and how alike links must be; what follows gives op5's, of three words and 0.85.
+Documents with equal sets of shingles are one node. Every node gets 120 minima; bands of five make buckets, and the low
+four bits of each minimum are packed into words. Within a bucket the share of equal low bits, corrected for
 chance collisions, estimates the similarity. First the pairs of each bucket's spanning forest by estimate are compared
 on full sets, which merges nodes into components with a comparison or so for each node. Then all pairs that may still be
 links across components are compared within their bucket's task, bucket by bucket, so no row is made for a pair.
@@ -10,6 +11,8 @@ links across components are compared within their bucket's task, bucket by bucke
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,21 +24,46 @@ from pyspark.sql.window import Window
 
 from .common import in_batches, small, written
 
-#: Link: 100 * intersection >= LEAST * union.
-LEAST = 85
-#: At a similarity of 0.85 the chance that no band of five is equal in both is (1 - 0.85^5)^24, under one in a million.
-BANDS, ROWS, BITS = 24, 5, 4
-MINIMA = BANDS * ROWS
-#: Estimates at least this high are confirmed on full sets: five standard deviations below 0.85.
-PROPOSED = 0.68
+#: Low bits kept of each minimum.
+BITS = 4
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """Shingles of `width` words; a link if 100 * intersection >= least * union; `bands` bands of `rows` minima."""
+
+    width: int
+    least: int
+    bands: int
+    rows: int
+
+    @property
+    def minima(self) -> int:
+        return self.bands * self.rows
+
+    @property
+    def proposed(self) -> float:
+        """Estimates at least this high are confirmed on full sets: five standard deviations below the similarity of links."""
+        chance = 1 / 2**BITS
+        equal = chance + (1 - chance) * self.least / 100
+        deviation = (equal * (1 - equal) / self.minima) ** 0.5 / (1 - chance)
+        return int(100 * (self.least / 100 - 5 * deviation)) / 100
+
+
+#: The contract of op5. At a similarity of 0.85 the chance that no band of five is equal in both is (1 - 0.85^5)^24, under
+#: one in a million.
+OP5 = Scheme(3, 85, 24, 5)
+#: Near copies of the pipeline. At a similarity of 0.8 that chance is (1 - 0.8^4)^27, under one in a million too.
+STAGE = Scheme(5, 80, 27, 4)
 #: A larger bucket is divided by further bands for the spanning forests, and into blocks for the other comparisons.
 LARGE, FURTHER = 2048, 6
 
 _rng = np.random.default_rng(97)
-_ODD = _rng.integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MIX = _rng.integers(1, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND = _rng.integers(1, 2**63, BANDS, dtype=np.uint64)
-_SHINGLE = _rng.integers(1, 2**63, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Factors for 128 minima at most, bands of 8 rows at most, 64 bands at most and shingles of 16 words at most.
+_ODD = _rng.integers(1, 2**63, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = _rng.integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = _rng.integers(1, 2**63, 64, dtype=np.uint64)
+_SHINGLE = _rng.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, planes array<long>"
 
@@ -47,8 +75,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text: of runs of three words, or of all words if there are fewer;
+def shingle_sets(texts: pa.Array, scheme: Scheme = OP5) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text: of runs of the scheme's width, or of all words if there are fewer;
     none without words. Words are split at ASCII white space, A-Z lower-cased."""
     texts = pc.fill_null(texts, "")
     lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
@@ -58,12 +86,15 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     names = np.array([xxhash.xxh3_64_intdigest(w.as_buffer() if w.is_valid else b"") for w in coded.dictionary], np.uint64)
     words = names[np.asarray(coded.indices)] if len(flat) else np.zeros(0, np.uint64)
     blank = len(names) > 0 and np.asarray(pc.equal(pc.binary_length(flat), 0))
-    runs = words[:-2] * _SHINGLE[0] + words[1:-1] * _SHINGLE[1] + words[2:] * _SHINGLE[2]
+    width = scheme.width
+    runs = np.zeros(max(0, len(words) - width + 1), np.uint64)
+    for k in range(width):
+        runs += words[k : k + len(runs)] * _SHINGLE[k]
     runs = mixed(runs)
     found = []
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-        if b - a >= 3:
-            found.append(np.unique(runs[a : b - 2]))
+        if b - a >= width:
+            found.append(np.unique(runs[a : b - width + 1]))
         elif b - a == 0 or (b - a == 1 and blank[a]):
             found.append(np.zeros(0, np.uint64))
         else:
@@ -72,33 +103,34 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return found
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """MINIMA minima of a set that isn't empty."""
-    low = np.full(MINIMA, 2**64 - 1, np.uint64)
+def minima(shingles: np.ndarray, scheme: Scheme = OP5) -> np.ndarray:
+    """The scheme's minima of a set that isn't empty."""
+    odd = _ODD[: scheme.minima, None]
+    low = np.full(scheme.minima, 2**64 - 1, np.uint64)
     for i in range(0, len(shingles), 2048):
-        np.minimum(low, (shingles[None, i : i + 2048] * _ODD[:, None]).min(axis=1), out=low)
+        np.minimum(low, (shingles[None, i : i + 2048] * odd).min(axis=1), out=low)
     return low
 
 
-def packed(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows of minima: band hashes (BANDS a row) and the low bits, as BITS planes of two words each."""
-    bands = mixed((low.reshape(-1, BANDS, ROWS) * _MIX).sum(axis=2, dtype=np.uint64) + _BAND)
+def packed(low: np.ndarray, scheme: Scheme = OP5) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of minima: band hashes (scheme.bands a row) and the low bits, as BITS planes of two words each."""
+    bands = mixed((low.reshape(-1, scheme.bands, scheme.rows) * _MIX[: scheme.rows]).sum(axis=2, dtype=np.uint64) + _BAND[: scheme.bands])
     planes = []
     for bit in range(BITS):
         bits = np.zeros((len(low), 128), np.uint8)
-        bits[:, :MINIMA] = (low >> np.uint64(bit)) & np.uint64(1)
+        bits[:, : scheme.minima] = (low >> np.uint64(bit)) & np.uint64(1)
         planes.append(np.packbits(bits, axis=1).view(np.uint64))
     return bands, np.concatenate(planes, axis=1) if len(low) else np.zeros((0, 2 * BITS), np.uint64)
 
 
-def likeness(planes: np.ndarray, others: np.ndarray) -> np.ndarray:
+def likeness(planes: np.ndarray, others: np.ndarray, scheme: Scheme = OP5) -> np.ndarray:
     """Estimated similarity of each row of planes to each row of others, corrected for chance collisions."""
     words = planes.shape[1] // BITS
     unlike = np.zeros((len(planes), len(others), words), np.uint64)
     for bit in range(BITS):
         at = slice(bit * words, (bit + 1) * words)
         unlike |= planes[:, None, at] ^ others[None, :, at]
-    equal = 1 - np.bitwise_count(unlike).sum(axis=2) / MINIMA
+    equal = 1 - np.bitwise_count(unlike).sum(axis=2) / scheme.minima
     chance = 1 / 2**BITS
     return (equal - chance) / (1 - chance)
 
@@ -109,13 +141,14 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64).reshape(-1)))
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, len(whole), 1024):
             batch = whole.take(pa.array(range(at, min(at + 1024, len(whole)))))  # slices keep offsets that casts lose
-            sets = shingle_sets(batch.column(1))
-            low = np.array([minima(s) if len(s) else np.zeros(MINIMA, np.uint64) for s in sets], np.uint64)
-            bands, planes = packed(low.reshape(-1, MINIMA))
+            sets = shingle_sets(batch.column(1), scheme)
+            none = np.zeros(scheme.minima, np.uint64)
+            low = np.array([minima(s, scheme) if len(s) else none for s in sets], np.uint64)
+            bands, planes = packed(low.reshape(-1, scheme.minima), scheme)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists(bands), _lists(planes)],
@@ -123,11 +156,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, len(whole), 512):
             batch = whole.take(pa.array(range(at, min(at + 512, len(whole)))))
-            sets = shingle_sets(batch.column(1))
+            sets = shingle_sets(batch.column(1), scheme)
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             values = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -160,30 +193,35 @@ def by_bucket(batches: Iterator[pa.RecordBatch], found: Callable, lists: int) ->
         yield found(*rest)
 
 
-def fitting(sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
+def fitting(sizes: np.ndarray, others: np.ndarray, scheme: Scheme) -> np.ndarray:
     """Whether sets of these sizes can be alike enough."""
-    return 100 * np.minimum(sizes, others) >= LEAST * np.maximum(sizes, others)
+    return 100 * np.minimum(sizes, others) >= scheme.least * np.maximum(sizes, others)
 
 
-def spanning_pairs(bucket: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, planes: np.ndarray) -> set[tuple[int, int]]:
-    """The pairs a < b of a bucket's spanning forest of the highest estimates, as far as estimates reach PROPOSED."""
+def spanning_pairs(
+    bucket: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, planes: np.ndarray, scheme: Scheme
+) -> set[tuple[int, int]]:
+    """The pairs a < b of a bucket's spanning forest of the highest estimates, as far as these are proposed as links."""
+    proposed = scheme.proposed
     found = set()
     best, by = np.full(len(nodes), -1.0), np.zeros(len(nodes), np.int64)
     outside = np.ones(len(nodes), bool)
     at = 0
     for _ in range(len(nodes) - 1):
         outside[at] = False
-        alike = likeness(planes[at : at + 1], planes)[0]
-        alike[~fitting(sizes[at], sizes)] = -1
+        alike = likeness(planes[at : at + 1], planes, scheme)[0]
+        alike[~fitting(sizes[at], sizes, scheme)] = -1
         nearer = alike > best
         best[nearer], by[nearer] = alike[nearer], at
         at = int(np.where(outside, best, -2.0).argmax())
-        if best[at] >= PROPOSED and nodes[at] != nodes[by[at]]:
+        if best[at] >= proposed and nodes[at] != nodes[by[at]]:
             found.add(tuple(sorted((int(nodes[at]), int(nodes[by[at]])))))
     return found
 
 
-def across(bucket: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, comps: np.ndarray, planes: np.ndarray, bands: np.ndarray):
+def across(
+    bucket: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, comps: np.ndarray, planes: np.ndarray, bands: np.ndarray, scheme: Scheme
+):
     """All pairs across components of a bucket that may be links, as arrays of row, row and estimate: one of each pair is
     outside the bucket's most frequent component. A pair that shares an earlier band is left to that band's bucket."""
     names, counts = np.unique(comps, return_counts=True)
@@ -194,8 +232,8 @@ def across(bucket: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, comps: np.n
     step = max(1, 500_000 // len(nodes))
     for i in range(0, len(own), step):
         part = own[i : i + step]
-        alike = likeness(planes[part], planes)
-        able = (alike >= PROPOSED) & fitting(sizes[part, None], sizes) & (comps[part, None] != comps)
+        alike = likeness(planes[part], planes, scheme)
+        able = (alike >= scheme.proposed) & fitting(sizes[part, None], sizes, scheme) & (comps[part, None] != comps)
         r, c = np.nonzero(able)
         if earlier and len(r):
             fresh = ~(bands[part[r], :earlier] == bands[c, :earlier]).any(axis=1)
@@ -205,9 +243,9 @@ def across(bucket: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, comps: np.n
     return np.concatenate([none, *rows]), np.concatenate([none, *columns]), np.concatenate([np.zeros(0), *scores])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
     seen: set[tuple[int, int]] = set()
-    for found in by_bucket(batches, spanning_pairs, 1):
+    for found in by_bucket(batches, partial(spanning_pairs, scheme=scheme), 1):
         fresh = sorted(found - seen)
         seen.update(fresh)
         if fresh:
@@ -217,11 +255,11 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.clear()
 
 
-def _active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _active(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
     """bucket and node of the rows that take part in a pair of across()."""
 
     def found(bucket, nodes, sizes, comps, planes, bands):
-        r, c, _ = across(bucket, nodes, sizes, comps, planes, bands)
+        r, c, _ = across(bucket, nodes, sizes, comps, planes, bands, scheme)
         return bucket, nodes[np.unique(np.concatenate([r, c]))]
 
     for bucket, nodes in by_bucket(batches, found, 2):
@@ -229,7 +267,7 @@ def _active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(bucket[: len(nodes)]), pa.array(np.unique(nodes))], names=["bucket", "node"])
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
     """Links (a, b) among the pairs of across(), each confirmed on its full sets unless links found before it in the
     bucket have joined its components. The sets travel as binary beside the rows."""
     held: dict[int, set] = {}
@@ -253,7 +291,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select([0, 1, 2, 3, 4, 5])
 
     def found(bucket, nodes, sizes, comps, planes, bands):
-        r, c, scores = across(bucket, nodes, sizes, comps, planes, bands)
+        r, c, scores = across(bucket, nodes, sizes, comps, planes, bands, scheme)
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -267,7 +305,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if x != y:
                 a, b = int(nodes[r[i]]), int(nodes[c[i]])
                 both = len(held[a] & held[b])
-                if 100 * both >= LEAST * (len(held[a]) + len(held[b]) - both):
+                if 100 * both >= scheme.least * (len(held[a]) + len(held[b]) - both):
                     parent[x] = y
                     links.append((a, b))
         return links
@@ -304,17 +342,17 @@ def star_components(edges: DataFrame) -> DataFrame:
         last = now
 
 
-def divided(members: DataFrame, nodes: DataFrame) -> DataFrame:
+def divided(members: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """members (bucket, node, size of its bucket) for the spanning forests, with large buckets divided by each of a few
     further bands, and what is still too large into parts that all hold the bucket's first node. What this leaves out,
     blocks() brings together."""
     if members.filter(F.col("held") > LARGE).isEmpty():
         return members.select("bucket", "node")
     own = members.filter(F.col("held") > LARGE).join(nodes.select("node", "bands"), "node")
-    start = F.pmod("bucket", F.lit(BANDS)).cast("int")
+    start = F.pmod("bucket", F.lit(scheme.bands)).cast("int")
     further = F.transform(
         F.sequence(F.lit(1), F.lit(FURTHER)),
-        lambda i: F.xxhash64("bucket", i, F.get("bands", F.pmod(start + i * 5, F.lit(BANDS)).cast("int"))),
+        lambda i: F.xxhash64("bucket", i, F.get("bands", F.pmod(start + i * 5, F.lit(scheme.bands)).cast("int"))),
     )
     again = own.select(F.explode(further).alias("bucket"), "node")
     sizes = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("first"))
@@ -345,42 +383,42 @@ def blocks(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.filter(F.col("held") <= LARGE).select("bucket", "node").unionByName(cells)
 
 
-def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def linked(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """node and comp for the nodes that have a link to another."""
     each = nodes.select("node", F.explode("bands").alias("bucket"))
     held = F.count(F.lit(1)).over(Window.partitionBy("bucket"))
     members = written(each.withColumn("held", held).filter("held > 1"), "bucket-members")
     features = nodes.select("node", "n_shingles", "planes", "bands")
-    wide = written(divided(members, nodes).join(features, "node"), "bucket-planes")
+    wide = written(divided(members, nodes, scheme).join(features, "node"), "bucket-planes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     in_buckets = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket", "node")
-    pairs = in_buckets(wide.select("bucket", "node", "n_shingles", "planes")).mapInArrow(_pairs, "a long, b long")
+    pairs = in_buckets(wide.select("bucket", "node", "n_shingles", "planes")).mapInArrow(partial(_pairs, scheme=scheme), "a long, b long")
     pairs = written(pairs.distinct(), "spanning-pairs")
-    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")), scheme)
     left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     either = F.size("set_a") + F.size("set_b") - both
-    links = pairs.join(left, "a").join(right, "b").filter(100 * both >= LEAST * either).select("a", "b").distinct()
+    links = pairs.join(left, "a").join(right, "b").filter(100 * both >= scheme.least * either).select("a", "b").distinct()
     comps = merged(docs.sparkSession.createDataFrame([], "node long, comp long"), written(links, "spanning-links"))
     if not members.filter(F.col("held") > LARGE).isEmpty():
         wide = written(blocks(members, comps).join(features, "node"), "block-planes")
     now = wide.join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     several = now.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
     now = written(now.join(several, "bucket", "left_semi").select("bucket", "node", "n_shingles", "comp", "planes", "bands"), "mixed-buckets")
-    active = written(in_buckets(now).mapInArrow(_active, "bucket long, node long"), "active")
-    sets = sets_of(docs, active.select("node"))
+    active = written(in_buckets(now).mapInArrow(partial(_active, scheme=scheme), "bucket long, node long"), "active")
+    sets = sets_of(docs, active.select("node"), scheme)
     as_bytes = sets.mapInArrow(_as_bytes, "node long, shingles binary")
     rows = now.join(active, ["bucket", "node"]).join(as_bytes, "node")
     rows = rows.select("bucket", "node", "n_shingles", "comp", "planes", "bands", "shingles")
-    links = in_buckets(rows).mapInArrow(_confirmed, "a long, b long").distinct()
+    links = in_buckets(rows).mapInArrow(partial(_confirmed, scheme=scheme), "a long, b long").distinct()
     return merged(comps, written(links, "other-links"))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, scheme: Scheme) -> DataFrame:
     """node and shingles of the wanted nodes, from their texts, written."""
     wanted = small(written(wanted.distinct(), "wanted"))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(wanted, "node", "left_semi")
-    return written(texts.mapInArrow(_sets, "node long, shingles array<long>").filter(F.size("shingles") > 0), "shingle-sets")
+    return written(texts.mapInArrow(partial(_sets, scheme=scheme), "node long, shingles array<long>").filter(F.size("shingles") > 0), "shingle-sets")
 
 
 def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,25 +439,25 @@ def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     return written(kept.unionByName(stars.join(comps.select("node"), "node", "left_anti")), "components")
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """SIGNED for each row of docs, written."""
-    return written(in_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(_signed, SIGNED), "signed")
+    return written(in_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(partial(_signed, scheme=scheme), SIGNED), "signed")
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, scheme: Scheme = OP5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept for each row of docs.
 
     Null and empty texts, and texts without words, have an empty set and no link. Rows that share a doc_id count as one
     document; a row without doc_id is linked with nothing, has no component and is kept. Ties go to the smallest
     doc_id. An empty table gives an empty result. Extra columns are ignored.
     """
-    signed = signatures(docs)
+    signed = signatures(docs, scheme)
     full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = full.groupBy("set_key").agg(
         F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("planes").alias("planes")
     )
     nodes = written(nodes, "nodes")
-    comps = linked(docs, nodes)
+    comps = linked(docs, nodes, scheme)
     names = nodes.join(small(comps), "node", "left").select("set_key", F.coalesce("comp", "node").alias("named"))
     names = written(names, "named")
     # ids that stand in several sets (rows that share a doc_id) tie these together
@@ -430,10 +468,21 @@ def components(docs: DataFrame) -> DataFrame:
     )
 
 
-def unique(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with their columns, that components() keeps, one for each doc_id. Texts are shuffled only if a
+def joint(docs: DataFrame, schemes: tuple[Scheme, ...]) -> DataFrame:
+    """doc_id and kept for each row of docs, where a link of any of the schemes joins two documents."""
+    found = [written(components(docs, x).select("doc_id", "component_id", "kept"), "joined") for x in schemes]
+    if len(found) == 1:
+        return found[0].select("doc_id", "kept")
+    edges = reduce(DataFrame.unionByName, (x.filter("NOT kept").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")) for x in found))
+    comps = written(star_components(edges), "joint-components")
+    rows = found[0].select("doc_id").join(small(comps), F.col("doc_id") == F.col("node"), "left")
+    return rows.select("doc_id", F.col("doc_id").eqNullSafe(F.coalesce("comp", "doc_id")).alias("kept"))
+
+
+def unique(docs: DataFrame, schemes: tuple[Scheme, ...] = (OP5,)) -> DataFrame:
+    """The rows of docs, with their columns, that joint() keeps, one for each doc_id. Texts are shuffled only if a
     doc_id is repeated."""
-    found = written(components(docs).select("doc_id", "kept"), "kept")
+    found = written(joint(docs, schemes), "kept")
     gone = written(found.filter("NOT kept").select("doc_id").distinct(), "dropped")
     out = docs.join(small(gone), "doc_id", "left_anti").select(*(docs[c] for c in docs.columns))
     if not found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():

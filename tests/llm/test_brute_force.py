@@ -331,3 +331,48 @@ def test_rarest_tokens():
     assert urlfilter.literal_tokens(rule) == ["en", "example", "org"]
     assert list(urlfilter.filed((rule,), {"en": 9, "example": 2, "org": 5})) == ["example"]
     assert urlfilter.literal_tokens(urlfilter.Rule("*shop-now*x", "block", "pattern")) == []
+
+
+def near_copies(texts):
+    """Ids with a smaller id among the texts reachable over similarities of 0.8 in five words or 0.85 in three; and
+    whether five words alone linked any two of them."""
+    texts = dict(texts)
+    ids, parent, only = sorted(texts), {i: i for i in texts}, False
+    words = {i: WORDS.findall(low(t)) for i, t in texts.items()}
+    sets = [({i: {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} for i, w in words.items()}, least) for n, least in ((3, 85), (5, 80))]
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for of, least in sets:
+        for n, i in enumerate(ids):
+            for j in ids[n + 1 :]:
+                a, b = len(of[i]), len(of[j])
+                if words[i] and words[j] and 100 * min(a, b) >= least * max(a, b):
+                    both = len(of[i] & of[j])
+                    x, y = root(i), root(j)
+                    if x != y and 100 * both >= least * (a + b - both):
+                        parent[max(x, y)] = min(x, y)
+                        only |= least == 80
+    return {i for i in ids if root(i) != i}, only
+
+
+def test_stage_removes_five_word_near_copies(spark):
+    """A similarity of 0.8 over five words is a near copy of the pipeline, also if it is under 0.85 over three."""
+    import corpus_pipeline
+
+    real = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    for texts in (real, chains(120)):
+        df = spark.createDataFrame(texts, "doc_id long, text string")
+        kept = {r["doc_id"] for r in corpus_pipeline.neardup_stage(spark, df, "").collect()}
+        gone, only = near_copies(texts)
+        assert {i for i, _ in texts} - kept == gone
+        assert only or texts is not real
+
+
+def test_scheme_rarely_misses_a_link():
+    for scheme in (neardup.OP5, neardup.STAGE):
+        assert (1 - (scheme.least / 100) ** scheme.rows) ** scheme.bands < 1e-6 and scheme.minima <= 128
+        assert scheme.proposed < scheme.least / 100 - 0.15
