@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioloom.llm import decontam, mixing, neardup, quality, sharding
-from folioloom.llm.common import written
+from folioloom.llm.common import scratch, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id. A link is a similarity of 0.8 over
-    runs of five words, or op5's."""
+    runs of five words, or op5's. Rows go and not ids: a row goes only if one of its group stays."""
     return neardup.unique(docs, (neardup.OP5, neardup.STAGE))
 
 
@@ -48,10 +48,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents."""
+    """STAGES applied to documents. A stage's own tables go once its result is written, and all but the last result at the
+    end."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with scratch(spark) as results:
+        for name, stage in STAGES:
+            with scratch(spark) as tables:
+                docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+                tables.keep(docs)
+        results.keep(docs)
     return docs
 
 

@@ -1,55 +1,37 @@
-"""Helpers shared by the corpus operators: written intermediate tables, checked broadcasts, text splitting."""
+"""Helpers shared by the corpus operators: intermediate tables, checked broadcasts, Arrow batches, text splitting."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word is a run of characters other than ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-#: Rows of two or three numbers that a broadcast may hold (about 64 MB).
-BROADCAST_ROWS = 1_000_000
-
-#: Rows and bytes of a batch that goes to Python.
-BATCH_ROWS, BATCH_BYTES = 1024, 8 * 1024 * 1024
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; only where it is unset (tests on one
-    machine) a temporary one is made and set for the session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="folioloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
+from folioloom.operators.tables import materialized as written
+from folioloom.operators.tables import scratch, small
 
-def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: later steps neither recompute it nor depend on the
-    executors that made it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["ascii_lower", "scratch", "slices", "small", "word_count", "written"]
 
+#: A word is a run of characters other than ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
-def in_batches(df: DataFrame) -> DataFrame:
-    """df, after bounding the batches that go to Python in this session: by rows and, where Spark knows how, by bytes, so
-    that a worker's memory doesn't follow the length of texts."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
+#: Rows, and about as many bytes of text, that a Python worker handles at once.
+SLICE_ROWS, SLICE_BYTES = 1024, 8 * 1024 * 1024
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most that many rows, else unmarked, for a shuffled join. df should be
-    cheap to count: a written table."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of SLICE_ROWS rows or SLICE_BYTES bytes in the column `text`; what a worker makes of one part
+    is bounded, whatever the session's batch size. Parts are copies, as casts lose the offsets of Arrow's own slices."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        part = np.arange(len(batch)) // SLICE_ROWS + size // SLICE_BYTES
+        bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
+        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+            if i < j:
+                yield batch if j - i == len(batch) else batch.take(pa.array(range(i, j)))
 
 
 def ascii_lower(word: Column) -> Column:
@@ -61,16 +43,3 @@ def ascii_lower(word: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def clean_name(df: DataFrame, base: str) -> str:
-    """base, with underscores appended until no column of df has that name in any case."""
-    taken = {c.lower() for c in df.columns}
-    while base.lower() in taken:
-        base += "_"
-    return base
-
-
-def pick(docs: DataFrame, *columns: str) -> DataFrame:
-    """Only these columns; extra ones, whatever their names, can't clash with an operator's own."""
-    return docs.select(*(docs[c] for c in columns))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import in_batches
+from .common import slices
 
 #: N-grams of a profile, and the distance of one that a profile lacks.
 PROFILE = 300
@@ -79,7 +79,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
         held.clear()
 
-    for batch in batches:
+    for batch in slices(batches, 1):
         for lang, text in zip(batch.column(0), batch.column(1), strict=True):
             held.setdefault(lang.as_py(), []).append(grams(text.as_py()))
         for lang, parts in held.items():
@@ -93,7 +93,7 @@ def profiles(labelled: DataFrame) -> dict[str, list[int]]:
     """Each language's profile, most frequent n-gram first, from all rows of labelled (lang, text) that have both.
     At most PROFILE n-grams of each language reach the driver."""
     rows = labelled.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = in_batches(rows).mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     best = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PROFILE)
     found: dict[str, list[int]] = {}
@@ -139,7 +139,7 @@ def predicted(docs: DataFrame, fold: int = 2, folds: int = 4) -> DataFrame:
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Profiles(known.value).judge
-        for batch in batches:
+        for batch in slices(batches, 2):
             found = [judge(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
@@ -147,4 +147,4 @@ def predicted(docs: DataFrame, fold: int = 2, folds: int = 4) -> DataFrame:
             )
 
     schema = "doc_id long, held_out boolean, lang_pred string, score double"
-    return in_batches(rows.select(F.col("doc_id").cast("long"), "held_out", "text")).mapInArrow(judged, schema)
+    return rows.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(judged, schema)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, written
+from .common import slices, written
 
 VOCABULARY = os.environ.get("TOKENIZER_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 #: Added to a word's count (base score) and to a piece's.
@@ -78,7 +78,7 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = [pa.array(columns[n], k) if n in columns else pa.nulls(rows, k) for n, k in zip(names, kinds, strict=True)]
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
-    for batch in batches:
+    for batch in slices(batches, 2):
         for doc, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
             words.append(END)
@@ -95,7 +95,7 @@ def coded(docs: DataFrame, fold: int = 0, folds: int = 10) -> DataFrame:
     """CODED, written. Rows whose crc32 of the doc_id's text leaves `fold` when divided by `folds` are held out."""
     own = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
     rows = docs.select(F.col("doc_id").cast("long"), (own % folds == fold).alias("held_out"), F.col("text").cast("string"))
-    return written(in_batches(rows).mapInArrow(_coded, CODED), "lm-blocks")
+    return written(rows.mapInArrow(_coded, CODED), "lm-blocks")
 
 
 def piece_counts(words: DataFrame, vocabulary: str) -> dict[int, int]:

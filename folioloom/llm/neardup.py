@@ -1,9 +1,9 @@
 """Near-duplicates by b-bit MinHash.
 
 A Scheme says how wide shingles are and how alike links must be; what follows gives op5's, of three words and 0.85.
-Documents with equal sets of shingles are one node. Every node gets 120 minima; bands of five make buckets, and the low
-four bits of each minimum are packed into words. Within a bucket the share of equal low bits, corrected for
-chance collisions, estimates the similarity. First the pairs of each bucket's spanning forest by estimate are compared
+Rows with equal sets of shingles are one node, whose number has nothing to do with their doc_id, so a doc_id may stand in
+several nodes. Every node gets 120 minima; bands of five make buckets, and the low four bits of each minimum are packed
+into words. Within a bucket the share of equal low bits, corrected for chance collisions, estimates the similarity. First the pairs of each bucket's spanning forest by estimate are compared
 on full sets, which merges nodes into components with a comparison or so for each node. Then all pairs that may still be
 links across components are compared within their bucket's task, bucket by bucket, so no row is made for a pair.
 """
@@ -18,11 +18,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import in_batches, small, written
+from .common import scratch, slices, small, written
 
 #: Low bits kept of each minimum.
 BITS = 4
@@ -55,8 +54,9 @@ class Scheme:
 OP5 = Scheme(3, 85, 24, 5)
 #: Near copies of the pipeline. At a similarity of 0.8 that chance is (1 - 0.8^4)^27, under one in a million too.
 STAGE = Scheme(5, 80, 27, 4)
-#: A larger bucket is divided by further bands for the spanning forests, and into blocks for the other comparisons.
-LARGE, FURTHER = 2048, 6
+#: A heavier bucket is divided by further bands for the spanning forests, and into blocks for the other comparisons. A node
+#: weighs 1, and 1 more for each HEAVY shingles, so a task holds at most about LARGE * HEAVY shingles (128 MB).
+LARGE, FURTHER, HEAVY = 2048, 6, 8192
 
 _rng = np.random.default_rng(97)
 #: Factors for 128 minima at most, bands of 8 rows at most, 64 bands at most and shingles of 16 words at most.
@@ -65,7 +65,14 @@ _MIX = _rng.integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = _rng.integers(1, 2**63, 64, dtype=np.uint64)
 _SHINGLE = _rng.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, planes array<long>"
+
+
+def signed_schema(schemes: tuple[Scheme, ...]) -> str:
+    """doc_id, text_key (a hash of the text; with doc_id it names a row or repeated ones), set_key (equal if the sets of
+    all schemes are), and each scheme's number of shingles, bands and planes."""
+    each = (f"n_{i} long, bands_{i} array<long>, planes_{i} array<long>" for i in range(len(schemes)))
+    return ", ".join(["doc_id long, text_key long, set_key binary", *each])
+
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -141,31 +148,26 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64).reshape(-1)))
 
 
-def _signed(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, len(whole), 1024):
-            batch = whole.take(pa.array(range(at, min(at + 1024, len(whole)))))  # slices keep offsets that casts lose
-            sets = shingle_sets(batch.column(1), scheme)
+def _signed(batches: Iterator[pa.RecordBatch], schemes: tuple[Scheme, ...]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in signed_schema(schemes).split(", ")]
+    for batch in slices(batches, 2):
+        digests, columns = [b""] * len(batch), []
+        for scheme in schemes:
+            sets = shingle_sets(batch.column(2), scheme)
             none = np.zeros(scheme.minima, np.uint64)
             low = np.array([minima(s, scheme) if len(s) else none for s in sets], np.uint64)
             bands, planes = packed(low.reshape(-1, scheme.minima), scheme)
-            keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists(bands), _lists(planes)],
-                names=["doc_id", "n_shingles", "set_key", "bands", "planes"],
-            )
+            digests = [d + xxhash.xxh3_128_digest(s.tobytes()) for d, s in zip(digests, sets, strict=True)]
+            columns += [pa.array([len(s) for s in sets], pa.int64()), _lists(bands), _lists(planes)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), *columns], names=names)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, len(whole), 512):
-            batch = whole.take(pa.array(range(at, min(at + 512, len(whole)))))
-            sets = shingle_sets(batch.column(1), scheme)
-            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            values = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["node", "shingles"]
-            )
+    for batch in slices(batches, 1):
+        sets = shingle_sets(batch.column(1), scheme)
+        offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        values = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["node", "shingles"])
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch], found: Callable, lists: int) -> Iterator[list[np.ndarray]]:
@@ -267,10 +269,19 @@ def _active(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(bucket[: len(nodes)]), pa.array(np.unique(nodes))], names=["bucket", "node"])
 
 
+def common(one: np.ndarray, other: np.ndarray) -> int:
+    """How many numbers two sorted sets share."""
+    if len(one) > len(other):
+        one, other = other, one
+    at = other.searchsorted(one)
+    at[at == len(other)] = 0
+    return int((other[at] == one).sum()) if len(one) else 0
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
     """Links (a, b) among the pairs of across(), each confirmed on its full sets unless links found before it in the
     bucket have joined its components. The sets travel as binary beside the rows."""
-    held: dict[int, set] = {}
+    held: dict[int, np.ndarray] = {}
     unfinished: tuple[int, set] = (0, set())
 
     def noted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +295,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa
             nodes = batch.column(1).to_pylist()
             for node, data in zip(nodes, batch.column(6), strict=True):
                 if node not in held:
-                    held[node] = set(np.frombuffer(data.as_buffer(), np.uint64).tolist())
+                    held[node] = np.frombuffer(data.as_py(), np.uint64)
             buckets = np.asarray(batch.column(0))
             last = set(np.array(nodes)[buckets == buckets[-1]].tolist())
             unfinished = (buckets[-1], last | (unfinished[1] if unfinished[0] == buckets[0] == buckets[-1] else set()))
@@ -304,7 +315,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa
             x, y = root(int(comps[r[i]])), root(int(comps[c[i]]))
             if x != y:
                 a, b = int(nodes[r[i]]), int(nodes[c[i]])
-                both = len(held[a] & held[b])
+                both = common(held[a], held[b])
                 if 100 * both >= scheme.least * (len(held[a]) + len(held[b]) - both):
                     parent[x] = y
                     links.append((a, b))
@@ -342,21 +353,38 @@ def star_components(edges: DataFrame) -> DataFrame:
         last = now
 
 
+def weight() -> Column:
+    """What a node counts in its bucket."""
+    return (1 + F.floor(F.col("n_shingles") / HEAVY)).cast("long")
+
+
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """bucket, node, n_shingles and held (the bucket's weight) of the nodes in buckets with two nodes or more, written. The
+    buckets' counts come back by joins and not over a window: heavy ones, which are few, in broadcast, so no task ever
+    gets a whole heavy bucket."""
+    each = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
+    counts = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(weight()).alias("held"))
+    counts = written(counts.filter("n > 1").drop("n"), "bucket-counts")
+    heavy = small(counts.filter(F.col("held") > LARGE))
+    light = each.join(heavy.select("bucket"), "bucket", "left_anti").join(small(counts.filter(F.col("held") <= LARGE)), "bucket")
+    return written(light.unionByName(each.join(heavy, "bucket")), "bucket-members")
+
+
 def divided(members: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """members (bucket, node, size of its bucket) for the spanning forests, with large buckets divided by each of a few
-    further bands, and what is still too large into parts that all hold the bucket's first node. What this leaves out,
-    blocks() brings together."""
+    """bucket and node of members for the spanning forests, with heavy buckets divided by each of a few further bands, and
+    what is still too heavy into parts that all hold the bucket's first node. What this leaves out, blocks() brings
+    together."""
     if members.filter(F.col("held") > LARGE).isEmpty():
         return members.select("bucket", "node")
-    own = members.filter(F.col("held") > LARGE).join(nodes.select("node", "bands"), "node")
+    own = members.filter(F.col("held") > LARGE).select("bucket", "node").join(nodes.select("node", "n_shingles", "bands"), "node")
     start = F.pmod("bucket", F.lit(scheme.bands)).cast("int")
     further = F.transform(
         F.sequence(F.lit(1), F.lit(FURTHER)),
         lambda i: F.xxhash64("bucket", i, F.get("bands", F.pmod(start + i * 5, F.lit(scheme.bands)).cast("int"))),
     )
-    again = own.select(F.explode(further).alias("bucket"), "node")
-    sizes = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("first"))
-    again = again.join(sizes.filter("held > 1"), "bucket")
+    again = own.select(F.explode(further).alias("bucket"), "node", "n_shingles")
+    sizes = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(weight()).alias("held"), F.min("node").alias("first"))
+    again = again.join(sizes.filter("n > 1"), "bucket")
     part = F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("held") / LARGE)).cast("int")  # other parts in each bucket
     parts = again.withColumn("part", part).select(F.xxhash64("bucket", "part").alias("bucket"), "node", "first")
     firsts = parts.select("bucket", F.col("first").alias("node")).distinct()
@@ -366,13 +394,13 @@ def divided(members: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def blocks(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """bucket and node for the comparisons across components: large buckets of members as pairs of blocks, so that each
-    node outside a bucket's most frequent component meets all nodes of the bucket, and no task gets over LARGE of them."""
+    """bucket and node for the comparisons across components: heavy buckets of members as pairs of blocks, so that each
+    node outside a bucket's heaviest component meets all nodes of the bucket, and no task gets much over LARGE of them."""
     named = members.join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     large = written(named.filter(F.col("held") > LARGE), "large-buckets")
-    main = large.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    main = large.groupBy("bucket", "comp").agg(F.sum(weight()).alias("n"))
     main = main.groupBy("bucket").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    large = large.join(main.filter(F.col("all") > F.col("most")), "bucket")
+    large = large.join(small(written(main.filter(F.col("all") > F.col("most")), "main-components")), "bucket")
     half = max(1, LARGE // 2)
     rows, columns = F.ceil((F.col("all") - F.col("most")) / half).cast("int"), F.ceil(F.col("all") / half).cast("int")
     own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
@@ -384,17 +412,15 @@ def blocks(members: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """node and comp for the nodes that have a link to another."""
-    each = nodes.select("node", F.explode("bands").alias("bucket"))
-    held = F.count(F.lit(1)).over(Window.partitionBy("bucket"))
-    members = written(each.withColumn("held", held).filter("held > 1"), "bucket-members")
+    """node and comp for the nodes (node, doc_id, text_key, n_shingles, bands, planes) that have a link to another."""
+    members = bucket_members(nodes)
     features = nodes.select("node", "n_shingles", "planes", "bands")
     wide = written(divided(members, nodes, scheme).join(features, "node"), "bucket-planes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     in_buckets = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket", "node")
     pairs = in_buckets(wide.select("bucket", "node", "n_shingles", "planes")).mapInArrow(partial(_pairs, scheme=scheme), "a long, b long")
     pairs = written(pairs.distinct(), "spanning-pairs")
-    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")), scheme)
+    sets = sets_of(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")), scheme)
     left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     either = F.size("set_a") + F.size("set_b") - both
@@ -406,7 +432,7 @@ def linked(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
     several = now.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
     now = written(now.join(several, "bucket", "left_semi").select("bucket", "node", "n_shingles", "comp", "planes", "bands"), "mixed-buckets")
     active = written(in_buckets(now).mapInArrow(partial(_active, scheme=scheme), "bucket long, node long"), "active")
-    sets = sets_of(docs, active.select("node"), scheme)
+    sets = sets_of(docs, nodes, active.select("node"), scheme)
     as_bytes = sets.mapInArrow(_as_bytes, "node long, shingles binary")
     rows = now.join(active, ["bucket", "node"]).join(as_bytes, "node")
     rows = rows.select("bucket", "node", "n_shingles", "comp", "planes", "bands", "shingles")
@@ -414,11 +440,11 @@ def linked(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
     return merged(comps, written(links, "other-links"))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, scheme: Scheme) -> DataFrame:
-    """node and shingles of the wanted nodes, from their texts, written."""
-    wanted = small(written(wanted.distinct(), "wanted"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(wanted, "node", "left_semi")
-    return written(texts.mapInArrow(partial(_sets, scheme=scheme), "node long, shingles array<long>").filter(F.size("shingles") > 0), "shingle-sets")
+def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, scheme: Scheme) -> DataFrame:
+    """node and shingles of the wanted nodes, from the text of one row of each, written."""
+    places = nodes.select("node", F.col("doc_id").alias("id"), F.col("text_key").alias("key")).join(small(written(wanted.distinct(), "wanted")), "node", "left_semi")
+    texts = rows_of(docs).join(small(written(places, "wanted-rows"), 400_000), (F.col("doc_id") == F.col("id")) & (F.col("text_key") == F.col("key")))
+    return written(texts.select("node", "text").mapInArrow(partial(_sets, scheme=scheme), "node long, shingles array<long>"), "shingle-sets")
 
 
 def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,53 +465,85 @@ def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     return written(kept.unionByName(stars.join(comps.select("node"), "node", "left_anti")), "components")
 
 
-def signatures(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """SIGNED for each row of docs, written."""
-    return written(in_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(partial(_signed, scheme=scheme), SIGNED), "signed")
+def rows_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key and text of each row."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_key"), docs["text"].cast("string").alias("text"))
+
+
+def classes(docs: DataFrame, schemes: tuple[Scheme, ...]) -> tuple[DataFrame, DataFrame]:
+    """The signed rows (signed_schema), and for each node set_key, comp (nodes that links of any scheme join share it) and
+    component_id (their smallest doc_id). Both written. Rows without words or without doc_id are in no node."""
+    signed = written(rows_of(docs).mapInArrow(partial(_signed, schemes=schemes), signed_schema(schemes)), "signed")
+    full = signed.filter("n_0 > 0 AND doc_id IS NOT NULL")
+    own = [c for c in signed.columns if c not in ("doc_id", "text_key", "set_key")]
+    nodes = full.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), *(F.first(c).alias(c) for c in own))
+    # written before it is read, the numbers are the nodes' own
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "set_key", "row.*", *own), "nodes")
+    found = []
+    for i, scheme in enumerate(schemes):
+        features = [F.col(f"{c}_{i}").alias(b) for c, b in (("n", "n_shingles"), ("bands", "bands"), ("planes", "planes"))]
+        found.append(linked(docs, nodes.select("node", "doc_id", "text_key", *features), scheme))
+    if len(found) > 1:
+        edges = reduce(DataFrame.unionByName, (x.filter("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")) for x in found))
+        found = [written(star_components(edges), "joint-components")]
+    comps = found[0].join(nodes.select("node", "doc_id"), "node")
+    least = small(written(comps.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least-ids"))
+    moved = small(written(comps.select("node", "comp").join(least, "comp"), "linked-nodes"))
+    named = nodes.select("node", "set_key", "doc_id").join(moved, "node", "left")
+    named = named.select("set_key", F.coalesce("comp", "node").alias("comp"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return signed, written(named, "named")
 
 
 def components(docs: DataFrame, scheme: Scheme = OP5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept for each row of docs.
 
-    Null and empty texts, and texts without words, have an empty set and no link. Rows that share a doc_id count as one
-    document; a row without doc_id is linked with nothing, has no component and is kept. Ties go to the smallest
-    doc_id. An empty table gives an empty result. Extra columns are ignored.
+    Null and empty texts, and texts without words, have an empty set and no link. Every row is a document of its own, also
+    where rows share a doc_id: their texts are linked only if they are alike, each row has the component of its own text,
+    and doc_id alone ties nothing. A row without doc_id is linked with nothing, has no component and is kept. Ties go to
+    the smallest doc_id. An empty table gives an empty result. Extra columns are ignored.
     """
-    signed = signatures(docs, scheme)
-    full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = full.groupBy("set_key").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("planes").alias("planes")
-    )
-    nodes = written(nodes, "nodes")
-    comps = linked(docs, nodes, scheme)
-    names = nodes.join(small(comps), "node", "left").select("set_key", F.coalesce("comp", "node").alias("named"))
-    names = written(names, "named")
-    # ids that stand in several sets (rows that share a doc_id) tie these together
-    rows = signed.select("doc_id", "n_shingles", "set_key").join(small(names, 400_000), "set_key", "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("named")).otherwise(F.col("doc_id"))
-    return rows.select(
-        "doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept")
-    )
+    with scratch(docs.sparkSession) as tables:
+        signed, named = classes(docs, (scheme,))
+        rows = signed.select("doc_id", F.col("n_0").alias("n_shingles"), "set_key")
+        rows = rows.join(small(named.select("set_key", F.col("component_id").alias("named")), 400_000), "set_key", "left")
+        own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("named")).otherwise(F.col("doc_id"))
+        out = rows.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+        out = written(out, "near-components")
+        tables.keep(out)
+    return out
 
 
-def joint(docs: DataFrame, schemes: tuple[Scheme, ...]) -> DataFrame:
-    """doc_id and kept for each row of docs, where a link of any of the schemes joins two documents."""
-    found = [written(components(docs, x).select("doc_id", "component_id", "kept"), "joined") for x in schemes]
-    if len(found) == 1:
-        return found[0].select("doc_id", "kept")
-    edges = reduce(DataFrame.unionByName, (x.filter("NOT kept").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")) for x in found))
-    comps = written(star_components(edges), "joint-components")
-    rows = found[0].select("doc_id").join(small(comps), F.col("doc_id") == F.col("node"), "left")
-    return rows.select("doc_id", F.col("doc_id").eqNullSafe(F.coalesce("comp", "doc_id")).alias("kept"))
+def dropped(docs: DataFrame, schemes: tuple[Scheme, ...]) -> tuple[DataFrame, DataFrame]:
+    """doc_id and text_key of the rows that go, as another row of their component stays, and of the rows that are
+    repeated. Both written."""
+    signed, named = classes(docs, schemes)
+    rows = signed.filter("n_0 > 0 AND doc_id IS NOT NULL").select("doc_id", "text_key", "set_key")
+    rows = rows.join(small(named.select("set_key", "comp"), 400_000), "set_key").select("doc_id", "text_key", "comp")
+    # the first row of each component, and components with others
+    ends = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.max(F.struct("doc_id", "text_key")).alias("last"))
+    ends = small(written(ends.filter("first <> last").select("comp", "first"), "component-firsts"))
+    gone = rows.join(ends, "comp").filter(F.struct("doc_id", "text_key") != F.col("first")).select("doc_id", "text_key").distinct()
+    again = signed.filter("doc_id IS NOT NULL").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return written(gone, "dropped"), written(again.select("doc_id", "text_key"), "repeated")
 
 
 def unique(docs: DataFrame, schemes: tuple[Scheme, ...] = (OP5,)) -> DataFrame:
-    """The rows of docs, with their columns, that joint() keeps, one for each doc_id. Texts are shuffled only if a
-    doc_id is repeated."""
-    found = written(joint(docs, schemes), "kept")
-    gone = written(found.filter("NOT kept").select("doc_id").distinct(), "dropped")
-    out = docs.join(small(gone), "doc_id", "left_anti").select(*(docs[c] for c in docs.columns))
-    if not found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        nulls = out.filter(F.col("doc_id").isNull())
-        out = out.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(nulls)
-    return out
+    """The rows of docs, with their columns, but for those that links of any scheme join to a row with a smaller doc_id
+    (or the same doc_id and another text with a smaller hash).
+
+    Rows go, and not ids: a row goes only if a row of its component stays. Rows with one doc_id and one text are kept
+    once, the first by their columns as JSON. Rows without words, or without doc_id, are linked with nothing. An empty
+    table gives an empty result; extra columns stay, whatever their names. Texts are shuffled only where rows are repeated.
+    """
+    spark = docs.sparkSession
+    with scratch(spark) as tables:
+        gone, again = dropped(docs, schemes)
+        tables.keep(gone, again)
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("own_row"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_key"))
+    out = own.join(small(gone), ["doc_id", "text_key"], "left_anti")
+    if not again.isEmpty():
+        again = small(again)
+        once = out.join(again, ["doc_id", "text_key"], "left_semi").groupBy("doc_id", "text_key")
+        once = once.agg(F.min_by("own_row", F.to_json("own_row")).alias("own_row"))
+        out = out.join(again, ["doc_id", "text_key"], "left_anti").unionByName(once.select("own_row", "doc_id", "text_key"))
+    return out.select("own_row.*")

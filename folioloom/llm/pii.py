@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, small, written
+from .common import slices, small, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kind of spans that the method adds; it comes after the others at one start.
@@ -156,7 +156,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["row_id", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "tokens"]
     keys = [f.name for f in token]
     task, row = TaskContext.get().partitionId(), 0
-    for batch in batches:
+    for batch in slices(batches, 1):
         ids, counts, bases, tokens = [], [[], [], [], []], [], []
         for text in batch.column(1):
             text = text.as_py() or ""
@@ -202,7 +202,7 @@ def found(docs: DataFrame) -> DataFrame:
     rows count once in the graph (its edges are distinct) and get their own results. An empty table gives an empty
     result. Extra columns are ignored.
     """
-    rows = in_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(_found, FOUND)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_found, FOUND)
     rows = written(rows, "pii-rows")
     each = rows.filter(F.size("tokens") > 0).select("row_id", F.explode("tokens").alias("t")).select("row_id", "t.*")
     edges = each.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches
+from .common import slices
 
 #: (Size in bytes from which the band holds, lowest ratio of the whole text, highest one, highest one of wide texts).
 #: Prose that names few things twice stays well inside; a text at half the usual ratio of its length says everything
@@ -134,7 +134,7 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     compress = zstandard.ZstdCompressor(level=LEVEL).compress
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    for batch in batches:
+    for batch in slices(batches, 1):
         texts = batch.column(1).cast(pa.binary())
         rows = [judge(t.as_py(), compress) for t in texts]
         columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
@@ -148,7 +148,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
     A null or empty text has no words, so it fails the base rule. Repeated rows give repeated results; extra columns
     are ignored. Whole texts are read, however long; a task holds one batch of them.
     """
-    return in_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(_judged, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_judged, SCHEMA)
 
 
 def keep(docs: DataFrame) -> DataFrame:
@@ -158,8 +158,8 @@ def keep(docs: DataFrame) -> DataFrame:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=LEVEL).compress
-        for batch in batches:
+        for batch in slices(batches, at):
             texts = batch.column(at).cast(pa.binary())
             yield batch.filter(pa.array([judge(t.as_py(), compress)[6] for t in texts], pa.bool_()))
 
-    return in_batches(docs).mapInArrow(kept, schema)
+    return docs.mapInArrow(kept, schema)

@@ -121,23 +121,23 @@ FROM d LEFT JOIN covered USING (n) LEFT JOIN ids USING (n)"""
 
 _OP5_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+  SELECT row_number() OVER () AS n, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 shingles AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3
+  SELECT DISTINCT n, unnest(CASE WHEN len(w) >= 3
     THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
-sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+sizes AS (SELECT n, count(*) AS size FROM shingles GROUP BY n),
 pairs AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+  SELECT a.n AS x, b.n AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.n < b.n GROUP BY ALL),
 links AS (
-  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+  SELECT x, y FROM pairs JOIN sizes p ON p.n = x JOIN sizes q ON q.n = y WHERE 100 * c >= 85 * (p.size + q.size - c)),
 ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reached AS (
-  SELECT doc_id, doc_id AS c FROM d UNION SELECT ways.y, reached.c FROM reached JOIN ways ON ways.x = reached.doc_id),
-least_ AS (SELECT doc_id, min(c) AS component_id FROM reached GROUP BY doc_id)
-SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
-FROM d JOIN least_ USING (doc_id) LEFT JOIN sizes USING (doc_id)"""
+  SELECT n, doc_id AS c FROM d UNION SELECT ways.y, reached.c FROM reached JOIN ways ON ways.x = reached.n),
+least_ AS (SELECT n, min(c) AS component_id FROM reached GROUP BY n)
+SELECT doc_id, coalesce(size, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d JOIN least_ USING (n) LEFT JOIN sizes USING (n)"""
 
 
 def _op10_sql() -> str:
@@ -162,7 +162,7 @@ round_{r} AS (
     weights = "[" + ", ".join(map(str, mixing.WEIGHTS)) + "]"
     return rf"""
 WITH d AS (
-  SELECT doc_id, source, len(coalesce(regexp_extract_all(text, '[^ 	-]+'), []))::BIGINT AS size,
+  SELECT doc_id, source, len(coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []))::BIGINT AS size,
     md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
 w AS (SELECT *, ({weights})[(rank - 1) % {len(mixing.WEIGHTS)} + 1]::DOUBLE AS weight, (source_size * {mixing.CAP})::DOUBLE AS most FROM s),

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import in_batches, written
+from .common import slices, written
 
 #: Ranks of a byte-level BPE; its place on every executor is a parameter.
 VOCABULARY = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -40,11 +40,11 @@ def lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = length_counter(vocabulary)
-        for batch in batches:
+        for batch in slices(batches, 0):
             found = [count(t.as_py() or "") for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["n_tokens"])
 
-    return in_batches(docs.select(F.col("text").cast("string"))).mapInArrow(encoded, "n_tokens long")
+    return docs.select(F.col("text").cast("string")).mapInArrow(encoded, "n_tokens long")
 
 
 def histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
