@@ -1,9 +1,10 @@
 """Personal data: base patterns, and contextual extraction bootstrapped from them.
 
-Base entities and keys of a plain shape are seeds. The words before a seed are a lexical pattern; other tokens that
-could be identifiers and stand behind the same words are instances of it. Patterns and instances form a graph: a
-pattern is trusted by the share of its instances that are, an instance by its patterns, in rounds. Instances that
-trusted patterns lead to are found too, though no base pattern knows their shape.
+Base entities and keys of a plain shape are seeds. The words before a token, or those after it, are lexical patterns; tokens
+that could be identifiers and stand in the same context are a pattern's instances. Patterns and instances form a graph,
+scored in rounds: a pattern is trusted by the share of its instances that are, and what a trusted pattern leads to is
+trusted and speaks for further patterns in the next round, until a round trusts no new pattern. Instances that
+trusted patterns lead to are found, though no base pattern knows their shape, and so are the keys.
 
 Texts are read once. What a text holds is one row; the graph is built from these rows, and the spans go back to them.
 """
@@ -18,15 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small, written
+from .common import scratch, slices, small, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kind of spans that the method adds; it comes after the others at one start.
 LEARNT = "id"
-#: Rounds over the graph; distinct seeds and instances that a pattern needs; trust from which a pattern or an instance counts.
-ROUNDS, SEEDS, INSTANCES, TRUST = 3, 3, 4, 0.6
-#: Added to a pattern's instances as untrusted ones.
-DOUBT = 1.0
+#: Distinct trusted instances, and instances in all, that a pattern needs; the share of its instances (with DOUBT untrusted
+#: ones added) from which it is trusted.
+SUPPORT, INSTANCES, TRUST, DOUBT = 3, 4, 0.5, 1.0
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
@@ -34,16 +34,17 @@ _DOTTED = re.compile(r"[0-9.]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[0-9A-Za-z@+][0-9A-Za-z@._+/=:-]*[0-9A-Za-z=]")
+_TOKEN = re.compile(r"[0-9A-Za-z@+]++(?:[._/-]++[0-9A-Za-z@+]++)*+=*+")
 _CONTEXT = re.compile(r"[^\W\d_]+|[=:#]")
-_KEY = re.compile(r"(?:[0-9a-f]{32,}|[A-Za-z]{2,6}[-_][0-9A-Za-z]{16,})\Z")
-#: Characters before a token in which its context is looked for.
-BEFORE = 48
+#: Keys of a plain shape: long hexadecimal digits, letters and digits after a short prefix, capitals mixed with digits.
+_KEY = re.compile(r"(?:[0-9a-f]{16,}|[A-Za-z]{2,6}[-_][0-9A-Za-z]{16,}|[A-Z][0-9A-Z]{19,})\Z")
+#: Characters around a token in which its contexts are looked for, and words or signs of the patterns before and after it.
+AROUND, WIDTHS, AFTER = 48, (2, 3), 2
 
 FOUND = (
     "row_id string, doc_id long, n_email long, n_ip long, n_card long, n_phone long, "
     "base array<struct<start:long,kind:int,end:long>>, "
-    "tokens array<struct<start:long,end:long,instance:string,pattern:string,seed:boolean,base:boolean>>"
+    "tokens array<struct<start:long,end:long,instance:string,patterns:array<string>,seed:boolean,base:boolean>>"
 )
 
 
@@ -110,48 +111,55 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def pattern_before(text: str, start: int) -> str | None:
-    """The last two words or signs before a place, on its line; None without a word."""
-    line = text[max(0, start - BEFORE) : start].rpartition("\n")[2]
-    context = [c.lower() for c in _CONTEXT.findall(line)][-2:]
-    return " ".join(context) if any(c.isalpha() for c in context) else None
+def patterns_around(text: str, start: int, end: int) -> list[str]:
+    """The contexts of text[start:end] on its line: "< " with each of WIDTHS words or signs before it, "> " with AFTER
+    after it, in lower case. A context without a word, or one that the line cuts short, is none."""
+    before = _CONTEXT.findall(text[max(0, start - AROUND) : start].rpartition("\n")[2].lower())
+    after = _CONTEXT.findall(text[end : end + AROUND].partition("\n")[0].lower())
+    found = ["< " + " ".join(before[-n:]) for n in WIDTHS if len(before) >= n and any(map(str.isalpha, before[-n:]))]
+    if len(after) >= AFTER and any(map(str.isalpha, after[:AFTER])):
+        found.append("> " + " ".join(after[:AFTER]))
+    return found
 
 
 def identifier_like(token: str) -> bool:
-    """Whether a token could be an identifier: four digits or more among at least six characters, or an @."""
-    return (len(token) >= 6 and sum("0" <= c <= "9" for c in token) >= 4) or "@" in token
+    """Whether a token could be an identifier: two digits or more among at least six characters, or an @."""
+    return (len(token) >= 6 and sum("0" <= c <= "9" for c in token) >= 2) or "@" in token
+
+
+def is_key(token: str) -> bool:
+    """Whether a token is a key by its shape alone: one of _KEY, with letters and at least two digits."""
+    return bool(_KEY.match(token)) and sum("0" <= c <= "9" for c in token) >= 2 and any(map(str.isalpha, token))
 
 
 def tokens_of(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
-    """(start, end, instance, pattern, seed, base) of the base entities and of other tokens like identifiers."""
-    found = []
-    for start, _, end in base:
-        pattern = pattern_before(text, start)
-        if pattern:
-            found.append((start, end, text[start:end], pattern, True, True))
+    """(start, end, instance, patterns, seed, base) of the base entities and of other tokens like identifiers. A token ends
+    at = or : and so has them in its context."""
+    found = [(start, end, text[start:end], patterns_around(text, start, end), True, True) for start, _, end in base]
     if not (_DIGIT.search(text) or "@" in text):
         return found
     taken = 0
     spans = sorted((s, e) for s, _, e in base)
     for m in _TOKEN.finditer(text):
-        token = m.group()
+        token = m.group().rstrip("=@+")
         if not identifier_like(token):
             continue
+        end = m.start() + len(token)
         while taken < len(spans) and spans[taken][1] <= m.start():
             taken += 1
-        if any(s < m.end() and m.start() < e for s, e in spans[taken : taken + 4]):
+        if any(s < end and m.start() < e for s, e in spans[taken : taken + 4]):
             continue
-        pattern = pattern_before(text, m.start())
-        if pattern:
-            found.append((m.start(), m.end(), token, pattern, bool(_KEY.match(token)), False))
+        seed, patterns = is_key(token), patterns_around(text, m.start(), end)
+        if seed or patterns:
+            found.append((m.start(), end, token, patterns, seed, False))
     return found
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
     token = pa.struct([
-        ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("pattern", pa.string()),
-        ("seed", pa.bool_()), ("base", pa.bool_()),
+        ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()),
+        ("patterns", pa.list_(pa.string())), ("seed", pa.bool_()), ("base", pa.bool_()),
     ])
     names = ["row_id", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "tokens"]
     keys = [f.name for f in token]
@@ -172,50 +180,66 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def trusted_patterns(edges: DataFrame) -> DataFrame:
-    """pattern and trust for the patterns that end above TRUST. edges: pattern, instance, seed, distinct.
+    """pattern, trust and round (from 1) of the patterns that end up trusted, written. edges: pattern, instance and seed,
+    one row for each pattern and instance.
 
-    A pattern's trust is the mean trust of its instances, with DOUBT untrusted ones added; an instance's trust is 1 if
-    it is a seed, else that of its most trusted pattern. Only patterns that lead to SEEDS seeds take part.
+    In each round a pattern's trust is the number of its trusted instances over that of all its instances plus DOUBT. It is
+    trusted for good from TRUST on, if SUPPORT of its INSTANCES or more are; then all its instances are trusted from the
+    next round on, where they count for other patterns. The rounds end when none trusts a new pattern. A round is a
+    partial sum over the edges and two joins; no pattern's instances come together in one row.
     """
-    support = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-    able = support.filter((F.col("seeds") >= SEEDS) & (F.col("n") >= INSTANCES)).select("pattern")
-    edges = written(edges.join(small(written(able, "pii-able")), "pattern", "left_semi"), "pii-edges")
-    trust = F.col("seed").cast("double")
-    scored = edges.withColumn("trust", trust)
-    for r in range(ROUNDS):
-        patterns = scored.groupBy("pattern").agg((F.sum("trust") / (F.count(F.lit(1)) + DOUBT)).alias("p"))
-        patterns = written(patterns, f"pii-patterns-{r}")
-        if r == ROUNDS - 1:
-            return patterns.filter(F.col("p") >= TRUST).select("pattern", F.col("p").alias("trust"))
-        best = edges.join(small(patterns), "pattern").groupBy("instance").agg(
-            F.max("p").alias("p"), F.max(F.col("seed").cast("int")).alias("is_seed")
-        )
-        best = best.select("instance", F.when(F.col("is_seed") == 1, 1.0).otherwise(F.col("p")).alias("trust"))
-        scored = written(edges.join(best, "instance"), f"pii-scored-{r}")
-    raise AssertionError
+    with scratch(edges.sparkSession) as tables:
+        able = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= INSTANCES)
+        known = written(edges.join(small(written(able.select("pattern"), "pii-able")), "pattern", "left_semi"), "pii-edges")
+        trusted, r = None, 0
+        while True:
+            r += 1
+            trust = F.sum(F.col("seed").cast("long")) / (F.count(F.lit(1)) + DOUBT)
+            now = known.groupBy("pattern").agg(trust.alias("trust"), F.sum(F.col("seed").cast("long")).alias("known"))
+            now = now.filter((F.col("known") >= SUPPORT) & (F.col("trust") >= TRUST)).select("pattern", "trust", F.lit(r).alias("round"))
+            if trusted is not None:
+                now = now.join(small(trusted.select("pattern")), "pattern", "left_anti")
+            now = written(now, f"pii-new-{r}")
+            if now.isEmpty():
+                out = written(now if trusted is None else trusted, "pii-trusted")
+                tables.keep(out)
+                return out
+            trusted = now if trusted is None else written(trusted.unionByName(now), f"pii-trusted-{r}")
+            reached = written(known.join(small(now.select("pattern")), "pattern", "left_semi").filter("NOT seed").select("instance").distinct(), f"pii-reached-{r}")
+            marked = small(reached.withColumn("reached", F.lit(True)))
+            known = known.join(marked, "instance", "left").select("pattern", "instance", (F.col("seed") | F.coalesce("reached", F.lit(False))).alias("seed"))
+            known = written(known, f"pii-edges-{r}")
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of each row of docs.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of each row of docs, and n_id, the number of spans that
+    the method adds: keys, and other tokens that stand in a trusted pattern.
 
     A null text is empty and, like any text without entities, has the digest of the empty string and no spans. Repeated
-    rows count once in the graph (its edges are distinct) and get their own results. An empty table gives an empty
-    result. Extra columns are ignored.
+    rows count once in the graph (its edges are distinct) and get their own results. Ties don't arise: trust has a
+    threshold and no rank. An empty table gives an empty result. Extra columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_found, FOUND)
-    rows = written(rows, "pii-rows")
-    each = rows.filter(F.size("tokens") > 0).select("row_id", F.explode("tokens").alias("t")).select("row_id", "t.*")
-    edges = each.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    trusted = written(trusted_patterns(edges), "pii-trusted")
-    more = each.filter("NOT base").join(small(trusted), "pattern", "left_semi")
-    more = more.groupBy("row_id").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")).alias("more"))
-    more = written(more.withColumnRenamed("row_id", "more_id"), "pii-more")
-    out = rows.drop("tokens").join(small(more, 200_000), F.col("row_id") == F.col("more_id"), "left")
-    names = F.array(*(F.lit(k) for k in (*KINDS, LEARNT)))
-    label = lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))
-    every = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:long,kind:int,end:long>>"))))
-    return out.select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone",
-        F.sha2(F.array_join(F.transform("base", label), ","), 256).alias("base_sha256"),
-        F.array_join(F.transform(every, label), ",").alias("spans"),
-    )
+    with scratch(docs.sparkSession) as tables:
+        rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_found, FOUND)
+        rows = written(rows, "pii-rows")
+        each = rows.filter(F.size("tokens") > 0).select("row_id", F.explode("tokens").alias("t")).select("row_id", "t.*")
+        edges = each.select("instance", "seed", F.explode("patterns").alias("pattern"))
+        edges = edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+        trusted = trusted_patterns(edges)
+        own = each.filter("NOT base").select("row_id", "start", "end", "seed", F.explode_outer("patterns").alias("pattern"))
+        own = own.join(small(trusted.withColumn("trusted", F.lit(True)).select("pattern", "trusted")), "pattern", "left").filter("seed OR trusted")
+        more = own.groupBy("row_id").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")).alias("more"))
+        more = written(more.withColumnRenamed("row_id", "more_id"), "pii-more")
+        out = rows.drop("tokens").join(small(more, 200_000), F.col("row_id") == F.col("more_id"), "left")
+        names = F.array(*(F.lit(k) for k in (*KINDS, LEARNT)))
+        label = lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))
+        added = F.coalesce("more", F.array().cast("array<struct<start:long,kind:int,end:long>>"))
+        out = out.select(
+            "doc_id", "n_email", "n_ip", "n_card", "n_phone",
+            F.sha2(F.array_join(F.transform("base", label), ","), 256).alias("base_sha256"),
+            F.array_join(F.transform(F.array_sort(F.concat("base", added)), label), ",").alias("spans"),
+            F.size(added).cast("long").alias("n_id"),
+        )
+        out = written(out, "pii-found")
+        tables.keep(out)
+    return out
