@@ -1,138 +1,184 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced together.
 
-Equal texts form a group. Groups that hold a visible part of a shard are items of their own; all others are dealt by
-hash into a fixed number of bundles. The driver places at most ``items_bound()`` items, whatever the input's size:
-each goes to the shard, among those with room for its bytes, whose residual capacity has the highest dot product with
-the item's vector. A group too large for one shard is cut by a hash of the row's id into pieces first.
+Equal texts form a group. Every group is placed by itself, the largest first: it goes to the shard, among those with room
+for it, whose residual capacity has the highest dot product with the group's vector of bytes, tokens and rows. A group of
+more bytes than a shard's share is cut by a hash of the row's id into pieces first, as no placing could keep sizes near
+equal; no other group is cut.
+
+Groups are placed in levels of falling size. A level's groups are dealt by hash into cells, and each cell is placed by a task
+of its own into its part of what the levels before left in each shard; only the shards' sums reach the driver. So placing is
+as wide as the input, and what the cells of one level leave uneven is made good by the next, whose groups are smaller.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import word_count, written
+from .common import scratch, small, word_count, written
 
-#: Bundles for each shard, and the part of a shard's capacity from which a group is an item of its own.
-BUNDLES, LARGE = 1024, 1 / 256
-#: A larger group than this part of a shard is cut.
+#: Parts of a shard (in bytes, tokens or rows, whichever is most) from which a group belongs to the first level, the
+#: second one, and the last.
+LEVELS = (1 / 256, 1 / 65536, 0.0)
+#: About how many groups a cell holds: so many, or so many for each shard.
+CELL, FOR_SHARD = 50_000, 128
+#: A group that is cut has pieces of about this part of a shard.
 WHOLE = 0.5
 #: Ranges by hash in which rows are numbered within a shard.
 RANGES = 512
-#: How far over a shard's share of bytes an item may go while another shard has room.
+#: How far over what is left of a shard a group may go and still have room.
 SLACK = 1e-4
 
 
-def items_bound(shards: int) -> int:
-    """Most items that reach the driver: bundles, and large groups or their pieces in three dimensions."""
-    return shards * BUNDLES + 3 * int(shards / LARGE) * 4
-
-
-def place(items: list[tuple], shards: int) -> list[int]:
-    """Shards of items (bytes, tokens, rows, ...), in the items' order.
+def place(vectors: np.ndarray, left: np.ndarray, start: int = 0) -> np.ndarray:
+    """The shard of each item, given the items' vectors (bytes, tokens, rows) and what is left in each shard, in the same
+    units.
 
-    Largest first (by their largest share in any dimension). Shares are of the whole, so a shard's capacity is
-    1 / shards in each dimension.
+    Items go largest first (by their largest number; ties in the order given). An item with room in all three dimensions
+    somewhere goes where the dot product is highest, else so among the shards with room in bytes; without any, where
+    most bytes are left. Ties go to the first shard from `start` on, in a circle.
     """
-    totals = [max(1, sum(x[d] for x in items)) for d in range(3)]
-    vectors = [tuple(x[d] * shards / totals[d] for d in range(3)) for x in items]
-    left = [[1.0, 1.0, 1.0] for _ in range(shards)]
-    found = [0] * len(items)
-    for i in sorted(range(len(items)), key=lambda i: (-max(vectors[i]), i)):
+    left = np.roll(left, -start, axis=0).astype(float)
+    found = np.zeros(len(vectors), np.int64)
+    slack = SLACK * np.maximum(left.max(axis=0, initial=0.0), 0.0)
+    for i in np.argsort(-vectors.max(axis=1, initial=0.0), kind="stable"):
         v = vectors[i]
-        room = [s for s in range(shards) if left[s][0] + SLACK >= v[0]]
-        if room:
-            best = max(room, key=lambda s: (sum(a * b for a, b in zip(v, left[s], strict=True)), -s))
-        else:
-            best = max(range(shards), key=lambda s: (left[s][0], -s))
-        found[i] = best
-        for d in range(3):
-            left[best][d] -= v[d]
-    return found
+        fits = left + slack >= v
+        room = fits.all(axis=1)
+        if not room.any():
+            room = fits[:, 0]
+        s = int(np.where(room, left @ v, -np.inf).argmax()) if room.any() else int(left[:, 0].argmax())
+        left[s] -= v
+        found[i] = s
+    return (found + start) % len(left)
+
+
+def _cell(left: list[list[float]], caps: list[float], rest: list[float]) -> Callable[[pa.Table], pa.Table]:
+    """What places a cell's items (cell, group_key, piece, b, t, r) into its part of what is left: as much of each shard's rest
+    as the cell has of all items that are still to be placed."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("group_key", "ascending"), ("piece", "ascending")])
+        sizes = np.stack([table.column(c).to_numpy() for c in "btr"], axis=1)
+        part = sizes.sum(axis=0) / np.maximum(rest, 1)
+        shards = place(sizes / caps, np.array(left) * part, int(table.column("cell")[0].as_py()) * 7919 % len(left))
+        return table.select(["group_key", "piece", "b", "t", "r"]).append_column("shard", pa.array(shards, pa.int32()))
+
+    return pack
 
 
 def measured(docs: DataFrame, *keep: str) -> DataFrame:
-    """Each row's size (UTF-8 bytes plus 1; null: 1), CRC, tokens and group."""
+    """Each row's size (UTF-8 bytes plus 1; null: 1), CRC, tokens and group: a hash of the text, equal for equal texts."""
     text = F.coalesce(docs["text"], F.lit(""))
     return docs.select(
         *(docs[c] for c in keep),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         word_count(docs["text"]).alias("tokens"),
-        F.coalesce(F.md5(F.encode(docs["text"], "UTF-8")), F.lit("null")).alias("group_key"),
+        F.xxhash64(docs["text"]).alias("group_key"),
     )
 
 
-def shards_of(slim: DataFrame, shards: int, rows: DataFrame) -> DataFrame:
-    """rows (doc_id, group_key and more) with the column shard, from the sizes in slim. Rows aren't shuffled for it."""
-    spark = slim.sparkSession
-    bundles = shards * BUNDLES
-    bundle = F.pmod(F.xxhash64("group_key"), F.lit(bundles)).cast("int")
-    groups = written(
-        slim.groupBy("group_key").agg(
-            F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("r")
-        ),
-        "shard-groups",
-    )
-    total = groups.agg(F.sum("b"), F.sum("t"), F.sum("r")).first()
-    cap = [max(1, (x or 0) / shards) for x in total]
-    share = F.greatest(*(F.col(c) / cap[i] for i, c in enumerate("btr")))
-    large = share >= LARGE
-    # at most 3 * shards / LARGE groups, as each holds LARGE of a shard in some dimension
-    alone = [tuple(x) for x in groups.filter(large).select("group_key", share.alias("s"), "b", "t", "r").collect()]
-    alone.sort()
-    cuts = {key: int(s / WHOLE) + 1 for key, s, *_ in alone if s > WHOLE}
-    schema = "group_key string, pieces int"
-    alone_df = F.broadcast(spark.createDataFrame([(x[0], cuts.get(x[0], 1)) for x in alone], schema))
-    piece = F.pmod(F.xxhash64(F.lit("piece"), "doc_id"), F.col("pieces")).cast("int")
-    items = [(b, t, r, key, 0) for key, _, b, t, r in alone if key not in cuts]
-    if cuts:
-        cut_df = F.broadcast(spark.createDataFrame(sorted(cuts.items()), schema))
-        cut = slim.join(cut_df, "group_key").groupBy("group_key", piece.alias("piece"))
-        sums = cut.agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("r"))
-        items += [(x.b, x.t, x.r, x.group_key, x.piece) for x in sums.collect()]
-    rest = groups.filter(~large).groupBy(bundle.alias("bundle")).agg(F.sum("b"), F.sum("t"), F.sum("r"))
-    items += [(x[1], x[2], x[3], "", x[0]) for x in rest.collect()]
-    items.sort(key=lambda x: (x[3], x[4]))
-    placed = [(x[3], x[4], s) for x, s in zip(items, place(items, shards), strict=True)]
-    of_items = F.broadcast(spark.createDataFrame(placed, "item_group string, item_part int, shard int"))
-    rows = rows.join(alone_df, "group_key", "left")
-    rows = rows.withColumns(
-        {
-            "item_group": F.when(F.col("pieces").isNull(), "").otherwise(F.col("group_key")),
-            "item_part": F.coalesce(piece, bundle),
-        }
-    )
-    return rows.join(of_items, ["item_group", "item_part"]).drop("item_group", "item_part", "pieces")
+def placed(slim: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
+    """group_key and pieces of the groups that are cut (fewer than there are shards), and group_key, piece, shard and level
+    of every group or piece. Both written. slim: doc_id, group_key, size, tokens."""
+    sums = [F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("r")]
+    with scratch(slim.sparkSession) as tables:
+        groups = written(slim.groupBy("group_key").agg(*sums), "shard-groups")
+        caps = [max(1, (x or 0) / shards) for x in groups.agg(F.sum("b"), F.sum("t"), F.sum("r")).first()]
+        cuts = groups.filter(F.col("b") > caps[0]).select("group_key", (F.floor(F.col("b") / (caps[0] * WHOLE)) + 1).cast("int").alias("pieces"))
+        cuts = written(cuts, "shard-cuts")
+        cut = slim.join(F.broadcast(cuts), "group_key").groupBy("group_key", piece().alias("piece")).agg(*sums)
+        items = groups.join(F.broadcast(cuts), "group_key", "left_anti").withColumn("piece", F.lit(0)).unionByName(cut)
+        share = F.greatest(*(F.col(c) / cap for c, cap in zip("btr", caps, strict=True)))
+        level = F.lit(len(LEVELS) - 1)
+        for i in reversed(range(len(LEVELS) - 1)):
+            level = F.when(share >= LEVELS[i], i).otherwise(level)
+        items = written(items.withColumn("level", level), "shard-items")
+        of_level = {x.level: x for x in items.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"), F.sum("t").alias("t"), F.sum("r").alias("r")).collect()}
+        left, out = np.ones((shards, 3)), []
+        for i in sorted(of_level):
+            rest = [float(sum(x[c] for j, x in of_level.items() if j >= i)) for c in "btr"]
+            cells = -(-of_level[i].n // max(CELL, FOR_SHARD * shards))
+            cell = F.pmod(F.xxhash64("group_key", "piece"), F.lit(cells)).cast("long")
+            own = items.filter(F.col("level") == i).select(cell.alias("cell"), "group_key", "piece", "b", "t", "r")
+            own = own.repartition(cells, "cell").groupBy("cell").applyInArrow(_cell(left.tolist(), caps, rest), "group_key long, piece int, b long, t long, r long, shard int")
+            own = written(own, f"shard-placed-{i}")
+            for x in own.groupBy("shard").agg(F.sum("b"), F.sum("t"), F.sum("r")).collect():  # a row for each shard
+                left[x[0]] -= np.array(x[1:]) / caps
+            out.append(own.select("group_key", "piece", "shard", F.lit(i).alias("level")))
+        if not out:
+            out = [items.select("group_key", "piece", F.lit(0).alias("shard"), "level")]
+        every = out[0]
+        for x in out[1:]:
+            every = every.unionByName(x)
+        every = written(every, "shard-of-group")
+        tables.keep(cuts, every)
+    return cuts, every
+
+
+def piece():
+    """Which of its group's pieces a row belongs to."""
+    return F.coalesce(F.pmod(F.xxhash64(F.lit("piece"), "doc_id"), F.col("pieces")), F.lit(0)).cast("int")
+
+
+def with_shard(rows: DataFrame, cuts: DataFrame, every: DataFrame) -> DataFrame:
+    """rows (doc_id, group_key and more) with the column shard, from placed(). Rows of large groups find theirs in broadcast,
+    so no hot group is shuffled; the others are shuffled by group only if there are too many groups for that."""
+    first = small(every.filter("level = 0").select("group_key", "piece", F.col("shard").alias("shard_of_large")))
+    rows = rows.join(F.broadcast(cuts), "group_key", "left").withColumn("piece", piece()).drop("pieces")
+    rows = rows.join(first, ["group_key", "piece"], "left")
+    # rows that have their shard are spread by a number of their own
+    key = F.when(F.col("shard_of_large").isNull(), F.col("group_key")).otherwise(F.monotonically_increasing_id())
+    others = every.filter("level > 0").select(F.col("group_key").alias("other_key"), F.col("piece").alias("other_piece"), F.col("shard").alias("other_shard"))
+    rows = rows.withColumn("own_key", key).join(small(others), (F.col("own_key") == F.col("other_key")) & (F.col("piece") == F.col("other_piece")), "left")
+    return rows.withColumn("shard", F.coalesce("shard_of_large", "other_shard")).drop("piece", "shard_of_large", "own_key", "other_key", "other_piece", "other_shard")
+
+
+def slot_range(order: list[str]):
+    """The range of a row, by a hash of what orders it."""
+    return F.pmod(F.xxhash64(F.lit("slot"), *order), F.lit(RANGES)).cast("int")
+
+
+def first_slots(sharded: DataFrame, order: list[str]) -> DataFrame:
+    """shard, slot_range and first_slot, the number of rows in the shard's ranges before, written."""
+    counts = sharded.groupBy("shard", slot_range(order).alias("slot_range")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("slot_range").rowsBetween(Window.unboundedPreceding, -1)
+    return written(counts.select("shard", "slot_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_slot")), "shard-starts")
 
 
-def numbered(sharded: DataFrame, order: list[str]) -> DataFrame:
-    """With slot, gapless from 0 in each shard. Rows are numbered within ranges of a hash, and the ranges' counts
-    shift the numbers, so no task gets a whole shard."""
-    part = F.pmod(F.xxhash64(F.lit("slot"), *order), F.lit(RANGES)).cast("int")
-    sharded = sharded.withColumn("slot_range", part)
-    counts = sharded.groupBy("shard", "slot_range").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("slot_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "slot_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_slot"))
+def numbered(sharded: DataFrame, starts: DataFrame, order: list[str]) -> DataFrame:
+    """sharded with slot, gapless from 0 in each shard. Rows are numbered within ranges of a hash, and the ranges' first
+    slots shift the numbers, so no task gets a whole shard."""
     within = Window.partitionBy("shard", "slot_range").orderBy(*order)
-    # at most shards * RANGES rows
     return (
-        sharded.join(F.broadcast(starts), ["shard", "slot_range"])
+        sharded.withColumn("slot_range", slot_range(order))
+        .join(small(starts), ["shard", "slot_range"])
         .withColumn("slot", (F.col("first_slot") + F.row_number().over(within) - 1).cast("long"))
         .drop("slot_range", "first_slot")
     )
 
 
 def pack(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null) of each row of docs.
+    """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null) of each row of docs, and its tokens.
 
-    Equal texts share a shard, unless they hold over WHOLE of a shard's capacity: then they are cut into as few
-    pieces as that allows. A null text is an empty one of its own group and has size 1. Rows that are repeated are
-    rows of their own. An empty table gives an empty result. Extra columns are ignored.
+    Equal texts share a shard, unless they hold more bytes than a shard's share: then they are cut into pieces of about
+    half of it. A null text is an empty one of its own group and has size 1. Rows that are repeated are rows of their
+    own. Ties in placing go to the group with the smaller hash and to the first shard in a circle. An empty table gives
+    an empty result. Extra columns are ignored.
     """
-    slim = written(measured(docs, "doc_id"), "shard-rows")
-    out = numbered(shards_of(slim, shards, slim), ["doc_id", "text_crc32", "size"])
+    order = ["doc_id", "text_crc32", "size"]
+    with scratch(docs.sparkSession) as tables:
+        slim = written(measured(docs, "doc_id"), "shard-rows")
+        cuts, every = placed(slim, shards)
+        slim = written(with_shard(slim, cuts, every), "sharded-rows")
+        out = written(numbered(slim, first_slots(slim, order), order), "numbered-rows")
+        tables.keep(out)
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "tokens",
@@ -143,9 +189,14 @@ def pack_rows(docs: DataFrame, shards: int = 8) -> DataFrame:
     """As pack(), with the columns of docs: the rows themselves, each with its shard and slot. The rows' own columns
     travel in one struct, so none can clash."""
     own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("own_row"), "doc_id", "text")
-    slim = written(measured(docs, "doc_id").drop("text_crc32"), "shard-rows")
-    out = shards_of(slim, shards, measured(own, "own_row", "doc_id"))
-    out = numbered(out, ["doc_id", "text_crc32", "size"])
+    order = ["doc_id", "text_crc32", "size"]
+    with scratch(docs.sparkSession) as tables:
+        slim = written(measured(docs, "doc_id"), "shard-rows")
+        cuts, every = placed(slim, shards)
+        out = with_shard(measured(own, "own_row", "doc_id"), cuts, every)
+        starts = first_slots(with_shard(slim, cuts, every), order)
+        tables.keep(cuts, every, starts)
+    out = numbered(out, starts, order)
     extra = ["size", "text_crc32", "shard", "slot"]
     named = [F.col(c).alias(c if c.lower() not in {x.lower() for x in docs.columns} else f"{c}_of_shard") for c in extra]
     return out.select("own_row.*", *named, F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))

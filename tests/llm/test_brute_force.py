@@ -53,9 +53,63 @@ def test_sharding_cuts_a_hot_group(spark):
     assert max(sizes.values()) < 1.1 * min(sizes.values())
 
 
+def test_sharding_keeps_a_group_of_many_rows(spark):
+    """Only bytes force a cut: a group that holds most rows, but few bytes, stays in one shard."""
+    rows = [(i, "e") for i in range(3000)] + [(5000 + i, f"text {i} " + "word " * 400) for i in range(800)]
+    out = sharding.pack(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    sizes = Counter()
+    for r in out:
+        sizes[r["shard"]] += r["size"]
+    assert len({r["shard"] for r in out if r["size"] == 2}) == 1 and max(sizes.values()) < 1.02 * min(sizes.values())
+
+
+def plainly_placed(items, left, start):
+    """place() restated: items of three numbers each, what is left in each shard, where a circle of ties begins."""
+    left, found = [list(x) for x in left], {}
+    slack = [sharding.SLACK * max(0, max(x[d] for x in left)) for d in range(3)]
+    circle = [(start + i) % len(left) for i in range(len(left))]
+    for i in sorted(range(len(items)), key=lambda i: (-max(items[i]), i)):
+        v = items[i]
+        fits = lambda s, dims: all(left[s][d] + slack[d] >= v[d] for d in dims)
+        room = [s for s in circle if fits(s, range(3))] or [s for s in circle if fits(s, [0])]
+        best = max(room, key=lambda s: sum(a * b for a, b in zip(left[s], v, strict=True))) if room else max(circle, key=lambda s: left[s][0])
+        left[best] = [a - b for a, b in zip(left[best], v, strict=True)]
+        found[i] = best
+    return [found[i] for i in range(len(items))]
+
+
+def test_placing_equals_a_plain_one():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n, shards, start in ((0, 3, 0), (1, 1, 0), (40, 8, 3), (300, 5, 4)):
+        items = rng.integers(0, 64, (n, 3)) * rng.integers(1, 9, (n, 1)) / 64.0  # exact sums
+        left = np.tile(np.ceil(items.sum(axis=0) / shards * 64) / 64, (shards, 1))
+        assert sharding.place(items, left, start).tolist() == plainly_placed(items.tolist(), left.tolist(), start)
+
+
+def test_sharding_balances_all_three(spark, monkeypatch):
+    """Bytes, tokens and rows of every shard are near their shares, also where cells of several levels place them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    wide = docs.selectExpr("doc_id", "text").union(spark.createDataFrame([(10**6 + i, f"{i} " + ("a b c d " if i % 2 else "abcdefghijklmnop") * 20) for i in range(3000)], "doc_id long, text string"))
+    slim = sharding.written(wide, "test-wide")
+    for cell in (50_000, 200):
+        monkeypatch.setattr(sharding, "CELL", cell)
+        monkeypatch.setattr(sharding, "FOR_SHARD", 16)
+        sums = defaultdict(lambda: [0, 0, 0])
+        for r in sharding.pack(slim, 8).collect():
+            for d, x in enumerate((r["size"], r["tokens"], 1)):
+                sums[r["shard"]][d] += x
+        for d, most in enumerate((1.01, 1.05, 1.05)):
+            of = [x[d] for x in sums.values()]
+            assert len(of) == 8 and max(of) < most * min(of), (cell, d, of)
+
+
 def test_placing_prefers_residual_direction():
-    items = [(10, 0, 0), (0, 10, 0), (10, 0, 0), (0, 10, 0)]
-    placed = sharding.place(items, 2)
+    import numpy as np
+
+    items = np.array([(10, 0, 0), (0, 10, 0), (10, 0, 0), (0, 10, 0)]) / 10
+    placed = sharding.place(items, np.ones((2, 3)))
     assert placed[0] != placed[2] and placed[1] != placed[3]
 
 
