@@ -1,21 +1,22 @@
 """URL rules indexed by their rarest literal token.
 
-A rule is a pattern over host + path. Each rule is filed under one of its literal tokens (the one that the fewest URLs
-hold); a URL's own tokens fetch the rules filed under them, and only those run their regular expressions. Everything
-is one projection over the pages, so no row is shuffled; the only aggregate counts the rules' tokens.
+A rule is a pattern over host + path. Rules are a table; each is filed under one of its literal tokens, the one that the
+fewest URLs hold. A URL's own tokens are joined with the index and so fetch candidate rules, and only those run their
+regular expressions. Nothing in the plan grows with the number of rules.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import scratch, small, written
+
 TOKEN = r"[a-z0-9]+"
-#: Rules in one lookup table; longer lists are looked up block by block.
-BLOCK = 2000
+#: Rules that are broadcast as a table of texts; more are joined by shuffle.
+RULES = 200_000
 
 
 @dataclass(frozen=True)
@@ -37,7 +38,8 @@ SITES = (
     Rule("com/fr/", "allow"),
     Rule("com/de/", "block"),
 )
-#: What decides where no site rule fits: patterns of hosts made for spam. A URL that none of them fits is allowed.
+#: The default of what decides where no site rule fits: patterns of hosts made for spam. A URL that none of them fits is
+#: allowed. Real lists of any length are given as a table.
 PATTERNS = tuple(
     Rule(text, "block", "pattern")
     for text in (
@@ -47,25 +49,24 @@ PATTERNS = tuple(
 )
 
 
-def regex(rule: Rule) -> str:
+def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
+    """The rules as a table: text, action, kind."""
+    return spark.createDataFrame([astuple(r) for r in rules], "text string, action string, kind string")
+
+
+def regex(text: Column, kind: Column) -> Column:
     """For rlike over host + path (pattern rules: in lower case)."""
-    quote = lambda s: re.sub(r"([^A-Za-z0-9/_])", r"\\\1", s)
-    if rule.kind == "site":
-        return "^(?:[^/]*\\.)?" + quote(rule.text)
-    parts = re.split(r"([*^])", rule.text)
-    return "(?s)" + "".join({"*": ".*", "^": "(?:^|$|[^a-z0-9_.%-])"}.get(p, quote(p)) for p in parts)
+    site = F.concat(F.lit(r"^(?:[^/]*\.)?"), F.regexp_replace(text, r"([^A-Za-z0-9/_])", r"\\$1"))
+    other = F.regexp_replace(text, r"([^A-Za-z0-9/_*^])", r"\\$1")
+    other = F.replace(F.replace(other, F.lit("^"), F.lit("(?:^|$|[^a-z0-9_.%-])")), F.lit("*"), F.lit(".*"))
+    return F.when(kind == "site", site).otherwise(F.concat(F.lit("(?s)"), other))
 
 
-def literal_tokens(rule: Rule) -> list[str]:
+def literal_tokens(text: Column, kind: Column) -> Column:
     """Tokens that every URL fitting the rule holds whole: those bounded on both sides by a literal or an anchor."""
-    text = rule.text.lower()
-    found = []
-    for m in re.finditer(TOKEN, text):
-        left = m.start() > 0 and text[m.start() - 1] != "*"
-        right = m.end() < len(text) and text[m.end()] != "*"
-        if (left or (m.start() == 0 and rule.kind == "site")) and right:
-            found.append(m.group())
-    return sorted(set(found))
+    inner = F.regexp_extract_all(F.lower(text), F.lit(r"(?<=[^*a-z0-9])[a-z0-9]+(?=[^*a-z0-9])"), F.lit(0))
+    first = F.regexp_extract_all(F.lower(text), F.lit(r"^[a-z0-9]+(?=[^*a-z0-9])"), F.lit(0))
+    return F.array_distinct(F.when(kind == "site", F.concat(first, inner)).otherwise(inner))
 
 
 def host(url: Column) -> Column:
@@ -79,74 +80,60 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def rarities(places: DataFrame, tokens: list[str]) -> dict[str, int]:
-    """How many URLs (column place: host + path in lower case) hold each of the rules' tokens."""
-    found = places.select(F.explode(F.array_distinct(F.regexp_extract_all("place", F.lit(TOKEN), F.lit(0)))).alias("k"))
-    rows = found.filter(F.col("k").isin(tokens)).groupBy("k").count().collect()  # a row for each of the rules' tokens
-    return {x["k"]: x["count"] for x in rows}
-
-
-def filed(rules: tuple[Rule, ...], counts: dict[str, int]) -> dict[str, list[Rule]]:
-    """The rules by rarest literal token; those without one under the empty string, which every URL fetches."""
-    index: dict[str, list[Rule]] = {}
-    for rule in rules:
-        own = literal_tokens(rule)
-        index.setdefault(min(own, key=lambda t: (counts.get(t, 0), -len(t), t), default=""), []).append(rule)
-    return index
-
-
-def _looked_up(index: dict[str, list[Rule]], tokens: Column, exact: Column, lower: Column) -> Column:
-    """The longest of the fetched rules that fits (then the first text): struct<length, text, action>, or null."""
-    entry = "array<struct<length:int,text:string,action:string,site:boolean,regex:string>>"
-    pairs = []
-    for key, rules in sorted(index.items()):
-        values = [
-            F.struct(
-                F.lit(len(r.text)).alias("length"), F.lit(r.text).alias("text"), F.lit(r.action).alias("action"),
-                F.lit(r.kind == "site").alias("site"), F.lit(regex(r)).alias("regex"),
-            )
-            for r in rules
-        ]
-        pairs += [F.lit(key), F.array(*values).cast(entry)]
-    table = F.create_map(*pairs)
-    keys = F.array_intersect(F.array_distinct(F.concat(tokens, F.array(F.lit("")))), F.array(*pairs[::2]))
-    fetched = F.flatten(F.transform(keys, lambda k: F.element_at(table, k)))
-    fits = F.filter(
-        fetched, lambda r: F.expr("true") & F.when(r["site"], F.regexp(exact, r["regex"])).otherwise(F.regexp(lower, r["regex"]))
+def prepared(rules: DataFrame) -> DataFrame:
+    """rule_no, text, action, site, regex and tokens of each distinct rule (text, action, kind) that has all three, written."""
+    every = rules.select("text", "action", "kind").dropna().distinct()
+    found = every.select(
+        F.monotonically_increasing_id().alias("rule_no"), "text", "action", (F.col("kind") == "site").alias("site"),
+        regex(F.col("text"), F.col("kind")).alias("regex"), literal_tokens(F.col("text"), F.col("kind")).alias("tokens"),
+    )
+    return written(found, "url-rules")
+
+
+def filed(rules: DataFrame, held: DataFrame) -> DataFrame:
+    """rules with token, the one of their tokens that the fewest URLs hold (held: token, n), ties to the longest, then the
+    first; rules without one under the empty string, which every URL fetches."""
+    each = rules.select("rule_no", F.explode("tokens").alias("token")).join(held, "token", "left")
+    best = each.groupBy("rule_no").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), -F.length("token"), "token"))["token"].alias("token"))
+    return rules.drop("tokens").join(best, "rule_no", "left").withColumn("token", F.coalesce("token", F.lit("")))
+
+
+def fitting(places: DataFrame, rules: DataFrame) -> DataFrame:
+    """page_no with site and match, structs of text and action: the longest rule (then the last text) of each kind that
+    fits, for the places (page_no, exact, place, tokens) that any rule fits. Written."""
+    each = places.select("page_no", "exact", "place", F.explode("tokens").alias("token"))
+    names = written(rules.select(F.explode("tokens").alias("token")).distinct(), "url-tokens")
+    # partial counts; a row for each of the rules' tokens
+    held = written(each.select("token").join(small(names), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n")), "url-held")
+    index = small(written(filed(rules, held), "url-index"), RULES)
+    pairs = each.join(index, "token")
+    fits = pairs.filter(F.when(F.col("site"), F.regexp(F.col("exact"), F.col("regex"))).otherwise(F.regexp(F.col("place"), F.col("regex"))))
+    rank = F.struct(F.length("text").alias("length"), "text", "action")
+    return written(
+        fits.groupBy("page_no").agg(F.max(F.when(F.col("site"), rank)).alias("site"), F.max(F.when(~F.col("site"), rank)).alias("match")), "url-fits"
     )
-    return F.array_max(F.transform(fits, lambda r: F.struct(r["length"], r["text"], r["action"])))
 
 
-def decision(rules: tuple[Rule, ...], counts: dict[str, int], tokens: Column, exact: Column, lower: Column) -> Column:
-    """The longest fitting rule of all blocks; null if there is none."""
-    blocks = [
-        _looked_up(filed(rules[i : i + BLOCK], counts), tokens, exact, lower) for i in range(0, len(rules), BLOCK)
-    ]
-    if not blocks:
-        return F.lit(None).cast("struct<length:int,text:string,action:string>")
-    return F.array_max(F.array(*blocks))
+def judged(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """page_id, url, host, path, rule, verdict, pattern for each row of pages; rules: text, action, kind (see Rule), by
+    default SITES and PATTERNS.
 
-
-def judged(pages: DataFrame, sites: tuple[Rule, ...] = SITES, patterns: tuple[Rule, ...] = PATTERNS) -> DataFrame:
-    """page_id, url, host, path, rule, verdict, pattern for each row of pages.
-
-    The longest fitting site rule decides, else the longest fitting pattern, else the page is allowed. A null URL, or
-    one without ://, has an empty host and path and is allowed. Rows are judged one by one, so ties, repeated rows and
-    empty tables need no care; extra columns are ignored. Rule lists are configuration, held in the plan.
+    The longest fitting site rule decides, else the longest fitting pattern, else the page is allowed; ties in length go to
+    the last text. A null URL, or one without ://, has an empty host and path and is allowed. Rules with a null are none,
+    and repeated ones count once. Repeated rows are judged each; an empty table gives an empty result. Extra columns
+    are ignored.
     """
-    base = pages.select(pages["page_id"], pages["url"], host(pages["url"]).alias("host"), path(pages["url"]).alias("path"))
-    base = base.withColumn("place", F.lower(F.concat("host", "path")))
-    every = sorted({t for r in (*sites, *patterns) for t in literal_tokens(r)})
-    counts = rarities(base.select("place"), every)
-    tokens = F.regexp_extract_all("place", F.lit(TOKEN), F.lit(0))
-    exact = F.concat("host", "path")
-    found = base.withColumns(
-        {
-            "site": decision(sites, counts, tokens, exact, F.col("place")),
-            "match": decision(patterns, counts, tokens, exact, F.col("place")),
-        }
-    )
-    return found.select(
-        "page_id", "url", "host", "path", F.col("site.text").alias("rule"),
-        F.coalesce("site.action", "match.action", F.lit("allow")).alias("verdict"), F.col("match.text").alias("pattern"),
-    )
+    spark = pages.sparkSession
+    rules = rule_table(spark, (*SITES, *PATTERNS)) if rules is None else rules
+    with scratch(spark) as tables:
+        base = pages.select(F.monotonically_increasing_id().alias("page_no"), pages["page_id"], pages["url"], host(pages["url"]).alias("host"), path(pages["url"]).alias("path"))
+        base = written(base, "url-places")  # written before it is read, so page_no stays a row's own
+        place = F.lower(F.concat("host", "path"))
+        tokens = F.array_distinct(F.concat(F.regexp_extract_all(place, F.lit(TOKEN), F.lit(0)), F.array(F.lit(""))))
+        found = fitting(base.select("page_no", F.concat("host", "path").alias("exact"), place.alias("place"), tokens.alias("tokens")), prepared(rules))
+        out = base.join(small(found, 200_000), "page_no", "left").select(
+            "page_id", "url", "host", "path", F.col("site.text").alias("rule"),
+            F.coalesce("site.action", "match.action", F.lit("allow")).alias("verdict"), F.col("match.text").alias("pattern"),
+        )
+        tables.keep(base, found)
+    return out

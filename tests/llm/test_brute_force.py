@@ -380,11 +380,47 @@ def test_targets(spark, sizes):
     assert got == pytest.approx(water(sizes))
 
 
-def test_rarest_tokens():
-    rule = urlfilter.Rule("example.org/en/1", "block")
-    assert urlfilter.literal_tokens(rule) == ["en", "example", "org"]
-    assert list(urlfilter.filed((rule,), {"en": 9, "example": 2, "org": 5})) == ["example"]
-    assert urlfilter.literal_tokens(urlfilter.Rule("*shop-now*x", "block", "pattern")) == []
+def test_rarest_tokens(spark):
+    texts = {"example.org/en/1": ("site", ["example", "org", "en"]), "*shop-now*x": ("pattern", []), "a.b^c": ("pattern", ["b"]), "com/": ("site", ["com"])}
+    rules = urlfilter.prepared(spark.createDataFrame([(t, "block", k) for t, (k, _) in texts.items()], "text string, action string, kind string"))
+    assert {r["text"]: r["tokens"] for r in rules.collect()} == {t: x for t, (_, x) in texts.items()}
+    held = spark.createDataFrame([("en", 9), ("example", 2), ("org", 5)], "token string, n long")
+    found = {r["text"]: r["token"] for r in urlfilter.filed(rules, held).collect()}
+    assert found == {"example.org/en/1": "example", "*shop-now*x": "", "a.b^c": "b", "com/": "com"}
+
+
+def plainly_judged(url, rules):
+    """(rule, verdict, pattern) of a URL by trying all rules."""
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = (low(m[1]), m[2]) if m else ("", "")
+    place, best = (host + path).lower(), {}
+    for text, action, kind in rules:
+        if kind == "site":
+            name, _, rest = text.partition("/")
+            fits = (host == name or host.endswith("." + name)) and path.startswith("/" + rest)
+        else:
+            shape = "".join({"*": ".*", "^": "(?:^|$|[^a-z0-9_.%-])"}.get(c, re.escape(c)) for c in text)
+            fits = re.search("(?s)" + shape, place)
+        if fits:
+            best[kind] = max(best.get(kind, (-1, "", "")), (len(text), text, action))
+    decided = best.get("site") or best.get("pattern")
+    return (best["site"][1] if "site" in best else None, decided[2] if decided else "allow", best["pattern"][1] if "pattern" in best else None)
+
+
+def test_many_url_rules(spark):
+    """Hundreds of overlapping rules, given as a table, against trying each on each URL."""
+    rng = random.Random(9)
+    names = ["shop", "news", "en", "de", "a1", "x", "cheap-pills"]
+    host = lambda n: ".".join(rng.choice(names) for _ in range(n)) + rng.choice((".com", ".org"))
+    trail = lambda: "/" + "/".join(rng.choice([*names, "EN", "7_b%"]) for _ in range(rng.randint(0, 3)))
+    rules = {(host(rng.randint(0, 2)).lstrip(".") + trail(), rng.choice(("allow", "block")), "site") for _ in range(300)}
+    rules |= {("".join(rng.choice([*names, "*", "^", ".", "-", "/"]) for _ in range(rng.randint(1, 5))), "block", "pattern") for _ in range(300)}
+    rules = [r for n, r in enumerate(sorted(rules)) if n == 0 or r[0] != sorted(rules)[n - 1][0]]
+    urls = [f"{rng.choice(('http', 'HTTPS'))}://{host(rng.randint(1, 3))}{trail()}{rng.choice(('', '?q=en', '#x'))}" for _ in range(400)] + [None, "", "en/de", "://"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame([*rules, ("org/", None, "site")], "text string, action string, kind string")
+    for r in urlfilter.judged(pages, table).collect():
+        assert (r["rule"], r["verdict"], r["pattern"]) == plainly_judged(r["url"], rules), r["url"]
 
 
 def near_copies(texts):
