@@ -92,7 +92,7 @@ SELECT page_id, host, path, s.x.rule AS rule, coalesce(s.x.action, p.x.action, '
 FROM base LEFT JOIN s USING (n) LEFT JOIN p USING (n)"""
 
 
-_OP4_SQL = r"""
+_OP4_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS n, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
@@ -113,10 +113,22 @@ covered AS (
   SELECT n, count(DISTINCT at_) AS n_hit FROM (SELECT n, unnest(range(pos, pos + length_)) AS at_ FROM hits) GROUP BY n),
 ids AS (
   SELECT n, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS sha
-  FROM (SELECT DISTINCT n, item_id::VARCHAR AS i FROM hits) GROUP BY n)
+  FROM (SELECT DISTINCT n, item_id::VARCHAR AS i FROM hits) GROUP BY n),
+stands AS (SELECT n, unnest(w) AS t, unnest(range(0, len(w))) AS p FROM d),
+often AS (SELECT t, count(*) AS f FROM stands GROUP BY t),
+near_terms AS (
+  SELECT i, t FROM (SELECT DISTINCT i, unnest(w) AS t FROM (SELECT row_number() OVER () AS i, w FROM b)) LEFT JOIN often USING (t)
+  QUALIFY row_number() OVER (PARTITION BY i ORDER BY coalesce(f, 0), t) <= {decontam.NEAR_TERMS}),
+lists AS (SELECT i, count(*) AS c FROM near_terms GROUP BY i HAVING c > 1),
+listed AS (SELECT i, c, n, p, t FROM near_terms JOIN lists USING (i) JOIN stands USING (t)),
+near_ AS (
+  SELECT n, count(DISTINCT i) AS n_near FROM (
+    SELECT x.i, x.n FROM listed x JOIN listed y ON x.i = y.i AND x.n = y.n AND y.p BETWEEN x.p AND x.p + {decontam.NEAR - 1}
+    GROUP BY x.i, x.n, x.p, x.c HAVING count(DISTINCT y.t) = x.c) GROUP BY n)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered USING (n) LEFT JOIN ids USING (n)"""
+  coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN covered USING (n) LEFT JOIN ids USING (n) LEFT JOIN near_ USING (n)"""
 
 
 _OP5_SQL = r"""

@@ -173,7 +173,7 @@ def test_decontamination(spark, docs, rows):
         w = term.findall(low(i["text"]))
         for k in range(max(1, len(w) - 9)) if w else ():
             index[tuple(w[k : k + 10])].add(i["item_id"])
-    got = {r["doc_id"]: tuple(r)[1:] for r in decontam.contamination(docs, items).collect()}
+    got = {r["doc_id"]: tuple(r)[1:6] for r in decontam.contamination(docs, items).collect()}
     clean = {r["doc_id"] for r in decontam.clean(docs, items).collect()}
     for r in rows:
         w = term.findall(low(r["text"]))
@@ -189,10 +189,46 @@ def test_decontamination(spark, docs, rows):
 
 
 def test_proximity(spark):
-    df = decontam.keyed(spark.createDataFrame([(1, "a x x b x c"), (2, "c b a"), (3, "a x x x x x b c"), (4, "b")], "doc_id long, text string"))
-    asked = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["b"])], "query_id long, terms array<string>")
-    got = {(r["query_id"], r["doc_id"], r["pos"]) for r in decontam.proximity_hits(df, asked, 6).collect()}
-    assert got == {(1, 1, 0), (1, 2, 0), (2, 1, 3), (2, 2, 1), (2, 3, 6), (2, 4, 0)}
+    texts = [(1, "a x x b x c"), (2, "c b a"), (3, "a x x x x x b c"), (4, "b"), (4, "b"), (5, None), (6, ""), (None, "c b a")]
+    df = decontam.keyed(spark.createDataFrame(texts, "doc_id long, text string"))
+    asked = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["b"]), (3, [None]), (4, []), (1, ["c", "a", "b", None])], "query_id long, terms array<string>")
+    got = [(r["query_id"], r["doc_id"], r["pos"]) for r in decontam.proximity_hits(df, asked, 6).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, 0), (1, 2, 0), (1, None, 0), (2, 1, 3), (2, 2, 1), (2, 3, 6), (2, 4, 0), (2, None, 1)], key=str)
+    assert decontam.proximity_hits(df.limit(0), asked, 6).count() == decontam.proximity_hits(df, asked.limit(0), 6).count() == 0
+
+
+def test_proximity_equals_brute_force(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 90))) for _ in range(60)]
+    asked = [sorted({rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))}) for _ in range(12)]
+    expected = set()
+    for d, text in enumerate(texts):
+        w = text.split()
+        for q, need in enumerate(asked):
+            expected |= {(q, d, i) for i in range(len(w)) if w[i] in need and set(need) <= set(w[i : i + 7])}
+    df = decontam.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found = decontam.proximity_hits(df, spark.createDataFrame(list(enumerate(asked)), "query_id long, terms array<string>"), 7).collect()
+    assert {(r["query_id"], r["doc_id"], r["pos"]) for r in found} == expected and len(found) == len(expected)
+
+
+def test_near_items(docs, rows, spark):
+    """n_near by trying every span of every text."""
+    term = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    items = [(i["item_id"], term.findall(low(i["text"]))) for i in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
+    words = {r["doc_id"]: term.findall(low(r["text"])) for r in rows}
+    n = Counter(w for x in words.values() for w in x)
+    got = {r["doc_id"]: r["n_near"] for r in decontam.contamination(docs, spark.read.parquet(f"{DIR}/benchmark.parquet")).collect()}
+    asked = {(i, tuple(w)): sorted(set(w), key=lambda t: (n[t], t.encode()))[: decontam.NEAR_TERMS] for i, w in items}
+    for d, w in words.items():
+        places = defaultdict(list)
+        for i, t in enumerate(w):
+            places[t].append(i)
+        near = 0
+        for need in asked.values():
+            starts = [i for t in need for i in places[t]]
+            near += len(need) > 1 and any(all(any(i <= j < i + decontam.NEAR for j in places[t]) for t in need) for i in starts)
+        assert got[d] == near
+    assert sum(got.values()) > 0
 
 
 def components(texts):
