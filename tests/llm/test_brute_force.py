@@ -354,17 +354,69 @@ def test_language_model(docs, rows):
         assert g["base_score"] == pytest.approx(base, rel=1e-9) and g["score"] < 0
 
 
-def test_lattice_sums_all_segmentations():
-    lattice = lm.Lattice(lm.VOCABULARY, {i: i % 7 for i in range(32_000)}, 5)
+def every_way(lattice, text):
+    """All segmentations of a text: (probability, pieces) of each, bytes where a character is no piece."""
+    of = lattice.of
+    if not text:
+        return [(1.0, ())]
+    firsts = [(math.exp(lattice.log[of.pieces[text[:k]]]), k, (of.pieces[text[:k]],)) for k in range(1, len(text) + 1) if text[:k] in of.pieces]
+    if text[0] not in of.pieces:
+        firsts.append((math.exp(lattice.of_character(text[0])), 1, tuple(of.bytes[b] for b in text[0].encode("utf-8", "replace"))))
+    return [(p * q, x + y) for p, k, x in firsts for q, y in every_way(lattice, text[k:])]
 
-    def every(text):
-        if not text:
-            return 1.0
-        p = sum(math.exp(lattice.pieces[text[:k]]) * every(text[k:]) for k in range(1, len(text) + 1) if text[:k] in lattice.pieces)
-        return p if text[0] in lattice.pieces else p + math.exp(lattice.of_character(text[0])) * every(text[1:])
 
-    for word in ("the", "nation", "straße", "日本語", "x\u0378y", "", "aaaaaaa"):
-        assert lattice.log_probability(word) == pytest.approx(math.log(every(lm.MARK + word)), rel=1e-9)
+def test_lattice_sums_all_segmentations():
+    lattice = lm.Lattice(lm.VOCABULARY, {i: i % 7 for i in range(32_000)}, 5)
+    words = ["the", "nation", "straße", "日本語", "x\u0378y", "", "aaaaaaa", "\ud800a"]
+    expected = [math.log(sum(p for p, _ in every_way(lattice, lm.MARK + w))) for w in words]
+    assert lattice.log_probabilities(words).tolist() == pytest.approx(expected, rel=1e-9)
+    assert lattice.log_probabilities([]).tolist() == [] and lattice.expected([], []).sum() == 0
+    times = list(range(1, len(words) + 1))
+    counts = Counter()
+    for w, n in zip(words, times, strict=True):
+        ways = every_way(lattice, lm.MARK + w)
+        for p, pieces in ways:
+            for x in pieces:
+                counts[x] += n * p / sum(q for q, _ in ways)
+    found = lattice.expected(words, times)
+    assert {i: found[i] for i in found.nonzero()[0]} == pytest.approx(counts, rel=1e-9)
+
+
+def test_document_scores_equal_brute_force(spark):
+    """Fits the weights and scores every text by listing all segmentations of each word."""
+    rng = random.Random(8)
+    words = ["the", "sea", "naïve", "ox", "go", "日本", "a", "zzz"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(40)] + [(90, None), (91, "unseen sea")]
+    train = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in (t or "").split())
+    ends = sum(1 for i, _ in rows if zlib.crc32(str(i).encode()) % 10)
+    model = (lm.Vocabulary(lm.VOCABULARY).first_counts(), 0.1, 1e-12)
+    for _ in range(lm.ROUNDS):
+        lattice, counts = lm.Lattice(lm.VOCABULARY, *model), Counter()
+        for w, n in train.items():
+            ways = every_way(lattice, lm.MARK + w)
+            for p, pieces in ways:
+                for x in pieces:
+                    counts[x] += n * p / sum(q for q, _ in ways)
+        model = (dict(counts), float(ends), lm.SMOOTH)
+    lattice = lm.Lattice(lm.VOCABULARY, *model)
+    assert math.exp(lattice.end) + sum(math.exp(x) for x in lattice.log if x > -math.inf) == pytest.approx(1)
+    for r in lm.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        own = (dict(rows)[r["doc_id"]] or "").split()
+        expected = lattice.end + sum(math.log(sum(p for p, _ in every_way(lattice, lm.MARK + w))) for w in own)
+        assert r["score"] == pytest.approx(expected / math.log(10), rel=1e-6)
+
+
+def test_fitting_raises_the_likelihood(spark):
+    """Held-out texts are likelier after each round than before."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    split = lambda hold: Counter(w for r in docs.collect() if (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0) == hold for w in low(r["text"]).split())
+    train, held = split(False), split(True)
+    df = spark.createDataFrame([(w.encode(), n) for w, n in train.items()], "word binary, c long")
+    found = []
+    for rounds in (0, 1, 2):
+        lattice = lm.Lattice(lm.VOCABULARY, *lm.fitted(df, 900, lm.VOCABULARY, rounds))
+        found.append(float((lattice.log_probabilities(list(held)) * list(held.values())).sum()))
+    assert found[0] < found[1] < found[2]
 
 
 def test_token_histogram(docs, rows):
