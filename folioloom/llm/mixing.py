@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small, word_count, written
+from .common import scratch, small, word_count, written
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, "mix-1"
-#: Characters of the hash's hex form that make a range of documents: 4096 ranges.
-PREFIX = 3
+#: Characters of the hash's hex form that make a range of documents, and a range within that: 4096 ranges of 4096 each.
+PREFIXES = (3, 6)
 #: Rounds in which smaller and smaller documents fill what is left of a target, and a key above all keys.
 ROUNDS, ABOVE = 3, "~"
 
@@ -32,35 +32,39 @@ def sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
     )
 
 
-def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """source, source_size with target. The water level in closed form: with the sources by cap over weight, the first
-    k are full and the others share the rest by weight, for the first k at which the next is not above its cap.
+def in_order(sources: DataFrame) -> DataFrame:
+    """sources with rank, from 1, by code point, null last; written. Sources are dealt by range and numbered within a range,
+    so no task gets all of them."""
+    first = F.col("source").asc_nulls_last()
+    dealt = written(sources.repartitionByRange(first).withColumn("range_no", F.spark_partition_id()), "mix-sources")
+    counts = dealt.groupBy("range_no").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = written(counts.select("range_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "mix-starts")
+    rank = (F.col("before") + F.row_number().over(Window.partitionBy("range_no").orderBy(first))).alias("rank")
+    return written(dealt.join(small(starts), "range_no").select("source", "source_size", rank), "mix-ranked")
 
-    One row for each source; a table of sources is small beside its documents, and one window ranks it.
-    """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
+
+def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """source, source_size with target. Sources that their share by weight would fill beyond cap times their size are
+    clamped there, and what they leave is shared by weight among the others, until none is above. The level, words for
+    each unit of weight, only rises, so a round is one sum over the sources."""
     cycle = F.array(*(F.lit(w) for w in weights))
-    ranked = sources.withColumn("rank", F.row_number().over(by_name))
-    weighed = ranked.withColumns(
+    weighed = in_order(sources).withColumns(
         {
             "weight": F.element_at(cycle, (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int")).cast("double"),
             "most": (F.col("source_size") * cap).cast("double"),
         }
     )
-    filling = Window.orderBy(F.col("most") / F.col("weight"), "rank")
-    before = filling.rowsBetween(Window.unboundedPreceding, -1)
-    onward = filling.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = Window.partitionBy()
-    levels = weighed.withColumn(
-        "level",
-        (F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(onward),
-    )
-    # the first source that stays under its cap sets the level of all after it
-    own = F.when(F.col("level") * F.col("weight") < F.col("most"), F.col("level"))
-    level = F.first(own, ignorenulls=True).over(filling.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return levels.withColumn("final", level).select(
-        "source", "source_size", F.coalesce(F.least(F.col("final") * F.col("weight"), F.col("most")), F.col("most")).alias("target")
-    )
+    level, share = None, F.lit(0.0)
+    while True:
+        full = F.lit(False) if level is None else share >= F.col("most")
+        held, free, every = weighed.agg(F.sum(F.when(full, F.col("most"))), F.sum(F.when(~full, F.col("weight"))), F.sum("source_size")).first()
+        now = (every - (held or 0.0)) / free if free else level
+        if now is None or now == level:
+            break
+        level, share = now, F.lit(now) * F.col("weight")
+    target = F.lit(0.0) if level is None else F.when(share >= F.col("most"), F.col("most")).otherwise(share)
+    return weighed.select("source", "source_size", target.alias("target"))
 
 
 def quotas(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -69,8 +73,9 @@ def quotas(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
     round's and not above last_r are taken once more.
 
     A round goes through the seeded order until the next document that fits the gap would overfill it; the next round
-    goes on from there with smaller documents. Words are summed by source and range of keys, and only the range in
-    which the gap closes is ordered by key, so a source of any size is never sorted in one task.
+    goes on from there with smaller documents. Words are summed by source and range of keys, then by the ranges within
+    the one in which the gap closes, and only the last such range, one of 16 million, is ordered by key. So a source of
+    any size is never sorted in one task.
     """
     totals = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = targets(written(totals, "mix-totals"), weights, cap)
@@ -79,27 +84,32 @@ def quotas(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
     whole = F.floor(ratio + 1e-9)
     rest = F.floor(F.greatest(F.lit(0.0), F.col("target") - whole * F.col("source_size")) + 1e-6).cast("long")
     quota = sources.withColumns({"whole": whole, "gap_1": rest, "last_0": F.lit("")})
-    part = F.substring("key", 1, PREFIX)
     for r in range(1, ROUNDS + 1):
         quota = written(quota, f"mix-quota-{r}")
         now = quota.select(F.col("source").alias("name"), F.col(f"gap_{r}").alias("gap"), F.col(f"last_{r - 1}").alias("last"))
         fits = slim.join(small(now.filter("gap > 0")), F.col("source").eqNullSafe(F.col("name")))
         fits = fits.filter((F.col("key") > F.col("last")) & (F.col("size") <= F.col("gap")) & (F.col("size") > 0))
-        sums = written(fits.groupBy("name", part.alias("part")).agg(F.sum("size").alias("words"), F.first("gap").alias("gap")), f"mix-ranges-{r}")
-        upto = F.sum("words").over(Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
-        sums = sums.withColumn("upto", upto)
-        # the first range that overfills
-        cut = sums.filter("upto > gap").groupBy("name").agg(F.min(F.struct("part", F.expr("upto - words AS start"))).alias("cut"))
-        cut = written(cut.select(F.col("name").alias("cut_name"), "cut.*"), f"mix-cuts-{r}")
-        edge = fits.join(small(cut), F.col("name").eqNullSafe(F.col("cut_name")) & (part == F.col("part")))
+        edge, full = fits.withColumn("start", F.lit(0).cast("long")), None
+        for n, length in enumerate(PREFIXES):
+            part = F.substring("key", 1, length).alias("part")
+            sums = edge.groupBy("name", part).agg(F.sum("size").alias("words"), F.first("gap").alias("gap"), F.first("start").alias("start"))
+            sums = written(sums, f"mix-ranges-{r}-{n}")
+            full = sums.groupBy("name").agg(F.sum("words").alias("all_words")) if full is None else full
+            upto = F.sum("words").over(Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+            # the first range that overfills, and the words before it
+            cut = sums.withColumn("upto", F.col("start") + upto).filter("upto > gap").groupBy("name")
+            cut = cut.agg(F.min(F.struct("part", (F.col("upto") - F.col("words")).alias("start"))).alias("cut"))
+            cut = written(cut.select(F.col("name").alias("cut_name"), F.col("cut.part").alias("cut_part"), F.col("cut.start").alias("cut_start")), f"mix-cuts-{r}-{n}")
+            edge = fits.join(small(cut), F.col("name").eqNullSafe(F.col("cut_name")) & (F.substring("key", 1, length) == F.col("cut_part")))
+            edge = edge.withColumn("start", F.col("cut_start")).drop("cut_name", "cut_part", "cut_start")
         edge = edge.groupBy("name", "key").agg(F.sum("size").alias("words"), F.first("start").alias("start"), F.first("gap").alias("gap"))
-        in_order = Window.partitionBy("name").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-        edge = edge.withColumn("upto", F.col("start") + F.sum("words").over(in_order))
+        along = Window.partitionBy("name").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+        edge = edge.withColumn("upto", F.col("start") + F.sum("words").over(along))
+        # with no key that fits, the last one is above the ranges before and below this range's keys
         ends = edge.groupBy("name").agg(
-            F.coalesce(F.max(F.expr("CASE WHEN upto <= gap THEN key END")), part_below(F.min("key"))).alias("last"),
+            F.coalesce(F.max(F.expr("CASE WHEN upto <= gap THEN key END")), F.substring(F.min("key"), 1, PREFIXES[-1])).alias("last"),
             F.coalesce(F.max(F.expr("CASE WHEN upto <= gap THEN upto END")), F.first("start")).alias("words"),
         )
-        full = sums.groupBy("name").agg(F.sum("words").alias("all_words"))
         found = full.join(ends.withColumnRenamed("name", "end_name"), F.col("name").eqNullSafe(F.col("end_name")), "left")
         found = found.select("name", F.coalesce("last", F.lit(ABOVE)).alias(f"last_{r}"), F.coalesce("words", "all_words").alias("words"))
         quota = quota.join(found, F.col("source").eqNullSafe(F.col("name")), "left").withColumns(
@@ -112,11 +122,6 @@ def quotas(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
     return written(quota, "mix-quotas")
 
 
-def part_below(key):
-    """Above all keys of the ranges before that of key, and below all keys of its own."""
-    return F.substring(key, 1, PREFIX)
-
-
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken and times of each row of docs.
 
@@ -124,13 +129,17 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, s
     a source share a place in the order and are taken together. An empty table gives an empty result; a source without
     words has target 0. Extra columns are ignored. The same rows and seed give the same result.
     """
-    slim = written(sizes(docs, seed), "mix-rows")
-    quota = small(quotas(slim, weights, cap).withColumnRenamed("source", "name"))
-    out = slim.join(quota, F.col("source").eqNullSafe(F.col("name")))
-    times = times_taken()
-    return out.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"), times.cast("int").alias("times")
-    )
+    with scratch(docs.sparkSession) as tables:
+        slim = written(sizes(docs, seed), "mix-rows")
+        quota = small(quotas(slim, weights, cap).withColumnRenamed("source", "name"))
+        out = slim.join(quota, F.col("source").eqNullSafe(F.col("name")))
+        times = times_taken()
+        out = out.select(
+            "doc_id", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"), times.cast("int").alias("times")
+        )
+        out = written(out, "mix-taken")
+        tables.keep(out)
+    return out
 
 
 def times_taken():
@@ -142,8 +151,12 @@ def times_taken():
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """The rows of docs, with their columns, each as often as the mix takes it. Texts aren't shuffled."""
-    quota = small(quotas(written(sizes(docs, seed), "mix-rows"), weights, cap).withColumnRenamed("source", "name"))
+    """The rows of docs, with their columns, each as often as the mix takes it; nulls, repeats and empty tables as in
+    mixed(). Texts aren't shuffled."""
+    with scratch(docs.sparkSession) as tables:
+        quota = quotas(written(sizes(docs, seed), "mix-rows"), weights, cap)
+        tables.keep(quota)
+    quota = small(quota).withColumnRenamed("source", "name")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("own_row"), docs["source"], order_key(docs["doc_id"], seed).alias("key"), word_count(docs["text"]).alias("size"))
     rows = rows.join(quota, F.col("source").eqNullSafe(F.col("name"))).withColumn("times", times_taken().cast("int"))
     copies = rows.filter("times > 0").select("own_row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
