@@ -128,15 +128,61 @@ def test_quality_base(docs, rows):
         assert g["base_failed"] == (len(w) < 20 or 100 * len(inside) > 30 * len(w)) and not (g["base_failed"] and g["kept"])
 
 
+def plainly_kept(text):
+    """(ratio, chunks, bad chunks, verdict without the base rule) restated."""
+    import zstandard
+
+    size = lambda x: len(zstandard.compress(x, quality.LEVEL)) / len(x)
+    data = (text or "").encode()
+
+    def limits(x):
+        wide = 16 * sum(0x80 <= b < 0xC0 for b in x) >= len(x)
+        low, high, wider = [b[1:] for b in quality.BANDS if b[0] <= len(x)][-1]
+        return low, wider if wide else high
+
+    parts, at = [], 0
+    while at < len(data) or not parts:
+        end = at + 4096 if at + 4096 <= len(data) else len(data)
+        parts.append(data[at:end])
+        at = max(end, 1)
+    if len(parts) > 1 and len(parts[-1]) < 1024:
+        parts[-2:] = [parts[-2] + parts[-1]]
+    bad = sum(not 0.20 <= size(x) <= limits(x)[1] for x in parts) if len(data) >= 4096 else 0
+    ratio = size(data) if data else 0.0
+    low, high = limits(data)
+    return ratio, len(parts), bad, low <= ratio <= high and 4 * bad <= len(parts)
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    """ratio, n_chunks, n_bad_chunks and kept of every text of sf0.01, and of texts at the chunks' edges."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rng = random.Random(2)
+    edges = [(10**6 + n, " ".join(rng.choice(("sea", "ship", "wind", "old", "x" * (n % 7))) + str(rng.randint(0, 999)) for _ in range(n))[:n]) for n in (1, 159, 160, 4095, 4096, 5119, 5120, 8192, 9215, 9216, 70_000)]
+    edges += [(2 * 10**6, None), (2 * 10**6 + 1, ""), (2 * 10**6 + 2, "바다" * 3000)]
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789   ", k=n))
+    edges += [(3 * 10**6 + n, ("the sea and the old ship " if n % 2 else "") * (n // 200) + noise(n)) for n in range(300, 12_000, 600)]
+    every = docs.union(spark.createDataFrame(edges, "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] for r in every.collect()}
+    verdicts = Counter()
+    for r in quality.verdicts(every).collect():
+        ratio, parts, bad, good = plainly_kept(texts[r["doc_id"]])
+        assert (r["n_chunks"], r["n_bad_chunks"], r["kept"]) == (parts, bad, good and not r["base_failed"]), r
+        assert r["ratio"] == pytest.approx(ratio, abs=1e-12)
+        verdicts[r["kept"], r["base_failed"]] += 1
+    assert min(verdicts[True, False], verdicts[False, False], verdicts[False, True]) > 10
+    kept = {r["doc_id"] for r in quality.keep(every).collect()}
+    assert len(kept) == verdicts[True, False] and kept == {r["doc_id"] for r in quality.verdicts(every).filter("kept").collect()}
+
+
 def test_quality_bands(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
     prose = " ".join(word() for _ in range(400))
-    noise = " ".join("".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(30)) for _ in range(60))
+    noise = " ".join("".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(30)) for _ in range(200))
     repeated = " ".join(f"{x} {x} {x} {x} {x} {x} {x}" for x in (word() for _ in range(40)))
     df = spark.createDataFrame([(1, prose), (2, repeated), (3, prose + " " + noise)], "doc_id long, text string")
     got = {r["doc_id"]: r["kept"] for r in quality.verdicts(df).collect()}
-    assert got[1] and not got[2]
+    assert got == {1: True, 2: False, 3: False}
 
 
 def test_quality_rejects_noise(docs):
@@ -331,6 +377,35 @@ def test_language_profiles(docs, rows):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def plain_grams(text):
+    """Counts of a text's n-grams of one to three characters, runs of other characters than letters being one mark."""
+    marked = re.sub("\1+", "\1", "\1" + "".join(c if c.isalpha() else "\1" for c in text.lower()) + "\1")
+    return Counter(marked[i : i + k] for k in (1, 2, 3) for i in range(len(marked) - k + 1) if marked[i : i + k] != "\1")
+
+
+def test_languages_equal_brute_force(spark):
+    """Every prediction and score, from ranks restated; ties between n-grams and between languages included."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "lang", "text")
+    more = [(5001, "xx", "ab ab"), (5002, "yy", "ab ab"), (5003, None, "ab"), (5004, "en", None), (5005, None, "123 !"), (5006, "zz", ""), (5007, "xx", "ab ab"), (5008, "yy", "ab ab"), (5009, "xx", "ab ab"), (5010, "yy", "ab ab")]
+    every = docs.union(spark.createDataFrame(more, "doc_id long, lang string, text string"))
+    number = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    first = lambda counts: sorted(counts, key=lambda g: (-counts[g], number(g)))[: langid.PROFILE]
+    rows, of = every.collect(), defaultdict(Counter)
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None and r["text"] is not None:
+            of[r["lang"]].update(plain_grams(r["text"]))
+    ranks = {lang: {g: i for i, g in enumerate(first(counts))} for lang, counts in of.items() if counts}
+    expected = {}
+    for r in rows:
+        own = first(plain_grams(r["text"] or ""))
+        off = {lang: sum(min(abs(at.get(g, 10**9) - i), langid.PROFILE) for i, g in enumerate(own)) for lang, at in ranks.items()}
+        best = min(sorted(off), key=off.get)
+        expected[r["doc_id"]] = (best, 1 - off[best] / (langid.PROFILE * len(own))) if any(c.isalpha() for c in r["text"] or "") else ("und", 0.0)
+    for r in langid.predicted(every).collect():
+        assert (r["lang_pred"], r["score"]) == (expected[r["doc_id"]][0], pytest.approx(expected[r["doc_id"]][1])), r
+    assert expected[5003][0] == "xx"
+
+
 @pytest.mark.parametrize("part", [3, 7, 10**6])
 def test_grams(monkeypatch, part):
     monkeypatch.setattr(langid, "PART", part)
