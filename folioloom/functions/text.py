@@ -39,19 +39,32 @@ def sentences(text: Column) -> Column:
     return F.split(text, SENTENCE_END)
 
 
-def share_of(kept: Column, whole: Column) -> Column:
-    return F.length(kept) / F.greatest(F.length(whole), F.lit(1))
+def counted(terms: Column) -> Column:
+    """array<struct<term, n>> of an array's distinct values: it is sorted, and each run of one value counted, in its row."""
+
+    def of_sorted(s: Column) -> Column:
+        every = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.array(F.filter(every, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))), lambda starts: of_runs(s, starts))[0]
+
+    def of_runs(s: Column, starts: Column) -> Column:
+        return F.transform(starts, lambda at, j: F.struct(F.get(s, at).alias("term"), (F.coalesce(F.get(starts, j + 1), F.size(s)) - at).alias("n")))
+
+    return F.transform(F.array(F.array_sort(terms)), of_sorted)[0]
+
+
+def share(n: Column, text: Column) -> Column:
+    """n characters as a part of a text's."""
+    return n / F.greatest(F.length(text), F.lit(1))
 
 
 def detect_lang(text: Column) -> Column:
     """'ko' from 15 % Hangul among all characters, else 'en'."""
-    hangul = F.regexp_replace(text, f"[^{HANGUL[1:]}", "")
-    return F.when(share_of(hangul, text) >= 0.15, "ko").otherwise("en")
+    return F.when(share(F.regexp_count(text, F.lit(HANGUL)), text) >= 0.15, "ko").otherwise("en")
 
 
 def hangul_share(text: Column) -> Column:
     """Hangul among the characters that aren't white space."""
-    return share_of(F.regexp_replace(text, f"[^{HANGUL[1:]}", ""), F.regexp_replace(text, r"\s", ""))
+    return F.regexp_count(text, F.lit(HANGUL)) / F.greatest(F.regexp_count(text, F.lit(r"\S")), F.lit(1))
 
 
 def overlap_score(query_words: Column, text: Column) -> Column:
@@ -60,17 +73,22 @@ def overlap_score(query_words: Column, text: Column) -> Column:
     return F.size(F.array_intersect(own, query_words)) / F.greatest(F.size(own), F.lit(1))
 
 
+# Spaces between Hangul letters, and numbering before a heading.
+BETWEEN_HANGUL = r"(?<=[가-힣])\s+(?=[가-힣])"
+NUMBERING = r"^\s*(?:\d+(?:\.\d+)*[\.\)]?\s*)+"
+
+
 def match_text(text: Column) -> Column:
     """White space collapsed, and none between Hangul letters."""
-    return F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"(?<=[가-힣])\s+(?=[가-힣])", "")
+    return F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), BETWEEN_HANGUL, "")
 
 
 def without_numbering(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"^\s*(?:\d+(?:\.\d+)*[\.\)]?\s*)+", ""))
+    return F.trim(F.regexp_replace(text, NUMBERING, ""))
 
 
 def math_density(text: Column) -> Column:
-    return share_of(F.regexp_replace(text, f"[^{MATH_CHARS}]", ""), text)
+    return share(F.length(text) - F.length(F.translate(text, MATH_CHARS, "")), text)
 
 
 def numbers(text: Column) -> Column:
@@ -81,7 +99,8 @@ def numbers(text: Column) -> Column:
 
 
 def is_ascii(text: Column) -> Column:
-    return text.rlike(r"^[\x00-\x7F\s]*$")
+    """Whether every character is one byte in UTF-8."""
+    return F.octet_length(text) == F.length(text)
 
 
 def cosine(a: Column, b: Column) -> Column:

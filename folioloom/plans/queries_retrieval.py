@@ -91,7 +91,7 @@ def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {TF} SELECT term, df FROM df")
 def doc_freqs(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.document_frequencies(retrieval.postings(table(spark, d, "documents")))
+    return retrieval.terms_of_documents(table(spark, d, "documents"))
 
 
 @query(f"WITH {TF} SELECT doc, term, tf, dl::INT AS dl FROM tf JOIN dl USING (doc)")
@@ -216,10 +216,10 @@ def truncate_budget(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rf"""WITH {_bm25(_BENCH, 5)}
 SELECT query, string_agg('[' || (rank + 1) || '] ' || doc || ' - ' || lang || ' (p.' || (doc % 7) || ')', chr(10) ORDER BY rank) AS sources,
-  string_agg(substr(text, 1, 40), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
+  string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
 FROM bm JOIN documents ON doc_id = doc GROUP BY query""")
 def context_and_sources(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.substring("text", 1, 40).alias("text"), F.col("lang").alias("section"), (F.col("doc_id") % 7).alias("page"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text", F.col("lang").alias("section"), (F.col("doc_id") % 7).alias("page"))
     hits = benchmark_hits(spark, d, 5).join(docs, "doc")
     return context.source_lines(hits, order="rank").join(context.joined(hits, "query", "rank", "text"), "query")
 
