@@ -193,11 +193,6 @@ def query_sets(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("ground_truth", F.when(F.coalesce(placeholder, F.lit(True)), "").otherwise(F.col("ground_truth")))
 
 
-def store_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunks as Parquet, a folder for each collection; only the collections written are replaced."""
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
-
-
 def answer_sections(texts: DataFrame) -> DataFrame:
     """doc, section_no, title, body of answers (doc, text): split at # headings or bold numbered lines, marks removed."""
     each = texts.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from folioloom.functions import text as T
 from folioloom.operators import chunking
+from folioloom.operators.tables import materialized, scratch
+from folioloom.sources import store
 
 #: Requests a minute by kind.
 LIMITS = {"query": 200, "stream": 200, "judge": 600, "upload": 5, "register": 3, "login": 10, "refresh": 30}
@@ -50,27 +56,78 @@ def over_limit(counts: DataFrame, limit: int) -> DataFrame:
     return counts.filter(F.col("n") > limit)
 
 
-def waiting(requests: DataFrame, seconds: float = 29.0) -> DataFrame:
-    """requests (worker, request_id, arrived, duration) through one worker in order of arrival: a replay of the queue's gate cannot
-    be a plain window, as a refused request takes no time; each is folded in turn."""
-    rows = F.array_sort(F.collect_list(F.struct("arrived", "request_id", "duration")))
-    zero = F.struct(F.lit(0.0).alias("free"), F.array().cast("array<struct<request_id:bigint,start:double,accepted:boolean>>").alias("out"))
-
-    def step(s, r):
-        start = F.greatest(s["free"], r["arrived"])
-        ok = start - r["arrived"] <= seconds
-        row = F.struct(r["request_id"].cast("bigint").alias("request_id"), start.alias("start"), ok.alias("accepted"))
-        return F.struct(F.when(ok, start + r["duration"]).otherwise(s["free"]).alias("free"), F.array_append(s["out"], row).alias("out"))
-
-    return requests.groupBy("worker").agg(F.aggregate(rows, zero, step)["out"].alias("out")).select("worker", F.inline("out"))
-
-
-def ingest(texts: DataFrame, path: str, checkpoint: str):
-    """A streaming query that chunks arriving documents (doc, collection, section, page, text) and writes each batch's
-    collections. A document that arrives again within a batch counts once; a rerun of a batch overwrites its own files."""
-
-    def store(batch: DataFrame, number: int) -> None:
-        rows = chunking.windows(batch.dropDuplicates(["collection", "doc"]))
-        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return texts.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+#: State of a worker between batches: when it is free.
+_FREE = "free double"
+_GATED = "worker long, request_id long, start double, accepted boolean, reason string"
+
+
+def gated(requests: list[tuple[float, int, float]], free: float, seconds: float, longest: float) -> tuple[list[tuple], float]:
+    """(request_id, start, accepted, reason) of a worker's requests (arrived, request_id, duration) in order, and when it is
+    free after them. A request that would wait for over `seconds` is refused and takes no time; one that runs for over
+    `longest` seconds is stopped then."""
+    out = []
+    for arrived, number, duration in requests:
+        start = max(free, arrived)
+        if start - arrived > seconds:
+            out.append((number, start, False, "busy"))
+            continue
+        free = start + min(duration, longest)
+        out.append((number, start, True, "timeout" if duration > longest else None))
+    return out, free
+
+
+def waiting(requests: DataFrame, seconds: float = 29.0, longest: float = 120.0) -> DataFrame:
+    """worker, request_id, start, accepted and reason (busy, timeout or null) of requests (worker, request_id, arrived,
+    duration), each through its worker in order of arrival (ties by request_id).
+
+    Whether one is refused depends on all before it, so a worker's requests are read one after another: sorted within a
+    partition by the shuffle and passed in batches, with one number kept between them, never as one row. Over a
+    stream, that number is the worker's state.
+    """
+    if requests.isStreaming:
+        return _waiting_stream(requests, seconds, longest)
+
+    def replayed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, free = None, 0.0
+        for batch in batches:
+            rows = []
+            for worker, part in batch.groupby("worker", sort=False):
+                free = free if worker == last else 0.0
+                last = worker
+                found, free = gated(list(zip(part["arrived"], part["request_id"], part["duration"], strict=True)), free, seconds, longest)
+                rows += [(worker, *x) for x in found]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _GATED.split(", ")])
+
+    kept = requests.select(F.col("worker").cast("long"), F.col("request_id").cast("long"), "arrived", "duration")
+    return kept.repartition("worker").sortWithinPartitions("worker", "arrived", "request_id").mapInPandas(replayed, _GATED)
+
+
+def _waiting_stream(requests: DataFrame, seconds: float, longest: float) -> DataFrame:
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values(["arrived", "request_id"])
+        free = state.get[0] if state.exists else 0.0
+        found, free = gated(list(zip(rows["arrived"], rows["request_id"], rows["duration"], strict=True)), free, seconds, longest)
+        state.update((free,))
+        yield pd.DataFrame([(key[0], *x) for x in found], columns=[c.split()[0] for c in _GATED.split(", ")])
+
+    kept = requests.select(F.col("worker").cast("long"), F.col("request_id").cast("long"), "arrived", "duration")
+    return kept.groupBy("worker").applyInPandasWithState(step, _GATED, _FREE, "append", GroupStateTimeout.NoTimeout)
+
+
+def ingest(texts: DataFrame, path: str, checkpoint: str, indexes: str | None = None):
+    """A streaming query that chunks arriving documents (doc, collection, section, page, text) into the store at path, and
+    refits the indexes of the collections that a batch touched. A document that arrives again, in the same batch or a
+    later one, replaces what was there; a batch that is run again leaves the same store."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        with scratch(spark):
+            newest = batch.withColumn("arrival", F.monotonically_increasing_id()).groupBy("collection", "doc").agg(F.max("arrival").alias("arrival"))
+            rows = batch.withColumn("arrival", F.monotonically_increasing_id()).join(newest, ["collection", "doc", "arrival"], "left_semi")
+            chunks = materialized(chunking.windows(rows.drop("arrival")), "ingested")
+            store.store_chunks(chunks, path)
+            if indexes:
+                touched = [r.collection for r in chunks.select("collection").distinct().collect()]  # of one batch
+                store.refit(spark, path, indexes, touched)
+
+    return texts.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

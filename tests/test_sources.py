@@ -7,8 +7,9 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from folioloom.operators import history
-from folioloom.sources import files
+from folioloom.functions import text as T
+from folioloom.operators import history, retrieval
+from folioloom.sources import files, store
 from folioloom.streaming import live
 
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -47,11 +48,43 @@ def test_query_sets(spark, tmp_path):
     assert set(rows) == {"q1", "q2"} and rows["q1"]["ground_truth"] == "" and rows["q2"]["ground_truth_by_paper"] == {"p": "x"}
 
 
-def test_store_replaces_only_its_collections(spark, tmp_path):
-    kind = "collection string, doc string, content string"
-    files.store_chunks(spark.createDataFrame([("a", "1", "x"), ("b", "2", "y")], kind), str(tmp_path / "s"))
-    files.store_chunks(spark.createDataFrame([("a", "3", "z")], kind), str(tmp_path / "s"))
-    assert {(r["collection"], r["doc"]) for r in spark.read.parquet(str(tmp_path / "s")).collect()} == {("a", "3"), ("b", "2")}
+def test_store_replaces_documents(spark, tmp_path):
+    kind, path = "collection string, doc string, content string", str(tmp_path / "s")
+    held = lambda: {tuple(r) for r in store.chunks_in(spark, path).select("collection", "doc", "content").collect()}
+    store.store_chunks(spark.createDataFrame([("a", "1", "x"), ("a", "1", "x2"), ("a", "2", "y"), ("7", "2", "z")], kind), path)
+    store.store_chunks(spark.createDataFrame([("a", "1", "new"), ("a", "3", "w")], kind), path)
+    store.store_chunks(spark.createDataFrame([], kind), path)
+    assert held() == {("a", "1", "new"), ("a", "2", "y"), ("a", "3", "w"), ("7", "2", "z")}
+    store.delete_documents(spark, path, spark.createDataFrame([("a", "1"), ("a", "9"), ("b", "1")], "collection string, doc string"))
+    assert held() == {("a", "2", "y"), ("a", "3", "w"), ("7", "2", "z")}
+    store.delete_collection(spark, path, "7")
+    store.delete_documents(spark, path, spark.createDataFrame([("a", "2")], "collection string, doc string"))
+    assert held() == {("a", "3", "w")}
+
+
+def test_index_follows_the_store(spark, tmp_path):
+    kind, path, indexes = "collection string, doc string, chunk_id string, content string", str(tmp_path / "s"), str(tmp_path / "i")
+    store.store_chunks(spark.createDataFrame([("a", "1", "k1", "sea and ships"), ("a", "2", "k2", "")], kind), path)
+    store.refit(spark, path, indexes, ["a", "none"])
+    place = store.index_place(indexes, "a")
+    index = retrieval.load_index(spark, place)
+    assert index.documents.count() == 2 and {(r.doc, r.term, r.tf, r.dl) for r in index.postings.collect()} == {("k1", t, 1, 3) for t in ("sea", "and", "ships")}
+    name = spark.range(1).select(T.index_file_name(F.lit("a")).alias("n")).first().n
+    assert place == f"{indexes}/{name}"
+    store.delete_documents(spark, path, spark.createDataFrame([("a", "1")], "collection string, doc string"))
+    store.refit(spark, path, indexes, ["a"])
+    assert retrieval.load_index(spark, place).postings.count() == 0
+    retrieval.remove_index(spark, place)
+    assert not store.exists(spark, place)
+
+
+def test_document_json_round_trip(spark):
+    blocks = spark.createDataFrame([("d", 0, "Title", 1, 18.0), ("d", 1, "Body", 2, 10.0)], "doc string, block_idx int, content string, page int, font_size double")
+    documents = spark.createDataFrame([("d", "T", 2, {"doc_type": "paper"}), ("e", "U", 0, {})], "doc string, title string, total_pages int, metadata map<string,string>")
+    stored = store.document_json(blocks, documents)
+    assert json.loads({r.doc: r.document for r in stored.collect()}["e"])["blocks"] == []
+    back = store.document_blocks(stored, "content string, page int, font_size double")
+    assert sorted(map(tuple, back.select(*blocks.columns).collect())) == sorted(map(tuple, blocks.collect())) and back.first().total_pages == 2
 
 
 def test_rates_over_a_stream(spark, tmp_path):
@@ -65,11 +98,20 @@ def test_rates_over_a_stream(spark, tmp_path):
 
 
 def test_ingest_stream(spark, tmp_path):
+    """A document that arrives again, in its batch or a later one, is replaced; others stay; indexes follow."""
     kind = "collection string, doc string, section string, page int, text string"
-    spark.createDataFrame([("c", "d1", "s", 1, "word " * 600), ("c", "d1", "s", 1, "word " * 600)], kind).coalesce(1).write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
-    live.ingest(source, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    arrive = lambda rows, name: spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    source = lambda: spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    out, cp, indexes = (str(tmp_path / x) for x in ("out", "cp", "ix"))
+    arrive([("c", "d1", "s", 1, "word " * 600), ("c", "d1", "s", 1, "word " * 600), ("c", "d2", "s", 1, "other " * 60)], "1")
+    live.ingest(source(), out, cp, indexes).awaitTermination()
+    assert store.chunks_in(spark, out).count() == 3
+    arrive([("c", "d1", "s", 1, "later " * 70)], "2")
+    live.ingest(source(), out, cp, indexes).awaitTermination()
+    rows = store.chunks_in(spark, out).collect()
+    assert sorted((r.doc, r.content.split()[0]) for r in rows) == [("d1", "later"), ("d2", "other")]
+    index = retrieval.load_index(spark, store.index_place(indexes, "c"))
+    assert {r.term for r in index.postings.collect()} == {"later", "other"}
 
 
 def test_events_round_trip(spark):
@@ -80,10 +122,43 @@ def test_events_round_trip(spark):
     assert back[1]["answer"] == "x" * 60 and back[1]["complete"] and not back[2]["complete"]
 
 
+REQUESTS = "worker int, request_id long, arrived double, duration double"
+
+
 def test_gate(spark):
-    rows = spark.createDataFrame([(1, 1, 0.0, 40.0), (1, 2, 1.0, 5.0), (1, 3, 20.0, 5.0)], "worker int, request_id long, arrived double, duration double")
-    got = {r["request_id"]: r for r in live.waiting(rows).collect()}
-    assert got[1]["accepted"] and not got[2]["accepted"] and got[3]["accepted"] and got[3]["start"] == 40.0
+    rows = spark.createDataFrame([(1, 1, 0.0, 40.0), (1, 2, 1.0, 5.0), (1, 3, 20.0, 500.0), (1, 4, 150.0, 1.0), (2, 5, 0.0, 1.0)], REQUESTS)
+    got = {r["request_id"]: (r["start"], r["accepted"], r["reason"]) for r in live.waiting(rows).collect()}
+    assert got == {1: (0.0, True, None), 2: (40.0, False, "busy"), 3: (40.0, True, "timeout"), 4: (160.0, True, None), 5: (0.0, True, None)}
+
+
+def test_gate_keeps_its_place_between_batches(spark, monkeypatch):
+    """A worker's requests in one batch, in many, and over a stream."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.randint(1, 3), i, float(rng.randint(0, 4000)), float(rng.choice((2, 9, 30, 300)))) for i in range(600)]
+    expected = set()
+    for w in (1, 2, 3):
+        found, _ = live.gated(sorted((a, i, d) for x, i, a, d in rows if x == w), 0.0, 29.0, 120.0)
+        expected |= {(w, *x) for x in found}
+    df = spark.createDataFrame(rows, REQUESTS)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("7", old):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert {tuple(r) for r in live.waiting(df).collect()} == expected
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_gate_over_a_stream(spark, tmp_path):
+    for name, rows in (("1", [(1, 1, 0.0, 40.0), (1, 2, 1.0, 5.0)]), ("2", [(1, 3, 20.0, 5.0), (2, 4, 0.0, 1.0)])):
+        spark.createDataFrame(rows, REQUESTS).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    source = spark.readStream.schema(REQUESTS).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = live.waiting(source).writeStream.format("memory").queryName("gate").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(r.request_id, r.start, r.accepted) for r in spark.table("gate").collect()} == {(1, 0.0, True), (2, 40.0, False), (3, 40.0, True), (4, 0.0, True)}
 
 
 def test_repair(spark):
