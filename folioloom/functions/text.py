@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,8 +113,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    norm = F.sqrt(cosine(a, a))
-    return F.transform(a, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12)))
+    norm = lambda v: F.sqrt(cosine(v, v))
+    return F.transform(F.array(a), lambda v: F.transform(v, lambda x: x.cast("double") / F.greatest(norm(v), F.lit(1e-12))))[0]
 
 
 def chunk_id(doc: Column, section: Column, start: Column, text: Column) -> Column:
@@ -136,10 +139,29 @@ def document_id(file_name: Column) -> Column:
     return F.lower(F.replace(F.regexp_replace(file_name, r"\.[^.]*$", ""), F.lit(" "), F.lit("_")))
 
 
-def redacted(text: Column) -> Column:
-    """Without signed tokens and API keys."""
-    text = F.regexp_replace(text, r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "[REDACTED_JWT]")
-    return F.regexp_replace(text, r"sk-[A-Za-z0-9_-]{20,}", "[REDACTED_OPENAI_KEY]")
+# Signed tokens, API keys, and the flags whose value is secret.
+SIGNED_TOKEN, API_KEY = r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"sk-[A-Za-z0-9_-]{20,}"
+SECRET_FLAGS = ("--token", "--openai-api-key")
+
+
+def redacted(text: Column, secrets: tuple[str, ...] = ()) -> Column:
+    """Without the given secrets, signed tokens and API keys."""
+    for secret in secrets:
+        if secret:
+            text = F.replace(text, F.lit(secret), F.lit("[REDACTED]"))
+    return F.regexp_replace(F.regexp_replace(text, SIGNED_TOKEN, "[REDACTED_JWT]"), API_KEY, "[REDACTED_OPENAI_KEY]")
+
+
+def redacted_arguments(arguments: Column) -> Column:
+    """A command's arguments without the values after secret flags; such a value is no flag itself."""
+
+    def step(state, x):
+        hidden = state["hide"]
+        flag = F.coalesce(~hidden & x.isin(*SECRET_FLAGS), F.lit(False))
+        return F.struct(F.array_append(state["out"], F.when(hidden, "[REDACTED]").otherwise(x)).alias("out"), flag.alias("hide"))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("hide"))
+    return F.aggregate(arguments, start, step)["out"]
 
 
 def pieces(text: Column, size: int = 24) -> Column:
@@ -154,12 +176,27 @@ def json_block(text: Column) -> Column:
     return F.regexp_extract(bare, r"(?s)(\{.*\}|\[.*\])", 1)
 
 
+def compatible(text: Column) -> Column:
+    """Unicode compatibility forms (NFKC), which Spark lacks: a pandas function, for the few texts of a query set."""
+
+    @F.pandas_udf("string")
+    def normalized(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return normalized(text)
+
+
 def normalized_span(text: Column) -> Column:
-    """Soft hyphens and line-end hyphens removed, lower case, spaces collapsed. (Compatibility forms: normalize().)"""
-    text = F.regexp_replace(F.regexp_replace(text, "­", ""), r"-\s*\n\s*", "")
+    """Compatibility forms, soft hyphens and line-end hyphens removed, lower case, spaces collapsed."""
+    text = F.regexp_replace(F.replace(compatible(text), F.lit("\u00ad"), F.lit("")), r"-\s*\n\s*", "")
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+def holds_span(context: Column, span: Column) -> Column:
+    """Whether a context holds an answer's span, both normalized."""
+    return F.contains(normalized_span(context), normalized_span(span))
+
+
 def metric_text(value: Column) -> Column:
     return F.when(value.isNull(), "N/A").otherwise(F.format_string("%.3f", value))
 

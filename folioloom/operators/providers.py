@@ -6,37 +6,26 @@ for each worker.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioloom.functions import text as T
 
-WORD = re.compile(r"\w+")
-
-
 def hashed_embedding(text: Column, dims: int = 64) -> Column:
-    """Bag of words hashed into `dims` buckets, of unit length: a stand-in for a model, with the same Arrow interface."""
-
-    @F.pandas_udf("array<double>")
-    def embedded(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> np.ndarray:
-            own = [zlib.crc32(w.encode()) % dims for w in WORD.findall((t or "").lower())]
-            counts = np.bincount(own, minlength=dims).astype(float)
-            return counts / max(np.linalg.norm(counts), 1e-12)
-
-        return texts.map(one)
-
-    return embedded(text)
+    """Bag of words hashed into `dims` buckets, of unit length: a stand-in for a model. Distinct words are counted, hashed
+    (by the first digits of their MD5) and summed within the row, all inside the JVM."""
+    bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int") % dims
+    words = T.counted(T.tokens(F.coalesce(text, F.lit(""))))
+    buckets = T.counted(F.flatten(F.transform(words, lambda x: F.array_repeat(bucket(x["term"]), x["n"]))))
+    by_bucket = F.map_from_entries(buckets)
+    counts = F.transform(F.array(by_bucket), lambda m: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0)).cast("double")))[0]
+    return T.unit(counts)
 
 
-def top_sentences(query: Column, context: Column, n: int = 2) -> Column:
+def top_sentences(query: Column, context: Column, prompt: Column | None = None, n: int = 2) -> Column:
     """The sentences of the context most like the question, best first, as an answer."""
     asked = F.array_distinct(T.words(F.lower(query)))
     scored = F.transform(T.sentences(context), lambda s, i: F.struct(T.overlap_score(asked, s).alias("score"), (-i).alias("at"), s.alias("s")))
@@ -53,10 +42,10 @@ def overlap_label(answer: Column, context: Column, labels: tuple[str, str, str])
 
 @dataclass(frozen=True)
 class Providers:
-    """embed(text), score(query, text), generate(query, context), judge(answer, context, labels), rewrite(query)."""
+    """embed(text), score(query, text), generate(query, context, prompt), judge(answer, context, labels), rewrite(query)."""
 
     embed: Callable[[Column], Column] = hashed_embedding
     score: Callable[[Column, Column], Column] = field(default=lambda q, t: T.overlap_score(F.array_distinct(T.words(F.lower(q))), t))
-    generate: Callable[[Column, Column], Column] = top_sentences
+    generate: Callable[[Column, Column, Column], Column] = top_sentences
     judge: Callable[[Column, Column, tuple], Column] = overlap_label
     rewrite: Callable[[Column], Column] = field(default=lambda q: q)

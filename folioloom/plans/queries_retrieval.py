@@ -323,9 +323,13 @@ def search_api(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("query", "doc", "rerank_score", "rank", "position", F.substring("text", 1, 500).alias("content"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM documents),
+b AS (SELECT doc_id, (('0x' || substr(md5(w), 1, 6))::INT % 64) AS b, count(*) AS n FROM t GROUP BY ALL),
+c AS (SELECT doc_id, list(n ORDER BY b) AS n, list(b ORDER BY b) AS b, sqrt(sum(n * n)::DOUBLE) AS norm FROM b GROUP BY doc_id)
+SELECT d.doc_id, list_transform(range(0, 64), lambda i: round(coalesce(n[list_position(b, i)], 0)::DOUBLE / greatest(coalesce(norm, 0), 1e-12), 6)) AS embedding
+FROM documents d LEFT JOIN c USING (doc_id)""")
 def hashed_embeddings(spark: SparkSession, d: str) -> DataFrame:
     from folioloom.operators.providers import hashed_embedding
 
     v = hashed_embedding(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.round(T.cosine(v, v), 6).alias("norm"), v.alias("embedding"))
+    return table(spark, d, "documents").select("doc_id", F.transform(v, lambda x: F.round(x, 6)).alias("embedding"))
