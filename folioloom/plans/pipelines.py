@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioloom.functions import prompts
 from folioloom.functions import text as T
-from folioloom.operators import citations, context, retrieval, routing, sections
+from folioloom.operators import chunking, citations, context, retrieval, routing, sections
 from folioloom.operators.providers import Providers
 
 SECTION_BOOST, DEFAULT_BOOST = 0.15, 0.1
 SUMMARY_SECTIONS = ("abstract", "introduction", "method", "result", "conclusion")
+#: What a summary is searched and reranked by.
+SUMMARY_SEARCH, SUMMARY_QUERY = "summarize the paper main contributions results", "논문 전체 요약: 목적, 방법론, 결과, 의의"
 
 
 def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 20, models: Providers = Providers(), dense_where: Column | None = None, sparse_where: Column | None = None) -> DataFrame:
@@ -33,89 +36,175 @@ def reranked(hits: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 5,
     return retrieval.rerank(rows, k, boosted, boost)
 
 
-def answered(hits: DataFrame, models: Providers = Providers(), order: str = "position", limit: bool = True) -> DataFrame:
-    """query, query_text, context, sources, answer from reranked hits (with section and page)."""
+def hybrid_within(chunks: DataFrame, queries: DataFrame, targets: DataFrame, k: int = 20, models: Providers = Providers(), where: Column | None = None) -> DataFrame:
+    """hybrid() inside documents: query (a struct of query and document), doc (the chunk's id), rank, for each target (query,
+    document). Chunks meet targets by an equal document. The dense list is made inside the document and the filter; the
+    sparse one is the collection's, cut to them afterwards."""
+    slot = F.struct("query", "document").alias("query")
+    own = chunks if where is None else chunks.filter(where)
+    asked = targets.select("query", "document").distinct().join(queries.select("query", models.embed(models.rewrite(F.col("query_text"))).alias("vector")), "query")
+    pairs = own.withColumn("v", models.embed(F.col("text"))).join(asked, "document")
+    pairs = pairs.select(slot, F.col("chunk").alias("doc"), F.round(T.cosine(F.col("v"), F.col("vector")), 6).alias("score"))
+    near = retrieval.top(pairs, ["query"], k, "rank", F.col("score").desc(), F.col("doc"))
+    found = retrieval.bm25(chunks, queries, k, doc_key="chunk", key="query", body="query_text").select("query", "doc", "rank")
+    found = found.join(own.select(F.col("chunk").alias("doc"), "document"), "doc").join(targets.select("query", "document").distinct(), ["query", "document"])
+    return retrieval.fuse(near, found.select(slot, "doc", "rank"), k)
+
+
+def answered(hits: DataFrame, models: Providers = Providers(), order: str = "position", limit: bool = True, prompt=prompts.answer) -> DataFrame:
+    """query, query_text, context, sources, prompt, answer from reranked hits (with section and page)."""
     rows = context.compress(hits)
     if limit:
         rows = context.truncate(rows.drop("text", "truncated").withColumnRenamed("content", "text"), order=order)
     lines = context.source_lines(rows, order=order)
     body = context.joined(rows.withColumn("c", F.col("content")), "query", order, "c")
     asked = rows.groupBy("query").agg(F.first("query_text").alias("query_text"))
-    return body.join(lines, "query").join(asked, "query").withColumn("answer", models.generate(F.col("query_text"), F.col("context")))
+    out = body.join(lines, "query").join(asked, "query").withColumn("prompt", prompt(F.col("query_text"), F.col("context")))
+    return out.withColumn("answer", models.generate(F.col("query_text"), F.col("context"), F.col("prompt")))
 
 
 def simple_qa(chunks: DataFrame, queries: DataFrame, models: Providers = Providers()) -> DataFrame:
     """Pipeline A; also what answers where no other fits."""
     hits = hybrid(chunks, queries, 20, models)
-    return with_missing(answered(reranked(hits, chunks, queries, 5, models), models), queries)
+    return with_missing(answered(reranked(hits, chunks, queries, 5, models), models), queries, hits)
 
 
-def with_missing(answers: DataFrame, queries: DataFrame) -> DataFrame:
-    """Questions without a context get an empty answer and the reason."""
+def with_missing(answers: DataFrame, queries: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """Questions without a context get no answer, and the reason: nothing found, or (with the hits given) nothing left of it
+    after compression."""
     out = queries.select("query").join(answers, "query", "left")
-    return out.withColumn("error", F.when(F.col("context").isNull(), "no_documents"))
+    reason = F.lit("no_search_results")
+    if hits is not None:
+        out = out.join(hits.select("query").distinct().withColumn("had_hits", F.lit(True)), "query", "left")
+        reason = F.when(F.col("had_hits"), "no_context_after_compression").otherwise(reason)
+    out = out.withColumn("error", F.when(F.col("context").isNull(), reason))
+    return out.drop("had_hits")
 
 
 def section_qa(chunks: DataFrame, queries: DataFrame, section: str, models: Providers = Providers()) -> DataFrame:
     """Pipeline B: hits of one section, with others where there are fewer than three; the section's hits get a boost."""
     inside = hybrid(chunks, queries, 20, models, F.col("section") == section, F.col("section") == section)
     both = retrieval.with_fallback(inside, hybrid(chunks, queries, 20, models), 3)
-    return with_missing(answered(reranked(both, chunks, queries, 5, models, F.col("section") == section, SECTION_BOOST), models), queries)
+    return with_missing(answered(reranked(both, chunks, queries, 5, models, F.col("section") == section, SECTION_BOOST), models), queries, both)
 
 
 def compare(chunks: DataFrame, queries: DataFrame, targets: DataFrame, models: Providers = Providers()) -> DataFrame:
-    """Pipeline C: the best chunks of each of a query's two documents side by side. targets: query, targets (array). Other
-    than two documents is an error."""
-    each = targets.select("query", F.posexplode("targets").alias("side", "document"), F.size("targets").alias("n"))
-    pairs = chunks.join(each.filter("n = 2"), "document").join(queries, "query")
-    pairs = pairs.withColumn("score", F.round(models.score(F.col("query_text"), F.col("text")), 6))
-    best = retrieval.top(pairs, ["query", "side"], 5, "rank", F.col("score").desc(), F.col("chunk"))
-    text = best.withColumn("place", F.struct("side", "rank"))
-    body = context.joined(text, "query", "place", "text", "\n\n")
-    out = targets.join(body, "query", "left")
-    fault = F.when(F.size("targets") < 2, "too_few_documents").when(F.size("targets") > 2, "too_many_documents")
-    out = out.join(queries.select("query", "query_text"), "query").withColumn("error", fault)
-    return out.withColumn("answer", models.generate(F.col("query_text"), F.coalesce("context", F.lit(""))))
+    """Pipeline C: query, context_a, context_b, compared, sources, prompt, answer, error. Each of a query's two documents is
+    searched, reranked and compressed by itself. targets: query, targets (array). Other than two documents is an error
+    (insufficient_docs, too_many_docs), and so is a side without a context (no_doc_contexts, insufficient_contexts)."""
+    sides = targets.filter(F.size("targets") == 2).select("query", F.posexplode("targets").alias("side", "document"))
+    hits = hybrid_within(chunks, queries, sides, 20, models).select("query", "doc")
+    asked = sides.join(queries.select("query", "query_text"), "query").select(F.struct("query", "document").alias("query"), "side", "query_text")
+    rows = hits.join(chunks.withColumnRenamed("chunk", "doc").drop("document"), "doc").join(asked, "query")
+    best = retrieval.rerank(rows.withColumn("score", F.round(models.score(F.col("query_text"), F.col("text")), 6)), 5)
+    pressed = context.compress(best)
+    body = context.joined(pressed, "query", "position", "content", "\n\n")
+    each = sides.join(body.select(F.col("query.query").alias("query"), F.col("query.document").alias("document"), "context"), ["query", "document"], "left")
+    at = lambda n: F.max(F.when(F.col("side") == n, F.col("context")))
+    both = each.groupBy("query").agg(at(0).alias("context_a"), at(1).alias("context_b"))
+    listed = pressed.withColumn("place", F.struct("side", "position")).withColumn("query", F.col("query.query"))
+    lines = context.source_lines(listed, order="place")
+    out = targets.join(both, "query", "left").join(lines, "query", "left").join(queries.select("query", "query_text"), "query")
+    held = F.col("context_a").isNotNull().cast("int") + F.col("context_b").isNotNull().cast("int")
+    fault = (
+        F.when(F.size("targets") < 2, "insufficient_docs").when(F.size("targets") > 2, "too_many_docs")
+        .when(held == 0, "no_doc_contexts").when(held == 1, "insufficient_contexts")
+    )
+    prompt = prompts.comparison(F.col("query_text"), F.col("context_a"), F.col("context_b"))
+    out = out.withColumn("error", fault).withColumn("prompt", F.when(F.col("error").isNull(), prompt))
+    whole = F.concat_ws("\n\n", "context_a", "context_b")
+    return out.withColumn("answer", F.when(F.col("error").isNull(), models.generate(F.col("query_text"), whole, F.col("prompt"))))
 
 
 def cited(blocks: DataFrame, most: int = 5) -> DataFrame:
-    """Pipeline D's first half: doc, kind, ref_id, title of what a document cites, the first few. Papers and general
-    documents cite references, patents patents; lectures nothing. blocks: with sections and doc_type."""
+    """Pipeline D's first half: doc, kind, no, title, key (what a catalogue is asked by) of what a document cites, the first
+    few. Papers and general documents cite references, patents patents; lectures nothing. blocks: with sections and
+    doc_type."""
     papers = blocks.filter(F.col("doc_type").isin("paper", "general"))
-    refs = citations.references(sections.reference_text(papers)).select("doc", F.lit("reference").alias("kind"), F.col("ref_id").cast("int").alias("no"), "title")
+    refs = citations.references(sections.reference_text(papers))
+    refs = refs.select("doc", F.lit("reference").alias("kind"), F.col("ref_id").cast("int").alias("no"), "title", citations.feed_query(F.col("arxiv_id"), F.col("title")).alias("key"))
     own = blocks.filter("doc_type = 'patent'")
     named = sections.section_text(own, "cited_patents").unionByName(
         sections.section_text(own, "background").join(sections.section_text(own, "cited_patents").select("doc"), "doc", "left_anti")
     )
-    pats = citations.patents(named).select("doc", F.lit("patent").alias("kind"), F.col("patent_no").alias("no"), "title")
+    pats = citations.patents(named).select("doc", F.lit("patent").alias("kind"), F.col("patent_no").alias("no"), "title", F.col("patent_id").alias("key"))
     return citations.first_n(refs.unionByName(pats), most, "doc", "no")
 
 
-def summary_hits(chunks: DataFrame, queries: DataFrame, models: Providers = Providers(), fallback: int = 10, k: int = 8) -> DataFrame:
-    """Pipeline E's hits: the three best of each of five sections in one pass, upper levels of the summary tree, others
-    where there are under five; reranked, in section order."""
-    pairs = chunks.join(retrieval.small(queries, 10_000)).withColumn("score", F.round(models.score(F.col("query_text"), F.col("text")), 6))
-    own = pairs.filter(F.col("section").isin(*SUMMARY_SECTIONS) & (F.col("chunk_level") == 0))
-    best = retrieval.top(own, ["query", "section"], 3, "section_rank", F.col("score").desc(), F.col("chunk")).drop("section_rank")
-    tree = pairs.filter("chunk_level >= 1").withColumn("score", 1 + F.col("chunk_level") * 0.1)
-    hits = best.unionByName(tree).withColumnRenamed("chunk", "doc")
-    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "doc")) - 1)
-    other = retrieval.top(pairs.withColumnRenamed("chunk", "doc"), ["query"], fallback, "rank", F.col("score").desc(), F.col("doc"))
-    both = retrieval.with_fallback(hits, other, 5)
-    final = retrieval.rerank(both, k)
+def tracked(works: DataFrame, catalogue: DataFrame, downloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pipeline D's second half: what a catalogue says of the cited works, and the new chunks of those that could be taken.
+
+    works: of cited(); catalogue: key, title, pdf_url, fetched, fetch_error from stored responses (feed_entries,
+    patent_pages); downloads: url, content_type, head, text of files taken. Returns doc, no, kind, title, fetched, has_pdf,
+    fetch_error; and chunks with the citing doc, for its collection's index.
+    """
+    known = catalogue.select("key", F.col("title").alias("found_title"), "pdf_url", F.col("fetched").alias("was_fetched"), F.col("fetch_error").alias("own_error"))
+    rows = works.join(known, "key", "left").withColumn("fetched", F.coalesce("was_fetched", F.lit(False)))
+    absent = F.when(F.col("kind") == "reference", "arxiv_not_found").otherwise("patent_not_found")
+    rows = rows.withColumn("fetch_error", F.when(~F.col("fetched"), F.coalesce("own_error", absent)))
+    said = rows.select("doc", "no", "kind", F.coalesce(F.nullif("found_title", F.lit("")), "title").alias("title"), "fetched", F.col("pdf_url").isNotNull().alias("has_pdf"), "fetch_error")
+    files = downloads.filter(citations.download_allowed(F.col("url"), F.col("content_type"), F.col("head")))
+    texts = rows.filter("fetched").join(files, F.col("pdf_url") == F.col("url"))
+    texts = texts.select(F.concat_ws("__", "doc", F.lit("cited"), F.col("no").cast("string")).alias("doc"), F.col("doc").alias("cited_by"), F.lit("unknown").alias("section"), F.lit(1).alias("page"), "text")
+    return said, chunking.windows(texts)
+
+
+def citation_qa(chunks: DataFrame, queries: DataFrame, works: DataFrame, catalogue: DataFrame, downloads: DataFrame, models: Providers = Providers()) -> DataFrame:
+    """Pipeline D: questions over a collection's chunks and the newly taken ones, with the citations (array) and how many
+    works were indexed. queries: query, query_text, document (the citing one)."""
+    said, new = tracked(works, catalogue, downloads)
+    added = new.select(F.concat_ws("_", "doc", F.col("char_start").cast("string")).alias("chunk"), F.col("doc").alias("document"), "section", "page", F.col("content").alias("text"), F.lit(0).alias("chunk_level"))
+    every = chunks.unionByName(added, allowMissingColumns=True)
+    out = simple_qa(every, queries.select("query", "query_text"), models)
+    entry = F.struct("no", "kind", "title", "fetched", "has_pdf", "fetch_error")
+    listed = said.groupBy("doc").agg(F.array_sort(F.collect_list(entry)).alias("citations"))
+    indexed = new.groupBy("cited_by").agg(F.count_distinct("doc").alias("newly_indexed"))
+    out = out.join(queries.select("query", "document"), "query").join(listed.withColumnRenamed("doc", "document"), "document", "left")
+    out = out.join(indexed.withColumnRenamed("cited_by", "document"), "document", "left")
+    return out.withColumn("newly_indexed", F.coalesce("newly_indexed", F.lit(0)))
+
+
+def summary_hits(chunks: DataFrame, queries: DataFrame, models: Providers = Providers(), targets: DataFrame | None = None, fallback: int = 10, k: int = 8) -> DataFrame:
+    """Pipeline E's hits: the three best of each of five sections, upper levels of the target documents' summary trees, and
+    others where there are under five; reranked by what a summary asks for, in section order. With targets (query,
+    document) all searches stay inside the documents."""
+    leaves = chunks.filter("chunk_level = 0")
+
+    def search(asked: DataFrame, n: int, where: Column | None) -> DataFrame:
+        if targets is None:
+            return hybrid(leaves, asked, n, models, where, where).select("query", "doc", "rank")
+        found = hybrid_within(leaves, asked, targets, n, models, where)
+        return found.select("query.query", "doc", "rank")
+
+    hits = None
+    for section in SUMMARY_SECTIONS:
+        own = search(queries, 3, F.col("section") == section)
+        hits = own if hits is None else hits.unionByName(own)
+    if targets is not None:
+        tree = chunks.filter("chunk_level >= 1").join(targets.select("query", "document").distinct(), "document")
+        hits = hits.unionByName(tree.select("query", F.col("chunk").alias("doc"), F.lit(0).alias("rank")))
+    hits = hits.select("query", "doc").distinct().withColumn("rank", F.lit(0))
+    general = search(queries.select("query", F.lit(SUMMARY_SEARCH).alias("query_text")), fallback, None)
+    # a query that sections found nothing for is counted too
+    both = retrieval.with_fallback(hits, general.join(queries.select("query"), "query", "left_semi"), 5).select("query", "doc")
+    rows = both.join(chunks.withColumnRenamed("chunk", "doc"), "doc").join(queries.select("query", "query_text"), "query")
+    rows = rows.withColumn("score", F.round(models.score(F.lit(SUMMARY_QUERY), F.col("text")), 6))
+    final = retrieval.rerank(rows, k)
     order = Window.partitionBy("query").orderBy(sections.section_rank(F.col("section")), "position")
     return final.withColumn("place", F.row_number().over(order))
 
 
-def summary(chunks: DataFrame, queries: DataFrame, models: Providers = Providers()) -> DataFrame:
+def summary(chunks: DataFrame, queries: DataFrame, models: Providers = Providers(), targets: DataFrame | None = None) -> DataFrame:
     """Pipeline E."""
-    return with_missing(answered(summary_hits(chunks, queries, models), models, "place"), queries)
+    hits = summary_hits(chunks, queries, models, targets)
+    return with_missing(answered(hits, models, "place", prompt=prompts.summary), queries, hits)
 
 
 def quiz(chunks: DataFrame, queries: DataFrame, models: Providers = Providers()) -> DataFrame:
     """Pipeline F: ten retrieved, seven kept, and whether a quiz or flash cards are wanted."""
     hits = hybrid(chunks, queries, 10, models)
-    out = with_missing(answered(reranked(hits, chunks, queries, 7, models), models), queries)
+    ask = lambda q, c: prompts.quiz(q, c, routing.quiz_mode(q))
+    out = with_missing(answered(reranked(hits, chunks, queries, 7, models), models, prompt=ask), queries, hits)
     return out.withColumn("mode", routing.quiz_mode(F.coalesce("query_text", F.lit(""))))
 
 

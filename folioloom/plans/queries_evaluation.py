@@ -112,7 +112,7 @@ def not_found_rates(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def judged_answers(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 600).alias("context"), "lang")
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("context"), "lang")
     rows = docs.select(F.col("doc_id").alias("sample_id"), F.substring("context", 1, 40).alias("query_text"), F.substring("context", 20, 200).alias("answer"), "context", F.when(F.col("lang") == "en", F.substring("context", 100, 100)).alias("truth"))
     return pipelines.judged(rows).drop("context", "answer", "truth")
 
