@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from folioloom.functions import patterns as P
 from folioloom.functions import text as T
 
+# How patents are written, and the hosts that documents may be taken from.
 PATENT = rf"({T.COUNTRIES})[\s\-]?([\d\-,\.]+(?:[A-Z]\d?)?)"
 HOSTS = ("arxiv.org", "export.arxiv.org", "patents.google.com", "www.kipris.or.kr", "kipris.or.kr")
 
@@ -81,9 +82,71 @@ def search_url(words: Column) -> Column:
     return F.concat(F.lit("https://patents.google.com/?q="), F.url_encode(F.array_join(words, " ")))
 
 
-def patent_ids_on(page: Column, k: int) -> Column:
-    """The first k distinct patents that a result page links to."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(page, F.lit(r"/patent/(\w+)"), F.lit(1))), 1, k)
+def plain(html: Column) -> Column:
+    """The text of a piece of HTML: its parts between tags, trimmed and put together."""
+    parts = F.array_join(F.transform(F.split(html, r"<[^>]*>"), lambda x: F.trim(x)), "")
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        parts = F.replace(parts, F.lit(name), F.lit(sign))
+    return parts
+
+
+def element(page: Column, name: str, attribute: str, value: str) -> Column:
+    """The text of a page's first element of that name with that attribute, null without one. The element ends at the first
+    end tag of its name."""
+    form = rf'(?s)<{name}\b[^>]*\b{attribute}="(?:[^"]*\s)?{value}(?:\s[^"]*)?"[^>]*>(.*?)</{name}>'
+    return F.when(F.regexp_like(page, F.lit(form)), plain(F.regexp_extract(page, form, 1)))
+
+
+def patent_pages(responses: DataFrame) -> DataFrame:
+    """key, title, abstract (1000 characters), applicant, inventors, pdf_url, fetched, fetch_error from stored pages of a
+    patent catalogue (key, status, html). A status of 404 is patent_not_found, none is timeout, another of 400 or more
+    http_ with its number."""
+    fault = (
+        F.when(F.col("status").isNull(), "timeout").when(F.col("status") == 404, "patent_not_found")
+        .when(F.col("status") >= 400, F.concat(F.lit("http_"), F.col("status").cast("string")))
+    )
+    rows = responses.withColumn("fetch_error", fault).withColumn("page", F.when(F.col("fetch_error").isNull(), F.coalesce("html", F.lit(""))))
+    page = F.col("page")
+    names = F.regexp_extract_all(page, F.lit(r'(?s)<dd\b[^>]*\bitemprop="inventor"[^>]*>(.*?)</dd>'), F.lit(1))
+    return rows.select(
+        "key", element(page, "span", "itemprop", "title").alias("title"), F.substring(element(page, "div", "class", "abstract"), 1, 1000).alias("abstract"),
+        element(page, "dd", "itemprop", "assigneeOriginal").alias("applicant"), F.transform(names, plain).alias("inventors"),
+        F.nullif(F.regexp_extract(page, r'<a\b[^>]*\bhref="([^"]*\.pdf)"', 1), F.lit("")).alias("pdf_url"), F.col("fetch_error").isNull().alias("fetched"), "fetch_error",
+    )
+
+
+def kipris_entries(responses: DataFrame) -> DataFrame:
+    """key, title, applicant and fetched from stored XML answers of the Korean service (key, xml); only Korean patents are
+    asked for there, and an answer that is no XML was not fetched."""
+    rows = responses.filter(F.startswith("key", F.lit("KR")))
+    good = F.regexp_like(F.trim(F.coalesce("xml", F.lit(""))), F.lit(r"(?s)^<.*>$"))
+    at = lambda p: F.when(good, F.nullif(F.xpath_string("xml", F.lit(p)), F.lit("")))
+    return rows.select("key", at("//inventionTitle").alias("title"), at("//applicantName").alias("applicant"), good.alias("fetched"))
+
+
+def kipris_number(patent_id: Column) -> Column:
+    """What the Korean service is asked by."""
+    return F.replace(F.replace(patent_id, F.lit("KR"), F.lit("")), F.lit("-"), F.lit(""))
+
+
+def similar_items(pages: DataFrame, k: int = 5) -> DataFrame:
+    """key, place, patent_id, title of the first k items of stored result pages (key, html): result items, or articles where
+    there are none. An item without a link to a patent is named similar_ and its place."""
+    parts = lambda name: F.regexp_extract_all("html", F.lit(rf"(?s)<{name}\b.*?</{name}>"), F.lit(0))
+    items = F.when(F.size(parts("search-result-item")) > 0, parts("search-result-item")).otherwise(parts("article"))
+    each = pages.select("key", F.posexplode(F.slice(items, 1, k)).alias("place", "item"))
+    own = F.nullif(F.regexp_extract("item", r'<a\b[^>]*\bhref="[^"]*/patent/(\w+)', 1), F.lit(""))
+    head = F.when(F.regexp_like("item", F.lit(r"(?s)<h3\b.*?</h3>")), plain(F.regexp_extract("item", r"(?s)<h3\b[^>]*>(.*?)</h3>", 1)))
+    title = F.coalesce(head, element(F.col("item"), "span", "class", "title"), F.lit(""))
+    return each.select("key", "place", F.coalesce(own, F.concat(F.lit("similar_"), F.col("place").cast("string"))).alias("patent_id"), title.alias("title"))
+
+
+def patent_summary(patents_: DataFrame) -> DataFrame:
+    """patent_id, title, applicant, the first three inventors, fetched, has_pdf and fetch_error of patent_pages()."""
+    return patents_.select(
+        F.col("key").alias("patent_id"), "title", "applicant", F.array_join(F.slice("inventors", 1, 3), ", ").alias("inventors"), "fetched",
+        F.col("pdf_url").isNotNull().alias("has_pdf"), "fetch_error",
+    )
 
 
 def feed_entries(responses: DataFrame) -> DataFrame:

@@ -20,6 +20,15 @@ ABLATION = (
     ("Baseline 4: + Reranker", 3), ("Baseline 5: + Query Router + HyDE", 5), ("Full System: + CAD + SCD + Compression", 8),
 )
 ALPHAS, BETAS = (0.0, 0.1, 0.3, 0.5, 0.7, 1.0), (0.1, 0.3, 0.5)
+#: Decoder configurations (name, contrast, penalty), and those over domains (name, section, citations).
+DECODERS = (
+    ("Baseline (no decoder)", False, False), ("CAD only (alpha=0.5)", True, False), ("SCD only (beta=0.3)", False, True),
+    ("CAD+SCD (alpha=0.5, beta=0.3)", True, True),
+)
+DOMAINS = (
+    ("General RAG (Track 1 Full)", None, False), ("+ Section-aware Chunking", "method", False), ("+ Query Router Section Filter", "result", False),
+    ("+ RAPTOR-style Retrieval", "abstract", False), ("+ Citation Tracker", None, True), ("Full Track 2 System", "result", True),
+)
 
 
 def label_score(verdict: Column, strict: bool = False) -> Column:
@@ -117,6 +126,77 @@ def ablation_flags(spark) -> DataFrame:
     return spark.createDataFrame(rows, f"config_no int, config string, {', '.join(f'use_{f} boolean' for f in FLAGS)}")
 
 
+#: Columns that every grid's configurations have.
+CONFIG = "mode string, config_no int, config string, use_cad boolean, cad_alpha double, use_scd boolean, scd_beta double, section string, track_citations boolean"
+
+
+def grid_configs(spark) -> DataFrame:
+    """CONFIG of the decoder, alpha, beta and domain grids. Contrast is off at alpha 0."""
+    rows = [("decoder", i, name, cad, 0.5, scd, 0.3, None, False) for i, (name, cad, scd) in enumerate(DECODERS)]
+    rows += [("alpha", i, f"CAD alpha={a}", a > 0, a, False, 0.3, None, False) for i, a in enumerate(ALPHAS)]
+    rows += [("beta", i, f"SCD beta={b}", False, 0.5, True, b, None, False) for i, b in enumerate(BETAS)]
+    rows += [("domain", i, name, True, 0.5, True, 0.3, section, cited) for i, (name, section, cited) in enumerate(DOMAINS)]
+    return spark.createDataFrame(rows, CONFIG)
+
+
+def decoder_metrics(samples: DataFrame, by: list[str]) -> DataFrame:
+    """For each group of samples (answer, truth, and METRICS with has_truth): their means, the rate of numbers that the truth
+    lacks, and the drift rate."""
+    means = metric_means(samples, by)
+    numbers = numeric_hallucination(samples.filter("has_truth"), by).select(*by, F.col("rate").alias("numeric_hallucination"))
+    drift = drift_rate(samples, by, "answer").select(*by, "drift_rate")
+    return means.join(drift, by).join(numbers, by, "left").withColumn("numeric_hallucination", F.coalesce("numeric_hallucination", F.lit(0.0)))
+
+
+#: A result's row: what was run, how it ended, and its means.
+RESULT = "mode string, paper string, config_no int, config string, status string, error string, n_samples long, average map<string,double>, fetched long, indexed long, saved_at timestamp"
+
+
+def run_results(samples: DataFrame, planned: DataFrame, metrics: list[str]) -> DataFrame:
+    """RESULT without saved_at for each planned run (mode, paper, config_no, config): completed with the means of its samples
+    (mode, paper, config, metrics, and error for those that failed), or failed if none of them succeeded. Failed samples are
+    left out of the means."""
+    keys = ["mode", "paper", "config"]
+    good = F.col("error").isNull()
+    entries = F.map_from_entries(F.array(*(F.struct(F.lit(m), F.round(F.avg(F.when(good, F.col(m))), 6)) for m in metrics)))
+    found = samples.groupBy(*keys).agg(F.sum(good.cast("long")).alias("n_samples"), entries.alias("means"), F.min("error").alias("own_error"))
+    rows = planned.join(found, keys, "left").withColumn("ok", F.coalesce("n_samples", F.lit(0)) > 0)
+    return rows.select(
+        "mode", "paper", "config_no", "config", F.when(F.col("ok"), "completed").otherwise("failed").alias("status"),
+        F.when(~F.col("ok"), F.coalesce("own_error", F.lit("no samples"))).alias("error"), F.coalesce("n_samples", F.lit(0).cast("long")).alias("n_samples"),
+        F.when(F.col("ok"), F.map_filter("means", lambda _, v: v.isNotNull())).alias("average"),
+    )
+
+
+def save_results(results: DataFrame, path: str) -> None:
+    """Appends results; a run that is there already is read in its newest form."""
+    kept = results.withColumn("saved_at", F.current_timestamp())
+    for column in ("fetched", "indexed"):
+        if column not in kept.columns:
+            kept = kept.withColumn(column, F.lit(0).cast("long"))
+    kept.select(*(c.split()[0] for c in RESULT.split(", "))).write.mode("append").parquet(path)
+
+
+def load_results(spark, path: str) -> DataFrame:
+    """The newest result of each run kept under path. A completed run is never given up for a later one that failed."""
+    rows = spark.read.schema(RESULT).parquet(path)
+    best = F.max_by(F.struct(*rows.columns), F.struct((F.col("status") == "completed").cast("int"), "saved_at"))
+    return rows.groupBy("mode", "paper", "config").agg(best.alias("best")).select("best.*")
+
+
+def report(results: DataFrame, mode: str, columns: list[tuple[str, str]], title: str) -> DataFrame:
+    """line_no and line of a Markdown report on a mode's results: a heading, the papers it is about, and a table with a row
+    for each configuration, the mean over papers of each metric (heading, name)."""
+    rows = results.filter((F.col("mode") == mode) & (F.col("status") == "completed"))
+    papers = rows.agg(F.array_join(F.sort_array(F.collect_set("paper")), ", ").alias("papers"))
+    means = rows.groupBy("config_no", "config").agg(*(F.round(F.avg(F.try_element_at("average", F.lit(m))), 6).alias(m) for _, m in columns))
+    body = table_rows(means, "config", [m for _, m in columns]).select((F.col("config_no") + 5).alias("line_no"), "line")
+    head = f"| System | {' | '.join(h for h, _ in columns)} |"
+    fixed = [(0, f"## {title}"), (1, ""), (3, head), (4, "|" + "---|" * (len(columns) + 1))]
+    named = papers.select(F.lit(2).alias("line_no"), F.concat(F.lit("Conditions: papers="), F.coalesce(F.nullif("papers", F.lit("")), F.lit("N/A"))).alias("line"))
+    return results.sparkSession.createDataFrame(fixed, "line_no int, line string").unionByName(named).unionByName(body)
+
+
 def truth_for(paper: Column, by_paper: Column, plain: Column) -> Column:
     """A paper's own ground truth where there is a map of them (empty if it lacks the paper), else the plain one."""
     return F.when(F.size(by_paper) > 0, F.coalesce(F.try_element_at(by_paper, paper), F.lit(""))).otherwise(F.coalesce(plain, F.lit("")))

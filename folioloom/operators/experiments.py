@@ -74,16 +74,45 @@ def query_fault(query: Column, kind: Column) -> Column:
     )
 
 
-def set_faults(queries: DataFrame, expected: DataFrame) -> DataFrame:
-    """position, fault for a query set (position, query, type, answer_span) against the expected types by position: missing
-    or extra rows, another type, an answer span outside 5 to 500 characters, and faults of the query itself."""
-    both = queries.join(expected.withColumnRenamed("type", "wanted"), "position", "full_outer")
+def set_faults(queries: DataFrame, expected: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """position, fault for query sets (keys, position, query, type, answer_span) against the expected types by position:
+    missing or extra rows, another type, an answer span outside 5 to 500 characters, and faults of the query itself.
+    Without keys there is one set."""
+    keys = list(keys)
+    wanted = expected.select("position", F.col("type").alias("wanted"))
+    if keys:  # every set is held against the whole list, which is short
+        listed = expected.agg(F.collect_list(F.struct("position", F.col("type").alias("wanted"))).alias("x"))
+        each = F.array(*(F.struct(F.lit(r.position).alias("position"), F.lit(r.wanted).alias("wanted")) for r in listed.first().x))
+        wanted = queries.select(*keys).distinct().select(*keys, F.inline(each))
+    both = queries.join(wanted, [*keys, "position"], "full_outer")
     span = F.length(F.trim(F.coalesce("answer_span", F.lit(""))))
     fault = (
         F.when(F.col("query").isNull(), "missing").when(F.col("wanted").isNull(), "extra").when(F.col("type") != F.col("wanted"), "type")
         .when(~span.between(SPAN_LEAST, SPAN_MOST), "span").otherwise(query_fault(F.col("query"), F.col("type")))
     )
-    return both.select("position", fault.alias("fault")).filter("fault IS NOT NULL")
+    return both.select(*keys, "position", fault.alias("fault")).filter("fault IS NOT NULL")
+
+
+def accepted_sets(attempts: DataFrame, expected: DataFrame, most: int = 6) -> DataFrame:
+    """set_no, attempt, accepted and feedback: the first of at most `most` attempts (set_no, attempt, position, query, type,
+    answer_span) at a query set that has no fault; without one the last attempt. feedback is the first fault of the attempt
+    before, which the next prompt was given."""
+    rows = attempts.filter(F.col("attempt").between(1, most))
+    faults = set_faults(rows, expected, ("set_no", "attempt")).groupBy("set_no", "attempt").agg(F.min(F.struct("position", "fault"))["fault"].alias("fault"))
+    tried = rows.select("set_no", "attempt").distinct().join(faults, ["set_no", "attempt"], "left")
+    tried = tried.withColumn("feedback", F.lag("fault").over(Window.partitionBy("set_no").orderBy("attempt")))
+    good = F.col("fault").isNull()
+    best = tried.groupBy("set_no").agg(F.min(F.when(good, F.struct("attempt", good.alias("accepted"), "feedback"))).alias("first"), F.max(F.struct("attempt", good.alias("accepted"), "feedback")).alias("last"))
+    return best.select("set_no", F.coalesce("first", "last").alias("x")).select("set_no", "x.*")
+
+
+def ungrounded(queries: DataFrame, contexts: DataFrame, by: str) -> DataFrame:
+    """Queries (by, position, answer_span) whose answer's span their context (by, context) doesn't hold: kept, with a
+    warning."""
+    from folioloom.functions import text as T
+
+    rows = queries.join(contexts, by)
+    return rows.filter(~T.holds_span(F.col("context"), F.col("answer_span"))).select(by, "position")
 
 
 def previews(hits: DataFrame) -> DataFrame:
@@ -113,8 +142,13 @@ def collection_index(chunks: DataFrame) -> dict[str, DataFrame]:
 
 
 def collections(chunks: DataFrame) -> DataFrame:
-    """collection, n_chunks and its sorted documents."""
-    return chunks.groupBy("collection").agg(F.count(F.lit(1)).alias("n_chunks"), F.sort_array(F.collect_set("doc")).alias("docs"))
+    """collection, n_chunks and n_docs. Chunks are counted by document first, so no row holds a collection's documents."""
+    return documents_in(chunks).groupBy("collection").agg(F.sum("n_chunks").alias("n_chunks"), F.count(F.lit(1)).alias("n_docs"))
+
+
+def documents_in(chunks: DataFrame) -> DataFrame:
+    """collection, doc and n_chunks of every document."""
+    return chunks.groupBy("collection", "doc").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
 def majority_language(chunks: DataFrame, sample: int = 20) -> DataFrame:
@@ -136,3 +170,13 @@ def sign_up(users: DataFrame, new: DataFrame) -> DataFrame:
     fresh = new.withColumn("email", low)
     fresh = fresh.withColumn("n", F.row_number().over(Window.partitionBy("email").orderBy("user_id"))).filter("n = 1").drop("n")
     return users.unionByName(fresh.join(users.select(low.alias("email")), "email", "left_anti").select(*users.columns))
+
+
+def sign_in(users: DataFrame, tries: DataFrame) -> DataFrame:
+    """try_id, user_id and fault of tries (try_id, email, password_hash): the user with that address, in any case, and that
+    hash, or the same fault whichever of the two is wrong."""
+    low = F.lower(F.trim("email"))
+    known = users.select(low.alias("email"), F.col("password_hash").alias("own_hash"), "user_id")
+    out = tries.withColumn("email", low).join(known, "email", "left")
+    user = F.when(F.col("own_hash") == F.col("password_hash"), F.col("user_id"))
+    return out.select("try_id", user.alias("user_id"), F.when(user.isNull(), "invalid_credentials").alias("fault"))

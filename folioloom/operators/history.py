@@ -75,3 +75,11 @@ def request_stats(logs: DataFrame) -> DataFrame:
 def health(store_ok, database_ok):
     """'ok' only if both answer."""
     return F.when(store_ok & database_ok, "ok").otherwise("degraded")
+
+
+def error_envelope(status, detail):
+    """What a client receives for a failed request (JSON): validation errors (422) and a service's own ones say what is wrong,
+    any other failure (500) nothing of itself."""
+    kind = F.when(status == 422, "validation_error").when(status >= 500, "internal_server_error").otherwise("http_error")
+    told = F.when(status >= 500, "Unexpected server error").otherwise(detail)
+    return F.when(status >= 400, F.to_json(F.struct(kind.alias("error"), told.alias("detail"))))

@@ -200,6 +200,53 @@ def summary(chunks: DataFrame, queries: DataFrame, models: Providers = Providers
     return with_missing(answered(hits, models, "place", prompt=prompts.summary), queries, hits)
 
 
+#: What the sections of a paper are sampled by for new questions; references for questions on citations only.
+SAMPLED = (
+    ("main", "abstract", "초록 abstract 핵심 기여 contribution problem setting"), ("main", "method", "방법 method architecture algorithm training objective 구현"),
+    ("main", "result", "결과 result metric 성능 수치 비교 ablation"), ("main", "related_work", "관련 연구 related work baseline comparison prior work"),
+    ("citation-only", "related_work", "인용 cited work baseline author comparison related work"),
+    ("citation-only", "references", "참고문헌 cited work author title baseline reference"),
+)
+GENERAL_SAMPLE = {
+    "main": "{} 핵심 기여 main contribution method result 결과", "citation-only": "{} 인용 cited work author baseline reference 참고문헌",
+}
+PREVIEW = 900
+
+
+def excerpts(chunks: DataFrame, papers: DataFrame, k: int = 5, models: Providers = Providers()) -> DataFrame:
+    """label, paper, section, n, preview: what a prompt for new questions shows of each paper (column paper). Each section is
+    searched by its own words inside the paper; a preview counts once for each label, and a label that found nothing is
+    searched without a section."""
+    spark = papers.sparkSession
+    names = papers.select(F.col("paper").alias("document")).distinct()
+    found = None
+    for no, (label, section, words) in enumerate(SAMPLED):
+        queries = spark.createDataFrame([(no, words)], "query int, query_text string")
+        hits = hybrid_within(chunks, queries, names.withColumn("query", F.lit(no)), k, models, F.col("section") == section)
+        own = hits.select(F.lit(label).alias("label"), F.col("query.document").alias("paper"), F.lit(section).alias("section"), F.lit(no).alias("no"), "rank", "doc")
+        found = own if found is None else found.unionByName(own)
+    for no, (label, words) in enumerate(GENERAL_SAMPLE.items(), len(SAMPLED)):
+        queries = names.select(F.col("document").alias("query"), F.format_string(words.replace("{}", "%s"), "document").alias("query_text"))
+        hits = hybrid_within(chunks, queries, names.withColumn("query", F.col("document")), k, models)
+        own = hits.select(F.lit(label).alias("label"), F.col("query.document").alias("paper"), F.lit("general").alias("section"), F.lit(no).alias("no"), "rank", "doc")
+        held = found.select("label", "paper").distinct()
+        found = found.unionByName(own.join(held, ["label", "paper"], "left_anti"))
+    texts = chunks.select(F.col("chunk").alias("doc"), F.substring("text", 1, PREVIEW).alias("preview"))
+    rows = found.join(texts, "doc").groupBy("label", "paper", "preview").agg(F.min(F.struct("no", "rank", "section")).alias("x"))
+    return rows.select("label", "paper", "x.section", (F.col("x.rank") + 1).alias("n"), "preview", F.col("x.no").alias("no"))
+
+
+def sampled_context(found: DataFrame) -> DataFrame:
+    """paper and context of excerpts(), as a prompt shows them."""
+    entry = F.format_string("[%s | %s | %s | %d]\n%s", "label", "paper", "section", "n", "preview")
+    own = lambda label: F.array_sort(F.collect_list(F.when(F.col("label") == label, F.struct("no", "n", entry.alias("entry")))))
+    text = lambda rows: F.array_join(F.transform(rows, lambda x: x["entry"]), "\n\n")
+    rows = found.groupBy("paper").agg(own("main").alias("main"), own("citation-only").alias("cited"))
+    main = F.concat(F.lit("[Main excerpts: use for all non-citation query types]\n\n"), text(F.col("main")))
+    cited_only = F.concat(F.lit("\n\n[Citation-only excerpts: use only for citation query types]\n\n"), text(F.col("cited")))
+    return rows.select("paper", F.concat(main, F.when(F.size("cited") > 0, cited_only).otherwise("")).alias("context"))
+
+
 def quiz(chunks: DataFrame, queries: DataFrame, models: Providers = Providers()) -> DataFrame:
     """Pipeline F: ten retrieved, seven kept, and whether a quiz or flash cards are wanted."""
     hits = hybrid(chunks, queries, 10, models)

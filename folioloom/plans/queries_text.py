@@ -283,7 +283,10 @@ _CARDS = Rows("cards", "doc string, text string", [
 ])
 
 
-@query("SELECT * FROM (VALUES ('c1', 0, 'Q1', 'A1'), ('c1', 1, 'Q2', 'A2'), ('c2', 0, 'Q', 'B')) t(doc, card_no, front, back)")
+@query(rf"""WITH {_CARDS.cte}, m AS (SELECT doc, trim(CASE WHEN contains(text, '[FLASHCARD_START]') AND contains(text, '[FLASHCARD_END]')
+  THEN regexp_extract(text, '(?s)\[FLASHCARD_START\](.*?)\[FLASHCARD_END\]', 1) ELSE regexp_extract(text, '(?s)(\[.*\])', 1) END) AS j FROM cards),
+l AS (SELECT doc, regexp_extract_all(j, '\{{"front":"([^"]*)","back":"[^"]*"\}}', 1) AS f, regexp_extract_all(j, '\{{"front":"[^"]*","back":"([^"]*)"\}}', 1) AS b FROM m)
+SELECT doc, (generate_subscripts(f, 1) - 1)::INT AS card_no, unnest(f) AS front, unnest(b) AS back FROM l WHERE coalesce(f[1], '') <> ''""")
 def flashcard_parse(spark: SparkSession, d: str) -> DataFrame:
     return files.flashcards(_CARDS.df(spark))
 
@@ -299,7 +302,10 @@ _UPLOADS = Rows("uploads", "name string, doc_type string, size bigint, head stri
 ])
 
 
-@query("SELECT * FROM (VALUES ('a.pdf', NULL), ('a.exe', 'extension'), ('b.txt', 'doc_type'), ('c.txt', 'size'), ('d.pdf', 'signature'), ('e.TXT', NULL)) t(name, fault)")
+@query(rf"""WITH {_UPLOADS.cte}, x AS (SELECT *, lower(regexp_extract(name, '(\.[^.]*)$', 1)) AS e,
+  CASE WHEN starts_with(head, '%PDF-') THEN 'pdf' WHEN starts_with(head, 'PK' || chr(3) || chr(4)) THEN 'zip' WHEN NOT contains(head, chr(0)) THEN 'text' ELSE 'other' END AS k FROM uploads)
+SELECT name, CASE WHEN e NOT IN ('.pdf', '.docx', '.txt') THEN 'extension' WHEN doc_type NOT IN ('paper', 'lecture', 'patent') THEN 'doc_type' WHEN size > 50 * 1024 * 1024 THEN 'size'
+  WHEN NOT ((e = '.pdf' AND k = 'pdf') OR (e = '.docx' AND k = 'zip') OR (e = '.txt' AND k = 'text')) THEN 'signature' END AS fault FROM x""")
 def upload_check(spark: SparkSession, d: str) -> DataFrame:
     fault = files.upload_fault(F.col("name"), F.col("doc_type"), F.col("size"), F.encode("head", "UTF-8"))
     return _UPLOADS.df(spark).select("name", fault.alias("fault"))

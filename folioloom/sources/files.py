@@ -149,6 +149,12 @@ def docx_blocks(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(parsed, BLOCKS)
 
 
+def docx_title(blocks: DataFrame) -> DataFrame:
+    """doc and title: the first block in font 16 or more, cut to 100 characters, else the document's name."""
+    first = F.min(F.when(F.col("font_size") >= 16, F.struct("block_idx", "content")))
+    return blocks.groupBy("doc").agg(F.coalesce(F.substring(first["content"], 1, 100), F.first("doc")).alias("title"))
+
+
 def upload_fault(name: Column, doc_type: Column, size: Column, head: Column) -> Column:
     """Why an upload is refused, or null: extension, type, size, first bytes."""
     extension = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
