@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import queries_evaluation, queries_experiments, queries_retrieval, queries_text  # noqa: F401
+    from . import queries_evaluation, queries_experiments, queries_library, queries_retrieval, queries_text  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
