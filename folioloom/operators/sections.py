@@ -16,32 +16,40 @@ HEADER_RATIO, SHORT, CANDIDATE = 1.2, 80, 100
 SAMPLE, REFERENCE_WINDOW, REFERENCE_LEAST = 30, 16, 3
 
 
-def _first_section(patterns: dict[str, list[str]], candidates: list[Column]) -> Column:
+#: Stands on a line of its own between the spellings of a heading; no pattern fits over it.
+BETWEEN = "\n\x01\n"
+
+
+def _first_section(patterns: dict[str, list[str]], spellings: Column) -> Column:
+    """The first section of which a pattern fits a line of spellings; one regular expression for each section."""
     found = F.lit(None).cast("string")
     for section, shapes in reversed(patterns.items()):
-        fits = reduce(or_, (c.rlike(p) for p in shapes for c in candidates))
-        found = F.when(fits, section).otherwise(found)
+        found = F.when(spellings.rlike("(?md)" + "|".join(f"(?:{p})" for p in shapes)), section).otherwise(found)
     return found
 
 
-def heading_section(content: Column, doc_type: Column) -> Column:
-    """The first section, in the order of the document type's table, of which a pattern fits one of the heading's
-    spellings: as it stands, with spaced Hangul joined, and both without numbering."""
-    text = F.trim(content)
-    candidates = [text, T.match_text(text), T.without_numbering(text), T.without_numbering(T.match_text(text))]
-    by_type = [(k, _first_section(v, candidates)) for k, v in P.BY_TYPE.items()]
-    out = by_type[0][1]
-    for kind, section in by_type[1:]:
-        out = F.when(doc_type == kind, section).otherwise(out)
+def heading_spellings(content: Column) -> Column:
+    """A heading as it stands, with spaced Hangul joined, and both without numbering, each on a line of its own."""
+    text = F.replace(F.trim(content), F.lit("\n"), F.lit("\r"))  # white space, but no line's end
+    both = F.array(text, T.match_text(text))
+    return F.array_join(F.concat(both, F.transform(both, T.without_numbering)), BETWEEN)
+
+
+def heading_section(spellings: Column, doc_type: Column) -> Column:
+    """The first section, in the order of the document type's table, of which a pattern fits one of a heading's spellings."""
+    out = F.lit(None).cast("string")
+    for kind, patterns in reversed(P.BY_TYPE.items()):
+        out = F.when(doc_type == kind, _first_section(patterns, spellings)).otherwise(out)
     return out
 
 
 def detected_section(doc_type: Column, body_font: Column) -> Column:
-    """The section that a block's text begins, from block_type, content, font_size and is_bold; null if it is no heading."""
+    """The section that a block's text begins, from block_type, content, spellings, font_size and is_bold; null if it is no
+    heading."""
     size = F.length(F.trim(F.col("content")))
     styled = (size < CANDIDATE) & ((F.col("font_size") >= body_font * HEADER_RATIO) | F.col("is_bold"))
     able = (F.col("block_type") == "heading") | (size <= SHORT) | styled
-    return F.when(able & F.col("block_type").isin("text", "heading"), heading_section(F.col("content"), doc_type))
+    return F.when(able & F.col("block_type").isin("text", "heading"), heading_section(F.col("spellings"), doc_type))
 
 
 def body_fonts(blocks: DataFrame) -> DataFrame:
@@ -81,27 +89,33 @@ def with_sections(blocks: DataFrame) -> DataFrame:
     a reference heading the reference list is inferred.
     """
     rows = blocks.join(document_types(blocks).select("doc", "doc_type"), "doc").join(body_fonts(blocks), "doc")
-    rows = rows.withColumn("detected", detected_section(F.col("doc_type"), F.col("body_font")))
+    rows = rows.withColumn("spellings", heading_spellings(F.col("content")))
+    rows = rows.withColumn("detected", detected_section(F.col("doc_type"), F.col("body_font"))).drop("spellings")
     order = Window.partitionBy("doc").orderBy("block_idx")
     filled = F.last("detected", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("section_type", F.coalesce(filled, F.lit("unknown")))
     return inferred_references(rows)
 
 
+# Entries of a reference list, and an author's biography.
+ENTRY_NUMBER, ENTRY_AUTHOR = r"^\s*(\[\d+\]|\d+\.)\s+", r"^[A-Z][A-Za-z'`\-]+,\s+[A-Z]\."
+ENTRY_SIGNS = (r"(?i)\bet al\.", r"(?i)\bdoi\b|arxiv|retrieval|generation|language model")
+BIOGRAPHY = r"(?i)(저\s*자\s*소\s*개|author\s*bio(?:graphy)?)"
+
+
 def reference_like(content: Column) -> Column:
-    """Whether a line looks like an entry of a reference list."""
-    compact = F.trim(F.regexp_replace(content, r"\s+", " "))
-    numbered = compact.rlike(r"^\s*(\[\d+\]|\d+\.)\s+")
-    rest = F.trim(F.regexp_replace(compact, r"^\s*(\[\d+\]|\d+\.)\s+", ""))
-    author = r"^[A-Z][A-Za-z'`\-]+,\s+[A-Z]\."
-    signs = rest.rlike(r"(?i)\bet al\.") | rest.rlike(r"(?i)\bdoi\b|arxiv|retrieval|generation|language model")
-    return F.when(numbered, rest.rlike(author) | signs).otherwise(compact.rlike(author))
+    """Whether a line looks like an entry of a reference list: it begins with an author, or with a number and then an author
+    or signs of a citation."""
+    line = F.trim(F.regexp_replace(content, r"\s+", " "))
+    rest = F.trim(F.regexp_replace(line, ENTRY_NUMBER, ""))
+    signs = reduce(or_, (rest.rlike(p) for p in (ENTRY_AUTHOR, *ENTRY_SIGNS)))
+    return F.when(line.rlike(ENTRY_NUMBER), signs).otherwise(line.rlike(ENTRY_AUTHOR))
 
 
 def restarts(body_font: Column) -> Column:
     """Whether a block shows that the reference list is over: an author's biography, another section, or a large font."""
     text = F.trim(F.col("content"))
-    bio = text.rlike(r"(?i)(저\s*자\s*소\s*개|author\s*bio(?:graphy)?)")
+    bio = text.rlike(BIOGRAPHY)
     other = F.coalesce(F.col("detected") != "references", F.lit(False))
     return bio | other | ((F.col("font_size") >= body_font * 1.5) & (F.length(text) >= 20))
 

@@ -57,7 +57,12 @@ def unique_chunk_ids(spark: SparkSession, d: str) -> DataFrame:
     return chunking.unique_ids(twice, "at").select("doc", "char_start", "k", "stored_id")
 
 
-@query()
+@query(rf"""WITH RECURSIVE x AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS x FROM documents),
+s AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS s FROM x), n AS (SELECT *, len({W.format('s')}) AS n FROM s),
+r AS (SELECT doc_id, i, 0 AS g, n FROM n WHERE i = 1 UNION ALL
+  SELECT n.doc_id, n.i, CASE WHEN r.n + n.n > 512 THEN g + 1 ELSE g END, CASE WHEN r.n + n.n > 512 THEN n.n ELSE r.n + n.n END FROM r JOIN n ON n.doc_id = r.doc_id AND n.i = r.i + 1),
+c AS (SELECT doc_id, g, sum(n.n) AS words, string_agg(s, ' ' ORDER BY i) AS content FROM r JOIN n USING (doc_id, i) GROUP BY ALL)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1)::INT AS group_no, content FROM c WHERE words >= 50""")
 def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
     groups = chunking.sentence_groups(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.posexplode(groups).alias("group_no", "content"))
@@ -109,23 +114,104 @@ def doc_type_detect(spark: SparkSession, d: str) -> DataFrame:
     return sections.document_types(X.BLOCKS.df(spark))
 
 
-@query()
+def _match(x: str) -> str:
+    """match_text: spaces between Hangul letters go in two passes, as SQL's patterns have no look-around."""
+    for _ in range(2):
+        x = f"regexp_replace({x}, '([가-힣])\\s+([가-힣])', '\\1\\2', 'g')" if "trim(" in x else f"regexp_replace(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '([가-힣])\\s+([가-힣])', '\\1\\2', 'g')"
+    return x
+
+
+def _plain(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{T.NUMBERING}', ''))"
+
+
+def _sections_sql(blocks: str) -> str:
+    """CTEs that lead from a table blocks to sectioned (with doc_type, body_font, detected, section_type)."""
+    counts = ", ".join(f"len(regexp_extract_all(t, '{p}'))::INT AS {k}" for k, p in P.SIGNALS.items())
+    by_type = ""
+    for kind, table_ in P.BY_TYPE.items():
+        tests = " ".join("WHEN " + " OR ".join(f"regexp_matches({c}, '{p}')" for p in shapes for c in ("c1", "c2", "c3", "c4")) + f" THEN '{section}'" for section, shapes in table_.items())
+        by_type += f" WHEN '{kind}' THEN CASE {tests} END"
+    author = "^[A-Z][A-Za-z''`\\-]+,\\s+[A-Z]\\."
+    return f"""{blocks},
+first30 AS (SELECT * FROM blocks QUALIFY row_number() OVER (PARTITION BY doc ORDER BY block_idx) <= 30),
+joined AS (SELECT doc, coalesce(string_agg(content, ' ' ORDER BY block_idx) FILTER (block_type IN ('text', 'heading')), '') AS t FROM first30 GROUP BY doc),
+counted AS (SELECT doc, {counts} FROM (SELECT doc, {_match('t')} AS t FROM joined)),
+kinds AS (SELECT doc, CASE WHEN patent >= 2 THEN 'patent' WHEN paper > 0 AND lecture <= paper THEN 'paper' WHEN greatest(lecture, paper, general) = 0 THEN 'paper'
+  WHEN lecture = greatest(lecture, paper, general) THEN 'lecture' WHEN paper = greatest(lecture, paper, general) THEN 'paper' ELSE 'general' END AS doc_type FROM counted),
+sizes AS (SELECT doc, round(font_size, 1) AS size, count(*) AS n, min(block_idx) AS first FROM blocks WHERE block_type IN ('text', 'heading') AND font_size > 0 GROUP BY ALL),
+fonts AS (SELECT doc, arg_max(size, (n, -first)) AS body_font FROM sizes GROUP BY doc),
+spelled AS (SELECT b.*, doc_type, coalesce(body_font, 10.0) AS body_font, trim(content) AS c1, {_match('trim(content)')} AS c2 FROM blocks b JOIN kinds USING (doc) LEFT JOIN fonts USING (doc)),
+heads AS (SELECT *, {_plain('c1')} AS c3, {_plain('c2')} AS c4 FROM spelled),
+found AS (SELECT *, CASE WHEN block_type IN ('text', 'heading') AND (block_type = 'heading' OR length(c1) <= 80 OR (length(c1) < 100 AND (font_size >= body_font * 1.2 OR is_bold)))
+  THEN CASE doc_type{by_type} END END AS detected, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS line FROM heads),
+entries AS (SELECT *, regexp_matches(line, '^\\s*(\\[\\d+\\]|\\d+\\.)\\s+') AS numbered, trim(regexp_replace(line, '^\\s*(\\[\\d+\\]|\\d+\\.)\\s+', '')) AS rest FROM found),
+filled AS (SELECT *, coalesce(last_value(detected IGNORE NULLS) OVER (PARTITION BY doc ORDER BY block_idx ROWS UNBOUNDED PRECEDING), 'unknown') AS own_section,
+  (block_type IN ('text', 'heading') AND CASE WHEN numbered THEN regexp_matches(rest, '{author}') OR regexp_matches(rest, '(?i)\\bet al\\.') OR regexp_matches(rest, '(?i)\\bdoi\\b|arxiv|retrieval|generation|language model')
+    ELSE regexp_matches(line, '{author}') END)::INT AS entry FROM entries),
+near AS (SELECT *, sum(entry) OVER (PARTITION BY doc ORDER BY block_idx ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS near, max(page) OVER (PARTITION BY doc) + 1 AS pages,
+  bool_or(own_section = 'references') OVER (PARTITION BY doc) AS has_references FROM filled),
+begun AS (SELECT *, min(CASE WHEN doc_type = 'paper' AND NOT has_references AND block_type IN ('text', 'heading') AND entry = 1 AND near >= 3
+  AND page >= greatest(floor(pages * 0.65), pages - 5) THEN block_idx END) OVER (PARTITION BY doc) AS begins FROM near),
+paged AS (SELECT *, max(CASE WHEN block_idx = begins THEN page END) OVER (PARTITION BY doc) AS begin_page FROM begun),
+ended AS (SELECT *, min(CASE WHEN block_type IN ('text', 'heading') AND block_idx > begins AND page > begin_page AND (regexp_matches(c1, '(?i)(저\\s*자\\s*소\\s*개|author\\s*bio(?:graphy)?)')
+  OR coalesce(detected <> 'references', false) OR (font_size >= body_font * 1.5 AND length(c1) >= 20)) THEN block_idx END) OVER (PARTITION BY doc) AS ends FROM paged),
+sectioned AS (SELECT *, CASE WHEN block_idx >= begins AND (ends IS NULL OR block_idx < ends) THEN 'references' ELSE own_section END AS section_type FROM ended)"""
+
+
+_DETECT = _sections_sql(f"WITH {X.BLOCKS.cte}")
+
+
+@query(f"{_DETECT} SELECT doc, block_idx, doc_type, body_font::DOUBLE AS body_font, detected, section_type FROM sectioned")
 def section_detect(spark: SparkSession, d: str) -> DataFrame:
     return _blocks(spark).select("doc", "block_idx", "doc_type", "body_font", "detected", "section_type")
 
 
-@query()
+#: Lines of all documents, every tenth of them a heading that a paper, a lecture, a patent or a report may have.
+_HEADINGS = ["1. Introduction", "2 Related Work", "3. 방 법 론", "Evaluation", "참 고 문 헌", "Definition 3", "Proof", "Background Art", "Claims", "Chapter 2", "부록", "Executive Summary", "[7] Smith, J. et al. A study."]
+_LINE_BLOCKS = f"WITH {_LINES}, k AS (SELECT *, (doc * 7 + block_idx) % 10 = 3 AS head, {X.literal(_HEADINGS)} AS names FROM f), " + """
+blocks AS (SELECT doc, block_idx, CASE WHEN head THEN names[((doc + block_idx) % 13 + 1)::INT] ELSE content END AS content, (block_idx // 51 + 1)::INT AS page,
+  CASE WHEN head THEN 12.5::DOUBLE ELSE font_size END AS font_size, font_size > 10 AS is_bold, 'text' AS block_type FROM k)"""
+_DETECT_LINES = _sections_sql(_LINE_BLOCKS)
+
+
+def _line_sections(spark: SparkSession, d: str) -> DataFrame:
+    head = (F.col("doc") * 7 + F.col("block_idx")) % 10 == 3
+    name = F.element_at(F.array(*map(F.lit, _HEADINGS)), ((F.col("doc") + F.col("block_idx")) % 13 + 1).cast("int"))
+    blocks = files.line_blocks(table(spark, d, "documents"))
+    blocks = blocks.withColumns({"content": F.when(head, name).otherwise(F.col("content")), "font_size": F.when(head, 12.5).otherwise(F.col("font_size"))})
+    return sections.with_sections(blocks)
+
+
+@query(f"{_DETECT_LINES} SELECT doc, block_idx, doc_type, body_font::DOUBLE AS body_font, detected, section_type FROM sectioned")
+def section_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _line_sections(spark, d).select("doc", "block_idx", "doc_type", "body_font", "detected", "section_type")
+
+
+@query(f"{_DETECT_LINES} SELECT doc, section_type, count(*) AS n_blocks FROM sectioned GROUP BY ALL")
 def section_counts(spark: SparkSession, d: str) -> DataFrame:
-    return sections.section_counts(_blocks(spark))
+    return sections.section_counts(_line_sections(spark, d))
 
 
-@query()
+_CHUNKS = rf"""{_DETECT}, body AS (SELECT *, block_type IN ('code', 'table', 'math') AS structured FROM sectioned WHERE block_type <> 'image'),
+cuts AS (SELECT *, lag(section_type) OVER o AS before_section, lag(structured) OVER o AS before_structured FROM body WINDOW o AS (PARTITION BY doc ORDER BY block_idx)),
+islands AS (SELECT *, sum((before_section IS NULL OR before_section <> section_type OR before_structured OR structured)::INT) OVER (PARTITION BY doc ORDER BY block_idx) AS run FROM cuts),
+runs AS (SELECT doc, run, string_agg(content, chr(10) ORDER BY block_idx) AS text, arg_min(page, block_idx) AS page, any_value(section_type) AS section, bool_or(structured) AS structured, arg_min(block_type, block_idx) AS kind FROM islands GROUP BY doc, run),
+marked AS (SELECT *, coalesce(lead(kind) OVER o = 'math' AND lead(section) OVER o = section, false) AND NOT structured AS before_math FROM runs WINDOW o AS (PARTITION BY doc ORDER BY run)),
+chunks AS (SELECT doc, run::BIGINT AS run, section, page::INT AS page, 0 AS char_start, 0 AS char_end, text || CASE WHEN before_math THEN ' [수식 참조]' ELSE '' END AS content,
+  substr(md5(doc || ':' || section || ':0:' || substr(text, 1, 50)), 1, 12) AS chunk_id, structured FROM marked WHERE structured OR len({W.format('text')}) >= 3)"""
+
+
+@query(rf"""{_CHUNKS} SELECT *, CASE WHEN length(regexp_replace(content, '[^가-힣]', '', 'g')) / greatest(length(content), 1) >= 0.15 THEN 'ko' ELSE 'en' END AS lang FROM chunks""")
 def section_chunks(spark: SparkSession, d: str) -> DataFrame:
     rows = chunking.by_section(_blocks(spark), least=3)
     return rows.select("doc", "run", "section", "page", "char_start", "char_end", "content", "chunk_id", "lang", "structured")
 
 
-@query()
+@query(rf"""{_CHUNKS}, mids AS (SELECT doc, section, substr(string_agg(content, chr(10) || chr(10) ORDER BY run, content), 1, 3000) AS t FROM chunks GROUP BY ALL HAVING count(*) > 1),
+tops AS (SELECT doc, substr(string_agg(content, chr(10) || chr(10) ORDER BY run, content), 1, 4000) AS t FROM (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY doc ORDER BY run) <= 20) GROUP BY doc)
+SELECT doc, section, content, 0 AS chunk_level FROM chunks UNION ALL SELECT doc, section, array_to_string(({W.format('t')})[1:60], ' '), 1 FROM mids
+UNION ALL SELECT doc, 'full', array_to_string(({W.format('t')})[1:60], ' '), 2 FROM tops""")
 def summary_tree(spark: SparkSession, d: str) -> DataFrame:
     return chunking.summary_tree(chunking.by_section(_blocks(spark), least=3))
 
