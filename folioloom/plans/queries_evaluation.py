@@ -139,7 +139,8 @@ def experiment_grid(spark: SparkSession, d: str) -> DataFrame:
     return E.remaining(planned, done, ["paper", "config_no"]).select("config_no", "query_id", "paper")
 
 
-@query()
+@query("WITH c(config_no, config, n) AS (VALUES " + ", ".join(f"({i}, {X.literal(name)}, {n})" for i, (name, n) in enumerate(E.ABLATION)) + ") SELECT config_no, config, "
+       + ", ".join(f"{k} < n AS use_{flag}" for k, flag in enumerate(E.FLAGS)) + " FROM c")
 def ablation_configs(spark: SparkSession, d: str) -> DataFrame:
     return E.ablation_flags(spark)
 

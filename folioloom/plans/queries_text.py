@@ -272,18 +272,21 @@ _REFS = Rows("refs", "doc string, text string", [
 ])
 
 
-@query(r"""WITH """ + _REFS.cte + r""", e AS (SELECT doc, generate_subscripts(x, 1) AS pos, trim(unnest(x)) AS entry FROM (
+_REFS_SQL = r"""WITH """ + _REFS.cte.replace("\n", "' || chr(10) || '") + r""", e AS (SELECT doc, generate_subscripts(x, 1) AS pos, trim(unnest(x)) AS entry FROM (
   SELECT doc, string_split(regexp_replace(trim(text), '\n\s*(\[\d+\]|\d+[.)])', chr(1) || '\1', 'g'), chr(1)) AS x FROM refs)),
 n AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY pos)::VARCHAR AS ref_id, trim(regexp_replace(entry, '^\[?\d+[\].)]?\s*', '')) AS b FROM e WHERE length(entry) >= 10),
-t AS (SELECT *, regexp_extract(b, '["“](.+?)["”]', 1) AS q, string_split(b, '.') AS parts, nullif(regexp_extract(b, '^(.+?)[.,]', 1), '') AS a FROM n)
-SELECT doc, ref_id, CASE WHEN q <> '' THEN trim(q) WHEN len(parts) > 1 THEN trim(parts[2]) ELSE substr(b, 1, 160) END AS title,
+t AS (SELECT *, regexp_extract(b, '["“](.+?)["”]', 1) AS q, string_split(b, '.') AS parts, nullif(regexp_extract(b, '^(.+?)[.,]', 1), '') AS a FROM n),
+p AS (SELECT doc, ref_id, CASE WHEN q <> '' THEN trim(q) WHEN len(parts) > 1 THEN trim(parts[2]) ELSE substr(b, 1, 160) END AS title,
   CASE WHEN a IS NULL THEN []::VARCHAR[] ELSE [trim(a)] END AS authors, nullif(regexp_extract(regexp_extract(b, '\((\d{4})\)|,\s*(\d{4})'), '\d{4}'), '') AS year,
-  nullif(regexp_extract(b, '(?i)arXiv[:\s]*(\d{4}\.\d{4,5})', 1), '') AS arxiv_id FROM t""")
+  nullif(regexp_extract(b, '(?i)arXiv[:\s]*(\d{4}\.\d{4,5})', 1), '') AS arxiv_id FROM t)"""
+
+
+@query(f"{_REFS_SQL} SELECT * FROM p")
 def parse_references(spark: SparkSession, d: str) -> DataFrame:
     return citations.references(_REFS.df(spark))
 
 
-@query()
+@query(f"{_REFS_SQL} SELECT doc, ref_id, title, array_to_string(authors[1:3], ', ') AS authors, year, arxiv_id IS NOT NULL AS has_pdf FROM p")
 def reference_summary(spark: SparkSession, d: str) -> DataFrame:
     return citations.reference_summary(citations.references(_REFS.df(spark)))
 
@@ -293,7 +296,14 @@ _PATENTS = Rows("pats", "doc string, text string", [
 ])
 
 
-@query()
+@query(rf"""WITH {_PATENTS.cte}, m AS (SELECT doc, text, string_split(regexp_replace(text, '((?:{T.COUNTRIES})[\s\-]?[\d\-,\.]+(?:[A-Z]\d?)?)', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS x FROM pats),
+i AS (SELECT doc, text, x, unnest(range(2, len(x) + 1)) AS i FROM m),
+e AS (SELECT doc, text, i, split_part(x[i], chr(2), 1) AS found, list_sum(list_transform(x[1:i - 1], lambda y: length(replace(y, chr(2), ''))))::INT AS start FROM i),
+n AS (SELECT *, substr(found, 1, 2) || regexp_replace(regexp_replace(substr(found, 3), '^[\s\-]', ''), '[, ]', '', 'g') AS patent_id FROM e),
+f AS (SELECT *, substr(text, greatest(0, start - 5) + 1, start + length(found) + 200 - greatest(0, start - 5)) AS context FROM n QUALIFY row_number() OVER (PARTITION BY doc, patent_id ORDER BY i) = 1),
+r AS (SELECT *, CASE WHEN contains(context, patent_id) THEN trim(substr(context, instr(context, patent_id) + length(patent_id))) ELSE context END AS rest FROM f),
+q AS (SELECT *, regexp_extract(rest, '["''](.+?)["'']', 1) AS quoted, trim(split_part(rest, '.', 1)) AS phrase FROM r)
+SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY i))::INT AS patent_no, patent_id, substr(CASE WHEN quoted <> '' THEN trim(quoted) WHEN phrase <> '' THEN phrase ELSE patent_id END, 1, 200) AS title FROM q""")
 def parse_patents(spark: SparkSession, d: str) -> DataFrame:
     return citations.patents(_PATENTS.df(spark))
 
@@ -315,7 +325,10 @@ _FEED = Rows("feed", "key string, xml string", [
 ])
 
 
-@query()
+@query(rf"""WITH {_FEED.cte}, e AS (SELECT key, regexp_extract(xml, '(?s)<entry>(.*)</entry>', 1) AS x FROM feed)
+SELECT key, CASE WHEN x <> '' THEN trim(regexp_extract(x, '<title>(.*?)</title>', 1)) END AS title, CASE WHEN x <> '' THEN trim(regexp_extract(x, '<summary>(.*?)</summary>', 1)) END AS abstract,
+  nullif(regexp_extract(x, '<link title="pdf" href="([^"]*)"', 1), '') AS pdf_url, nullif(regexp_extract(regexp_extract(x, '<id>(.*?)</id>', 1), '\d{{4}}\.\d{{4,5}}'), '') AS arxiv_id,
+  CASE WHEN x <> '' THEN regexp_extract_all(x, '<name>(.*?)</name>', 1) END AS authors, x <> '' AS fetched, CASE WHEN x = '' THEN 'arxiv_not_found' END AS fetch_error FROM e""")
 def catalogue_entries(spark: SparkSession, d: str) -> DataFrame:
     return citations.feed_entries(_FEED.df(spark))
 
@@ -354,12 +367,23 @@ _ANSWERS = Rows("answers", "doc string, text string", [
 ])
 
 
-@query()
+_ANSWER_SQL = rf"""WITH {_ANSWERS.cte.replace(chr(10), "' || chr(10) || '")}, l AS (SELECT doc, generate_subscripts(x, 1) AS n, trim(unnest(x)) AS line FROM (SELECT doc, string_split(text, chr(10)) AS x FROM answers)),
+h AS (SELECT *, coalesce(nullif(regexp_extract(line, '^#{{1,3}}\s+(.+)', 1), ''), nullif(regexp_extract(line, '^\*\*\d+\.\s*(.+?)\*\*', 1), '')) AS head FROM l),
+r AS (SELECT *, sum((head IS NOT NULL)::INT) OVER (PARTITION BY doc ORDER BY n) AS run FROM h),
+g AS (SELECT doc, run, coalesce(regexp_replace(max(head), '^[*# ]+|[*# ]+$', '', 'g'), '') AS title,
+  coalesce(string_agg(regexp_replace(line, '\*{{1,2}}(.+?)\*{{1,2}}', '\1', 'g'), chr(10) ORDER BY n) FILTER (head IS NULL), '') AS body FROM r WHERE head IS NOT NULL OR line <> '' GROUP BY doc, run),
+a AS (SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY run))::INT AS section_no, title, body FROM g)"""
+
+
+@query(f"{_ANSWER_SQL} SELECT * FROM a")
 def answer_sections(spark: SparkSession, d: str) -> DataFrame:
     return files.answer_sections(_ANSWERS.df(spark))
 
 
-@query()
+@query(rf"""{_ANSWER_SQL}, b AS (SELECT doc, section_no, CASE WHEN title = '' THEN 'Summary' ELSE title END AS title, generate_subscripts(x, 1) - 1 AS line_no, unnest(x) AS line
+  FROM (SELECT *, string_split(body, chr(10)) AS x FROM a))
+SELECT doc, section_no, title, line_no::INT AS line_no, regexp_replace(regexp_replace(line, '^[-*]\s+', ''), '^\d+\.\s+', '') AS text,
+  regexp_matches(line, '^[-*]\s') OR regexp_matches(line, '^\d+\.\s') AS is_bullet FROM b WHERE trim(line) <> ''""")
 def answer_slides(spark: SparkSession, d: str) -> DataFrame:
     return files.slide_rows(files.answer_sections(_ANSWERS.df(spark)))
 
