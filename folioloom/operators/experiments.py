@@ -123,10 +123,15 @@ def previews(hits: DataFrame) -> DataFrame:
 
 
 def sources(hits: DataFrame, full: bool = False) -> DataFrame:
-    """What a client sees of hits: content (500 characters unless full), and the last score that was set, else 0."""
-    score = F.coalesce("rerank_score", "rrf_score", F.lit(0.0))
-    content = F.col("text") if full else F.substring("text", 1, CONTENT_CLIP)
-    return hits.select("query", "doc", content.alias("content"), score.alias("score"), F.coalesce("section", F.lit("unknown")).alias("section"))
+    """What a client sees of hits (query, doc, text, and scores, section, document and page where there are any): content
+    (500 characters unless full), the last score that was set, else 0, and what is missing by its default."""
+    score = F.coalesce(*(F.col(c) for c in ("rerank_score", "rrf_score") if c in hits.columns), F.lit(0.0))
+    content = F.coalesce(F.col("text") if full else F.substring("text", 1, CONTENT_CLIP), F.lit(""))
+    known = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in hits.columns else F.lit(default)
+    return hits.select(
+        "query", "doc", content.alias("content"), score.alias("score"), known("section", "unknown").alias("section"),
+        known("document", "").alias("document"), known("page", 0).alias("page"),
+    )
 
 
 def collection_index(chunks: DataFrame) -> dict[str, DataFrame]:

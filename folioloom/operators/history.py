@@ -83,3 +83,10 @@ def error_envelope(status, detail):
     kind = F.when(status == 422, "validation_error").when(status >= 500, "internal_server_error").otherwise("http_error")
     told = F.when(status >= 500, "Unexpected server error").otherwise(detail)
     return F.when(status >= 400, F.to_json(F.struct(kind.alias("error"), told.alias("detail"))))
+
+
+def iso_text(at):
+    """A time as ISO 8601 text, its microseconds only if there are any."""
+    whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(at, "SSSSSS")
+    return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))

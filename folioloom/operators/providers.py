@@ -42,10 +42,12 @@ def overlap_label(answer: Column, context: Column, labels: tuple[str, str, str])
 
 @dataclass(frozen=True)
 class Providers:
-    """embed(text), score(query, text), generate(query, context, prompt), judge(answer, context, labels), rewrite(query)."""
+    """embed(text), score(query, text), generate(query, context, prompt), judge(answer, context, labels), rewrite(query), and
+    write(prompt), which is None where no model writes."""
 
     embed: Callable[[Column], Column] = hashed_embedding
     score: Callable[[Column, Column], Column] = field(default=lambda q, t: T.overlap_score(F.array_distinct(T.words(F.lower(q))), t))
     generate: Callable[[Column, Column, Column], Column] = top_sentences
     judge: Callable[[Column, Column, tuple], Column] = overlap_label
     rewrite: Callable[[Column], Column] = field(default=lambda q: q)
+    write: Callable[[Column], Column] | None = None

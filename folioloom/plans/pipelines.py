@@ -17,11 +17,30 @@ SUMMARY_SECTIONS = ("abstract", "introduction", "method", "result", "conclusion"
 SUMMARY_SEARCH, SUMMARY_QUERY = "summarize the paper main contributions results", "논문 전체 요약: 목적, 방법론, 결과, 의의"
 
 
+def expansion(queries: DataFrame, lang: str = "en", models: Providers = Providers()) -> DataFrame:
+    """queries with translated (of a question that isn't ASCII), hyde_doc (a passage that would answer it, in the collection's
+    language) and search_text, what the dense side looks for. Without a model that writes, the question itself."""
+    query = F.col("query_text")
+    if models.write is None:
+        none = F.lit(None).cast("string")
+        return queries.withColumns({"translated": none, "hyde_doc": none, "search_text": query})
+    asked = F.when(~T.is_ascii(query), models.write(prompts.translation(query)))
+    rows = queries.withColumn("translated", routing.translated(query, asked))
+    about = query if lang == "ko" else F.coalesce("translated", "query_text")
+    rows = rows.withColumn("hyde_doc", models.write(prompts.hypothetical(about, F.lit(lang))))
+    return rows.withColumn("search_text", F.coalesce(F.nullif(F.trim("hyde_doc"), F.lit("")), "query_text"))
+
+
+def searched(queries: DataFrame) -> Column:
+    """What the dense side looks for: an expansion's text, else the question."""
+    return F.coalesce("search_text", "query_text") if "search_text" in queries.columns else F.col("query_text")
+
+
 def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 20, models: Providers = Providers(), dense_where: Column | None = None, sparse_where: Column | None = None) -> DataFrame:
     """query, doc (the chunk's id), rank of the fused lists. chunks: chunk, text, and what the filters read. The dense
     filter works inside the search, the sparse one on its finished list, so filtered sparse lists may be short."""
     vectors = chunks.withColumn("embedding", models.embed(F.col("text")))
-    asked = queries.select("query", models.embed(models.rewrite(F.col("query_text"))).alias("vector"))
+    asked = queries.select("query", models.embed(models.rewrite(searched(queries))).alias("vector"))
     near = retrieval.dense(vectors, asked, k, dense_where, key="chunk")
     found = retrieval.bm25(chunks, queries, k, doc_key="chunk", key="query", body="query_text")
     if sparse_where is not None:
@@ -42,7 +61,7 @@ def hybrid_within(chunks: DataFrame, queries: DataFrame, targets: DataFrame, k:
     sparse one is the collection's, cut to them afterwards."""
     slot = F.struct("query", "document").alias("query")
     own = chunks if where is None else chunks.filter(where)
-    asked = targets.select("query", "document").distinct().join(queries.select("query", models.embed(models.rewrite(F.col("query_text"))).alias("vector")), "query")
+    asked = targets.select("query", "document").distinct().join(queries.select("query", models.embed(models.rewrite(searched(queries))).alias("vector")), "query")
     pairs = own.withColumn("v", models.embed(F.col("text"))).join(asked, "document")
     pairs = pairs.select(slot, F.col("chunk").alias("doc"), F.round(T.cosine(F.col("v"), F.col("vector")), 6).alias("score"))
     near = retrieval.top(pairs, ["query"], k, "rank", F.col("score").desc(), F.col("doc"))
@@ -65,6 +84,7 @@ def answered(hits: DataFrame, models: Providers = Providers(), order: str = "pos
 
 def simple_qa(chunks: DataFrame, queries: DataFrame, models: Providers = Providers()) -> DataFrame:
     """Pipeline A; also what answers where no other fits."""
+    queries = expansion(queries, models=models)
     hits = hybrid(chunks, queries, 20, models)
     return with_missing(answered(reranked(hits, chunks, queries, 5, models), models), queries, hits)
 

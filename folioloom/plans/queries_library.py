@@ -338,9 +338,9 @@ def section_orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_bm25(_BENCH)} SELECT query, doc, substr(text, 1, 500) AS content, coalesce(CASE WHEN rank % 2 = 0 THEN score END, CASE WHEN rank % 3 = 0 THEN rank / 10.0::DOUBLE END, 0)::DOUBLE AS score,
-  coalesce(CASE WHEN lang <> 'en' THEN lang END, 'unknown') AS section FROM bm JOIN documents ON doc_id = doc""")
+  coalesce(CASE WHEN lang <> 'en' THEN lang END, 'unknown') AS section, '' AS document, (doc % 7)::INT AS page FROM bm JOIN documents ON doc_id = doc""")
 def source_documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text", F.when(F.col("lang") != "en", F.col("lang")).alias("section"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text", F.when(F.col("lang") != "en", F.col("lang")).alias("section"), (F.col("doc_id") % 7).cast("int").alias("page"))
     hits = benchmark_hits(spark, d).join(docs, "doc")
     rank = F.col("rank")
     hits = hits.withColumns({"rerank_score": F.when(rank % 2 == 0, F.col("score")), "rrf_score": F.when(rank % 3 == 0, rank / F.lit(10.0))}).drop("score")
@@ -433,3 +433,10 @@ def span_blocks(spark: SparkSession, d: str) -> DataFrame:
         F.when(n % 3 == 0, "CMSY10").otherwise("Times").alias("font"), (8.0 + n % 5).alias("size"), (n % 5 == 0).alias("bold"),
     )
     return files.span_blocks(spans).drop("page")
+
+
+@query("""SELECT event_id, strftime(ts + INTERVAL (event_id % 3 * 1500) MICROSECOND, '%Y-%m-%dT%H:%M:%S') ||
+  CASE WHEN strftime(ts + INTERVAL (event_id % 3 * 1500) MICROSECOND, '%f') = '000000' THEN '' ELSE '.' || strftime(ts + INTERVAL (event_id % 3 * 1500) MICROSECOND, '%f') END AS at FROM events""")
+def iso_times(spark: SparkSession, d: str) -> DataFrame:
+    later = F.expr("ts + make_dt_interval(0, 0, 0, CAST(event_id % 3 * 1500 / 1000000.0 AS DECIMAL(18, 6)))")
+    return table(spark, d, "events").select("event_id", history.iso_text(later).alias("at"))
