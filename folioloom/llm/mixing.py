@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 from .common import scratch, small, word_count, written
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, "mix-1"
-#: Characters of the hash's hex form that make a range of documents, and a range within that: 4096 ranges of 4096 each.
-PREFIXES = (3, 6)
+#: Characters of the hash's hex form that make a range of documents, and ranges within that: 256 ranges each time.
+PREFIXES = (2, 4, 6)
 #: Rounds in which smaller and smaller documents fill what is left of a target, and a key above all keys.
 ROUNDS, ABOVE = 3, "~"
 
