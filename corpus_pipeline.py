@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioloom.llm import decontam, mixing, neardup, quality, sharding
-from folioloom.llm.common import scratch, written
+from folioloom.llm.common import scratch, small_batches, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     with scratch(spark) as results:
         for name, stage in STAGES:
-            with scratch(spark) as tables:
+            with scratch(spark) as tables, small_batches(spark):
                 docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
                 tables.keep(docs)
         results.keep(docs)

@@ -3,23 +3,40 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioloom.operators.tables import materialized as written
 from folioloom.operators.tables import scratch, small
 
-__all__ = ["ascii_lower", "scratch", "slices", "small", "word_count", "written"]
+__all__ = ["ascii_lower", "scratch", "slices", "small", "small_batches", "word_count", "written"]
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows, and about as many bytes of text, that a Python worker handles at once.
-SLICE_ROWS, SLICE_BYTES = 1024, 8 * 1024 * 1024
+SLICE_ROWS, SLICE_BYTES = 512, 4 * 1024 * 1024
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While it is open, batches that go to Python are as small as slices(), so that tasks hold less outside the heap; the
+    session's own settings come back at the end. For plans that are run inside."""
+    own = {"maxRecordsPerBatch": SLICE_ROWS, "maxBytesPerBatch": SLICE_BYTES}
+    before = {f"spark.sql.execution.arrow.{k}": None for k in own}
+    for (name, _), value in zip(before.items(), own.values(), strict=True):
+        before[name] = spark.conf.get(name, None)
+        spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:

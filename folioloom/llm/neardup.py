@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, small, written
+from .common import scratch, slices, small, small_batches, written
 
 #: Low bits kept of each minimum.
 BITS = 4
@@ -425,7 +425,8 @@ def linked(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
     both = F.size(F.array_intersect("set_a", "set_b"))
     either = F.size("set_a") + F.size("set_b") - both
     links = pairs.join(left, "a").join(right, "b").filter(100 * both >= scheme.least * either).select("a", "b").distinct()
-    comps = merged(docs.sparkSession.createDataFrame([], "node long, comp long"), written(links, "spanning-links"))
+    none = docs.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("comp"))
+    comps = merged(none, written(links, "spanning-links"))
     if not members.filter(F.col("held") > LARGE).isEmpty():
         wide = written(blocks(members, comps).join(features, "node"), "block-planes")
     now = wide.join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -502,7 +503,7 @@ def components(docs: DataFrame, scheme: Scheme = OP5) -> DataFrame:
     and doc_id alone ties nothing. A row without doc_id is linked with nothing, has no component and is kept. Ties go to
     the smallest doc_id. An empty table gives an empty result. Extra columns are ignored.
     """
-    with scratch(docs.sparkSession) as tables:
+    with scratch(docs.sparkSession) as tables, small_batches(docs.sparkSession):
         signed, named = classes(docs, (scheme,))
         rows = signed.select("doc_id", F.col("n_0").alias("n_shingles"), "set_key")
         rows = rows.join(small(named.select("set_key", F.col("component_id").alias("named")), 400_000), "set_key", "left")
@@ -536,7 +537,7 @@ def unique(docs: DataFrame, schemes: tuple[Scheme, ...] = (OP5,)) -> DataFrame:
     table gives an empty result; extra columns stay, whatever their names. Texts are shuffled only where rows are repeated.
     """
     spark = docs.sparkSession
-    with scratch(spark) as tables:
+    with scratch(spark) as tables, small_batches(spark):
         gone, again = dropped(docs, schemes)
         tables.keep(gone, again)
     own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("own_row"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_key"))

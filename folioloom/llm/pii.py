@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, small, written
+from .common import scratch, slices, small, small_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kind of spans that the method adds; it comes after the others at one start.
@@ -219,7 +219,7 @@ def found(docs: DataFrame) -> DataFrame:
     rows count once in the graph (its edges are distinct) and get their own results. Ties don't arise: trust has a
     threshold and no rank. An empty table gives an empty result. Extra columns are ignored.
     """
-    with scratch(docs.sparkSession) as tables:
+    with scratch(docs.sparkSession) as tables, small_batches(docs.sparkSession):
         rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_found, FOUND)
         rows = written(rows, "pii-rows")
         each = rows.filter(F.size("tokens") > 0).select("row_id", F.explode("tokens").alias("t")).select("row_id", "t.*")

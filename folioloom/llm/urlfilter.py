@@ -50,8 +50,9 @@ PATTERNS = tuple(
 
 
 def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
-    """The rules as a table: text, action, kind."""
-    return spark.createDataFrame([astuple(r) for r in rules], "text string, action string, kind string")
+    """A short list of rules as a table: text, action, kind. (Long lists are tables to begin with.)"""
+    each = F.array(*(F.struct(*(F.lit(x).alias(c) for c, x in zip(("text", "action", "kind"), astuple(r), strict=True))) for r in rules))
+    return spark.range(1).select(F.inline(each))
 
 
 def regex(text: Column, kind: Column) -> Column:
