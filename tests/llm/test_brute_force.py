@@ -78,6 +78,40 @@ def plainly_placed(items, left, start):
     return [found[i] for i in range(len(items))]
 
 
+def plainly_sharded(spark, rows, shards):
+    """{(doc_id, text): shard} restated for tables without a group that must be cut: rows are (doc_id, text)."""
+    from pyspark.sql import functions as F
+
+    keys = {r["text"]: r["k"] for r in spark.createDataFrame(rows, "doc_id long, text string").select("text", F.xxhash64("text").alias("k")).distinct().collect()}
+    groups = defaultdict(lambda: [0, 0, 0])
+    for _, text in rows:
+        for d, x in enumerate((len((text or "").encode()) + 1, len(WORDS.findall(text or "")), 1)):
+            groups[text][d] += x
+    caps = [max(1, sum(g[d] for g in groups.values()) / shards) for d in range(3)]
+    assert all(g[0] <= caps[0] for g in groups.values())
+    share = {t: max(x / c for x, c in zip(g, caps, strict=True)) for t, g in groups.items()}
+    left, found = [[1.0] * 3 for _ in range(shards)], {}
+    for n, least in enumerate(sharding.LEVELS):
+        above = sharding.LEVELS[n - 1] if n else math.inf
+        own = sorted((t for t in groups if least <= share[t] < above), key=keys.get)
+        rest = [sum(g[d] for t, g in groups.items() if t not in found) for d in range(3)]
+        part = [sum(groups[t][d] for t in own) / max(rest[d], 1) for d in range(3)]
+        vectors = [[x / c for x, c in zip(groups[t], caps, strict=True)] for t in own]
+        for t, s in zip(own, plainly_placed(vectors, [[x * p for x, p in zip(r, part, strict=True)] for r in left], 0), strict=True):
+            found[t] = s
+        for s in range(shards):
+            used = [sum(groups[t][d] for t in own if found[t] == s) for d in range(3)]
+            left[s] = [x - u / c for x, u, c in zip(left[s], used, caps, strict=True)]
+    return {(i, t): found[t] for i, t in rows}
+
+
+def test_sharding_equals_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()] + [(-1, None), (-2, "")]
+    expected = plainly_sharded(spark, rows, 8)
+    got = {(r["doc_id"], r["text_crc32"]): r["shard"] for r in sharding.pack(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()}
+    assert got == {(i, zlib.crc32((t or "").encode())): s for (i, t), s in expected.items()}
+
+
 def test_placing_equals_a_plain_one():
     import numpy as np
 
@@ -209,20 +243,28 @@ def test_quality_rejects_noise(docs):
     assert sum(r["kept"] for r in clean) >= 0.98 * len(clean) and len(clean) > 100
 
 
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def item_windows(items):
+    """{window: ids of items (item_id, text)}."""
+    index = defaultdict(set)
+    for i, text in items:
+        w = TERM.findall(low(text))
+        for k in range(max(1, len(w) - 9)) if w else ():
+            index[tuple(w[k : k + 10])].add(i)
+    return index
+
+
 def test_decontamination(spark, docs, rows):
     items = spark.read.parquet(f"{DIR}/benchmark.parquet")
     short = spark.createDataFrame([(1000, "the"), (1001, "of the")], "item_id long, text string")
     items = items.select("item_id", "text").union(short)
-    term = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    index = defaultdict(set)
-    for i in items.collect():
-        w = term.findall(low(i["text"]))
-        for k in range(max(1, len(w) - 9)) if w else ():
-            index[tuple(w[k : k + 10])].add(i["item_id"])
+    index = item_windows(items.collect())
     got = {r["doc_id"]: tuple(r)[1:6] for r in decontam.contamination(docs, items).collect()}
     clean = {r["doc_id"] for r in decontam.clean(docs, items).collect()}
     for r in rows:
-        w = term.findall(low(r["text"]))
+        w = TERM.findall(low(r["text"]))
         hit, found = set(), set()
         for n in {len(k) for k in index}:
             for k in range(len(w) - n + 1):
@@ -518,6 +560,39 @@ def water(sizes, cap=3):
             left -= full[s]
 
 
+def plainly_mixed(rows):
+    """{row number: times} of rows (doc_id, source, size) restated: whole times, then rounds along the seeded order."""
+    total, times = Counter(), {}
+    for _, s, n in rows:
+        total[s] += n
+    for s, target in water(total).items():
+        own = [(hashlib.md5(f"{mixing.SEED}:{'null' if d is None else d}".encode()).hexdigest(), n, i) for i, (d, x, n) in enumerate(rows) if x == s]
+        whole = math.floor(target / total[s] + 1e-9) if total[s] else 0
+        times |= dict.fromkeys((i for _, _, i in own), whole)
+        gap, after = math.floor(max(0.0, target - whole * total[s]) + 1e-6), ""
+        for _ in range(mixing.ROUNDS):
+            used, last, stopped = 0, after, False
+            for key in sorted({k for k, n, _ in own if k > after and 0 < n <= gap}):
+                same = [(n, i) for k, n, i in own if k == key and 0 < n <= gap]
+                if used + sum(n for n, _ in same) > gap:
+                    stopped = True
+                    break
+                used, last = used + sum(n for n, _ in same), key
+                for _, i in same:
+                    times[i] += 1
+            gap, after = gap - used, last if stopped else "~"
+    return times
+
+
+def test_mixing_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source", "text")
+    docs = docs.union(spark.createDataFrame([(-1, None, "one two"), (-1, None, "three"), (-2, "zz", None), (None, "zz", "a b c")], docs.schema))
+    rows = docs.collect()
+    times = plainly_mixed([(r["doc_id"], r["source"], len(WORDS.findall(r["text"] or ""))) for r in rows])
+    got = Counter((r["doc_id"], r["size"], r["times"]) for r in mixing.mixed(docs).collect())
+    assert got == Counter((r["doc_id"], len(WORDS.findall(r["text"] or "")), times[i]) for i, r in enumerate(rows))
+
+
 def test_mixing(docs, rows):
     sizes, taken, largest = Counter(), Counter(), Counter()
     source = {r["doc_id"]: r["source"] for r in rows}
