@@ -119,7 +119,17 @@ def not_found_rates(spark: SparkSession, d: str) -> DataFrame:
     return E.not_found_rates(rows)
 
 
-@query()
+def _shares(a: str, b: str, worst: float) -> str:
+    """What a judge by overlap says of a in view of b, as a score; the compatible rule finds a good label in a bad one's name."""
+    own = f"list_distinct(list_filter(regexp_split_to_array(lower({a}), '\\s+'), lambda w: w <> ''))"
+    other = f"list_filter(regexp_split_to_array(lower({b}), '\\s+'), lambda w: w <> '')"
+    share = f"len(list_intersect({own}, {other})) / greatest(len({own}), 1)::DOUBLE"
+    return f"CASE WHEN {share} >= 0.7 THEN 1.0::DOUBLE WHEN {share} >= 0.3 THEN 0.5::DOUBLE ELSE {worst}::DOUBLE END"
+
+
+@query(f"""WITH r AS (SELECT doc_id AS sample_id, substr(text, 1, 40) AS query_text, substr(text, 20, 200) AS answer, text AS context, CASE WHEN lang = 'en' THEN substr(text, 100, 100) END AS truth FROM documents)
+SELECT sample_id, query_text, {_shares('answer', 'context', 1.0)} AS faithfulness, {_shares('query_text', 'answer', 1.0)} AS answer_relevancy, {_shares('query_text', 'context', 0.0)} AS context_precision,
+  CASE WHEN len(list_filter(regexp_split_to_array(coalesce(truth, ''), '\\s+'), lambda w: w <> '')) > 0 THEN {_shares('truth', 'context', 0.0)} END AS context_recall, coalesce(truth, '') <> '' AS has_truth FROM r""")
 def judged_answers(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("context"), "lang")
     rows = docs.select(F.col("doc_id").alias("sample_id"), F.substring("context", 1, 40).alias("query_text"), F.substring("context", 20, 200).alias("answer"), "context", F.when(F.col("lang") == "en", F.substring("context", 100, 100)).alias("truth"))

@@ -16,6 +16,7 @@ from folioloom.operators import experiments as X
 from folioloom.operators.tables import shared_folder
 from folioloom.plans import fixtures, pipelines
 from folioloom.plans.fixtures import Rows
+from folioloom.plans.queries_evaluation import _NUM
 from folioloom.plans.queries_retrieval import _BENCH, _bm25, _chunks, _items, _score_pairs, benchmark_hits
 from folioloom.plans.registry import query, table
 from folioloom.sources import files, store
@@ -219,10 +220,13 @@ def domain_report(spark: SparkSession, d: str) -> DataFrame:
     return E.report(_run_results(spark, d), "domain", [("Faithfulness", "faithfulness"), ("Answer Relevancy", "answer_relevancy")], "table3_domain")
 
 
-_NONE = "no truth here"
-
-
-@query()
+@query(rf"""WITH r AS (SELECT a.doc_id, a.lang, a.text AS answer, b.text AS truth, quality::DOUBLE AS q, toxic = 0 AS has_truth FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 JOIN labels l ON l.doc_id = a.doc_id),
+m AS (SELECT lang, avg(q) AS q, CASE WHEN bool_and(has_truth) THEN avg(q) END AS recall,
+  avg((trim(regexp_replace(answer, '\s+', ' ', 'g')) <> '' AND length(regexp_replace(answer, '[^가-힣]', '', 'g')) / greatest(length(regexp_replace(answer, '\s', '', 'g')), 1)::DOUBLE < 0.3)::INT) AS drift FROM r GROUP BY lang),
+n AS (SELECT lang, {_NUM.format('answer')} AS an, {_NUM.format('truth')} AS gn FROM r WHERE has_truth),
+h AS (SELECT lang, count(*) FILTER (len(gn) > 0 AND len(list_filter(an, lambda x: NOT list_contains(gn, x))) > 0) / greatest(count(*) FILTER (len(gn) > 0), 1)::DOUBLE AS rate FROM n GROUP BY lang)
+SELECT lang, round(q, 6) AS faithfulness, round(q, 6) AS answer_relevancy, round(q, 6) AS context_precision, round(recall, 6) AS context_recall, round(q, 6) AS overall, round(drift, 6) AS drift_rate,
+  coalesce(round(rate, 6), 0) AS numeric_hallucination FROM m LEFT JOIN h USING (lang)""")
 def decoder_metrics(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang", F.col("text").alias("answer"))
     truth = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("answer").alias("truth"))
