@@ -163,7 +163,7 @@ def test_sections(spark):
 def test_headings(spark, heading, section):
     from folioloom.operators import sections
 
-    assert one(spark, sections.heading_section(F.lit(heading), F.lit("paper"))) == section
+    assert one(spark, sections.heading_section(sections.heading_spellings(F.lit(heading)), F.lit("paper"))) == section
 
 
 def test_fusion_is_a_permutation(spark):
