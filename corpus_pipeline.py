@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioloom.llm import decontam, mixing, neardup, quality, sharding
-from folioloom.llm.common import scratch, small_batches, written
+from folioloom.llm.common import working, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +51,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES applied to documents. A stage's own tables go once its result is written, and all but the last result at the
     end."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    with scratch(spark) as results:
+    with working(spark) as results:
         for name, stage in STAGES:
-            with scratch(spark) as tables, small_batches(spark):
+            with working(spark) as tables:
                 docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
                 tables.keep(docs)
         results.keep(docs)

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioloom.operators.tables import materialized as written
-from folioloom.operators.tables import scratch, small
+from folioloom.operators.tables import Scratch, scratch, small
 
-__all__ = ["ascii_lower", "scratch", "slices", "small", "small_batches", "word_count", "written"]
+__all__ = ["ascii_lower", "slices", "small", "word_count", "working", "written"]
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,17 +23,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_ROWS, SLICE_BYTES = 512, 4 * 1024 * 1024
 
 
+#: Settings under which operators run their own plans: batches to Python as small as slices(), which keeps what tasks hold
+#: outside the heap small, and small results in few files, where Spark by default gives every core one.
+WORKING = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": str(SLICE_ROWS),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(SLICE_BYTES),
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+}
+
+
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """While it is open, batches that go to Python are as small as slices(), so that tasks hold less outside the heap; the
-    session's own settings come back at the end. For plans that are run inside."""
-    own = {"maxRecordsPerBatch": SLICE_ROWS, "maxBytesPerBatch": SLICE_BYTES}
-    before = {f"spark.sql.execution.arrow.{k}": None for k in own}
-    for (name, _), value in zip(before.items(), own.values(), strict=True):
-        before[name] = spark.conf.get(name, None)
-        spark.conf.set(name, str(value))
+def working(spark: SparkSession) -> Iterator[Scratch]:
+    """A scratch() in which plans run under WORKING; the session's own settings come back at the end."""
+    before = {name: spark.conf.get(name, None) for name in WORKING}
     try:
-        yield
+        for name, value in WORKING.items():
+            spark.conf.set(name, value)
+        with scratch(spark) as tables:
+            yield tables
     finally:
         for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, scratch, small, written
+from .common import ascii_lower, small, working, written
 
 #: Words of a window, and lists that are intersected over the whole index; the others are where these meet.
 WINDOW, LISTS = 10, 2
@@ -168,7 +168,7 @@ def proximity_hits(docs: DataFrame, queries: DataFrame, within: int) -> DataFram
     A query counts its distinct terms that aren't null; one without any has no hits, and neither has a null or empty text.
     Repeated rows and repeated queries count once; an empty table gives an empty result; extra columns are ignored.
     """
-    with scratch(docs.sparkSession) as tables:
+    with working(docs.sparkSession) as tables:
         words = queries.select("query_id", F.explode("terms").alias("term")).dropna(subset=["term"]).distinct()
         vocabulary, index, _ = indexed(docs, words)
         found = near_hits(words.join(vocabulary, "term").select("query_id", "term_no"), index, within)
@@ -201,7 +201,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     """
     named = keyed(docs)
     by = ["doc_id", "text_key"]
-    with scratch(docs.sparkSession) as tables:
+    with working(docs.sparkSession) as tables:
         found = written(windows(items, size), "decon-windows")
         words = found.select(F.explode("words").alias("term"))
         vocabulary, index, counts = indexed(named, words)
@@ -237,7 +237,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
 def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of docs, with their columns, in which no window occurs; nulls, repeats and empty tables as in
     contamination()."""
-    with scratch(docs.sparkSession) as tables:
+    with working(docs.sparkSession) as tables:
         found = written(windows(items, size), "decon-windows")
         hits = phrase_hits(found, *indexed(keyed(docs), found.select(F.explode("words").alias("term"))), size)
         bad = written(hits.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct(), "decon-bad")

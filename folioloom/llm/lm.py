@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, small_batches, written
+from .common import slices, working, written
 
 VOCABULARY = os.environ.get("TOKENIZER_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 #: Added to a word's count (base score) and to a piece's.
@@ -270,7 +270,7 @@ def scores(docs: DataFrame, vocabulary: str = VOCABULARY, fold: int = 0, folds:
     are scored each; an empty table gives an empty result. Extra columns are ignored.
     """
     spark = docs.sparkSession
-    with scratch(spark) as tables, small_batches(spark):
+    with working(spark) as tables:
         out = _scores(docs, vocabulary, fold, folds)
         tables.keep(out)
     return out

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch, small, word_count, written
+from .common import small, word_count, working, written
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, "mix-1"
 #: Characters of the hash's hex form that make a range of documents, and ranges within that: 256 ranges each time.
@@ -129,7 +129,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, s
     a source share a place in the order and are taken together. An empty table gives an empty result; a source without
     words has target 0. Extra columns are ignored. The same rows and seed give the same result.
     """
-    with scratch(docs.sparkSession) as tables:
+    with working(docs.sparkSession) as tables:
         slim = written(sizes(docs, seed), "mix-rows")
         quota = small(quotas(slim, weights, cap).withColumnRenamed("source", "name"))
         out = slim.join(quota, F.col("source").eqNullSafe(F.col("name")))
@@ -153,7 +153,7 @@ def times_taken():
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The rows of docs, with their columns, each as often as the mix takes it; nulls, repeats and empty tables as in
     mixed(). Texts aren't shuffled."""
-    with scratch(docs.sparkSession) as tables:
+    with working(docs.sparkSession) as tables:
         quota = quotas(written(sizes(docs, seed), "mix-rows"), weights, cap)
         tables.keep(quota)
     quota = small(quota).withColumnRenamed("source", "name")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, small, small_batches, written
+from .common import slices, small, working, written
 
 #: Low bits kept of each minimum.
 BITS = 4
@@ -503,7 +503,7 @@ def components(docs: DataFrame, scheme: Scheme = OP5) -> DataFrame:
     and doc_id alone ties nothing. A row without doc_id is linked with nothing, has no component and is kept. Ties go to
     the smallest doc_id. An empty table gives an empty result. Extra columns are ignored.
     """
-    with scratch(docs.sparkSession) as tables, small_batches(docs.sparkSession):
+    with working(docs.sparkSession) as tables:
         signed, named = classes(docs, (scheme,))
         rows = signed.select("doc_id", F.col("n_0").alias("n_shingles"), "set_key")
         rows = rows.join(small(named.select("set_key", F.col("component_id").alias("named")), 400_000), "set_key", "left")
@@ -537,7 +537,7 @@ def unique(docs: DataFrame, schemes: tuple[Scheme, ...] = (OP5,)) -> DataFrame:
     table gives an empty result; extra columns stay, whatever their names. Texts are shuffled only where rows are repeated.
     """
     spark = docs.sparkSession
-    with scratch(spark) as tables, small_batches(spark):
+    with working(spark) as tables:
         gone, again = dropped(docs, schemes)
         tables.keep(gone, again)
     own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("own_row"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_key"))

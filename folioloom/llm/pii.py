@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, small, small_batches, written
+from .common import slices, small, working, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kind of spans that the method adds; it comes after the others at one start.
@@ -188,7 +188,7 @@ def trusted_patterns(edges: DataFrame) -> DataFrame:
     next round on, where they count for other patterns. The rounds end when none trusts a new pattern. A round is a
     partial sum over the edges and two joins; no pattern's instances come together in one row.
     """
-    with scratch(edges.sparkSession) as tables:
+    with working(edges.sparkSession) as tables:
         able = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= INSTANCES)
         known = written(edges.join(small(written(able.select("pattern"), "pii-able")), "pattern", "left_semi"), "pii-edges")
         trusted, r = None, 0
@@ -219,7 +219,7 @@ def found(docs: DataFrame) -> DataFrame:
     rows count once in the graph (its edges are distinct) and get their own results. Ties don't arise: trust has a
     threshold and no rank. An empty table gives an empty result. Extra columns are ignored.
     """
-    with scratch(docs.sparkSession) as tables, small_batches(docs.sparkSession):
+    with working(docs.sparkSession) as tables:
         rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_found, FOUND)
         rows = written(rows, "pii-rows")
         each = rows.filter(F.size("tokens") > 0).select("row_id", F.explode("tokens").alias("t")).select("row_id", "t.*")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch, small, word_count, written
+from .common import small, word_count, working, written
 
 #: Parts of a shard (in bytes, tokens or rows, whichever is most) from which a group belongs to the first level, the
 #: second one, and the last.
@@ -88,7 +88,7 @@ def placed(slim: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
     """group_key and pieces of the groups that are cut (fewer than there are shards), and group_key, piece, shard and level
     of every group or piece. Both written. slim: doc_id, group_key, size, tokens."""
     sums = [F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("r")]
-    with scratch(slim.sparkSession) as tables:
+    with working(slim.sparkSession) as tables:
         groups = written(slim.groupBy("group_key").agg(*sums), "shard-groups")
         caps = [max(1, (x or 0) / shards) for x in groups.agg(F.sum("b"), F.sum("t"), F.sum("r")).first()]
         cuts = groups.filter(F.col("b") > caps[0]).select("group_key", (F.floor(F.col("b") / (caps[0] * WHOLE)) + 1).cast("int").alias("pieces"))
@@ -173,7 +173,7 @@ def pack(docs: DataFrame, shards: int = 8) -> DataFrame:
     an empty result. Extra columns are ignored.
     """
     order = ["doc_id", "text_crc32", "size"]
-    with scratch(docs.sparkSession) as tables:
+    with working(docs.sparkSession) as tables:
         slim = written(measured(docs, "doc_id"), "shard-rows")
         cuts, every = placed(slim, shards)
         slim = written(with_shard(slim, cuts, every), "sharded-rows")
@@ -190,7 +190,7 @@ def pack_rows(docs: DataFrame, shards: int = 8) -> DataFrame:
     travel in one struct, so none can clash."""
     own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("own_row"), "doc_id", "text")
     order = ["doc_id", "text_crc32", "size"]
-    with scratch(docs.sparkSession) as tables:
+    with working(docs.sparkSession) as tables:
         slim = written(measured(docs, "doc_id"), "shard-rows")
         cuts, every = placed(slim, shards)
         out = with_shard(measured(own, "own_row", "doc_id"), cuts, every)

@@ -12,7 +12,7 @@ from dataclasses import astuple, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, small, written
+from .common import small, working, written
 
 TOKEN = r"[a-z0-9]+"
 #: Rules that are broadcast as a table of texts; more are joined by shuffle.
@@ -126,7 +126,7 @@ def judged(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """
     spark = pages.sparkSession
     rules = rule_table(spark, (*SITES, *PATTERNS)) if rules is None else rules
-    with scratch(spark) as tables:
+    with working(spark) as tables:
         base = pages.select(F.monotonically_increasing_id().alias("page_no"), pages["page_id"], pages["url"], host(pages["url"]).alias("host"), path(pages["url"]).alias("path"))
         base = written(base, "url-places")  # written before it is read, so page_no stays a row's own
         place = F.lower(F.concat("host", "path"))
