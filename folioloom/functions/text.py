@@ -52,7 +52,7 @@ def counted(terms: Column) -> Column:
     def of_runs(s: Column, starts: Column) -> Column:
         return F.transform(starts, lambda at, j: F.struct(F.get(s, at).alias("term"), (F.coalesce(F.get(starts, j + 1), F.size(s)) - at).alias("n")))
 
-    return F.transform(F.array(F.array_sort(terms)), of_sorted)[0]
+    return F.transform(F.array(F.sort_array(terms)), of_sorted)[0]
 
 
 def share(n: Column, text: Column) -> Column:
