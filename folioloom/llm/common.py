@@ -8,7 +8,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from folioloom.operators.tables import materialized as written
@@ -35,11 +35,13 @@ WORKING = {
 
 @contextmanager
 def working(spark: SparkSession) -> Iterator[Scratch]:
-    """A scratch() in which plans run under WORKING; the session's own settings come back at the end."""
+    """A scratch() in which plans run under WORKING; the session's own settings come back at the end. Partitioning that the
+    session has been given explicitly stays as it is."""
     before = {name: spark.conf.get(name, None) for name in WORKING}
     try:
         for name, value in WORKING.items():
-            spark.conf.set(name, value)
+            if before[name] is None or ".arrow." in name:
+                spark.conf.set(name, value)
         with scratch(spark) as tables:
             yield tables
     finally:
