@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.functions import text as T
 from folioloom.operators import chunking, context, decoding, retrieval
 from folioloom.plans import pipelines
 from folioloom.plans.registry import query, table
