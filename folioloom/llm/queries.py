@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and pipeline over the shared tables, and their SQL where there is one."""
+"""The queries op1 to op13 and pipeline over the shared tables, and their SQL where there is one."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, lm, mixing, neardup, pii, quality, sharding, tokens, urlfilter
+from . import audit, bpe, codes, decontam, langid, lm, mixing, neardup, pii, quality, sharding, tokens, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,12 +53,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).drop("times")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(_table(spark, sf_dir, "documents"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_sharding, op2_quality, op3_urlfilter, op4_decontamination, op5_neardup, op6_pii, op7_langid, op8_lm,
-            op9_token_counts, op10_mixing,
+            op9_token_counts, op10_mixing, op11_bpe, op12_codes, op13_audit,
         )
     }
 
@@ -192,9 +204,74 @@ SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN size > 0 AN
 FROM d JOIN {last} t ON d.source IS NOT DISTINCT FROM t.source"""
 
 
+def _op12_sql() -> str:
+    """Plain Lloyd rounds: every part against every entry."""
+    sql = rf"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, label, list_transform(embedding, lambda x: floor({codes.SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS (
+  SELECT n, p, v[p * (len(v) // {codes.PARTS}) + 1 : (p + 1) * (len(v) // {codes.PARTS})] AS x
+  FROM kept, (SELECT unnest(range(0, {codes.PARTS})) AS p)),
+book_0 AS (SELECT p, n - 1 AS e, x AS c FROM cut WHERE n <= {codes.ENTRIES})"""
+    near = """
+near_{0} AS (
+  SELECT n, p, x, unnest(min(struct_pack(d := d, e := e))) FROM (
+    SELECT n, cut.p, x, e, list_sum(list_transform(list_zip(x, c), lambda y: (y[1] - y[2]) * (y[1] - y[2])))::BIGINT AS d
+    FROM cut JOIN book_{0} b ON b.p = cut.p) GROUP BY n, p, x)"""
+    for i in range(codes.ROUNDS):
+        sql += f""",{near.format(i)},
+mean_{i} AS (
+  SELECT p, e, list(CASE WHEN s < 0 THEN -((m - 1 - s) // m) ELSE s // m END ORDER BY k)::BIGINT[] AS c FROM (
+    SELECT p, e, k, sum(x[k])::BIGINT AS s, count(*)::BIGINT AS m FROM near_{i}, (SELECT unnest(range(1, (SELECT len(x) FROM cut LIMIT 1) + 1)) AS k) GROUP BY p, e, k)
+  GROUP BY p, e),
+book_{i + 1} AS (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book_{i} b LEFT JOIN mean_{i} m ON m.p = b.p AND m.e = b.e)"""
+    last = codes.ROUNDS
+    return sql + f""",{near.format(last)},
+rows_ AS (SELECT n, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near_{last} GROUP BY n),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book_{last})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN rows_ USING (n), digest"""
+
+
+def _op13_sql() -> str:
+    """Every order over the patterns of flags, each count by its own definition."""
+    letters = f"(SELECT unnest(string_split('{audit.FILTERS}', '')) AS x)"
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (len(w) < {audit.LEAST_WORDS})::INT * 16 + (100 * len(list_distinct(w)) < {audit.LEAST_DISTINCT} * len(w))::INT * 8
+    + (100 * len(regexp_extract_all(t, '[A-Z]')) > {audit.MOST_CAPITALS} * length(t))::INT * 4
+    + regexp_matches(t, '{audit.SYMBOLS}')::INT * 2 + coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)::INT AS fails
+  FROM d LEFT JOIN l USING (doc_id)),
+h AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM {letters} a, {letters} b, {letters} c, {letters} d, {letters} e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = {len(audit.FILTERS)}),
+s AS (
+  SELECT filter_order, step, own, list_sum(list_transform(range(1, step), lambda i: 1 << (5 - instr('{audit.FILTERS}', filter_order[i]))))::INT AS was FROM (
+    SELECT filter_order, step, 1 << (5 - instr('{audit.FILTERS}', filter_order[step])) AS own FROM o, (SELECT unnest(range(1, 6)) AS step))),
+r AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (fails & (coalesce(was, 0) | own) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (fails & coalesce(was, 0) = 0 AND fails & own <> 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fails & coalesce(was, 0) <> 0 AND fails & own <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (fails & coalesce(was, 0) = 0 AND fails & own <> 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (fails & coalesce(was, 0) = 0 AND fails & own <> 0), 0)::BIGINT AS toxic_lost
+  FROM h, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """op1, op2 and op6 to op9 pack greedily, compress, learn or encode: no SQL states them; brute-force tests do. op5's
+    """op1, op2, op6 to op9 and op11 pack greedily, compress, learn or encode: no SQL states them; brute-force tests do. op5's
     SQL finds all links exactly."""
     return {
         "op3_urlfilter": _op3_sql(), "op4_decontamination": _OP4_SQL, "op5_neardup": _OP5_SQL, "op10_mixing": _op10_sql(),
+        "op12_codes": _op12_sql(), "op13_audit": _op13_sql(),
     }
