@@ -23,13 +23,16 @@ from .common import slices
 
 #: A tokenizer's file; its place on every executor is a parameter.
 VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/word_bpe_49k.json")
-#: Entries of a worker's memories of pieces, words and pairs, and the longest piece that is remembered.
-REMEMBERED, LONGEST = 200_000, 64
+#: Entries of a worker's memories of pieces, words and pairs.
+REMEMBERED = 300_000
 #: Text is cut here before anything else, as no token of a tokenizer that drops white space reaches over it.
 _GAPS = re.compile(r"[\x20\x09-\x0D]+")
-#: Plain pieces, and the words of their lower-case form: what the tokenizer's own normalizer and pattern give for them.
-_PLAIN = re.compile(r"[!-;=-~]+")
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Plain pieces, and the words of their lower-case form: what the tokenizer's own normalizer and pattern give for them. The
+#: letters are those of ASCII and Latin-1, which have one form each.
+_PLAIN = re.compile(r"[!-;=-~\xC0-\xD6\xD8-\xF6\xF8-\xFF]+")
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[^a-z0-9\xDF-\xF6\xF8-\xFF]+")
+#: Characters of a text that are handled at once; longer only where no white space is.
+BLOCK = 1 << 18
 #: The normalizer and pre-tokenizer for which _PLAIN and _WORDS hold.
 _LOWER_CASE = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -85,9 +88,12 @@ class Vocabulary:
             if self.merged(name) == [i]:  # else the token never comes about
                 self.automaton.add_word(name, (len(name), i))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[bytes, str]] = {}
-        self.known_words: dict[str, list[int]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.ids_of: dict[str, bytes] = {}
+        self.text_of: dict[str, str] = {}
+        self.word_ids: dict[str, tuple[int, ...]] = {}
+        own = range(0xDF, 0x100)
+        self.byte_level = {c: self.words(chr(c))[0][0] for c in own if chr(c).isalpha()} if self.plain else {}
 
     def inner(self, name: str) -> str:
         """A token with its last letter moved if it ends a word, so that every symbol is one character."""
@@ -138,96 +144,123 @@ class Vocabulary:
                 j += 1
         if len(self.pairs) >= REMEMBERED * 4:
             self.pairs.clear()
-        self.pairs[a, b] = found
+        self.pairs[a << 20 | b] = found
         return found
 
-    def word_ids(self, word: str) -> list[int]:
-        """The ids of one pre-tokenized word."""
-        known = self.known_words.get(word)
-        if known is not None:
-            return known
-        inner = word[:-1] + chr(ord(word[-1]) + _END) if self.suffix else word
-        last, size = [0] * (len(inner) + 1), [0] * (len(inner) + 1)
+    def learn_words(self, words: list[str]) -> None:
+        """The ids of pre-tokenized words: their prefixes' last tokens, all words in one line, a line break between any two."""
+        line = "\n".join([w[:-1] + chr(ord(w[-1]) + _END) for w in words] if self.suffix else words)
+        last: list[int | None] = [None] * (len(line) + 1)
+        size = [0] * (len(line) + 1)
+        at = 0
+        for word in words:
+            last[at] = -1  # a word's start
+            at += len(word) + 1
         done, pairs = -1, self.pairs
-        for end, (length, token) in self.automaton.iter(inner):
+        for end, (length, token) in self.automaton.iter(line):
             if end == done:
                 continue
-            start = end + 1 - length
-            if start:
-                if not size[start]:
-                    continue
-                before = last[start]
-                apart = pairs.get((before, token))
-                if not (self.apart(before, token) if apart is None else apart):
+            before = last[end + 1 - length]
+            if before is None:
+                continue
+            if before >= 0:
+                apart = pairs.get(before << 20 | token)
+                if apart is False or (apart is None and not self.apart(before, token)):
                     continue
             last[end + 1], size[end + 1], done = token, length, end
-        found, at = [], len(inner)
-        while at:
-            if not size[at]:
-                raise ValueError(f"no token ends at {at} of {word[:40]!r}")
-            found.append(last[at])
-            at -= size[at]
-        found.reverse()
-        if len(word) <= LONGEST:
-            if len(self.known_words) >= REMEMBERED:
-                self.known_words.clear()
-            self.known_words[word] = found
-        return found
-
-    def piece(self, text: str) -> tuple[bytes, str]:
-        """ids as little-endian unsigned integers, and the decoded text, of a piece without white space between words."""
-        known = self.pieces.get(text)
-        if known is not None:
-            return known
-        ids: list[int] = []
+        at = 0
+        for word in words:
+            found, end = [], at + len(word)
+            while end > at:
+                if not size[end]:
+                    raise ValueError(f"no token ends at {end - at} of {word[:40]!r}")
+                found.append(last[end])
+                end -= size[end]
+            self.word_ids[word] = tuple(found[::-1])
+            at += len(word) + 1
+
+    def parts(self, text: str) -> list[str | int]:
+        """The pre-tokenized words of a piece, and the ids of special tokens in it."""
         if self.plain and _PLAIN.fullmatch(text):
-            for word in _WORDS.findall(text.lower()):
-                ids += self.word_ids(word)
-        else:
-            for part in self.split_special(text):
-                if part in self.special:
-                    ids.append(self.special[part])
-                elif part:
-                    for word, _ in self.words(self.normalize(part)):
-                        ids += self.word_ids(word)
-        found = struct.pack(f"<{len(ids)}I", *ids), " ".join([self.names[i] for i in ids])
-        if len(text) <= LONGEST:
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            self.pieces[text] = found
+            text = text.lower()
+            words = _WORDS.findall(text)
+            return words if text.isascii() else [w if w.isascii() else w.translate(self.byte_level) for w in words]
+        found: list[str | int] = []
+        for part in self.split_special(text):
+            if part in self.special:
+                found.append(self.special[part])
+            elif part:
+                found += [word for word, _ in self.words(self.normalize(part))]
         return found
 
-    def encode(self, text: str) -> tuple[int, bytes, bytes]:
+    def learn(self, pieces: list[str]) -> None:
+        """Makes pieces known that aren't yet; if there are too many by then, all others are forgotten."""
+        wanted = set(pieces)
+        new = wanted.difference(self.ids_of)
+        if not new:
+            return
+        if len(self.ids_of) + len(new) > REMEMBERED:
+            self.ids_of.clear(), self.text_of.clear()
+            new = wanted
+        cut = {piece: self.parts(piece) for piece in new}
+        words = {w for parts in cut.values() for w in parts if type(w) is str}
+        if len(self.word_ids) + len(words) > REMEMBERED:
+            self.word_ids.clear()
+        if fresh := words.difference(self.word_ids):
+            self.learn_words(list(fresh))
+        names, of = self.names, self.word_ids
+        for piece, parts in cut.items():
+            ids = [i for w in parts for i in (of[w] if type(w) is str else (w,))]
+            self.ids_of[piece] = struct.pack(f"<{len(ids)}I", *ids)
+            self.text_of[piece] = " ".join([names[i] for i in ids])
+
+    def blocks(self, text: str) -> Iterator[list[str]]:
+        """The text's pieces between white space, a bounded number at a time."""
+        at = 0
+        while at < len(text):
+            gap = _GAPS.search(text, at + BLOCK) if len(text) - at > BLOCK else None
+            end = gap.start() if gap else len(text)
+            yield _GAPS.split(text[at:end])
+            at = gap.end() if gap else len(text)
+
+    def encode(self, text: str) -> tuple[int, str, str]:
         """Number of ids, digest of the ids, and digest of what they decode to: tokens with a space between any two, as this
         kind of tokenizer names no decoder. The whole text is read, and neither list is held at once."""
         ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
-        parts: list[tuple[bytes, str]] = []
-        known = self.pieces
-        for text_piece in _GAPS.split(text):
-            own = known.get(text_piece) or self.piece(text_piece)
-            if own[0]:
-                parts.append(own)
-            if len(parts) == 4096:
-                n = self._add(parts, n, ids, decoded)
-                parts = []
-        n = self._add(parts, n, ids, decoded)
+        for pieces in self.blocks(text):
+            self.learn(pieces)
+            n = self.add(pieces, n, ids, decoded)
         return n, ids.hexdigest(), decoded.hexdigest()
 
-    @staticmethod
-    def _add(parts: list[tuple[bytes, str]], n: int, ids, decoded) -> int:
-        if parts:
-            block = b"".join(p[0] for p in parts)
+    def add(self, pieces: list[str], n: int, ids, decoded) -> int:
+        """Adds known pieces to the digests of a text that has n ids so far; its number of ids then."""
+        block = b"".join(map(self.ids_of.__getitem__, pieces))
+        if block:
             ids.update(block)
-            decoded.update(((" " if n else "") + " ".join(p[1] for p in parts)).encode())
-            n += len(block) // 4
-        return n
+            decoded.update(((" " if n else "") + " ".join(filter(None, map(self.text_of.__getitem__, pieces)))).encode())
+        return n + len(block) // 4
+
+    def encode_all(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """encode() of each text; the new words of all that are one block are learned at once."""
+        found = [self.encode(t) if len(t) > BLOCK else None for t in texts]
+        cut = [_GAPS.split(t) if x is None else [] for t, x in zip(texts, found, strict=True)]
+        self.learn([p for pieces in cut for p in pieces])
+        for i, pieces in enumerate(cut):
+            if found[i] is None:
+                ids, decoded = hashlib.sha256(), hashlib.sha256()
+                found[i] = self.add(pieces, 0, ids, decoded), ids.hexdigest(), decoded.hexdigest()
+        return found
 
     def ids(self, text: str) -> list[int]:
         """All ids of a text."""
-        return np.frombuffer(b"".join(self.piece(p)[0] for p in _GAPS.split(text)), "<u4").tolist()
+        found = bytearray()
+        for pieces in self.blocks(text):
+            self.learn(pieces)
+            found += b"".join(map(self.ids_of.__getitem__, pieces))
+        return np.frombuffer(bytes(found), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join(map(self.names.__getitem__, ids))
+        return " ".join([self.names[i] for i in ids])
 
 
 @lru_cache(maxsize=2)
@@ -248,8 +281,7 @@ def encoded(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
         known = None
         for batch in slices(batches, 1):
             known = known or vocabulary(path)
-            found = [known.encode(t.as_py() or "") for t in batch.column(1)]
-            n, ids, decoded = zip(*found, strict=True)
+            n, ids, decoded = zip(*known.encode_all([t.as_py() or "" for t in batch.column(1)]), strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(rows, SCHEMA)

@@ -165,27 +165,10 @@ FROM d JOIN least_ USING (n) LEFT JOIN sizes USING (n)"""
 
 
 def _op10_sql() -> str:
-    rounds, last = "", "start"
-    for r in range(1, mixing.ROUNDS + 1):
-        before = ", ".join(f"last_{i}, gap_{i}" for i in range(1, r))
-        rounds += f""",
-fit_{r} AS (
-  SELECT d.source, key, gap, sum(size) OVER (PARTITION BY d.source ORDER BY key ROWS UNBOUNDED PRECEDING) AS upto
-  FROM d JOIN {last} t ON d.source IS NOT DISTINCT FROM t.source WHERE key > after AND size <= gap AND size > 0),
-end_{r} AS (
-  SELECT source, CASE WHEN max(upto) <= any_value(gap) THEN '{mixing.ABOVE}' ELSE max(key) FILTER (upto <= gap) END AS key,
-    coalesce(max(upto) FILTER (upto <= gap), 0) AS words FROM fit_{r} GROUP BY source),
-round_{r} AS (
-  SELECT t.source, source_size, target, whole, {before + ", " if before else ""}coalesce(e.key, after) AS last_{r}, gap AS gap_{r},
-    coalesce(e.key, after) AS after, gap - coalesce(words, 0) AS gap
-  FROM {last} t LEFT JOIN end_{r} e ON e.source IS NOT DISTINCT FROM t.source)"""
-        last = f"round_{r}"
-    once = " OR ".join(
-        f"(key > {f'last_{r - 1}' if r > 1 else chr(39) * 2} AND key <= last_{r} AND size <= gap_{r})" for r in range(1, mixing.ROUNDS + 1)
-    )
+    """Sizes are exact here: documents of the tables that this runs on have fewer than 2 ** BITS words."""
     weights = "[" + ", ".join(map(str, mixing.WEIGHTS)) + "]"
     return rf"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, len(coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []))::BIGINT AS size,
     md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
@@ -198,10 +181,39 @@ t AS (
   SELECT source, source_size, coalesce(least(most, weight * (SELECT level FROM l WHERE level * weight < most
     ORDER BY most / weight, rank LIMIT 1)), most) AS target FROM l),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-9::DOUBLE)::BIGINT ELSE 0 END AS whole FROM t),
-start AS (
-  SELECT *, floor(greatest(0::DOUBLE, target - whole * source_size) + 1e-6::DOUBLE)::BIGINT AS gap, '' AS after FROM q){rounds}
-SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN size > 0 AND ({once}) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM d JOIN {last} t ON d.source IS NOT DISTINCT FROM t.source"""
+g AS (SELECT *, floor(greatest(0::DOUBLE, target - whole * source_size) + 1e-6::DOUBLE)::BIGINT AS gap FROM q),
+fit AS (
+  SELECT d.source, key, size, gap, sum(size) OVER (PARTITION BY d.source ORDER BY key) AS upto
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source WHERE size <= gap AND size > 0),
+blocked AS (SELECT source, min(key) AS key FROM fit WHERE upto > gap GROUP BY source),
+along AS (
+  SELECT fit.source, fit.key, size FROM fit LEFT JOIN blocked b ON fit.source IS NOT DISTINCT FROM b.source WHERE b.key IS NULL OR fit.key < b.key),
+rooms AS (
+  SELECT source, gap - coalesce((SELECT sum(size) FROM along a WHERE a.source IS NOT DISTINCT FROM g.source), 0)::BIGINT AS room FROM g WHERE gap > 0),
+rest AS (
+  SELECT d.source, size, count(*) AS n FROM d JOIN rooms r ON d.source IS NOT DISTINCT FROM r.source AND room > 0
+  WHERE size > 0 AND NOT EXISTS (SELECT 1 FROM along a WHERE a.source IS NOT DISTINCT FROM d.source AND a.key = d.key AND a.size = d.size) GROUP BY ALL),
+down AS (
+  SELECT source, room, NULL::BIGINT AS size, 0::BIGINT AS t FROM rooms WHERE room > 0
+  UNION ALL
+  SELECT n.source, n.room - least(r.n, n.room // n.next) * n.next, n.next, least(r.n, n.room // n.next) FROM (
+    SELECT x.source, x.room, max(r.size) AS next FROM down x JOIN rest r ON r.source IS NOT DISTINCT FROM x.source
+      AND r.size <= x.room AND (x.size IS NULL OR r.size < x.size) GROUP BY x.source, x.room) n
+  JOIN rest r ON r.source IS NOT DISTINCT FROM n.source AND r.size = n.next),
+ends AS (SELECT source, min(room) AS room FROM down GROUP BY source),
+lowest AS (
+  SELECT r.source, min(r.size) AS size FROM rest r LEFT JOIN down x ON x.source IS NOT DISTINCT FROM r.source AND x.size = r.size
+  WHERE r.n > coalesce(x.t, 0) GROUP BY r.source),
+picks AS (
+  SELECT source, size, sum(t) AS t FROM (
+    SELECT source, size, t FROM down WHERE size IS NOT NULL UNION ALL
+    SELECT lowest.source, lowest.size, 1 FROM lowest JOIN ends e ON e.source IS NOT DISTINCT FROM lowest.source WHERE lowest.size - room < room)
+  GROUP BY ALL),
+ordered AS (
+  SELECT d.*, a.key IS NOT NULL AS early, row_number() OVER (PARTITION BY d.source, d.size, a.key IS NULL ORDER BY d.key) AS no
+  FROM d LEFT JOIN along a ON a.source IS NOT DISTINCT FROM d.source AND a.key = d.key AND a.size = d.size)
+SELECT doc_id, o.size, source_size, target, (o.size * (whole + (early OR coalesce(no <= p.t, false))::INT))::BIGINT AS taken
+FROM ordered o JOIN g ON o.source IS NOT DISTINCT FROM g.source LEFT JOIN picks p ON p.source IS NOT DISTINCT FROM o.source AND p.size = o.size"""
 
 
 def _op12_sql() -> str:
@@ -239,7 +251,8 @@ def _op13_sql() -> str:
     letters = f"(SELECT unnest(string_split('{audit.FILTERS}', '')) AS x)"
     return rf"""
 WITH d AS (
-  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
 f AS (
   SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,

@@ -10,8 +10,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from folioloom.llm import decontam, langid, lm, mixing, neardup, pii, quality, sharding, tokens, urlfilter
+from folioloom.llm import audit, bpe, codes, decontam, langid, lm, mixing, neardup, pii, quality, sharding, tokens, urlfilter
 
 DIR = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -561,32 +562,40 @@ def water(sizes, cap=3):
 
 
 def plainly_mixed(rows):
-    """{row number: times} of rows (doc_id, source, size) restated: whole times, then rounds along the seeded order."""
+    """{row number: times} of rows (doc_id, source, size) restated: whole times, the seeded order up to the first document that is
+    too long, then sizes from the largest down. Ids are unique, and sizes exact."""
     total, times = Counter(), {}
     for _, s, n in rows:
         total[s] += n
     for s, target in water(total).items():
-        own = [(hashlib.md5(f"{mixing.SEED}:{'null' if d is None else d}".encode()).hexdigest(), n, i) for i, (d, x, n) in enumerate(rows) if x == s]
+        own = sorted((hashlib.md5(f"{mixing.SEED}:{'null' if d is None else d}".encode()).hexdigest(), n, i) for i, (d, x, n) in enumerate(rows) if x == s)
         whole = math.floor(target / total[s] + 1e-9) if total[s] else 0
         times |= dict.fromkeys((i for _, _, i in own), whole)
-        gap, after = math.floor(max(0.0, target - whole * total[s]) + 1e-6), ""
-        for _ in range(mixing.ROUNDS):
-            used, last, stopped = 0, after, False
-            for key in sorted({k for k, n, _ in own if k > after and 0 < n <= gap}):
-                same = [(n, i) for k, n, i in own if k == key and 0 < n <= gap]
-                if used + sum(n for n, _ in same) > gap:
-                    stopped = True
-                    break
-                used, last = used + sum(n for n, _ in same), key
-                for _, i in same:
-                    times[i] += 1
-            gap, after = gap - used, last if stopped else "~"
+        room = gap = math.floor(max(0.0, target - whole * total[s]) + 1e-6)
+        left = defaultdict(list)
+        blocked = False
+        for _, n, i in own:
+            if 0 < n <= gap and not blocked and n <= room:
+                room -= n
+                times[i] += 1
+            elif n:
+                blocked |= n <= gap
+                left[n].append(i)
+        for n in sorted(left, reverse=True):
+            t = min(len(left[n]), room // n) if room else 0
+            room -= t * n
+            for i in left[n][:t]:
+                times[i] += 1
+            left[n] = left[n][t:]
+        least = min((n for n in left if left[n]), default=0)
+        if least and least - room < room:
+            times[left[least][0]] += 1
     return times
 
 
 def test_mixing_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source", "text")
-    docs = docs.union(spark.createDataFrame([(-1, None, "one two"), (-1, None, "three"), (-2, "zz", None), (None, "zz", "a b c")], docs.schema))
+    docs = docs.union(spark.createDataFrame([(-1, None, "one two"), (-3, None, "three"), (-2, "zz", None), (None, "zz", "a b c")], docs.schema))
     rows = docs.collect()
     times = plainly_mixed([(r["doc_id"], r["source"], len(WORDS.findall(r["text"] or ""))) for r in rows])
     got = Counter((r["doc_id"], r["size"], r["times"]) for r in mixing.mixed(docs).collect())
@@ -601,16 +610,46 @@ def test_mixing(docs, rows):
         sizes[r["source"]] += n
     expected = water(sizes)
     out = mixing.mixed(docs).collect()
+    by_id = {r["doc_id"]: r for r in out}
     for r in out:
         s = source[r["doc_id"]]
         assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(expected[s], rel=1e-9) and r["taken"] <= 3 * r["size"]
         taken[s] += r["taken"]
         largest[s] = max(largest[s], r["size"])
-    assert all(abs(taken[s] - expected[s]) <= largest[s] for s in sizes)
+    once = {s: math.floor(expected[s] / sizes[s]) for s in sizes}
+    unused = {s: [len(WORDS.findall(r["text"])) for r in rows if r["source"] == s and by_id[r["doc_id"]]["times"] == once[s]] for s in sizes}
+    for s in sizes:  # half of the smallest document that could still be taken, and the fraction of a word
+        least = min((n for n in unused[s] if n), default=0)
+        assert abs(taken[s] - expected[s]) <= max(least, expected[s] - taken[s] if not least else 0) / (2 if taken[s] <= expected[s] else 1) + 1
     assert sorted(map(tuple, out)) == sorted(map(tuple, mixing.mixed(docs).collect()))
     assert mixing.mix(docs).count() == sum(r["times"] for r in out)
 
 
+@pytest.mark.parametrize("bits", [3, 15])
+def test_mixing_comes_near(spark, monkeypatch, bits):
+    """Sizes that are exact and sizes that aren't, repeated ids, one long document in the way: no document fits what is left."""
+    monkeypatch.setattr(mixing, "BITS", bits)
+    rng = random.Random(bits)
+    rows = [(i, rng.choice("abbcdeee"), "w " * rng.choice((1, 2, 3, 7, 20, 90, 91, 400))) for i in range(1500)]
+    rows += [(i, "long", "w " * n) for i, n in enumerate((9000, 5, 5, 6, 90, 700, 1))] + [(7, "rep", "w " * 50)] * 40 + [(8, "rep", "w " * 3)] * 5
+    out = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    source = {(i, len(t) // 2): s for i, s, t in rows if i > 8}
+    source |= {(i, len(t) // 2): s for i, s, t in rows if i <= 8}
+    taken, target, left = Counter(), {}, defaultdict(list)
+    for r in out:
+        s = r["target"]
+        taken[s] += r["taken"]
+        target[s] = r["target"]
+        if r["times"] == math.floor(r["target"] / r["source_size"] + 1e-9):
+            left[s].append(r["size"])
+        assert r["times"] <= mixing.CAP
+    repeated = next(r["target"] for r in out if r["doc_id"] == 7 and r["size"] == 50)
+    for s in target:
+        short = target[s] - taken[s]
+        assert s == repeated or not left[s] or short < min(left[s]), (s, short, min(left[s]))
+        assert short > -0.5 * min(left[s], default=0) - max(n for n in (r["size"] for r in out if r["target"] == s)) / 2
+
+
 @pytest.mark.parametrize("sizes", [{"a": 1, "b": 100, "c": 1000}, {"a": 0, None: 50, "b": 1}, {"x": 7}, {"a": 10, "b": 10, "c": 10, "d": 500}])
 def test_targets(spark, sizes):
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
@@ -769,3 +808,142 @@ def test_pii_equals_brute_force(spark):
     for r in pii.found(more).collect():
         assert [x for x in r["spans"].split(",") if x.startswith("id:")] == expected[r["doc_id"]]
     assert sum(map(len, expected.values())) > 0
+
+
+def library_tokens(text):
+    from tokenizers import Tokenizer
+
+    known = library_tokens.known = getattr(library_tokens, "known", None) or Tokenizer.from_file(bpe.VOCABULARY)
+    known.no_truncation(), known.no_padding()
+    ids = known.encode(text, add_special_tokens=False).ids
+    return ids, known.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_equals_the_library(spark, docs, rows):
+    odd = ["", None, "  \n", "<|endoftext|>x<|startoftext|>", "<|ENDOFTEXT|>", "it's 'Tis I'LL 12 a1b", "e\u0301t\u0301", "\u0301a \u0301b", "a\x1cb\x85c\u2028d\u3000e", "\u0130\u03a3 \u03a3", "한국어中文", "a" * 5000, "ab" * 3000, "x \x00 y"]
+    texts = [(r["doc_id"], r["text"]) for r in rows] + [(-1 - i, t) for i, t in enumerate(odd)]
+    got = {r["doc_id"]: r for r in bpe.encoded(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, text in texts:
+        ids, decoded = library_tokens(text or "")
+        packed = b"".join(x.to_bytes(4, "little") for x in ids)
+        assert tuple(got[i])[1:] == (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()), text
+    some = spark.createDataFrame(texts[-14:], "doc_id long, text string")
+    back = {r["doc_id"]: r["text"] for r in bpe.decoded_texts(bpe.encoded_ids(some)).collect()}
+    assert back == {i: library_tokens(t or "")[1] for i, t in texts[-14:]}
+
+
+def test_bpe_of_random_strings():
+    known = bpe.vocabulary(bpe.VOCABULARY)
+    rng = random.Random(11)
+    parts = ["a", "b", "e", "n", "in", "the", "an", "ing", "'s", "'", "<|endoftext|>", "<|", "|>", " ", "\n", "é", "e\u0301", "\u0301", "\u0130", "Σ", "ß", "ﬁ", "한", "1", "٣", "!", "?", "\x85", "\xa0", "\u200b", "\U0001f600", "A", "aaaa"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        ids, decoded = library_tokens(text)
+        assert (known.ids(text), known.decode(ids)) == (ids, decoded), text
+    for alphabet in ("ab", "aeinst", "abcdefghijklmnopqrstuvwxyz"):
+        text = "".join(rng.choice(alphabet) for _ in range(3000))
+        assert known.ids(text) == library_tokens(text)[0]
+
+
+def plain_codes(vectors, parts=16, entries=64, rounds=2):
+    """{vec_id: (code, error)} and the codebooks by plain Lloyd rounds on Python's integers; vectors are (vec_id, list)."""
+    whole = sorted((i, [math.floor(256 * x) for x in v]) for i, v in vectors)
+    width = len(whole[0][1]) // parts
+    cut = [[v[p * width : (p + 1) * width] for p in range(parts)] for _, v in whole]
+    books = [[x[p] for x in cut[:entries]] for p in range(parts)]
+
+    def near(x, book):
+        return min((sum((a - b) ** 2 for a, b in zip(x, c, strict=True)), e) for e, c in enumerate(book))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            members = defaultdict(list)
+            for x in cut:
+                members[near(x[p], books[p])[1]].append(x[p])
+            books[p] = [[sum(c) // len(members[e]) for c in zip(*members[e], strict=True)] if e in members else old for e, old in enumerate(books[p])]
+    found = {}
+    for (i, _), x in zip(whole, cut, strict=True):
+        own = [near(x[p], books[p]) for p in range(parts)]
+        found[i] = ("".join(f"{e:02x}" for _, e in own), sum(d for d, _ in own))
+    return found, books
+
+
+def test_codes_equal_plain_rounds(spark):
+    rng = random.Random(4)
+    centres = [[rng.gauss(0, 0.3) for _ in range(32)] for _ in range(20)]
+    vectors = [(i, [x + rng.gauss(0, 0.05) for x in rng.choice(centres)]) for i in range(700)]
+    vectors += [(1000 + i, list(vectors[7][1])) for i in range(200)] + [(2000 + i, [0.5] * 32) for i in range(30)]
+    expected, books = plain_codes(vectors)
+    odd = [(-1, None), (-2, [0.1] * 31 + [None]), (-3, [0.1] * 31 + [float("nan")]), (-4, [float("inf")] + [0.1] * 31), (-5, [])]
+    rows = [(i, v, i % 5 if i % 7 else None) for i, v in vectors + odd]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(7)
+    got = codes.codes(df).collect()
+    assert {r["vec_id"]: (r["code"], r["error"]) for r in got} == expected and len(got) == len(vectors)
+    digest = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    sums = Counter()
+    for i, _, label in rows:
+        if i in expected:
+            sums[label] += expected[i][1]
+    assert {r["codebooks_sha256"] for r in got} == {digest}
+    assert all(r["label_error"] == sums[r["vec_id"] % 5 if r["vec_id"] % 7 else None] for r in got)
+
+
+def test_codes_skip_groups(spark):
+    """Later assignments make fewer distances than all of them, with equal results (above)."""
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    state, books = codes.fitted(v, "label")
+    n = state.count()
+    made = state.agg({"made": "sum"}).first()[0]
+    assert n * 16 <= made < 0.9 * n * 16 * 64
+    back = codes.decoded(state.withColumn("code", F.lower(F.hex("near"))), books).first()
+    assert len(back["vector"]) == 64
+
+
+def test_codes_of_few_and_of_large_vectors(spark):
+    few = [(i, [float(x) for x in range(i, i + 16)]) for i in range(3)]
+    large = [(i, [(-1.0) ** i * 10.0**k for k in range(16)]) for i in range(5)] + [(9, [1e15] * 16)]
+    for vectors in (few, large):
+        expected, _ = plain_codes(vectors)
+        got = codes.codes(spark.createDataFrame([(i, v, None) for i, v in vectors], "vec_id long, embedding array<double>, label int")).collect()
+        assert {r["vec_id"]: (r["code"], r["error"]) for r in got} == {i: (c, min(e, 2**63 - 1)) for i, (c, e) in expected.items()}
+
+
+def plain_audit(rows, labels):
+    """The audit's rows by trying every order on every document; rows are (doc_id, text, source)."""
+    import itertools
+
+    flags = []
+    for i, t, s in rows:
+        t = t or ""
+        words = WORDS.findall(t)
+        fails = {"A": len(words) < 50, "B": 100 * len(set(words)) < 65 * len(words), "C": 100 * len(re.findall("[A-Z]", t)) > 5 * len(t), "D": bool(re.search("[#$%&*|]", t))}
+        fails["E"] = i is not None and any(j is not None and j < i and (u or "") == t for j, u, _ in rows)
+        known = [(q, x) for j, q, x in labels if j == i and i is not None]
+        flags.append((s or "", fails, any(q == 1 for q, _ in known), any(x == 1 for _, x in known)))
+    found = {}
+    for order in map("".join, itertools.permutations("ABCDE")):
+        for part in {f[0] for f in flags}:
+            left = [f for f in flags if f[0] == part]
+            for step, letter in enumerate(order, 1):
+                out = [f for f in left if f[1][letter]]
+                own = [f for f in flags if f[0] == part and f[1][letter]]
+                left = [f for f in left if not f[1][letter]]
+                only = sum(sum(f[1].values()) == 1 for f in own)
+                found[part, order, step] = (len(left), len(out), len(own) - len(out), only, sum(f[2] for f in out), sum(f[3] for f in out))
+    return found
+
+
+def test_audit_equals_every_order(spark):
+    rng = random.Random(8)
+    texts = ["", None, "word " * 60, " ".join(f"w{i}" for i in range(70)), " ".join(f"w{i}" for i in range(60)) + " #", "ABC def " * 40, "THE " + " ".join(f"v{i}" for i in range(80)), "x" * 3000]
+    rows = [(rng.choice((None, *range(60))), rng.choice(texts), rng.choice((None, "", "s1", "s2"))) for _ in range(120)]
+    labels = [(i, rng.choice((0, 1, None)), rng.choice((0, 1))) for i in (*range(0, 60, 2), 4, 4, None)]
+    expected = plain_audit(rows, labels)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("A", "part", "n", "good", "text_key")})
+    got = audit.audit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    own = lambda r: (r["kept"], r["removed"], r["redundant"], r["unique_fails"], r["good_lost"], r["toxic_lost"])
+    assert {(r["part"], r["filter_order"], r["step"]): own(r) for r in got} == expected and len(got) == 600 * 3
+    shapley = Counter()
+    for (part, order, step), x in expected.items():
+        shapley[part, order[step - 1]] += x[1]
+    assert all(r["shapley"] == shapley[r["part"], r["filter_order"][r["step"] - 1]] for r in got)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from folioloom.llm import decontam, langid, lm, mixing, neardup, pii, quality, sharding, tokens, urlfilter
+from folioloom.llm import audit, bpe, codes, decontam, langid, lm, mixing, neardup, pii, quality, sharding, tokens, urlfilter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i % 977} other{i % 13}" for i in range(60_000))
@@ -38,8 +38,12 @@ OPERATORS = {
     "tokens": lambda s, d: tokens.histogram(d),
     "mixing": lambda s, d: mixing.mixed(d),
     "mix": lambda s, d: mixing.mix(d),
+    "bpe": lambda s, d: bpe.encoded(d),
+    "bpe ids": lambda s, d: bpe.encoded_ids(d),
+    "audit": lambda s, d: audit.audit(d, s.createDataFrame([(1, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")),
+    "codes": lambda s, d: codes.codes(d.select(F.col("doc_id").alias("vec_id"), F.array(*(F.col("n_chars").cast("double") + i for i in range(16))).alias("embedding"), F.col("source").alias("label"), "node", F.lit(1).alias("near"), F.lit(1).alias("v"))),
 }
-ROWWISE = ("sharding", "sharded rows", "quality", "decontamination", "neardup", "pii", "langid", "lm", "mixing")
+ROWWISE = ("sharding", "sharded rows", "quality", "decontamination", "neardup", "pii", "langid", "lm", "mixing", "bpe", "bpe ids")
 
 
 @pytest.mark.parametrize("name", OPERATORS)

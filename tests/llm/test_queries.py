@@ -19,6 +19,9 @@ COLUMNS = {
     "op8": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op9": "limit n_docs total_tokens truncated_total quantile",
     "op10": "doc_id size source_size target taken",
+    "op11": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op12": "vec_id code error label_error codebooks_sha256",
+    "op13": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
 }
 
 
@@ -26,15 +29,15 @@ COLUMNS = {
 def test_columns(spark, name):
     df = queries.queries()[name](spark, DIR)
     assert set(COLUMNS[name.split("_")[0]].split()) <= set(df.columns)
-    table = "pages" if name.startswith("op3") else "documents"
-    if not name.startswith("op9"):
+    table = {"op3": "pages", "op12": "embeddings"}.get(name.split("_")[0], "documents")
+    if name.split("_")[0] not in ("op9", "op13"):
         assert df.count() == spark.read.parquet(f"{DIR}/{table}.parquet").count()
 
 
 @pytest.mark.parametrize("name", queries.oracle_sql())
 def test_equals_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings", "labels"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     want = db.sql(queries.oracle_sql()[name])
     got = queries.queries()[name](spark, DIR).select(*want.columns)
