@@ -19,7 +19,7 @@ from folioloom.plans.fixtures import Rows
 from folioloom.plans.queries_evaluation import _NUM
 from folioloom.plans.queries_retrieval import _BENCH, _bm25, _chunks, _items, _score_pairs, benchmark_hits
 from folioloom.plans.registry import query, table
-from folioloom.sources import files, store
+from folioloom.sources import files, snapshots, store
 
 
 def _place(spark: SparkSession, name: str) -> str:
@@ -56,6 +56,65 @@ def store_delete(spark: SparkSession, d: str) -> DataFrame:
     return store.chunks_in(spark, path)
 
 
+def _changed_store(spark: SparkSession, d: str) -> str:
+    """A store with its index after uploads, replacements, deletions and a merge of its segments."""
+    path = _place(spark, "store")
+    docs = table(spark, d, "documents")
+
+    def upload(rows: DataFrame, text) -> None:
+        store.store_chunks(rows.select(F.col("source").alias("collection"), F.col("doc_id").cast("string").alias("doc"), F.col("doc_id").alias("chunk_id"), text.alias("content")), path, indexed=True)
+
+    upload(docs.filter("doc_id % 3 <> 0"), F.col("text"))
+    upload(docs.filter("doc_id % 4 = 1"), F.concat(F.lit("later "), "text"))
+    store.delete_documents(spark, path, docs.filter("doc_id % 5 = 0").select(F.col("source").alias("collection"), F.col("doc_id").cast("string").alias("doc")))
+    snapshots.compact(spark, path)
+    upload(docs.filter("doc_id % 3 = 0"), F.col("text"))
+    upload(docs.filter("doc_id % 7 = 2"), F.concat_ws(" ", "text", "lang"))
+    return path
+
+
+_CHANGED = """changed AS (SELECT doc_id, source, CASE WHEN doc_id % 7 = 2 THEN concat_ws(' ', text, lang) WHEN doc_id % 3 = 0 THEN text
+  WHEN doc_id % 4 = 1 THEN 'later ' || text ELSE text END AS text FROM documents WHERE doc_id % 7 = 2 OR doc_id % 3 = 0 OR doc_id % 5 <> 0)"""
+
+
+@query(f"WITH {_CHANGED}, {_bm25(_BENCH).replace('FROM documents', 'FROM changed')} SELECT query, doc, score, rank FROM bm")
+def index_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """Search over an index that took five changes equals that over a fresh one."""
+    return retrieval.bm25(store.index_in(spark, _changed_store(spark, d)), table(spark, d, "benchmark"))
+
+
+@query(rf"""WITH {_CHANGED}, w AS (SELECT source AS collection, doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM changed),
+t AS (SELECT DISTINCT collection, doc_id, unnest(w) AS term FROM w)
+SELECT collection, term, count(*) AS df, 0::BIGINT AS words FROM t GROUP BY ALL
+UNION ALL SELECT collection, '', count(*), sum(len(w))::BIGINT FROM w GROUP BY collection""")
+def index_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    return store.frequencies_in(spark, _changed_store(spark, d))
+
+
+@query("""SELECT 1 AS version, source AS collection, doc_id::VARCHAR AS doc, text AS content FROM documents WHERE doc_id % 3 <> 0
+UNION ALL SELECT 2, source, doc_id::VARCHAR, CASE WHEN doc_id % 4 = 1 THEN 'later ' || text ELSE text END FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 4 = 1""")
+def store_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Both versions of a store, read after the second one was made; a third is rolled back."""
+    path = _place(spark, "store")
+    docs = table(spark, d, "documents").select(F.col("source").alias("collection"), F.col("doc_id").cast("string").alias("doc"), F.col("text").alias("content"), "doc_id")
+    store.store_chunks(docs.filter("doc_id % 3 <> 0").drop("doc_id"), path)
+    store.store_chunks(docs.filter("doc_id % 4 = 1").select("collection", "doc", F.concat(F.lit("later "), "content").alias("content")), path)
+    store.delete_documents(spark, path, docs)
+    snapshots.roll_back(spark, path, 2)
+    now = store.chunks_in(spark, path).select(F.lit(2).alias("version"), "collection", "doc", "content")
+    return store.chunks_in(spark, path, snapshots.version(spark, path, 1)).select(F.lit(1).alias("version"), "collection", "doc", "content").unionByName(now)
+
+
+@query("SELECT source AS collection, doc_id::VARCHAR AS doc, text AS content FROM documents WHERE source IN (SELECT DISTINCT source FROM documents ORDER BY 1 LIMIT 3) AND lang = 'en'")
+def store_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """Three collections' English chunks; the others' files are not opened."""
+    path = _place(spark, "store")
+    docs = table(spark, d, "documents")
+    store.store_chunks(docs.select(F.col("source").alias("collection"), F.col("doc_id").cast("string").alias("doc"), F.col("text").alias("content"), "lang"), path)
+    first = [r[0] for r in docs.select("source").distinct().orderBy("source").limit(3).collect()]
+    return store.chunks_in(spark, path, collections=first).filter("lang = 'en'").drop("lang")
+
+
 @query(f"WITH {_bm25(_BENCH)} SELECT query, doc, score, rank FROM bm")
 def index_reload(spark: SparkSession, d: str) -> DataFrame:
     path = _place(spark, "index")

@@ -1,106 +1,121 @@
-"""A store of chunks: documents are replaced, deleted and read by collection, and collections' indexes follow.
+"""A store of chunks and their index: documents are replaced, deleted and read by collection, each change one commit.
 
-Chunks are Parquet in folders by collection and by a hash of the document, so replacing a document rewrites the few
-folders that hold documents of its hash, whatever the collection's size.
+A commit (see snapshots) holds the new chunks, their postings, and what they change in the numbers that scores need: how many
+chunks hold a term and how many words there are. So the work of an upload follows the upload and not the collection, and chunks
+and index are of one version at any time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioloom.operators import retrieval
-from folioloom.operators.tables import delete, materialized, scratch
+from folioloom.operators.tables import materialized, scratch
+from folioloom.sources import snapshots
+from folioloom.sources.snapshots import GONE, Version
 
-#: Folders that a collection's documents are dealt to.
-BUCKETS = 32
-#: Columns of the folders; a collection's name stands in the rows too, so its type stays what it is.
-AT = ("at_collection", "at_bucket")
+CHUNKS, POSTINGS, FREQUENCIES = "chunks", "postings", "frequencies"
 
 
-def placed(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    bucket = F.pmod(F.xxhash64(F.col("doc").cast("string")), F.lit(buckets)).cast("int")
-    return rows.withColumns({"at_collection": F.concat(F.lit("c_"), F.col("collection").cast("string")), "at_bucket": bucket})
+def chunks_in(spark: SparkSession, path: str, at: Version | None = None, collections: Iterable | None = None, docs: Iterable | None = None) -> DataFrame:
+    """The chunks of the store at path, of its latest version or another one; only those of some collections or documents, if
+    these are named."""
+    return snapshots.live(spark, path, CHUNKS, at, collections, docs)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+def chunk_postings(chunks: DataFrame, body: str) -> DataFrame:
+    """collection, doc, chunk_id, term, tf and dl of chunks; a row with the empty term stands for each chunk itself."""
+    named = chunks.select(F.struct("collection", "doc", "chunk_id").alias("own"), F.col(body).alias("text"))
+    each = retrieval.entries(named, "own", "text")
+    return each.select("doc.collection", "doc.doc", "doc.chunk_id", "term", "tf", F.col("dl").cast("long").alias("dl"))
 
 
-def chunks_in(spark: SparkSession, path: str) -> DataFrame:
-    """All chunks of the store at path."""
-    return spark.read.parquet(path).drop(*AT)
+def changes(posted: DataFrame, sign: int) -> DataFrame:
+    """collection, term, df and words that postings add to the merged numbers, or take away."""
+    words = F.sum(F.when(F.col("term") == "", F.col("dl")).otherwise(0))
+    return posted.groupBy("collection", "term").agg((F.count(F.lit(1)) * sign).alias("df"), (words * sign).alias("words"))
 
 
-def folder(path: str, collection: str, bucket: int, spark: SparkSession) -> str:
-    """Where Spark puts the rows of a collection and bucket."""
-    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(collection)
-    return f"{path}/at_collection={name}/at_bucket={bucket}"
+def _segment(spark: SparkSession, path: str, base: Version, new: DataFrame | None, gone: DataFrame, indexed: bool, body: str) -> dict[str, DataFrame]:
+    tables = {} if new is None else {CHUNKS: new}
+    if base.no:
+        tables[GONE] = gone
+    if indexed:
+        parts = []
+        if new is not None:
+            tables[POSTINGS] = materialized(chunk_postings(new, body), "store-postings")
+            parts.append(changes(tables[POSTINGS], 1))
+        if POSTINGS in base.schemas:
+            parts.append(changes(snapshots.live(spark, path, POSTINGS, base, wanted=gone), -1))
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionByName(part)
+        tables[FREQUENCIES] = snapshots.summed(every)
+    return tables
 
 
-def rewrite(spark: SparkSession, path: str, gone: DataFrame, new: DataFrame | None, buckets: int = BUCKETS) -> None:
-    """The store without the documents of gone (collection, doc), and with new chunks. Only folders with documents of
-    gone are read and rewritten; a repeat of the same call leaves the same store."""
-    with scratch(spark):
-        gone = materialized(placed(gone.select("collection", "doc").distinct(), buckets), "store-gone")
-        rows = None if new is None else placed(new, buckets)
-        if exists(spark, path):
-            touched = gone.select(*AT).distinct()
-            old = spark.read.parquet(path).join(F.broadcast(touched), list(AT), "left_semi").join(gone.select("collection", "doc"), ["collection", "doc"], "left_anti")
-            rows = old if rows is None else old.unionByName(rows, allowMissingColumns=True)
-        if rows is None:
-            return
-        rows = materialized(rows, "store-rows")
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*AT).parquet(path)
-        # a folder without rows is not overwritten
-        empty = gone.select(*AT).distinct().join(rows.select(*AT).distinct(), list(AT), "left_anti").collect()  # folders, not rows
-        delete(spark, *(folder(path, x.at_collection, x.at_bucket, spark) for x in empty))
-
-
-def store_chunks(chunks: DataFrame, path: str) -> None:
+def changed(spark: SparkSession, path: str, new: DataFrame | None, gone: DataFrame, indexed: bool = False, body: str = "content") -> Version:
+    """The version without the documents of gone (collection, doc), and with new chunks."""
+
+    def build(base: Version) -> dict[str, DataFrame]:
+        return _segment(spark, path, base, new, gone, POSTINGS in base.schemas or (indexed and not base.no), body)
+
+    now = snapshots.commit(spark, path, build, (FREQUENCIES,))
+    return snapshots.compact(spark, path) if len(now.segments) > snapshots.SEGMENTS else now
+
+
+def store_chunks(chunks: DataFrame, path: str, indexed: bool = False, body: str = "content") -> None:
     """Puts chunks (collection, doc, ...) into the store. A document that is there already is replaced as a whole; all
-    others, of its collection too, stay. An empty table changes nothing."""
+    others, of its collection too, stay. An empty table changes nothing. A store whose first chunks (with chunk_id) were put
+    in with indexed=True keeps their index in step from then on."""
     spark = chunks.sparkSession
     with scratch(spark):
         chunks = materialized(chunks, "store-new")
         if not chunks.isEmpty():
-            rewrite(spark, path, chunks.select("collection", "doc"), chunks)
+            changed(spark, path, chunks, materialized(chunks.select("collection", "doc").distinct(), "store-gone"), indexed, body)
 
 
 def delete_documents(spark: SparkSession, path: str, gone: DataFrame) -> None:
     """Removes the documents of gone (collection, doc); those that the store doesn't hold are passed over."""
-    rewrite(spark, path, gone, None)
+    with scratch(spark):
+        gone = materialized(gone.select("collection", "doc").distinct(), "store-gone")
+        if snapshots.versions(spark, path) and not gone.isEmpty():
+            changed(spark, path, None, gone)
 
 
 def delete_collection(spark: SparkSession, path: str, collection: str) -> None:
-    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(f"c_{collection}")
-    delete(spark, f"{path}/at_collection={name}")
+    if snapshots.versions(spark, path):
+        delete_documents(spark, path, chunks_in(spark, path, collections=[collection]).select("collection", "doc"))
+
+
+def frequencies_in(spark: SparkSession, path: str, at: Version | None = None, collections: Iterable | None = None) -> DataFrame:
+    """collection, term, df and words, merged over the segments: df is the number of chunks that hold the term, and in the row of
+    the empty term, which has their words, the number of chunks."""
+    return snapshots.summed(snapshots.live(spark, path, FREQUENCIES, at, collections))
+
+
+def index_in(spark: SparkSession, path: str, at: Version | None = None, collections: Iterable | None = None) -> retrieval.Index:
+    """The index of a store's chunks (doc is the chunk's id), as one index over these collections, all by default. Nothing is
+    counted anew: what scores need comes from the merged numbers."""
+    at = snapshots.version(spark, path) if at is None else at
+    every = snapshots.live(spark, path, POSTINGS, at, collections).select(F.col("chunk_id").alias("doc"), "term", "tf", "dl")
+    merged = frequencies_in(spark, path, at, collections).groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
+    totals = merged.filter("term = ''").select(F.col("df").alias("n_docs"), (F.col("words") / F.col("df")).alias("avg_dl"))
+    return retrieval.Index(every.filter("term <> ''"), every.filter("term = ''").select("doc", "dl"), merged.filter("term <> ''").select("term", "df"), totals)
 
 
 def index_place(path: str, collection: str) -> str:
-    """The folder of a collection's index: a safe and short name, different for different collections (see
+    """The folder of a collection's saved index: a safe and short name, different for different collections (see
     text.index_file_name)."""
     safe = re.sub(r"[^A-Za-z0-9_.-]", "_", collection)[:80]
     return f"{path}/{safe}__{hashlib.sha1(collection.encode()).hexdigest()[:10]}"
 
 
-def refit(spark: SparkSession, path: str, indexes: str, collections: list[str], body: str = "content") -> None:
-    """Writes the index of each of the collections anew after their documents changed; one without documents loses its
-    index. Collections are few: those that a batch of uploads touched."""
-    for name in collections:
-        rows = chunks_in(spark, path).filter(F.col("collection") == name)
-        place = index_place(indexes, name)
-        if rows.isEmpty():
-            retrieval.remove_index(spark, place)
-            continue
-        with scratch(spark):
-            retrieval.save_index(retrieval.index_of(rows, "chunk_id", body), place)
-
-
 def document_json(blocks: DataFrame, documents: DataFrame) -> DataFrame:
     """doc and document, the JSON of documents (doc, title, total_pages, metadata map) with their blocks in order."""
     own = [c for c in blocks.columns if c not in ("doc", "block_idx")]

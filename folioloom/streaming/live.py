@@ -114,20 +114,21 @@ def _waiting_stream(requests: DataFrame, seconds: float, longest: float) -> Data
     return kept.groupBy("worker").applyInPandasWithState(step, _GATED, _FREE, "append", GroupStateTimeout.NoTimeout)
 
 
-def ingest(texts: DataFrame, path: str, checkpoint: str, indexes: str | None = None):
-    """A streaming query that chunks arriving documents (doc, collection, section, page, text) into the store at path, and
-    refits the indexes of the collections that a batch touched. A document that arrives again, in the same batch or a
-    later one, replaces what was there; a batch that is run again leaves the same store."""
+def ingest(texts: DataFrame, path: str, checkpoint: str, indexed: bool = False):
+    """A streaming query that chunks arriving documents (doc, collection, section, page, text) into the store at path, and its
+    index if it has one (indexed, for a new store): one commit for each batch, whatever the number of collections. A document
+    that arrives again, in the same batch or a later one, replaces what was there; a batch that is run again leaves the same
+    store."""
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         with scratch(spark):
-            newest = batch.withColumn("arrival", F.monotonically_increasing_id()).groupBy("collection", "doc").agg(F.max("arrival").alias("arrival"))
-            rows = batch.withColumn("arrival", F.monotonically_increasing_id()).join(newest, ["collection", "doc", "arrival"], "left_semi")
-            chunks = materialized(chunking.windows(rows.drop("arrival")), "ingested")
-            store.store_chunks(chunks, path)
-            if indexes:
-                touched = [r.collection for r in chunks.select("collection").distinct().collect()]  # of one batch
-                store.refit(spark, path, indexes, touched)
+            arrived = materialized(batch.withColumn("arrival", F.monotonically_increasing_id()), "arrived")
+            newest = arrived.groupBy("collection", "doc").agg(F.max("arrival").alias("arrival"))
+            rows = arrived.join(newest, ["collection", "doc", "arrival"], "left_semi")
+            chunks = chunking.windows(rows.drop("arrival"))
+            whole = materialized(chunks, "ingested")
+            # a document without a chunk that is long enough goes too
+            store.changed(spark, path, whole, materialized(newest.select("collection", "doc"), "ingested-keys"), indexed)
 
     return texts.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+import random
+import re
 import zipfile
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioloom.functions import text as T
 from folioloom.operators import history, retrieval
-from folioloom.sources import files, store
+from folioloom.sources import files, snapshots, store
 from folioloom.streaming import live
 
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -62,20 +66,107 @@ def test_store_replaces_documents(spark, tmp_path):
     assert held() == {("a", "3", "w")}
 
 
+KIND = "collection string, doc string, chunk_id string, content string"
+
+
+def same_index(spark, path, rows):
+    """The kept index of a store equals a fresh one of the rows (collection, doc, chunk_id, content)."""
+    asked = spark.createDataFrame([(1, "sea ships"), (2, "and and old")], "item_id int, text string")
+    fresh = retrieval.bm25(spark.createDataFrame(rows, KIND), asked, doc_key="chunk_id", doc_body="content").collect()
+    assert sorted(map(tuple, retrieval.bm25(store.index_in(spark, path), asked).collect())) == sorted(map(tuple, fresh))
+    merged = {(r.collection, r.term): r.df for r in store.frequencies_in(spark, path).collect()}
+    counted = Counter((c, t) for c, _, _, text in rows for t in {"", *re.findall(r"\w+", text.lower())})
+    assert merged == counted
+
+
 def test_index_follows_the_store(spark, tmp_path):
-    kind, path, indexes = "collection string, doc string, chunk_id string, content string", str(tmp_path / "s"), str(tmp_path / "i")
-    store.store_chunks(spark.createDataFrame([("a", "1", "k1", "sea and ships"), ("a", "2", "k2", "")], kind), path)
-    store.refit(spark, path, indexes, ["a", "none"])
-    place = store.index_place(indexes, "a")
-    index = retrieval.load_index(spark, place)
-    assert index.documents.count() == 2 and {(r.doc, r.term, r.tf, r.dl) for r in index.postings.collect()} == {("k1", t, 1, 3) for t in ("sea", "and", "ships")}
+    path = str(tmp_path / "s")
+    rng, held = random.Random(1), {}
+    words = "sea ships and old new harbour".split()
+    for step in range(6):
+        new = [(rng.choice("ab"), str(rng.randint(1, 6)), f"{step}-{i}", " ".join(rng.choices(words, k=rng.randint(0, 5)))) for i in range(5)]
+        store.store_chunks(spark.createDataFrame(new, KIND), path, indexed=True)
+        held = {k: v for k, v in held.items() if k not in {r[:2] for r in new}}
+        for r in new:
+            held.setdefault(r[:2], []).append(r)
+        gone = rng.sample(sorted(held), 2)
+        store.delete_documents(spark, path, spark.createDataFrame([*gone, ("b", "none")], "collection string, doc string"))
+        held = {k: v for k, v in held.items() if k not in gone}
+        if step == 3:
+            before = snapshots.version(spark, path)
+            assert len(snapshots.compact(spark, path).segments) == 1 < len(before.segments)
+        if step in (0, 3, 5):
+            same_index(spark, path, [r for rows in held.values() for r in rows])
     name = spark.range(1).select(T.index_file_name(F.lit("a")).alias("n")).first().n
-    assert place == f"{indexes}/{name}"
-    store.delete_documents(spark, path, spark.createDataFrame([("a", "1")], "collection string, doc string"))
-    store.refit(spark, path, indexes, ["a"])
-    assert retrieval.load_index(spark, place).postings.count() == 0
-    retrieval.remove_index(spark, place)
-    assert not store.exists(spark, place)
+    assert store.index_place("x", "a") == f"x/{name}"
+
+
+def test_commits_are_whole(spark, tmp_path, monkeypatch):
+    """A writer that dies leaves the version before; of two writers the second builds on the first one's version."""
+    path = str(tmp_path / "s")
+    put = lambda *rows: store.store_chunks(spark.createDataFrame(rows, KIND), path, indexed=True)
+    held = lambda at=None: {(r.doc, r.content) for r in store.chunks_in(spark, path, at).collect()}
+    put(("a", "1", "k1", "sea and ships"), ("a", "2", "k2", "old sea"))
+    first = snapshots.version(spark, path)
+    publish = snapshots.publish
+
+    def dies(*_):
+        raise OSError("no more")
+
+    monkeypatch.setattr(snapshots, "publish", dies)
+    with pytest.raises(OSError):
+        put(("a", "1", "k3", "lost"))
+    assert held() == {("1", "sea and ships"), ("2", "old sea")} and snapshots.versions(spark, path) == [1]
+    interrupted = []
+
+    def second(spark_, path_, new):
+        if not interrupted:
+            interrupted.append(1)
+            monkeypatch.setattr(snapshots, "publish", publish)
+            put(("a", "1", "k4", "ships"))  # another writer is first
+        publish(spark_, path_, new)
+
+    monkeypatch.setattr(snapshots, "publish", second)
+    put(("a", "1", "k5", "harbour"), ("a", "3", "k6", "sea"))
+    assert held() == {("1", "harbour"), ("2", "old sea"), ("3", "sea")} and snapshots.versions(spark, path) == [1, 2, 3]
+    same_index(spark, path, [("a", "1", "k5", "harbour"), ("a", "2", "k2", "old sea"), ("a", "3", "k6", "sea")])
+    assert held(first) == {("1", "sea and ships"), ("2", "old sea")}
+    snapshots.roll_back(spark, path, 1)
+    assert held() == held(first)
+    snapshots.vacuum(spark, path, keep=1)
+    assert snapshots.versions(spark, path) == [4] and held() == {("1", "sea and ships"), ("2", "old sea")}
+    assert len(list((tmp_path / "s" / "chunks").iterdir())) == 1
+
+
+def test_reads_are_pruned(spark, tmp_path):
+    path = str(tmp_path / "s")
+    rows = [(f"c{i % 5}", str(i), f"k{i}", "text") for i in range(200)]
+    store.store_chunks(spark.createDataFrame(rows, KIND), path)
+    store.delete_documents(spark, path, spark.createDataFrame([("c1", "1")], "collection string, doc string"))
+    one = store.chunks_in(spark, path, collections=["c1"], docs=["6", "1"])
+    assert [r.doc for r in one.collect()] == ["6"]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.splitlines() if "FileScan" in x]
+    assert scans and all("at_collection" in x.split("PartitionFilters: [")[1].split("]")[0] for x in scans)
+    every = store.chunks_in(spark, path)._jdf.queryExecution().toRdd().getNumPartitions()
+    files = lambda df: len(snapshots_files(df))
+    assert files(store.chunks_in(spark, path, collections=["c1"])) * 4 < files(store.chunks_in(spark, path)) and every
+    assert files(one) <= 4
+
+
+def snapshots_files(df):
+    """The files that a plan's scans of chunks read, after its partition filters."""
+    scans, found = [df._jdf.queryExecution().executedPlan()], []
+    while scans:
+        node = scans.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            scans.append(node.executedPlan() if hasattr(node, "executedPlan") else node.inputPlan())
+        elif node.nodeName().startswith("Scan parquet"):
+            parts = node.selectedPartitions().toPartitionArray()
+            found += [str(x.urlEncodedPath()) for x in parts if "/chunks/" in str(x.urlEncodedPath())]
+        children = node.children()
+        scans += [children.apply(i) for i in range(children.size())]
+    return found
 
 
 def test_document_json_round_trip(spark):
@@ -102,16 +193,18 @@ def test_ingest_stream(spark, tmp_path):
     kind = "collection string, doc string, section string, page int, text string"
     arrive = lambda rows, name: spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / "in" / name))
     source = lambda: spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    out, cp, indexes = (str(tmp_path / x) for x in ("out", "cp", "ix"))
+    out, cp = (str(tmp_path / x) for x in ("out", "cp"))
     arrive([("c", "d1", "s", 1, "word " * 600), ("c", "d1", "s", 1, "word " * 600), ("c", "d2", "s", 1, "other " * 60)], "1")
-    live.ingest(source(), out, cp, indexes).awaitTermination()
+    live.ingest(source(), out, cp, indexed=True).awaitTermination()
     assert store.chunks_in(spark, out).count() == 3
     arrive([("c", "d1", "s", 1, "later " * 70)], "2")
-    live.ingest(source(), out, cp, indexes).awaitTermination()
+    live.ingest(source(), out, cp, indexed=True).awaitTermination()
     rows = store.chunks_in(spark, out).collect()
     assert sorted((r.doc, r.content.split()[0]) for r in rows) == [("d1", "later"), ("d2", "other")]
-    index = retrieval.load_index(spark, store.index_place(indexes, "c"))
-    assert {r.term for r in index.postings.collect()} == {"later", "other"}
+    assert {r.term for r in store.index_in(spark, out).postings.collect()} == {"later", "other"}
+    arrive([("c", "d2", "s", 1, "too short")], "3")
+    live.ingest(source(), out, cp).awaitTermination()
+    assert [r.doc for r in store.chunks_in(spark, out).collect()] == ["d1"] and len(snapshots.version(spark, out).segments) == 3
 
 
 def test_events_round_trip(spark):
