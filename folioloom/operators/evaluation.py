@@ -223,3 +223,10 @@ def table_rows(rows: DataFrame, name: str, metrics: list[str]) -> DataFrame:
 def backoff(base: float, attempt: Column, retry_after: Column) -> Column:
     """Seconds before the next try: doubled each time, not under what the server asks for."""
     return F.greatest(F.lit(base) * F.pow(F.lit(2.0), attempt), F.coalesce(retry_after, F.lit(0.0)))
+
+
+def for_each(rows: DataFrame, configs: DataFrame) -> DataFrame:
+    """rows, each with every one of the configurations, which are few: a list in each row."""
+    kind = configs.schema
+    listed = F.array(*(F.struct(*(F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in kind)) for r in configs.collect()))
+    return rows.select("*", F.inline(listed))

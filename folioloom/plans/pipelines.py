@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,7 @@ from folioloom.functions import prompts
 from folioloom.functions import text as T
 from folioloom.operators import chunking, citations, context, retrieval, routing, sections
 from folioloom.operators.providers import Providers
+from folioloom.operators.tables import materialized
 
 SECTION_BOOST, DEFAULT_BOOST = 0.15, 0.1
 SUMMARY_SECTIONS = ("abstract", "introduction", "method", "result", "conclusion")
@@ -36,37 +39,60 @@ def searched(queries: DataFrame) -> Column:
     return F.coalesce("search_text", "query_text") if "search_text" in queries.columns else F.col("query_text")
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 20, models: Providers = Providers(), dense_where: Column | None = None, sparse_where: Column | None = None) -> DataFrame:
+class Searchable(NamedTuple):
+    """Chunks (chunk, document, section, page, text, chunk_level, ...) with their embedding, and their index."""
+
+    chunks: DataFrame
+    index: retrieval.Index
+
+
+def searchable(chunks: DataFrame | Searchable, models: Providers = Providers()) -> Searchable:
+    """chunks embedded and indexed, once for all searches of a pipeline; what is searchable already stays."""
+    if isinstance(chunks, Searchable):
+        return chunks
+    own = materialized(chunks.withColumn("embedding", models.embed(F.col("text"))), "chunks")
+    return Searchable(own, retrieval.index_of(own, "chunk", "text"))
+
+
+def sparse(held: Searchable, queries: DataFrame, k: int) -> DataFrame:
+    """query, doc, rank of the k best by BM25, written: several lists are cut from it."""
+    return materialized(retrieval.bm25(held.index, queries, k, key="query", body="query_text").select("query", "doc", "rank"), "sparse")
+
+
+def hybrid(chunks: DataFrame | Searchable, queries: DataFrame, k: int = 20, models: Providers = Providers(), dense_where: Column | None = None, sparse_where: Column | None = None, found: DataFrame | None = None) -> DataFrame:
     """query, doc (the chunk's id), rank of the fused lists. chunks: chunk, text, and what the filters read. The dense
-    filter works inside the search, the sparse one on its finished list, so filtered sparse lists may be short."""
-    vectors = chunks.withColumn("embedding", models.embed(F.col("text")))
+    filter works inside the search, the sparse one on its finished list (found, if it is there), so filtered sparse lists may be
+    short."""
+    held = searchable(chunks, models)
     asked = queries.select("query", models.embed(models.rewrite(searched(queries))).alias("vector"))
-    near = retrieval.dense(vectors, asked, k, dense_where, key="chunk")
-    found = retrieval.bm25(chunks, queries, k, doc_key="chunk", key="query", body="query_text")
+    near = retrieval.dense(held.chunks, asked, k, dense_where, key="chunk")
+    found = sparse(held, queries, k) if found is None else found
     if sparse_where is not None:
-        found = found.join(chunks.filter(sparse_where).select(F.col("chunk").alias("doc")), "doc", "left_semi")
+        found = found.join(held.chunks.filter(sparse_where).select(F.col("chunk").alias("doc")), "doc", "left_semi")
     return retrieval.fuse(near, found, k)
 
 
 def reranked(hits: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 5, models: Providers = Providers(), boosted: Column | None = None, boost: float = DEFAULT_BOOST) -> DataFrame:
     """hits with the chunks' columns, rerank_score, rank and position."""
-    rows = hits.select("query", "doc").join(chunks.withColumnRenamed("chunk", "doc"), "doc").join(queries.select("query", "query_text"), "query")
+    rows = hits.select("query", "doc").join(chunks.withColumnRenamed("chunk", "doc").drop("embedding"), "doc").join(queries.select("query", "query_text"), "query")
     rows = rows.withColumn("score", F.round(models.score(F.col("query_text"), F.col("text")), 6))
     return retrieval.rerank(rows, k, boosted, boost)
 
 
-def hybrid_within(chunks: DataFrame, queries: DataFrame, targets: DataFrame, k: int = 20, models: Providers = Providers(), where: Column | None = None) -> DataFrame:
-    """hybrid() inside documents: query (a struct of query and document), doc (the chunk's id), rank, for each target (query,
-    document). Chunks meet targets by an equal document. The dense list is made inside the document and the filter; the
-    sparse one is the collection's, cut to them afterwards."""
-    slot = F.struct("query", "document").alias("query")
-    own = chunks if where is None else chunks.filter(where)
-    asked = targets.select("query", "document").distinct().join(queries.select("query", models.embed(models.rewrite(searched(queries))).alias("vector")), "query")
-    pairs = own.withColumn("v", models.embed(F.col("text"))).join(asked, "document")
-    pairs = pairs.select(slot, F.col("chunk").alias("doc"), F.round(T.cosine(F.col("v"), F.col("vector")), 6).alias("score"))
+def hybrid_within(chunks: DataFrame | Searchable, queries: DataFrame, targets: DataFrame, k: int = 20, models: Providers = Providers(), where: Column | None = None, by: tuple[str, ...] = (), found: DataFrame | None = None) -> DataFrame:
+    """hybrid() inside documents: query (a struct of query, document and the chunks' columns `by`), doc (the chunk's id), rank,
+    for each target (query, document) and value of these columns, all in one search. Chunks meet targets by an equal document.
+    The dense list is made inside the document and the filter; the sparse one is the collection's, cut to them afterwards."""
+    held = searchable(chunks, models)
+    slot = F.struct("query", "document", *by).alias("query")
+    own = held.chunks if where is None else held.chunks.filter(where)
+    wanted = targets.select("query", "document").distinct()
+    asked = wanted.join(queries.select("query", models.embed(models.rewrite(searched(queries))).alias("vector")), "query")
+    pairs = own.join(asked, "document")
+    pairs = pairs.select(slot, F.col("chunk").alias("doc"), F.round(T.cosine(F.col("embedding"), F.col("vector")), 6).alias("score"))
     near = retrieval.top(pairs, ["query"], k, "rank", F.col("score").desc(), F.col("doc"))
-    found = retrieval.bm25(chunks, queries, k, doc_key="chunk", key="query", body="query_text").select("query", "doc", "rank")
-    found = found.join(own.select(F.col("chunk").alias("doc"), "document"), "doc").join(targets.select("query", "document").distinct(), ["query", "document"])
+    found = sparse(held, queries, k) if found is None else found
+    found = found.join(own.select(F.col("chunk").alias("doc"), "document", *by), "doc").join(wanted, ["query", "document"])
     return retrieval.fuse(near, found.select(slot, "doc", "rank"), k)
 
 
@@ -85,8 +111,9 @@ def answered(hits: DataFrame, models: Providers = Providers(), order: str = "pos
 def simple_qa(chunks: DataFrame, queries: DataFrame, models: Providers = Providers()) -> DataFrame:
     """Pipeline A; also what answers where no other fits."""
     queries = expansion(queries, models=models)
-    hits = hybrid(chunks, queries, 20, models)
-    return with_missing(answered(reranked(hits, chunks, queries, 5, models), models), queries, hits)
+    held = searchable(chunks, models)
+    hits = hybrid(held, queries, 20, models)
+    return with_missing(answered(reranked(hits, held.chunks, queries, 5, models), models), queries, hits)
 
 
 def with_missing(answers: DataFrame, queries: DataFrame, hits: DataFrame | None = None) -> DataFrame:
@@ -103,9 +130,11 @@ def with_missing(answers: DataFrame, queries: DataFrame, hits: DataFrame | None
 
 def section_qa(chunks: DataFrame, queries: DataFrame, section: str, models: Providers = Providers()) -> DataFrame:
     """Pipeline B: hits of one section, with others where there are fewer than three; the section's hits get a boost."""
-    inside = hybrid(chunks, queries, 20, models, F.col("section") == section, F.col("section") == section)
-    both = retrieval.with_fallback(inside, hybrid(chunks, queries, 20, models), 3)
-    return with_missing(answered(reranked(both, chunks, queries, 5, models, F.col("section") == section, SECTION_BOOST), models), queries, both)
+    held = searchable(chunks, models)
+    found = sparse(held, queries, 20)
+    inside = hybrid(held, queries, 20, models, F.col("section") == section, F.col("section") == section, found)
+    both = retrieval.with_fallback(inside, hybrid(held, queries, 20, models, found=found), 3)
+    return with_missing(answered(reranked(both, held.chunks, queries, 5, models, F.col("section") == section, SECTION_BOOST), models), queries, both)
 
 
 def compare(chunks: DataFrame, queries: DataFrame, targets: DataFrame, models: Providers = Providers()) -> DataFrame:
@@ -113,9 +142,10 @@ def compare(chunks: DataFrame, queries: DataFrame, targets: DataFrame, models: P
     searched, reranked and compressed by itself. targets: query, targets (array). Other than two documents is an error
     (insufficient_docs, too_many_docs), and so is a side without a context (no_doc_contexts, insufficient_contexts)."""
     sides = targets.filter(F.size("targets") == 2).select("query", F.posexplode("targets").alias("side", "document"))
-    hits = hybrid_within(chunks, queries, sides, 20, models).select("query", "doc")
+    held = searchable(chunks, models)
+    hits = hybrid_within(held, queries, sides, 20, models).select("query", "doc")
     asked = sides.join(queries.select("query", "query_text"), "query").select(F.struct("query", "document").alias("query"), "side", "query_text")
-    rows = hits.join(chunks.withColumnRenamed("chunk", "doc").drop("document"), "doc").join(asked, "query")
+    rows = hits.join(held.chunks.withColumnRenamed("chunk", "doc").drop("document", "embedding"), "doc").join(asked, "query")
     best = retrieval.rerank(rows.withColumn("score", F.round(models.score(F.col("query_text"), F.col("text")), 6)), 5)
     pressed = context.compress(best)
     body = context.joined(pressed, "query", "position", "content", "\n\n")
@@ -184,30 +214,34 @@ def citation_qa(chunks: DataFrame, queries: DataFrame, works: DataFrame, catalog
     return out.withColumn("newly_indexed", F.coalesce("newly_indexed", F.lit(0)))
 
 
-def summary_hits(chunks: DataFrame, queries: DataFrame, models: Providers = Providers(), targets: DataFrame | None = None, fallback: int = 10, k: int = 8) -> DataFrame:
-    """Pipeline E's hits: the three best of each of five sections, upper levels of the target documents' summary trees, and
-    others where there are under five; reranked by what a summary asks for, in section order. With targets (query,
-    document) all searches stay inside the documents."""
-    leaves = chunks.filter("chunk_level = 0")
-
-    def search(asked: DataFrame, n: int, where: Column | None) -> DataFrame:
-        if targets is None:
-            return hybrid(leaves, asked, n, models, where, where).select("query", "doc", "rank")
-        found = hybrid_within(leaves, asked, targets, n, models, where)
-        return found.select("query.query", "doc", "rank")
-
-    hits = None
-    for section in SUMMARY_SECTIONS:
-        own = search(queries, 3, F.col("section") == section)
-        hits = own if hits is None else hits.unionByName(own)
+def summary_hits(chunks: DataFrame | Searchable, queries: DataFrame, models: Providers = Providers(), targets: DataFrame | None = None, fallback: int = 10, k: int = 8) -> DataFrame:
+    """Pipeline E's hits, reranked by what a summary asks for, in section order: upper levels of the target documents' summary
+    trees (search_score 1 and a tenth for each level), then the three best of each of five sections, and where these are under
+    five in all, others that aren't among them. A node of a tree that its section's search finds too is there twice. With
+    targets (query, document) all searches stay inside the documents; chunks are embedded, indexed and searched once for
+    all sections."""
+    held = searchable(chunks, models)
+    found = sparse(held, queries, 3)
+    inside = F.col("section").isin(*SUMMARY_SECTIONS)
+    if targets is None:
+        hits = None
+        for section in SUMMARY_SECTIONS:
+            own = hybrid(held, queries, 3, models, F.col("section") == section, F.col("section") == section, found).select("query", "doc", "rrf_score")
+            hits = own if hits is None else hits.unionByName(own)
+    else:
+        hits = hybrid_within(held, queries, targets, 3, models, inside, ("section",), found).select("query.query", "doc", "rrf_score")
+    hits = hits.select("query", "doc", F.col("rrf_score").alias("search_score"), F.lit(1).alias("list_no"))
     if targets is not None:
-        tree = chunks.filter("chunk_level >= 1").join(targets.select("query", "document").distinct(), "document")
-        hits = hits.unionByName(tree.select("query", F.col("chunk").alias("doc"), F.lit(0).alias("rank")))
-    hits = hits.select("query", "doc").distinct().withColumn("rank", F.lit(0))
-    general = search(queries.select("query", F.lit(SUMMARY_SEARCH).alias("query_text")), fallback, None)
-    # a query that sections found nothing for is counted too
-    both = retrieval.with_fallback(hits, general.join(queries.select("query"), "query", "left_semi"), 5).select("query", "doc")
-    rows = both.join(chunks.withColumnRenamed("chunk", "doc"), "doc").join(queries.select("query", "query_text"), "query")
+        tree = held.chunks.filter("chunk_level >= 1").join(targets.select("query", "document").distinct(), "document")
+        hits = hits.unionByName(tree.select("query", F.col("chunk").alias("doc"), (F.col("chunk_level") * 0.1 + 1.0).alias("search_score"), F.lit(0).alias("list_no")))
+    general_queries = queries.select("query", F.lit(SUMMARY_SEARCH).alias("query_text"))
+    if targets is None:
+        general = hybrid(held, general_queries, fallback, models)
+    else:
+        general = hybrid_within(held, general_queries, targets, fallback, models).withColumn("query", F.col("query.query"))
+    general = general.select("query", "doc", F.col("rrf_score").alias("search_score"), F.lit(2).alias("list_no"))
+    both = retrieval.with_fallback(hits, general, 5).drop("fallback")
+    rows = both.join(held.chunks.withColumnRenamed("chunk", "doc").drop("embedding"), "doc").join(queries.select("query", "query_text"), "query")
     rows = rows.withColumn("score", F.round(models.score(F.lit(SUMMARY_QUERY), F.col("text")), 6))
     final = retrieval.rerank(rows, k)
     order = Window.partitionBy("query").orderBy(sections.section_rank(F.col("section")), "position")
@@ -239,19 +273,19 @@ def excerpts(chunks: DataFrame, papers: DataFrame, k: int = 5, models: Providers
     searched without a section."""
     spark = papers.sparkSession
     names = papers.select(F.col("paper").alias("document")).distinct()
-    found = None
+    held, found = searchable(chunks, models), None
     for no, (label, section, words) in enumerate(SAMPLED):
         queries = spark.createDataFrame([(no, words)], "query int, query_text string")
-        hits = hybrid_within(chunks, queries, names.withColumn("query", F.lit(no)), k, models, F.col("section") == section)
+        hits = hybrid_within(held, queries, names.withColumn("query", F.lit(no)), k, models, F.col("section") == section)
         own = hits.select(F.lit(label).alias("label"), F.col("query.document").alias("paper"), F.lit(section).alias("section"), F.lit(no).alias("no"), "rank", "doc")
         found = own if found is None else found.unionByName(own)
     for no, (label, words) in enumerate(GENERAL_SAMPLE.items(), len(SAMPLED)):
         queries = names.select(F.col("document").alias("query"), F.format_string(words.replace("{}", "%s"), "document").alias("query_text"))
-        hits = hybrid_within(chunks, queries, names.withColumn("query", F.col("document")), k, models)
+        hits = hybrid_within(held, queries, names.withColumn("query", F.col("document")), k, models)
         own = hits.select(F.lit(label).alias("label"), F.col("query.document").alias("paper"), F.lit("general").alias("section"), F.lit(no).alias("no"), "rank", "doc")
         held = found.select("label", "paper").distinct()
         found = found.unionByName(own.join(held, ["label", "paper"], "left_anti"))
-    texts = chunks.select(F.col("chunk").alias("doc"), F.substring("text", 1, PREVIEW).alias("preview"))
+    texts = held.chunks.select(F.col("chunk").alias("doc"), F.substring("text", 1, PREVIEW).alias("preview"))
     rows = found.join(texts, "doc").groupBy("label", "paper", "preview").agg(F.min(F.struct("no", "rank", "section")).alias("x"))
     return rows.select("label", "paper", "x.section", (F.col("x.rank") + 1).alias("n"), "preview", F.col("x.no").alias("no"))
 
@@ -269,9 +303,10 @@ def sampled_context(found: DataFrame) -> DataFrame:
 
 def quiz(chunks: DataFrame, queries: DataFrame, models: Providers = Providers()) -> DataFrame:
     """Pipeline F: ten retrieved, seven kept, and whether a quiz or flash cards are wanted."""
-    hits = hybrid(chunks, queries, 10, models)
+    held = searchable(chunks, models)
+    hits = hybrid(held, queries, 10, models)
     ask = lambda q, c: prompts.quiz(q, c, routing.quiz_mode(q))
-    out = with_missing(answered(reranked(hits, chunks, queries, 7, models), models, prompt=ask), queries, hits)
+    out = with_missing(answered(reranked(hits, held.chunks, queries, 7, models), models, prompt=ask), queries, hits)
     return out.withColumn("mode", routing.quiz_mode(F.coalesce("query_text", F.lit(""))))
 
 

@@ -18,6 +18,7 @@ from folioloom.streaming import live
 _VERDICTS = Rows("verdicts", "id int, verdict string", [
     (1, "SUPPORTED"), (2, "unsupported"), (3, " Partial answer"), (4, "IRRELEVANT"), (5, "score: 0.75"), (6, "between 0.2 and 1"), (7, "no idea"), (8, "NOISY"), (9, "12"), (10, ""),
 ])
+_VERDICTS = _VERDICTS.over("conversations", X.TURN, id=X.TURN_ID, verdict="x.verdict || CASE WHEN b.turn % 2 = 0 THEN '' ELSE ' ' || b.text END")
 
 
 def _label_sql(strict: bool) -> str:
@@ -31,7 +32,7 @@ def _label_sql(strict: bool) -> str:
 @query(f"WITH {_VERDICTS.cte}, u AS (SELECT id, upper(trim(verdict)) AS v FROM verdicts) SELECT id, {_label_sql(False)} AS score, {_label_sql(True)} AS strict_score FROM u")
 def ragas_scores(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("verdict")
-    return _VERDICTS.df(spark).select("id", E.label_score(v).alias("score"), E.label_score(v, strict=True).alias("strict_score"))
+    return _VERDICTS.df(spark, d).select("id", E.label_score(v).alias("score"), E.label_score(v, strict=True).alias("strict_score"))
 
 
 # the labels table stands for verdicts: quality for faithfulness, toxic for relevancy, both for precision
@@ -137,6 +138,7 @@ def judged_answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 _GRID_QUERIES = Rows("gq", "query_id int, applicable_papers array<string>, plain string", [(1, [" p1", "p2"], "t1"), (2, ["p2", "p2"], ""), (3, [], "t3"), (4, ["p9"], "t4")])
+_GRID_QUERIES = _GRID_QUERIES.over("conversations", X.TURN, query_id=X.TURN_ID, applicable_papers="x.applicable_papers", plain="x.plain || b.text")
 
 
 @query(f"""WITH {_GRID_QUERIES.cte}, c(config_no) AS (VALUES (0), (1), (2), (3), (4), (5)), p(paper) AS (VALUES ('p1'), ('p2')),
@@ -144,15 +146,16 @@ e AS (SELECT DISTINCT query_id, trim(unnest(applicable_papers)) AS paper FROM gq
 SELECT config_no::INT AS config_no, query_id::INT AS query_id, paper FROM e JOIN p USING (paper), c WHERE NOT (config_no < 2 AND paper = 'p1')""")
 def experiment_grid(spark: SparkSession, d: str) -> DataFrame:
     papers = spark.createDataFrame([("p1",), ("p2",)], "paper string")
-    planned = E.grid(E.ablation_flags(spark), papers, _GRID_QUERIES.df(spark))
+    planned = E.grid(E.ablation_flags(spark), papers, _GRID_QUERIES.df(spark, d))
     done = spark.createDataFrame([("p1", 0, "completed"), ("p1", 1, "completed"), ("p2", 0, "failed")], "paper string, config_no int, status string")
     return E.remaining(planned, done, ["paper", "config_no"]).select("config_no", "query_id", "paper")
 
 
-@query("WITH c(config_no, config, n) AS (VALUES " + ", ".join(f"({i}, {X.literal(name)}, {n})" for i, (name, n) in enumerate(E.ABLATION)) + ") SELECT config_no, config, "
-       + ", ".join(f"{k} < n AS use_{flag}" for k, flag in enumerate(E.FLAGS)) + " FROM c")
+@query("WITH c(config_no, config, n) AS (VALUES " + ", ".join(f"({i}, {X.literal(name)}, {n})" for i, (name, n) in enumerate(E.ABLATION)) + ") SELECT paper, config_no, config, "
+       + ", ".join(f"{k} < n AS use_{flag}" for k, flag in enumerate(E.FLAGS)) + " FROM c, (SELECT DISTINCT source AS paper FROM documents)")
 def ablation_configs(spark: SparkSession, d: str) -> DataFrame:
-    return E.ablation_flags(spark)
+    """Every configuration for every source."""
+    return E.for_each(table(spark, d, "documents").select(F.col("source").alias("paper")).distinct(), E.ablation_flags(spark))
 
 
 @query("""WITH a AS (SELECT conv_id AS query_id, turn AS attempt, CASE WHEN turn % 3 = 0 THEN ' ' ELSE text END AS answer FROM conversations)
@@ -279,9 +282,10 @@ def request_log_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PASSWORDS = Rows("pw", "password string", [("short1!",), ("12345678901!",), ("abcdefghijk!",), ("abcdefghij1",), ("abcdefghi1!",)])
+_PASSWORDS = _PASSWORDS.over("customer", "b.c_custkey", password="x.password || CASE WHEN b.c_custkey % 3 = 0 THEN '' ELSE substr(b.c_name, 1, CAST(b.c_custkey % 12 AS INT)) END")
 
 
 @query(rf"""WITH {_PASSWORDS.cte} SELECT password, CASE WHEN length(password) < 10 THEN 'length' WHEN NOT regexp_matches(password, '[A-Za-z]') THEN 'letter'
   WHEN NOT regexp_matches(password, '[0-9]') THEN 'digit' WHEN NOT regexp_matches(password, '[^\p{{L}}\p{{N}}_\s]') THEN 'sign' END AS fault FROM pw""")
 def password_policy(spark: SparkSession, d: str) -> DataFrame:
-    return _PASSWORDS.df(spark).select("password", T.password_fault(F.col("password")).alias("fault"))
+    return _PASSWORDS.df(spark, d).select("password", T.password_fault(F.col("password")).alias("fault"))

@@ -9,41 +9,50 @@ from folioloom.functions import prompts
 from folioloom.functions import text as T
 from folioloom.operators import experiments as E
 from folioloom.operators import routing
-from folioloom.plans.fixtures import Rows
+from folioloom.plans.fixtures import TURN, TURN_ID, Rows
 from folioloom.plans.registry import query, table
 
 _SETS = Rows("qs", "query_id int, applicable_papers array<string>", [(1, [" p1", "p2", "p1"]), (2, ["paper_A_nlp", ""]), (3, ["p2 + p1", "p3"]), (4, [])])
+_SETS = _SETS.over("conversations", TURN, query_id=TURN_ID, applicable_papers=(
+    "transform(x.applicable_papers, p -> replace(p, 'p1', 'src' || CAST(b.conv_id % 7 AS STRING)))", "list_transform(x.applicable_papers, lambda p: replace(p, 'p1', 'src' || CAST(b.conv_id % 7 AS STRING)))",
+))
 _PAPERS = Rows("ps", "paper string", [("p1",), ("p2",), ("p3",), ("p4",)])
+_PAPERS = _PAPERS.over("documents", "b.doc_id", distinct=True, paper="CASE WHEN b.doc_id % 5 = 0 THEN x.paper ELSE b.source END")
 _EACH = f"WITH {_SETS.cte}, {_PAPERS.cte}, e AS (SELECT DISTINCT query_id, trim(unnest(applicable_papers)) AS paper FROM qs), a AS (SELECT query_id, paper FROM e JOIN ps USING (paper))"
 
 
 @query(f"{_EACH} SELECT query_id::INT AS query_id, paper FROM a")
 def applicable_queries(spark: SparkSession, d: str) -> DataFrame:
-    return E.applicable(_SETS.df(spark), _PAPERS.df(spark)).select("query_id", "paper")
+    return E.applicable(_SETS.df(spark, d), _PAPERS.df(spark, d)).select("query_id", "paper")
 
 
 @query(f"{_EACH} SELECT paper FROM ps WHERE paper NOT IN (SELECT paper FROM a)")
 def papers_without_queries(spark: SparkSession, d: str) -> DataFrame:
-    return E.papers_without_queries(_SETS.df(spark), _PAPERS.df(spark))
+    return E.papers_without_queries(_SETS.df(spark, d), _PAPERS.df(spark, d))
 
 
 @query(f"WITH {_SETS.cte}, e AS (SELECT query_id, unnest(applicable_papers) AS paper FROM qs) SELECT DISTINCT query_id::INT AS query_id, unnest(regexp_extract_all(paper, '{E.PLACEHOLDER}')) AS placeholder FROM e")
 def placeholder_papers(spark: SparkSession, d: str) -> DataFrame:
-    return E.placeholder_ids(_SETS.df(spark))
+    return E.placeholder_ids(_SETS.df(spark, d))
 
 
 @query(f"""WITH {_SETS.cte}, t AS (SELECT query_id, list_transform(applicable_papers, lambda p: trim(p)) AS p FROM qs),
 k AS (SELECT query_id, list_filter(p, lambda x: x <> '' AND NOT regexp_matches(x, '[+()]') AND NOT regexp_matches(x, '{E.PLACEHOLDER}')) AS p FROM t)
 SELECT query_id::INT AS query_id, list_filter(p, lambda x, i: list_position(p, x) = i)::VARCHAR[] AS papers FROM k""")
 def target_papers(spark: SparkSession, d: str) -> DataFrame:
-    return _SETS.df(spark).select("query_id", E.target_papers(F.col("applicable_papers")).alias("papers"))
+    return _SETS.df(spark, d).select("query_id", E.target_papers(F.col("applicable_papers")).alias("papers"))
 
 
 _QUERIES = Rows("qq", "position int, query string, type string, answer_span string", [
     (0, "What section covers it?", "crosslingual_en", "long enough"), (1, "모델의 정확도는?", "crosslingual_en", "long enough"), (2, "정확도는 얼마인가?", "simple_qa", "long enough"),
     (3, "How accurate?", "simple_qa", "long enough"), (7, "What are the key contributions of the model?", "crosslingual_en", "long enough"), (4, "정확도는?", "simple_qa", "x"), (6, "무엇인가?", "citation", "long enough"),
 ])
+_QUERIES = _QUERIES.over(
+    "conversations", TURN, where="b.conv_id % 9 <> 4", position=TURN_ID, query="CASE WHEN b.turn % 3 = 0 THEN x.query ELSE x.query || ' ' || b.text END", type="x.type",
+    answer_span="CASE WHEN b.turn % 4 = 0 THEN x.answer_span ELSE b.text END",
+)
 _WANTED = Rows("ww", "position int, type string", [(0, "crosslingual_en"), (1, "crosslingual_en"), (2, "simple_qa"), (3, "simple_qa"), (4, "simple_qa"), (5, "simple_qa"), (7, "crosslingual_en")])
+_WANTED = _WANTED.over("conversations", TURN, where="b.conv_id % 11 <> 3", position=TURN_ID, type="x.type")
 
 
 def _faults_sql(sets: str, keys: str = "") -> str:
@@ -60,7 +69,7 @@ FROM {sets} q FULL JOIN {wanted} w USING ({own}position)) WHERE fault IS NOT NUL
 
 @query(f"WITH {_QUERIES.cte}, {_WANTED.cte} {_faults_sql('qq')}")
 def query_set_faults(spark: SparkSession, d: str) -> DataFrame:
-    return E.set_faults(_QUERIES.df(spark), _WANTED.df(spark))
+    return E.set_faults(_QUERIES.df(spark, d), _WANTED.df(spark, d))
 
 
 @query("""WITH c AS (SELECT source AS label, min(doc_id) AS seq, substr(text, 1, 900) AS preview FROM documents GROUP BY source, substr(text, 1, 900))
@@ -76,6 +85,11 @@ _TRIES = Rows("tries", "set_no int, attempt int, position int, query string, typ
     (2, 1, 0, "How accurate is it?", "crosslingual_en", "long enough"), (2, 2, 0, "How?", "crosslingual_en", "x"), (2, 2, 1, "정확도는?", "simple_qa", "long enough"),
     (2, 7, 0, "How accurate is it?", "crosslingual_en", "long enough"), (2, 7, 1, "정확도는?", "simple_qa", "long enough"),
 ])
+_TRIES = _TRIES.over(
+    "customer", "b.c_custkey", on="x.set_no = b.c_custkey % 2 + 1", set_no="CAST(b.c_custkey AS INT)", attempt="x.attempt", position="x.position",
+    query="CASE WHEN b.c_custkey % 5 = 0 AND x.position = 0 THEN x.query || ' ' || b.c_mktsegment ELSE x.query END", type="x.type",
+    answer_span="CASE WHEN b.c_custkey % 7 = 0 AND x.attempt = 1 THEN 'x' ELSE x.answer_span || b.c_name END",
+)
 _TWO = Rows("ww", "position int, type string", [(0, "crosslingual_en"), (1, "simple_qa")])
 
 
@@ -85,7 +99,7 @@ p AS (SELECT *, lag(fault) OVER (PARTITION BY set_no ORDER BY attempt) AS feedba
 SELECT set_no::INT AS set_no, attempt::INT AS attempt, fault IS NULL AS accepted, feedback FROM p
 QUALIFY row_number() OVER (PARTITION BY set_no ORDER BY fault IS NOT NULL, CASE WHEN fault IS NULL THEN attempt ELSE -attempt END) = 1""")
 def accepted_query_sets(spark: SparkSession, d: str) -> DataFrame:
-    return E.accepted_sets(_TRIES.df(spark), _TWO.df(spark))
+    return E.accepted_sets(_TRIES.df(spark, d), _TWO.df(spark))
 
 
 _SPANS = Rows("spans", "position int, answer_span string", [(0, "of the"), (1, "NOT  in any"), (2, "a"), (3, "ﬁnal")])
@@ -141,22 +155,28 @@ def collection_language(spark: SparkSession, d: str) -> DataFrame:
 
 
 _REQUESTS = Rows("rq", "id int, query string, top_k int, alpha double, beta double", [(1, "q", 5, 0.5, 0.3), (2, "", 5, 0.5, 0.3), (3, "q", 21, 0.5, 0.3), (4, "q", 1, 1.5, 0.3), (5, "q", 20, 0.0, -0.1)])
+_REQUESTS = _REQUESTS.over(
+    "conversations", TURN, id=TURN_ID, query="CASE WHEN x.id = 2 THEN '' ELSE repeat(b.text, CAST(1 + b.turn % 3 AS INT)) END", top_k="CAST(b.conv_id % 24 AS INT)",
+    alpha="x.alpha", beta="x.beta + CAST(b.turn % 2 AS DOUBLE) / 2",
+)
 
 
 @query(f"""WITH {_REQUESTS.cte} SELECT id::INT AS id, CASE WHEN length(query) NOT BETWEEN 1 AND 2000 THEN 'query' WHEN top_k NOT BETWEEN 1 AND 20 THEN 'top_k'
   WHEN alpha NOT BETWEEN 0 AND 1 THEN 'alpha' WHEN beta NOT BETWEEN 0 AND 1 THEN 'beta' END AS fault FROM rq""")
 def request_validation(spark: SparkSession, d: str) -> DataFrame:
-    return _REQUESTS.df(spark).select("id", E.request_fault(F.col("query"), F.col("top_k"), F.col("alpha"), F.col("beta")).alias("fault"))
+    return _REQUESTS.df(spark, d).select("id", E.request_fault(F.col("query"), F.col("top_k"), F.col("alpha"), F.col("beta")).alias("fault"))
 
 
 _USERS = Rows("users", "user_id int, email string", [(1, "a@x.y")])
+_USERS = _USERS.over("customer", "b.c_custkey", where="b.c_custkey % 3 = 0", user_id="CAST(b.c_custkey AS INT)", email="lower(b.c_name) || '@x.y'")
 _NEW = Rows("fresh", "user_id int, email string", [(2, "B@x.y"), (5, "b@x.y "), (4, "A@X.Y"), (3, "c@x.y")])
+_NEW = _NEW.over("orders", "b.o_orderkey", user_id="CAST(1000000 + b.o_orderkey AS INT)", email="' CUSTOMER#' || lpad(CAST(b.o_custkey % 400 AS STRING), 9, '0') || '@X.y '")
 
 
 @query(f"""WITH {_USERS.cte}, {_NEW.cte}, f AS (SELECT user_id, lower(trim(email)) AS email FROM fresh)
 SELECT user_id::INT AS user_id, email FROM users UNION ALL SELECT min(user_id)::INT, email FROM f WHERE email NOT IN (SELECT lower(trim(email)) FROM users) GROUP BY email""")
 def sign_up(spark: SparkSession, d: str) -> DataFrame:
-    return E.sign_up(_USERS.df(spark), _NEW.df(spark))
+    return E.sign_up(_USERS.df(spark, d), _NEW.df(spark, d))
 
 
 @query("""WITH u AS (SELECT o_custkey AS user_id, lower('User' || o_custkey || '@X.y') AS email, md5(o_custkey::VARCHAR) AS own_hash FROM (SELECT DISTINCT o_custkey FROM orders)),
@@ -176,26 +196,28 @@ def variant_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _REPLIES = Rows("rp", "id int, query string, reply string", [(1, "why?", "1. why?\n2) because of it\n\n- short\nbecause of it"), (2, "무엇?", "What?"), (3, "plain", "")])
+_REPLIES = _REPLIES.over("conversations", TURN, id=TURN_ID, query="CASE WHEN x.id = 1 THEN b.text ELSE x.query END", reply="CASE WHEN x.reply = '' THEN '' ELSE x.reply || chr(10) || b.text END")
 
 
-@query(rf"""WITH {_REPLIES.cte.replace(chr(10), "' || chr(10) || '")}, l AS (SELECT id, query, trim(reply) AS r, list_transform(string_split(trim(reply), chr(10)), lambda x: trim(regexp_replace(trim(x), '^\d+[.)]\s*', ''))) AS x FROM rp),
+@query(rf"""WITH {_REPLIES.cte}, l AS (SELECT id, query, trim(reply) AS r, list_transform(string_split(trim(reply), chr(10)), lambda x: trim(regexp_replace(trim(x), '^\d+[.)]\s*', ''))) AS x FROM rp),
 a AS (SELECT id, query, r, list_concat([query], list_filter(x, lambda y: y <> '')) AS a FROM l)
 SELECT id::INT AS id, list_filter(a, lambda y, i: list_position(a, y) = i)[1:4]::VARCHAR[] AS queries,
   CASE WHEN NOT regexp_matches(query, '^[\x00-\x7F]*$') AND r <> '' AND r <> query THEN r END AS translated FROM a""")
 def query_expansion(spark: SparkSession, d: str) -> DataFrame:
     q, r = F.col("query"), F.col("reply")
-    return _REPLIES.df(spark).select("id", routing.expanded(q, r, 3).alias("queries"), routing.translated(q, r).alias("translated"))
+    return _REPLIES.df(spark, d).select("id", routing.expanded(q, r, 3).alias("queries"), routing.translated(q, r).alias("translated"))
 
 
 _ASKED = Rows("af", "id int, query string, reply string", [(1, "why?", "1. because of it\nno\n- - short one"), (2, "x", ""), (3, "say t1 and t2", None), (4, "about t1", "nope")])
+_ASKED = _ASKED.over("conversations", TURN, id=TURN_ID, query="CASE WHEN b.turn % 2 = 0 THEN x.query ELSE x.query || ' ' || b.text END", reply="x.reply || chr(10) || b.text")
 _KNOWN, _MORE = ["t1", "t2", "t3"], ["m1", "m2"]
 
 
-@query(rf"""WITH {_ASKED.cte.replace(chr(10), "' || chr(10) || '")}, l AS (SELECT id, query,
+@query(rf"""WITH {_ASKED.cte}, l AS (SELECT id, query,
   list_filter(list_transform(string_split(coalesce(reply, ''), chr(10)), lambda x: trim(regexp_replace(regexp_replace(trim(x), '^\d+[.)]\s*', ''), '^[-•*]\s*', ''))), lambda x: length(x) > 5 AND x <> query)[1:3] AS asked,
   list_filter({_KNOWN!r}, lambda t: NOT contains(lower(query), lower(t))) AS fresh FROM af),
 f AS (SELECT *, list_concat(CASE WHEN len(fresh) < 3 THEN {_KNOWN!r} ELSE fresh END, {_MORE!r}) AS filling FROM l)
 SELECT id::INT AS id, (CASE WHEN len(asked) > 0 THEN asked ELSE list_filter(filling, lambda y, i: list_position(filling, y) = i)[1:3] END)::VARCHAR[] AS questions FROM f""")
 def follow_up_questions(spark: SparkSession, d: str) -> DataFrame:
     known, more = F.array(*map(F.lit, _KNOWN)), F.array(*map(F.lit, _MORE))
-    return _ASKED.df(spark).select("id", routing.follow_ups(F.col("query"), F.col("reply"), known, more).alias("questions"))
+    return _ASKED.df(spark, d).select("id", routing.follow_ups(F.col("query"), F.col("reply"), known, more).alias("questions"))

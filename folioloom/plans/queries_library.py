@@ -18,6 +18,7 @@ from folioloom.plans import fixtures, pipelines
 from folioloom.plans.fixtures import Rows
 from folioloom.plans.queries_evaluation import _NUM
 from folioloom.plans.queries_retrieval import _BENCH, _bm25, _chunks, _items, _score_pairs, benchmark_hits
+from folioloom.plans.queries_text import _DETECT
 from folioloom.plans.registry import query, table
 from folioloom.sources import files, snapshots, store
 
@@ -139,6 +140,7 @@ _PAGES = Rows("patent_pages", "key string, status int, html string", [
      '<dd itemprop="assigneeOriginal">Acme</dd><dd itemprop="inventor">A. B.</dd><dd itemprop="inventor">C. D.</dd><a class="x" href="https://patents.google.com/d/US1.pdf">PDF</a></html>'),
     ("US2", 404, None), ("US3", None, None), ("US4", 503, "busy"), ("US5", 200, "<html>nothing</html>"),
 ])
+_PAGES = _PAGES.over("pages", "b.page_id", key="x.key || '_' || CAST(b.page_id AS STRING)", status="x.status", html="replace(x.html, 'Lens', 'Lens ' || CAST(b.page_id AS STRING))")
 _ELEMENT = r"regexp_extract(html, '(?s)<{0}[^>]*{1}=\"(?:[^\"]*\s)?{2}(?:\s[^\"]*)?\"[^>]*>(.*?)</{0}>', 1)"
 _TEXT = "nullif(replace(array_to_string(list_transform(string_split_regex({0}, '<[^>]*>'), lambda x: trim(x)), ''), '&amp;', '&'), '')"
 _PATENT_SQL = f"""WITH {_PAGES.cte}, p AS (SELECT key, status, CASE WHEN status = 200 THEN html END AS html FROM patent_pages),
@@ -150,12 +152,12 @@ e AS (SELECT key, {_TEXT.format(_ELEMENT.format('span', 'itemprop', 'title'))} A
 
 @query(f"{_PATENT_SQL} SELECT key, title, abstract, applicant, inventors, pdf_url, fetched, fetch_error FROM e")
 def patent_entries(spark: SparkSession, d: str) -> DataFrame:
-    return citations.patent_pages(_PAGES.df(spark))
+    return citations.patent_pages(_PAGES.df(spark, d))
 
 
 @query(f"{_PATENT_SQL} SELECT key AS patent_id, title, applicant, array_to_string(inventors[1:3], ', ') AS inventors, fetched, pdf_url IS NOT NULL AS has_pdf, fetch_error FROM e")
 def patent_summary(spark: SparkSession, d: str) -> DataFrame:
-    out = citations.patent_summary(citations.patent_pages(_PAGES.df(spark)))
+    out = citations.patent_summary(citations.patent_pages(_PAGES.df(spark, d)))
     return out.withColumn("inventors", F.when(F.col("fetched"), F.col("inventors")))
 
 
@@ -163,13 +165,14 @@ _KIPRIS = Rows("kipris", "key string, xml string", [
     ("KR10-2020-0012345", "<response><item><inventionTitle>렌즈 배열</inventionTitle><applicantName>한빛</applicantName></item></response>"),
     ("KR2", "<response/>"), ("KR3", "no answer"), ("US1", "<response><inventionTitle>x</inventionTitle></response>"),
 ])
+_KIPRIS = _KIPRIS.over("pages", "b.page_id", key="x.key || CAST(b.page_id AS STRING)", xml="replace(x.xml, '한빛', '한빛 ' || CAST(b.page_id AS STRING))")
 
 
 @query(f"""WITH {_KIPRIS.cte} SELECT key, nullif(regexp_extract(xml, '<inventionTitle>(.*?)</inventionTitle>', 1), '') AS title,
 nullif(regexp_extract(xml, '<applicantName>(.*?)</applicantName>', 1), '') AS applicant, starts_with(xml, '<') AS fetched, replace(replace(key, 'KR', ''), '-', '') AS number
 FROM kipris WHERE starts_with(key, 'KR')""")
 def kipris_entries(spark: SparkSession, d: str) -> DataFrame:
-    return citations.kipris_entries(_KIPRIS.df(spark)).withColumn("number", citations.kipris_number(F.col("key")))
+    return citations.kipris_entries(_KIPRIS.df(spark, d)).withColumn("number", citations.kipris_number(F.col("key")))
 
 
 @query(r"""WITH a AS (SELECT page_id, regexp_extract_all(html, '(?s)<article\b.*?</article>')[1:5] AS x FROM pages),
@@ -181,6 +184,7 @@ def similar_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SEARCH = Rows("claims", "doc string, text string", [("p1", "A lens array and a mount for the lens array, wherein the lens turns"), ("p2", "the and for")])
+_SEARCH = _SEARCH.over("documents", "b.doc_id", doc="CAST(b.doc_id AS STRING)", text="x.text || ' ' || b.text")
 
 
 @query(f"""WITH {_SEARCH.cte}, k AS (SELECT doc, generate_subscripts(x, 1) AS pos, unnest(x) AS w FROM (SELECT doc, regexp_extract_all(substr(text, 1, 300), '[가-힣]{{2,}}|[a-zA-Z]{{3,}}') AS x FROM claims)),
@@ -188,7 +192,7 @@ n AS (SELECT doc, w, count(*) AS n, min(pos) AS first FROM k WHERE lower(w) NOT
 r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, first) AS rank FROM n)
 SELECT doc, 'https://patents.google.com/?q=' || string_agg(w, '+' ORDER BY rank) AS url FROM r WHERE rank <= 5 GROUP BY doc""")
 def similar_search_urls(spark: SparkSession, d: str) -> DataFrame:
-    words = citations.keywords(_SEARCH.df(spark).withColumn("text", F.substring("text", 1, 300)), 5)
+    words = citations.keywords(_SEARCH.df(spark, d).withColumn("text", F.substring("text", 1, 300)), 5)
     rows = words.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda x: x["keyword"]).alias("words"))
     return rows.select("doc", citations.search_url(F.col("words")).alias("url"))
 
@@ -201,21 +205,21 @@ def _catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "key string, title string, pdf_url string, fetched boolean, fetch_error string")
 
 
-def _cited(spark: SparkSession) -> DataFrame:
-    return pipelines.cited(sections.with_sections(fixtures.BLOCKS.df(spark)))
+def _cited(spark: SparkSession, d: str) -> DataFrame:
+    return pipelines.cited(sections.with_sections(fixtures.BLOCKS.df(spark, d)))
 
 
 @query()
 def tracked_citations(spark: SparkSession, d: str) -> DataFrame:
     files_taken = spark.createDataFrame(_DOWNLOADS, "url string, content_type string, head string, text string")
-    return pipelines.tracked(_cited(spark), _catalogue(spark), files_taken)[0]
+    return pipelines.tracked(_cited(spark, d), _catalogue(spark), files_taken)[0]
 
 
 @query()
 def rag_answer_d(spark: SparkSession, d: str) -> DataFrame:
     files_taken = spark.createDataFrame(_DOWNLOADS, "url string, content_type string, head string, text string")
-    asked = _items(spark, d).withColumn("document", F.when(F.col("query") % 2 == 0, "p1").otherwise("k1"))
-    return pipelines.citation_qa(_chunks(spark, d), asked, _cited(spark), _catalogue(spark), files_taken)
+    asked = _items(spark, d).withColumn("document", F.concat(F.when(F.col("query") % 2 == 0, "p1_").otherwise("k1_"), (F.col("query") * 4 + F.when(F.col("query") % 2 == 0, 0).otherwise(2)).cast("string")))
+    return pipelines.citation_qa(_chunks(spark, d), asked, _cited(spark, d), _catalogue(spark), files_taken)
 
 
 @query()
@@ -230,13 +234,15 @@ def _configs_sql() -> str:
     rows += [("domain", i, n, True, 0.5, True, 0.3, s, t) for i, (n, s, t) in enumerate(E.DOMAINS)]
     named = Rows("fixed", E.CONFIG, rows).cte
     return f"""WITH {named}, a AS (SELECT unnest({list(E.ALPHAS)!r}) AS x, generate_subscripts({list(E.ALPHAS)!r}, 1) - 1 AS i), b AS (SELECT unnest({list(E.BETAS)!r}) AS x, generate_subscripts({list(E.BETAS)!r}, 1) - 1 AS i)
+SELECT * FROM (SELECT DISTINCT source AS paper FROM documents), (
 SELECT mode, config_no::INT AS config_no, config, use_cad, cad_alpha, use_scd, scd_beta, section, track_citations FROM fixed UNION ALL
-SELECT 'alpha', i::INT, 'CAD alpha=' || x, x > 0, x::DOUBLE, false, 0.3::DOUBLE, NULL, false FROM a UNION ALL SELECT 'beta', i::INT, 'SCD beta=' || x, false, 0.5::DOUBLE, true, x::DOUBLE, NULL, false FROM b"""
+SELECT 'alpha', i::INT, 'CAD alpha=' || x, x > 0, x::DOUBLE, false, 0.3::DOUBLE, NULL, false FROM a UNION ALL SELECT 'beta', i::INT, 'SCD beta=' || x, false, 0.5::DOUBLE, true, x::DOUBLE, NULL, false FROM b)"""
 
 
 @query(_configs_sql())
 def grid_configs(spark: SparkSession, d: str) -> DataFrame:
-    return E.grid_configs(spark)
+    """Every configuration for every source."""
+    return E.for_each(table(spark, d, "documents").select(F.col("source").alias("paper")).distinct(), E.grid_configs(spark))
 
 
 # languages stand for configurations, sources for papers; answers are documents, truths their neighbours
@@ -332,13 +338,14 @@ def prompt_templates(spark: SparkSession, d: str) -> DataFrame:
 
 
 _COMMANDS = Rows("commands", "id int, arguments array<string>", [(1, ["run", "--token", "abc", "--x"]), (2, ["--openai-api-key", "--token", "t"]), (3, []), (4, ["--token"]), (5, ["a", "b"])])
+_COMMANDS = _COMMANDS.over("events", "b.event_id", id="CAST(b.event_id AS INT)", arguments=("concat(x.arguments, array(b.event_type))", "list_append(x.arguments, b.event_type)"))
 
 
 @query(f"""WITH RECURSIVE {_COMMANDS.cte}, r AS (SELECT id, arguments AS x, 0 AS n, []::VARCHAR[] AS out, false AS hide FROM commands UNION ALL
 SELECT id, x, n + 1, list_append(out, CASE WHEN hide THEN '[REDACTED]' ELSE x[n + 1] END), NOT hide AND x[n + 1] IN ('--token', '--openai-api-key') FROM r WHERE n < len(x))
 SELECT id::INT AS id, out AS arguments FROM r WHERE n = len(x)""")
 def redact_arguments(spark: SparkSession, d: str) -> DataFrame:
-    return _COMMANDS.df(spark).select("id", T.redacted_arguments(F.col("arguments")).alias("arguments"))
+    return _COMMANDS.df(spark, d).select("id", T.redacted_arguments(F.col("arguments")).alias("arguments"))
 
 
 @query("SELECT conv_id, turn, replace(replace(text, (SELECT min(split_part(text, ' ', 1)) FROM conversations WHERE text <> ''), '[REDACTED]'), '', '') AS text FROM conversations")
@@ -370,6 +377,7 @@ def service_rules(spark: SparkSession, d: str) -> DataFrame:
 _ROUTED = Rows("routed", "id int, letter string, requested string, routed string, query string", [
     (1, "A", "", "result", "유사 특허를 찾아줘"), (2, "D", "method", "result", "similar patents?"), (3, "Z", None, None, "관련  특허 목록"), (4, "F", None, "claims", "플래시카드 만들어줘"), (5, "B", "x", None, "patent"),
 ])
+_ROUTED = _ROUTED.over("conversations", fixtures.TURN, id=fixtures.TURN_ID, letter="x.letter", requested="x.requested", routed="x.routed", query="x.query || ' ' || b.text")
 
 
 def _cases(table_: dict[str, str], column: str, other: str) -> str:
@@ -380,7 +388,7 @@ def _cases(table_: dict[str, str], column: str, other: str) -> str:
 SELECT id::INT AS id, section, {_cases(P.DESCRIPTION, 'letter', "'🔍 기본 검색'")} AS description, coalesce({_cases(P.SECTION_LABEL, 'section', 'section')}, '해당') AS label,
   regexp_matches(query, '{P.SIMILAR_PATENT}') AS similar, CASE WHEN {' OR '.join(f"contains(query, '{k}')" for k in P.FLASHCARDS)} THEN 'flashcard' ELSE 'quiz' END AS mode FROM e""")
 def route_labels(spark: SparkSession, d: str) -> DataFrame:
-    rows = _ROUTED.df(spark).withColumn("section", routing.effective_section(F.col("requested"), F.col("routed")))
+    rows = _ROUTED.df(spark, d).withColumn("section", routing.effective_section(F.col("requested"), F.col("routed")))
     q = F.col("query")
     return rows.select(
         "id", "section", routing.description(F.col("letter")).alias("description"), routing.section_label(F.col("section")).alias("label"),
@@ -391,11 +399,11 @@ def route_labels(spark: SparkSession, d: str) -> DataFrame:
 _ORDERS = ", ".join(f"('{kind}', '{name}', {i})" for kind, names in P.ORDER.items() for i, name in enumerate(names))
 
 
-@query(f"""WITH o(kind, section, rank) AS (VALUES {_ORDERS}), k AS (SELECT DISTINCT kind FROM o), s AS (SELECT DISTINCT section FROM o UNION SELECT 'unknown')
+@query(f"""{_DETECT}, o(kind, section, rank) AS (VALUES {_ORDERS}), k AS (SELECT DISTINCT kind FROM o), s AS (SELECT DISTINCT section_type AS section FROM sectioned)
 SELECT k.kind, s.section, coalesce(o.rank, 99)::INT AS rank FROM k, s LEFT JOIN o ON o.kind = k.kind AND o.section = s.section""")
 def section_orders(spark: SparkSession, d: str) -> DataFrame:
-    names = sorted({n for x in P.ORDER.values() for n in x} | {"unknown"})
-    rows = spark.createDataFrame([(n,) for n in names], "section string")
+    """The places of all sections that the documents' blocks have."""
+    rows = sections.with_sections(fixtures.BLOCKS.df(spark, d)).select(F.col("section_type").alias("section")).distinct()
     each = F.array(*(F.struct(F.lit(k).alias("kind"), sections.section_rank(F.col("section"), k).alias("rank")) for k in P.ORDER))
     return rows.select("section", F.inline(each))
 
@@ -411,6 +419,7 @@ def source_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TRUTHS = Rows("truths", "id int, paper string, papers array<string>, plain string, n int", [(1, "p1", ["p1", "p2"], "t", 2), (2, "p3", ["p1"], "t", 1), (3, "p1", [], None, 0), (4, "p2", ["p2", "p9"], "", 2)])
+_TRUTHS = _TRUTHS.over("conversations", fixtures.TURN, id=fixtures.TURN_ID, paper="x.paper", papers="x.papers", plain="CASE WHEN b.turn % 2 = 0 THEN x.plain ELSE b.text END", n="x.n")
 
 
 @query(f"""WITH {_TRUTHS.cte}, m AS (SELECT *, CASE WHEN n = 0 THEN MAP {{}}::MAP(VARCHAR, VARCHAR) ELSE MAP {{'p1': 'one', 'p2': ' '}} END AS by_paper FROM truths)
@@ -419,7 +428,7 @@ SELECT id::INT AS id, CASE WHEN cardinality(by_paper) > 0 THEN coalesce(by_paper
 def truths(spark: SparkSession, d: str) -> DataFrame:
     empty = F.create_map().cast("map<string,string>")
     held = F.create_map(F.lit("p1"), F.lit("one"), F.lit("p2"), F.lit(" "))
-    rows = _TRUTHS.df(spark).withColumn("by_paper", F.when(F.col("n") == 0, empty).otherwise(held))
+    rows = _TRUTHS.df(spark, d).withColumn("by_paper", F.when(F.col("n") == 0, empty).otherwise(held))
     return rows.select("id", E.truth_for(F.col("paper"), F.col("by_paper"), F.col("plain")).alias("truth"), X.needs_truth(F.col("papers"), F.col("by_paper")).alias("needed"))
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.operators import chunking, context, decoding, retrieval
+from folioloom.operators import ann, chunking, context, decoding, retrieval
+from folioloom.operators.tables import shared_folder
 from folioloom.plans import pipelines
+from folioloom.plans.queries_text import _WINDOWS
 from folioloom.plans.registry import query, table
 
 # common table expressions that several oracles share
@@ -104,6 +108,28 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.dense(v, q)
 
 
+def _cells(spark: SparkSession, d: str) -> str:
+    """An approximate index of the vectors that took deletions, and upserts of old and new vectors, on its way."""
+    path = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    v = table(spark, d, "embeddings")
+    ann.build(v.filter("vec_id % 3 <> 0"), path)
+    ann.remove(spark, path, v.filter("vec_id % 5 = 1").select(F.col("vec_id").alias("doc")))
+    ann.upsert(v.filter("vec_id % 3 = 0 OR vec_id % 5 = 1 OR vec_id % 7 = 0"), path)
+    return path
+
+
+@query(f"WITH {_DENSE}, {_dense_top('dt', 'true')} SELECT query, doc, score, rank FROM dt")
+def ann_all_cells(spark: SparkSession, d: str) -> DataFrame:
+    """A search through all cells of the index is the exact one."""
+    return ann.search(spark, _cells(spark, d), _vectors(spark, d)[1], probes=ann.MOST_CELLS)
+
+
+@query()
+def ann_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Recall is measured against dense_topk in the tests."""
+    return ann.search(spark, _cells(spark, d), _vectors(spark, d)[1])
+
+
 @query(f"WITH {_DENSE}, {_dense_top('dt', 'label = 3 AND doc >= 100')} SELECT query, doc, score, rank FROM dt")
 def dense_filtered(spark: SparkSession, d: str) -> DataFrame:
     v, q = _vectors(spark, d)
@@ -286,12 +312,80 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("query_text"))
 
 
-@query()
+_SENTENCES = r"string_split(regexp_replace({0}, '([.!?。])\s+', '\1' || chr(1), 'g'), chr(1))"
+#: Chunks as a table ck (doc_id, the chunk's id; document, section, text), their embeddings and those of the questions, and the
+#: cosine of every question and chunk.
+_CHUNK_TABLES = rf"""{_WINDOWS},
+ck AS (SELECT doc || '_' || char_start AS doc_id, doc::VARCHAR AS document, section, content AS text FROM ids),
+texts AS (SELECT 'c' AS side, doc_id AS id, text FROM ck UNION ALL SELECT 'q', item_id::VARCHAR, text FROM benchmark),
+buckets AS (SELECT side, id, ('0x' || substr(md5(w), 1, 6))::INT % 64 AS b, count(*) AS n FROM (
+  SELECT side, id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS w FROM texts) GROUP BY ALL),
+units AS (SELECT side, id, b, n::DOUBLE / sqrt(sum(n * n) OVER (PARTITION BY side, id)::DOUBLE) AS x FROM buckets),
+dots AS (SELECT q.id, c.id AS doc, sum(q.x * c.x) AS dot FROM units q JOIN units c ON q.side = 'q' AND c.side = 'c' AND q.b = c.b GROUP BY ALL),
+near AS (SELECT item_id AS query, ck.doc_id AS doc, document, section, round(coalesce(dot, 0::DOUBLE), 6) AS score
+  FROM benchmark JOIN ck ON true LEFT JOIN dots ON dots.id = item_id::VARCHAR AND dots.doc = ck.doc_id)"""
+
+
+def _chunk_bm25(k: int) -> str:
+    return _bm25(_BENCH, k).replace("FROM documents", "FROM ck")
+
+
+def _reranked_sql(hits: str, k: int, boost: str = "0::DOUBLE") -> str:
+    """hits: a table with query and doc; its best as a table best (query, doc, qt, text, section, rerank_score, rank, position)."""
+    words = _WORDS.format
+    return rf"""
+pairs AS (SELECT query, doc, b.text AS qt, d.text, d.section FROM {hits} JOIN benchmark b ON item_id = query JOIN ck d ON doc_id = doc),
+lex AS (SELECT query, doc, qt, text, section, round(len(list_filter(own, lambda w: list_contains(asked, w))) / greatest(len(own), 1)::DOUBLE, 6) + {boost} AS score FROM (
+  SELECT *, list_distinct({words('lower(text)')}) AS own, {words('lower(qt)')} AS asked FROM pairs)),
+ranked AS (SELECT *, round(score, 6) AS rerank_score, (row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) - 1)::INT AS rank FROM lex QUALIFY rank < {k}),
+best AS (SELECT *, (CASE WHEN n <= 2 THEN rank WHEN rank % 2 = 0 THEN rank // 2 ELSE n - 1 - (rank - 1) // 2 END)::INT AS position
+  FROM (SELECT *, count(*) OVER (PARTITION BY query) AS n FROM ranked))"""
+
+
+def _answer_sql(prompt: str, more: str = "") -> str:
+    """From a table best to whole answers, with the reasons where there is none. prompt: an expression over qt and context."""
+    pressed = _COMPRESS.replace("FROM bm JOIN benchmark b ON item_id = query JOIN documents d ON doc_id = doc", "FROM best JOIN benchmark b ON item_id = query JOIN ck d ON doc_id = doc")
+    words = _WORDS.format
+    return rf"""{pressed},
+run AS (SELECT *, sum(len(w)) OVER (PARTITION BY query ORDER BY position) AS upto FROM (
+  SELECT query, doc, qt, section, position, content, {words('content')} AS w FROM pressed JOIN best USING (query, doc))),
+kept_t AS (SELECT *, CASE WHEN upto <= 3072 THEN content ELSE array_to_string(w[1 : (3072 - (upto - len(w)))::INT], ' ') END AS shown_t
+  FROM run WHERE upto <= 3072 OR (upto - len(w) <= 3072 AND 3072 - (upto - len(w)) > 50)),
+lined AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY position) AS i FROM kept_t),
+contexts AS (SELECT query, any_value(qt) AS qt, string_agg(shown_t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY position) AS context,
+  string_agg('[' || i || '] ' || doc || ' - ' || section || ' (p.1)', chr(10) ORDER BY i) AS sources FROM lined GROUP BY query),
+said AS (SELECT query, generate_subscripts(x, 1) AS pos, unnest(x) AS s, asked FROM (
+  SELECT query, {_SENTENCES.format('context')} AS x, {words('lower(qt)')} AS asked FROM contexts)),
+first_two AS (SELECT query, string_agg(s, ' ' ORDER BY no) AS answer FROM (
+  SELECT query, s, row_number() OVER (PARTITION BY query ORDER BY len(list_filter(own, lambda w: list_contains(asked, w))) / greatest(len(own), 1)::DOUBLE DESC, pos) AS no
+  FROM (SELECT *, list_distinct({words('lower(s)')}) AS own FROM said) QUALIFY no <= 2) GROUP BY query)
+SELECT item_id AS query, context, sources, qt AS query_text, {prompt} AS prompt, answer,
+  CASE WHEN context IS NULL THEN CASE WHEN item_id IN (SELECT query FROM best) THEN 'no_context_after_compression' ELSE 'no_search_results' END END AS error{more}
+FROM benchmark LEFT JOIN contexts ON item_id = query LEFT JOIN first_two USING (query)"""
+
+
+_LF = "' || chr(10) || chr(10) || '"
+_ANSWER_PROMPT = f"'Answer from the sources only; say so if they don''t hold the answer.{_LF}[Sources]' || chr(10) || context || '{_LF}[Question]' || chr(10) || qt || '{_LF}[Answer]'"
+_QUIZ_PROMPT = f"'Write five questions with answers and explanations.{_LF}' || context || '{_LF}[Request]' || chr(10) || qt"
+_SUMMARY_PROMPT = f"'Summarize by section: goal, method, result, conclusion.{_LF}' || context || '{_LF}[Request]' || chr(10) || qt"
+
+
+@query(f"WITH {_CHUNK_TABLES}, {_dense_top('dt', 'true')}, {_chunk_bm25(20)}, {_fused('dt', 'bm')}, {_reranked_sql('rrf', 5)}, {_answer_sql(_ANSWER_PROMPT)}")
 def rag_answer_a(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.simple_qa(_chunks(spark, d), _items(spark, d))
 
 
-@query()
+_INSIDE = _fused("dt", "late").replace("fused AS", "fused_in AS").replace("rrf AS", "inside AS").replace("FROM fused\n", "FROM fused_in\n").replace("FROM fused ", "FROM fused_in ")
+
+
+@query(
+    f"WITH {_CHUNK_TABLES}, {_dense_top('dt', chr(34) + 'section' + chr(34) + ' = ' + chr(39) + 'fr' + chr(39))}, {_dense_top('dg', 'true')}, {_chunk_bm25(20)}, "
+    f"late AS (SELECT bm.* FROM bm JOIN ck ON doc_id = doc WHERE section = 'fr'), {_INSIDE}, {_fused('dg', 'bm')}, "
+    "held AS (SELECT query, count(*) AS n FROM inside GROUP BY query), "
+    "both_lists AS (SELECT query, doc FROM inside UNION ALL SELECT query, doc FROM rrf WHERE coalesce((SELECT n FROM held WHERE held.query = rrf.query), 0) < 3 "
+    "AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.query = rrf.query AND i.doc = rrf.doc)), "
+    + _reranked_sql("both_lists", 5, "CASE WHEN section = 'fr' THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END") + ", " + _answer_sql(_ANSWER_PROMPT)
+)
 def rag_answer_b(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.section_qa(_chunks(spark, d), _items(spark, d), "fr")
 
@@ -310,15 +404,15 @@ def rag_answer_e(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.summary(_chunks(spark, d).withColumn("section", named), _items(spark, d), targets=best)
 
 
-@query()
+@query(f"WITH {_CHUNK_TABLES}, {_dense_top('dt', 'true', 10)}, {_chunk_bm25(10)}, {_fused('dt', 'bm', 10)}, {_reranked_sql('rrf', 7)}, " + _answer_sql(_QUIZ_PROMPT, ", 'quiz' AS mode"))
 def rag_answer_f(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.quiz(_chunks(spark, d), _items(spark, d))
 
 
-@query()
+@query(f"WITH {_CHUNK_TABLES}, {_dense_top('dt', 'true')}, {_chunk_bm25(20)}, {_fused('dt', 'bm')}, {_reranked_sql('rrf', 5)} SELECT query, doc, rerank_score, rank, position, substr(text, 1, 500) AS content FROM best")
 def search_api(spark: SparkSession, d: str) -> DataFrame:
-    chunks, items = _chunks(spark, d), _items(spark, d)
-    hits = pipelines.reranked(pipelines.hybrid(chunks, items), chunks, items)
+    held, items = pipelines.searchable(_chunks(spark, d)), _items(spark, d)
+    hits = pipelines.reranked(pipelines.hybrid(held, items), held.chunks, items)
     return hits.select("query", "doc", "rerank_score", "rank", "position", F.substring("text", 1, 500).alias("content"))
 
 

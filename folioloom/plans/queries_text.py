@@ -84,11 +84,12 @@ _MARKDOWN = Rows("md", "doc string, page int, text string", [
     ("m1", 0, "# Title\nfirst line here\n```py\nx = 1\n\ny = 2\n```\n| a | b |\n|---|---|\n| 1 | 2 |\n- item one\n* item two\n3. item three\nno\n## Part"),
     ("m1", 1, "| lone |\ntext after it\n```\nopen fence"), ("m2", 0, ""),
 ])
+_MARKDOWN = _MARKDOWN.over("documents", "b.doc_id", doc="CAST(b.doc_id AS STRING)", page="x.page", text="x.text || chr(10) || b.text")
 
 
 @query()
 def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return files.markdown_blocks(_MARKDOWN.df(spark))
+    return files.markdown_blocks(_MARKDOWN.df(spark, d))
 
 
 _PAGES = r"""
@@ -102,8 +103,8 @@ def page_headings(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", F.trim(F.regexp_replace("h", "<[^>]*>", "")).alias("heading")).withColumn("n", F.length("heading"))
 
 
-def _blocks(spark: SparkSession) -> DataFrame:
-    return sections.with_sections(X.BLOCKS.df(spark))
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    return sections.with_sections(X.BLOCKS.df(spark, d))
 
 
 @query(f"WITH {X.BLOCKS.cte}, s AS (SELECT doc, string_agg(content, ' ' ORDER BY block_idx) AS t FROM blocks WHERE block_type IN ('text', 'heading') AND block_idx < 30 GROUP BY doc), "
@@ -111,7 +112,7 @@ def _blocks(spark: SparkSession) -> DataFrame:
        "SELECT *, CASE WHEN patent >= 2 THEN 'patent' WHEN paper > 0 AND lecture <= paper THEN 'paper' WHEN greatest(lecture, paper, general) = 0 THEN 'paper' "
        "WHEN lecture = greatest(lecture, paper, general) THEN 'lecture' WHEN paper = greatest(lecture, paper, general) THEN 'paper' ELSE 'general' END AS doc_type FROM n")
 def doc_type_detect(spark: SparkSession, d: str) -> DataFrame:
-    return sections.document_types(X.BLOCKS.df(spark))
+    return sections.document_types(X.BLOCKS.df(spark, d))
 
 
 def _match(x: str) -> str:
@@ -164,7 +165,7 @@ _DETECT = _sections_sql(f"WITH {X.BLOCKS.cte}")
 
 @query(f"{_DETECT} SELECT doc, block_idx, doc_type, body_font::DOUBLE AS body_font, detected, section_type FROM sectioned")
 def section_detect(spark: SparkSession, d: str) -> DataFrame:
-    return _blocks(spark).select("doc", "block_idx", "doc_type", "body_font", "detected", "section_type")
+    return _blocks(spark, d).select("doc", "block_idx", "doc_type", "body_font", "detected", "section_type")
 
 
 #: Lines of all documents, every tenth of them a heading that a paper, a lecture, a patent or a report may have.
@@ -204,7 +205,7 @@ chunks AS (SELECT doc, run::BIGINT AS run, section, page::INT AS page, 0 AS char
 
 @query(rf"""{_CHUNKS} SELECT *, CASE WHEN length(regexp_replace(content, '[^가-힣]', '', 'g')) / greatest(length(content), 1) >= 0.15 THEN 'ko' ELSE 'en' END AS lang FROM chunks""")
 def section_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = chunking.by_section(_blocks(spark), least=3)
+    rows = chunking.by_section(_blocks(spark, d), least=3)
     return rows.select("doc", "run", "section", "page", "char_start", "char_end", "content", "chunk_id", "lang", "structured")
 
 
@@ -213,20 +214,20 @@ tops AS (SELECT doc, substr(string_agg(content, chr(10) || chr(10) ORDER BY run,
 SELECT doc, section, content, 0 AS chunk_level FROM chunks UNION ALL SELECT doc, section, array_to_string(({W.format('t')})[1:60], ' '), 1 FROM mids
 UNION ALL SELECT doc, 'full', array_to_string(({W.format('t')})[1:60], ' '), 2 FROM tops""")
 def summary_tree(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.summary_tree(chunking.by_section(_blocks(spark), least=3))
+    return chunking.summary_tree(chunking.by_section(_blocks(spark, d), least=3))
 
 
 @query(f"""WITH {X.BLOCKS.cte}, n AS (SELECT doc, round(font_size, 1) AS size, count(*) AS n, min(block_idx) AS first FROM blocks
   WHERE block_type IN ('text', 'heading') AND font_size > 0 GROUP BY ALL)
 SELECT doc, arg_max(size, n * 1000 - first) AS body_font FROM n GROUP BY doc""")
 def body_fonts(spark: SparkSession, d: str) -> DataFrame:
-    return sections.body_fonts(X.BLOCKS.df(spark))
+    return sections.body_fonts(X.BLOCKS.df(spark, d))
 
 
 @query(f"""WITH {X.BLOCKS.cte} SELECT doc, substr(arg_max(content, font_size * 1000 - block_idx), 1, 200) AS title FROM blocks
 WHERE page = 0 AND block_type IN ('text', 'heading') GROUP BY doc""")
 def document_titles(spark: SparkSession, d: str) -> DataFrame:
-    return sections.title(X.BLOCKS.df(spark))
+    return sections.title(X.BLOCKS.df(spark, d))
 
 
 def _route_sql() -> str:
@@ -244,7 +245,7 @@ SELECT query_id, CASE WHEN best = 0 THEN 'A' ELSE {route} END AS route, CASE WHE
 
 @query(_route_sql())
 def route_queries(spark: SparkSession, d: str) -> DataFrame:
-    r = X.QUESTIONS.df(spark).select("query_id", routing.route(F.col("query")).alias("r"))
+    r = X.QUESTIONS.df(spark, d).select("query_id", routing.route(F.col("query")).alias("r"))
     return r.select("query_id", "r.route", "r.section", "r.keyword", F.round("r.confidence", 6).alias("confidence"))
 
 
@@ -256,23 +257,29 @@ def route_distribution(spark: SparkSession, d: str) -> DataFrame:
 _ASK = Rows("asked", "query_id int, collection string, query string", [
     (1, "a", "doc_one vs doc two?"), (2, "a", "Compare them"), (3, "b", "compare z_9 and z 8 with z_7"), (4, "b", "only Z_9"),
 ])
+_ASK = _ASK.over(
+    "benchmark", "b.item_id", query_id="CAST(b.item_id AS INT)", collection="'src' || CAST(b.item_id % 20 AS STRING)",
+    query="CASE WHEN b.item_id % 3 = 0 THEN 'compare doc_' || CAST(b.item_id AS STRING) || ' vs doc ' || CAST(b.item_id + 20 AS STRING) || '?' ELSE x.query END",
+)
 _HELD = Rows("held", "collection string, doc_no int, doc string", [("a", 0, "doc_one"), ("a", 1, "doc_two"), ("a", 2, "doc_three"), ("b", 0, "z_7"), ("b", 1, "z_8"), ("b", 2, "z_9")])
+_HELD = _HELD.over("documents", "b.doc_id", collection="b.source", doc_no="CAST(b.doc_id AS INT)", doc="'doc_' || CAST(b.doc_id AS STRING)")
 
 
 @query(f"""WITH {_ASK.cte}, {_HELD.cte}, p AS (SELECT query_id, doc_no, doc, contains(lower(query), lower(doc)) OR contains(lower(query), replace(lower(doc), '_', ' ')) AS named
   FROM asked JOIN held USING (collection))
 SELECT query_id, CASE WHEN count(*) FILTER (named) < 2 THEN list(doc ORDER BY doc_no)[1:2] ELSE list(doc ORDER BY doc_no) FILTER (named) END AS targets FROM p GROUP BY query_id""")
 def compare_targets(spark: SparkSession, d: str) -> DataFrame:
-    return routing.compare_targets(_ASK.df(spark), _HELD.df(spark))
+    return routing.compare_targets(_ASK.df(spark, d), _HELD.df(spark, d))
 
 
 _REFS = Rows("refs", "doc string, text string", [
     ("r1", '[1] Vaswani, A. et al. (2017). "Attention Is All You Need." NeurIPS 2017. arXiv:1706.03762\n[2] Devlin, J. Bidirectional encoders. NAACL, 2019.\n3. Short\n4) Lewis P, Perez E. Retrieval augmented generation. 2020'),
     ("r2", ""),
 ])
+_REFS = _REFS.over("documents", "b.doc_id", doc="CAST(b.doc_id AS STRING)", text="x.text || chr(10) || '[5] ' || replace(substr(b.text, 1, 200), chr(10), ' ')")
 
 
-_REFS_SQL = r"""WITH """ + _REFS.cte.replace("\n", "' || chr(10) || '") + r""", e AS (SELECT doc, generate_subscripts(x, 1) AS pos, trim(unnest(x)) AS entry FROM (
+_REFS_SQL = r"""WITH """ + _REFS.cte + r""", e AS (SELECT doc, generate_subscripts(x, 1) AS pos, trim(unnest(x)) AS entry FROM (
   SELECT doc, string_split(regexp_replace(trim(text), '\n\s*(\[\d+\]|\d+[.)])', chr(1) || '\1', 'g'), chr(1)) AS x FROM refs)),
 n AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY pos)::VARCHAR AS ref_id, trim(regexp_replace(entry, '^\[?\d+[\].)]?\s*', '')) AS b FROM e WHERE length(entry) >= 10),
 t AS (SELECT *, regexp_extract(b, '["“](.+?)["”]', 1) AS q, string_split(b, '.') AS parts, nullif(regexp_extract(b, '^(.+?)[.,]', 1), '') AS a FROM n),
@@ -283,17 +290,18 @@ p AS (SELECT doc, ref_id, CASE WHEN q <> '' THEN trim(q) WHEN len(parts) > 1 THE
 
 @query(f"{_REFS_SQL} SELECT * FROM p")
 def parse_references(spark: SparkSession, d: str) -> DataFrame:
-    return citations.references(_REFS.df(spark))
+    return citations.references(_REFS.df(spark, d))
 
 
 @query(f"{_REFS_SQL} SELECT doc, ref_id, title, array_to_string(authors[1:3], ', ') AS authors, year, arxiv_id IS NOT NULL AS has_pdf FROM p")
 def reference_summary(spark: SparkSession, d: str) -> DataFrame:
-    return citations.reference_summary(citations.references(_REFS.df(spark)))
+    return citations.reference_summary(citations.references(_REFS.df(spark, d)))
 
 
 _PATENTS = Rows("pats", "doc string, text string", [
     ("p1", 'See KR 10-2020-0012345 "Lens array" and US 10,000,000 Optical system. Also US10000000 again; JP 2019-123456, EP 3123456 and WO 2020/123456.'), ("p2", "none here"),
 ])
+_PATENTS = _PATENTS.over("documents", "b.doc_id", doc="CAST(b.doc_id AS STRING)", text="x.text || ' ' || b.text")
 
 
 @query(rf"""WITH {_PATENTS.cte}, m AS (SELECT doc, text, string_split(regexp_replace(text, '((?:{T.COUNTRIES})[\s\-]?[\d\-,\.]+(?:[A-Z]\d?)?)', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS x FROM pats),
@@ -305,7 +313,7 @@ r AS (SELECT *, CASE WHEN contains(context, patent_id) THEN trim(substr(context,
 q AS (SELECT *, regexp_extract(rest, '["''](.+?)["'']', 1) AS quoted, trim(split_part(rest, '.', 1)) AS phrase FROM r)
 SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY i))::INT AS patent_no, patent_id, substr(CASE WHEN quoted <> '' THEN trim(quoted) WHEN phrase <> '' THEN phrase ELSE patent_id END, 1, 200) AS title FROM q""")
 def parse_patents(spark: SparkSession, d: str) -> DataFrame:
-    return citations.patents(_PATENTS.df(spark))
+    return citations.patents(_PATENTS.df(spark, d))
 
 
 _KEYWORDS = r"""
@@ -323,6 +331,7 @@ _FEED = Rows("feed", "key string, xml string", [
      '<link title="pdf" href="https://arxiv.org/pdf/1706.03762"/><author><name>A. V.</name></author><author><name>N. S.</name></author></entry></feed>'),
     ("y", '<feed xmlns="http://www.w3.org/2005/Atom"></feed>'),
 ])
+_FEED = _FEED.over("pages", "b.page_id", key="x.key || CAST(b.page_id AS STRING)", xml="replace(x.xml, ' Attention ', ' Page ' || CAST(b.page_id AS STRING) || ' ')")
 
 
 @query(rf"""WITH {_FEED.cte}, e AS (SELECT key, regexp_extract(xml, '(?s)<entry>(.*)</entry>', 1) AS x FROM feed)
@@ -330,28 +339,33 @@ SELECT key, CASE WHEN x <> '' THEN trim(regexp_extract(x, '<title>(.*?)</title>'
   nullif(regexp_extract(x, '<link title="pdf" href="([^"]*)"', 1), '') AS pdf_url, nullif(regexp_extract(regexp_extract(x, '<id>(.*?)</id>', 1), '\d{{4}}\.\d{{4,5}}'), '') AS arxiv_id,
   CASE WHEN x <> '' THEN regexp_extract_all(x, '<name>(.*?)</name>', 1) END AS authors, x <> '' AS fetched, CASE WHEN x = '' THEN 'arxiv_not_found' END AS fetch_error FROM e""")
 def catalogue_entries(spark: SparkSession, d: str) -> DataFrame:
-    return citations.feed_entries(_FEED.df(spark))
+    return citations.feed_entries(_FEED.df(spark, d))
 
 
 _URLS = Rows("urls", "url string, content_type string, head string", [
     ("https://arxiv.org/pdf/1706.03762", "application/pdf", "%PDF-1.5"), ("ftp://arxiv.org/a.pdf", "application/pdf", "%PDF-1.5"),
     ("https://evil.example/a.pdf", "application/pdf", "%PDF-1.5"), ("http://export.arxiv.org/a", "text/html", "%PDF-1.5"), ("https://kipris.or.kr/a", "application/pdf", "<html>"), ("no url", None, None),
 ])
+_URLS = _URLS.over(
+    "pages", "b.page_id", url="CASE WHEN x.url = 'no url' THEN b.url ELSE x.url || '?p=' || CAST(b.page_id AS STRING) END", content_type="x.content_type",
+    head="x.head",
+)
 
 
 @query(f"""WITH {_URLS.cte} SELECT url, coalesce(regexp_matches(lower(url), '^https?://({'|'.join(citations.HOSTS).replace('.', '[.]')})(/|$)')
   AND contains(lower(content_type), 'pdf') AND head[1:5] = '%PDF-', false) AS allowed FROM urls""")
 def download_guard(spark: SparkSession, d: str) -> DataFrame:
     ok = citations.download_allowed(F.col("url"), F.col("content_type"), F.col("head"))
-    return _URLS.df(spark).select("url", F.coalesce(ok, F.lit(False)).alias("allowed"))
+    return _URLS.df(spark, d).select("url", F.coalesce(ok, F.lit(False)).alias("allowed"))
 
 
 @query()
 def cited_works(spark: SparkSession, d: str) -> DataFrame:
-    return pipelines.cited(_blocks(spark))
+    return pipelines.cited(_blocks(spark, d))
 
 
 _NAMES = Rows("names", "name string", [("my papers",), ("3d-models",), ("한글 name",), ("x" * 70,), ("A_b-1",)])
+_NAMES = _NAMES.over("customer", "b.c_custkey", name="x.name || b.c_name")
 
 
 @query(f"""WITH {_NAMES.cte}, s AS (SELECT name, regexp_replace(name, '[^a-zA-Z0-9_-]', '_', 'g') AS safe FROM names)
@@ -359,15 +373,16 @@ SELECT name, substr(CASE WHEN regexp_matches(safe, '^[a-zA-Z]') THEN safe ELSE '
   substr(regexp_replace(name, '[^A-Za-z0-9_.-]', '_', 'g'), 1, 80) || '__' || substr(sha1(name), 1, 10) AS file_name FROM s""")
 def collection_names(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("name")
-    return _NAMES.df(spark).select("name", T.collection_name(n).alias("collection"), T.index_file_name(n).alias("file_name"))
+    return _NAMES.df(spark, d).select("name", T.collection_name(n).alias("collection"), T.index_file_name(n).alias("file_name"))
 
 
 _ANSWERS = Rows("answers", "doc string, text string", [
     ("a1", "intro line\n## One\n- a **bold** point\n2. second\n\n**2. Two** rest\nplain *it* text"), ("a2", "no headings here"),
 ])
+_ANSWERS = _ANSWERS.over("documents", "b.doc_id", doc="CAST(b.doc_id AS STRING)", text="x.text || chr(10) || b.text")
 
 
-_ANSWER_SQL = rf"""WITH {_ANSWERS.cte.replace(chr(10), "' || chr(10) || '")}, l AS (SELECT doc, generate_subscripts(x, 1) AS n, trim(unnest(x)) AS line FROM (SELECT doc, string_split(text, chr(10)) AS x FROM answers)),
+_ANSWER_SQL = rf"""WITH {_ANSWERS.cte}, l AS (SELECT doc, generate_subscripts(x, 1) AS n, trim(unnest(x)) AS line FROM (SELECT doc, string_split(text, chr(10)) AS x FROM answers)),
 h AS (SELECT *, coalesce(nullif(regexp_extract(line, '^#{{1,3}}\s+(.+)', 1), ''), nullif(regexp_extract(line, '^\*\*\d+\.\s*(.+?)\*\*', 1), '')) AS head FROM l),
 r AS (SELECT *, sum((head IS NOT NULL)::INT) OVER (PARTITION BY doc ORDER BY n) AS run FROM h),
 g AS (SELECT doc, run, coalesce(regexp_replace(max(head), '^[*# ]+|[*# ]+$', '', 'g'), '') AS title,
@@ -377,7 +392,7 @@ a AS (SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY run))::INT AS se
 
 @query(f"{_ANSWER_SQL} SELECT * FROM a")
 def answer_sections(spark: SparkSession, d: str) -> DataFrame:
-    return files.answer_sections(_ANSWERS.df(spark))
+    return files.answer_sections(_ANSWERS.df(spark, d))
 
 
 @query(rf"""{_ANSWER_SQL}, b AS (SELECT doc, section_no, CASE WHEN title = '' THEN 'Summary' ELSE title END AS title, generate_subscripts(x, 1) - 1 AS line_no, unnest(x) AS line
@@ -385,12 +400,13 @@ def answer_sections(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc, section_no, title, line_no::INT AS line_no, regexp_replace(regexp_replace(line, '^[-*]\s+', ''), '^\d+\.\s+', '') AS text,
   regexp_matches(line, '^[-*]\s') OR regexp_matches(line, '^\d+\.\s') AS is_bullet FROM b WHERE trim(line) <> ''""")
 def answer_slides(spark: SparkSession, d: str) -> DataFrame:
-    return files.slide_rows(files.answer_sections(_ANSWERS.df(spark)))
+    return files.slide_rows(files.answer_sections(_ANSWERS.df(spark, d)))
 
 
 _CARDS = Rows("cards", "doc string, text string", [
     ("c1", 'Here: [FLASHCARD_START][{"front":"Q1","back":"A1"},{"front":"Q2","back":"A2"}][FLASHCARD_END]'), ("c2", 'x [{"front":"Q","back":"B"}] y'), ("c3", "none"), ("c4", "[1, 2"),
 ])
+_CARDS = _CARDS.over("conversations", X.TURN, doc=f"CAST({X.TURN} AS STRING)", text=f"replace(x.text, '\"Q', '\"Q' || CAST({X.TURN} AS STRING))")
 
 
 @query(rf"""WITH {_CARDS.cte}, m AS (SELECT doc, trim(CASE WHEN contains(text, '[FLASHCARD_START]') AND contains(text, '[FLASHCARD_END]')
@@ -398,7 +414,7 @@ _CARDS = Rows("cards", "doc string, text string", [
 l AS (SELECT doc, regexp_extract_all(j, '\{{"front":"([^"]*)","back":"[^"]*"\}}', 1) AS f, regexp_extract_all(j, '\{{"front":"[^"]*","back":"([^"]*)"\}}', 1) AS b FROM m)
 SELECT doc, (generate_subscripts(f, 1) - 1)::INT AS card_no, unnest(f) AS front, unnest(b) AS back FROM l WHERE coalesce(f[1], '') <> ''""")
 def flashcard_parse(spark: SparkSession, d: str) -> DataFrame:
-    return files.flashcards(_CARDS.df(spark))
+    return files.flashcards(_CARDS.df(spark, d))
 
 
 @query(r"""SELECT event_id, regexp_extract(regexp_replace(trim('```json' || chr(10) || props || chr(10) || '```'), '^```(?:json)?\s*|\s*```$', '', 'g'), '(?s)(\{.*\}|\[.*\])', 1) AS json FROM events""")
@@ -410,6 +426,10 @@ def json_extract(spark: SparkSession, d: str) -> DataFrame:
 _UPLOADS = Rows("uploads", "name string, doc_type string, size bigint, head string", [
     ("a.pdf", "paper", 10, "%PDF-1.4"), ("a.exe", "paper", 10, "MZ"), ("b.txt", "poem", 10, "hi"), ("c.txt", "lecture", 60000000, "hi"), ("d.pdf", "patent", 10, "hello"), ("e.TXT", "paper", 10, "text"),
 ])
+_UPLOADS = _UPLOADS.over(
+    "documents", "b.doc_id", name="'d' || CAST(b.doc_id AS STRING) || '_' || x.name", doc_type="x.doc_type", size="x.size + b.doc_id",
+    head="CASE WHEN x.head = 'hi' THEN substr(b.text, 1, 16) ELSE x.head END",
+)
 
 
 @query(rf"""WITH {_UPLOADS.cte}, x AS (SELECT *, lower(regexp_extract(name, '(\.[^.]*)$', 1)) AS e,
@@ -418,7 +438,7 @@ SELECT name, CASE WHEN e NOT IN ('.pdf', '.docx', '.txt') THEN 'extension' WHEN
   WHEN NOT ((e = '.pdf' AND k = 'pdf') OR (e = '.docx' AND k = 'zip') OR (e = '.txt' AND k = 'text')) THEN 'signature' END AS fault FROM x""")
 def upload_check(spark: SparkSession, d: str) -> DataFrame:
     fault = files.upload_fault(F.col("name"), F.col("doc_type"), F.col("size"), F.encode("head", "UTF-8"))
-    return _UPLOADS.df(spark).select("name", fault.alias("fault"))
+    return _UPLOADS.df(spark, d).select("name", fault.alias("fault"))
 
 
 @query(r"""SELECT conv_id, turn, regexp_replace(regexp_replace(text || ' sk-' || repeat('a', 24) || ' eyJa.b.c', 'eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+', '[REDACTED_JWT]', 'g'),
