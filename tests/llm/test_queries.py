@@ -14,7 +14,7 @@ COLUMNS = {
     "op3": "page_id host path rule verdict",
     "op4": "doc_id n_words n_hit n_items items_sha256 contaminated n_near",
     "op5": "doc_id n_shingles component_id kept",
-    "op6": "doc_id n_email n_ip n_card n_phone base_sha256 spans n_id",
+    "op6": "doc_id n_email n_ip n_card n_phone base_sha256 spans n_id n_key",
     "op7": "doc_id held_out lang_pred score",
     "op8": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op9": "limit n_docs total_tokens truncated_total quantile",
