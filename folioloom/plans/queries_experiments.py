@@ -141,8 +141,8 @@ def collection_dfs(spark: SparkSession, d: str) -> DataFrame:
     return E.collection_index(_held(spark, d))["dfs"]
 
 
-#: Every other document is given a Korean text, so collections differ.
-_MIXED = "CASE WHEN (doc_id * 7 + length(text)) % 100 < 50 THEN '한국어 문장입니다. 그리고 ' || substr(text, 1, 20) ELSE text END"
+#: Every other document is given Korean sentences besides, so collections differ.
+_MIXED = "CASE WHEN (doc_id * 7 + length(text)) % 100 < 50 THEN repeat('한국어 문장입니다. ', CAST(floor(1 + length(text) / 20.0) AS INT)) || text ELSE text END"
 
 
 @query(rf"""WITH t AS (SELECT source AS collection, doc_id, {_MIXED} AS text FROM documents),

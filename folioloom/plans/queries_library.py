@@ -445,19 +445,20 @@ def missing_documents(spark: SparkSession, d: str) -> DataFrame:
     return files.missing(table(spark, d, "labels").select(F.col("doc_id").alias("doc")), present)
 
 
-_TOKENS = "가 ㄱ 1 . a A α 한국".split()
+#: A vocabulary of 64 tokens, one for each score.
+_TOKENS = [f"{w}{'' if i < 8 else i}" for i, w in enumerate(("가", "ㄱ", "1", ".", "a", "A", "α", "한국") * 8)]
 
 
-@query(f"""WITH p AS (SELECT a.vec_id, a.embedding[1:8]::DOUBLE[] AS c, b.embedding[1:8]::DOUBLE[] AS e FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+@query(f"""WITH p AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS c, b.embedding::DOUBLE[] AS e FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
 k AS (SELECT vec_id, list_transform(list_zip(c, e), lambda x: x[1] - 0.5::DOUBLE * x[2]) AS k, c FROM p),
 t AS (SELECT vec_id, c, k, {_TOKENS!r} AS t FROM k)
-SELECT vec_id, list_transform(list_zip(k, t), lambda x: round(x[1] - CASE WHEN x[2] IN ('a', 'A', 'α') THEN 0.3::DOUBLE ELSE 0::DOUBLE END, 6)) AS both,
+SELECT vec_id, list_transform(list_zip(k, t), lambda x: round(x[1] - CASE WHEN regexp_matches(x[2], '[aAα]') THEN 0.3::DOUBLE ELSE 0::DOUBLE END, 6)) AS both,
   list_transform(k, lambda x: round(x, 6)) AS contrast_only, list_transform(c, lambda x: round(x, 6)) AS neither,
   vec_id % 2 = 1 AS do_sample, CASE WHEN vec_id % 2 = 1 THEN 0.1::DOUBLE END AS temperature, CASE WHEN vec_id % 2 = 1 THEN 0.9::DOUBLE END AS top_p FROM t""")
 def decoder_steps(spark: SparkSession, d: str) -> DataFrame:
     """Contrast and penalty, contrast alone, and neither; and how tokens are drawn."""
     tokens = F.array(*map(F.lit, _TOKENS))
-    c, e = F.slice("c", 1, len(_TOKENS)), F.slice("e", 1, len(_TOKENS))
+    c, e = F.col("c"), F.col("e")
     rounded = lambda x: F.transform(x, lambda v: F.round(v, 6))
     rows = _score_pairs(spark, d).select(
         "vec_id", rounded(decoding.processed(c, e, tokens)).alias("both"), rounded(decoding.processed(c, e, tokens, beta=None)).alias("contrast_only"),
@@ -492,13 +493,12 @@ def line_titles(spark: SparkSession, d: str) -> DataFrame:
     return files.line_title(blocks, docs.select(F.col("doc_id").alias("doc"), F.concat(F.lit("file"), "doc_id").alias("stem")))
 
 
-@query(r"""WITH w AS (SELECT doc_id AS doc, x, generate_subscripts(x, 1) AS n FROM (SELECT doc_id, string_split(text, ' ')[1:12] AS x FROM documents)),
+@query(r"""WITH w AS (SELECT doc_id AS doc, x, generate_subscripts(x, 1) AS n FROM (SELECT doc_id, string_split(text, ' ') AS x FROM documents)),
 s AS (SELECT doc, (n - 1) // 4 AS block_no, n, x[n] AS text, CASE WHEN n % 3 = 0 THEN 'CMSY10' ELSE 'Times' END AS font, 8.0 + n % 5 AS size, n % 5 = 0 AS bold FROM w),
 g AS (SELECT doc, block_no, trim(string_agg(text, ' ' ORDER BY n)) AS content, round(avg(size), 6)::DOUBLE AS font_size, bool_or(bold) AS is_bold, avg((font = 'CMSY10')::INT) AS share FROM s WHERE trim(text) <> '' GROUP BY ALL)
 SELECT doc, block_no::INT AS block_no, content, font_size, is_bold, CASE WHEN share >= 0.5 THEN 'math' ELSE 'text' END AS block_type FROM g WHERE length(content) >= 5""")
 def span_blocks(spark: SparkSession, d: str) -> DataFrame:
-    words = F.slice(F.split("text", " "), 1, 12)
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(words).alias("i", "text"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", " ")).alias("i", "text"))
     n = F.col("i") + 1
     spans = rows.select(
         "doc", F.lit(1).alias("page"), F.floor(F.col("i") / 4).cast("int").alias("block_no"), F.col("i").alias("span_no"), "text",

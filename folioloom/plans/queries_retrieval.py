@@ -277,15 +277,16 @@ def adaptive_alpha(spark: SparkSession, d: str) -> DataFrame:
     return _score_pairs(spark, d).select("vec_id", F.round(jsd, 8).alias("jsd"), F.round(decoding.adaptive_alpha(F.col("c"), F.col("e")), 6).alias("alpha"))
 
 
-_VOCABULARY = "가 ㄱ 1 . a A α 한국 BERT 모델 ok, 2024 (표) naïve".split()
+#: A vocabulary of 64 tokens, one for each score.
+_VOCABULARY = [f"{w}{'' if i < 14 else i}" for i, w in enumerate(("가", "ㄱ", "1", ".", "a", "A", "α", "한국", "BERT", "모델", "ok,", "2024", "(표)", "naïve") * 5)][:64]
 
 
-@query(f"""WITH v AS (SELECT vec_id, embedding[1:{len(_VOCABULARY)}]::DOUBLE[] AS s FROM embeddings)
+@query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS s FROM embeddings)
 SELECT vec_id, list_transform(list_zip(s, {_VOCABULARY!r}), lambda x:
   round(x[1] - CASE WHEN regexp_matches(x[2], '[^\\x{{AC00}}-\\x{{D7A3}}\\x{{1100}}-\\x{{11FF}}\\x{{3130}}-\\x{{318F}} .,!?()0-9]') THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END, 6)) AS scores FROM v""")
 def scd_penalty(spark: SparkSession, d: str) -> DataFrame:
     tokens = F.array(*(F.lit(t) for t in _VOCABULARY))
-    out = decoding.penalized(F.slice("embedding", 1, len(_VOCABULARY)), tokens)
+    out = decoding.penalized(F.col("embedding"), tokens)
     return table(spark, d, "embeddings").select("vec_id", F.transform(out, lambda x: F.round(x, 6)).alias("scores"))
 
 
