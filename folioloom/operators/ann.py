@@ -24,8 +24,9 @@ from folioloom.sources import snapshots
 VECTORS, CENTRES = "vectors", "centres"
 #: Vectors that centres are trained on, rounds of training, and cells at most.
 SAMPLE, ROUNDS, MOST_CELLS = 50_000, 10, 4096
-#: Part of the cells that a search looks into, if nothing else is said. Recall is measured in the tests.
-PROBED = 0.25
+#: Recall that a search has on the sample, for its number of cells if nothing else is said; the sample's queries that it is
+#: measured with, and the neighbours of each.
+RECALL, MEASURED, NEIGHBOURS = 0.95, 200, 20
 
 
 def finite(vectors: DataFrame, key: str, body: str) -> DataFrame:
@@ -36,9 +37,9 @@ def finite(vectors: DataFrame, key: str, body: str) -> DataFrame:
     return rows.select(F.col(key).alias("doc"), F.col(body).cast("array<double>").alias("v"), *others)
 
 
-def trained(rows: DataFrame, cells: int) -> np.ndarray:
-    """Unit centres of rows (doc, v) by k-means on directions: SAMPLE rows, those whose ids hash lowest, so that the sample is
-    the same each time."""
+def trained(rows: DataFrame, cells: int) -> tuple[np.ndarray, float]:
+    """Unit centres of rows (doc, v) by k-means on directions, and the part of them that a search needs for RECALL. SAMPLE rows
+    are read, those whose ids hash lowest, so that the sample is the same each time."""
     some = rows.select(F.xxhash64(F.col("doc").cast("string")).alias("h"), "v").orderBy("h", "v").limit(SAMPLE)
     x = matrix(some.select("v").toArrow().column("v").combine_chunks())
     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
@@ -50,7 +51,18 @@ def trained(rows: DataFrame, cells: int) -> np.ndarray:
         held = np.bincount(near, minlength=len(centres)) > 0
         centres[held] = sums[held]
         centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-    return centres
+    return centres, needed(x, centres)
+
+
+def needed(x: np.ndarray, centres: np.ndarray) -> float:
+    """The smallest part of the cells, nearest first, that holds RECALL of the nearest neighbours of some of the vectors: far
+    less for vectors in clusters than for those without any."""
+    asked = x[:: max(1, len(x) // MEASURED)][:MEASURED]
+    near = np.argsort(-(asked @ x.T), axis=1, kind="stable")[:, :NEIGHBOURS]
+    cell = (x @ centres.T).argmax(axis=1)
+    order = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1, kind="stable")  # a cell's place for each query
+    places = np.sort(np.take_along_axis(order, cell[near], axis=1).ravel())
+    return float(places[int(np.ceil(RECALL * len(places))) - 1] + 1) / len(centres)
 
 
 def assigned(rows: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -74,8 +86,9 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, key: str = "v
     with scratch(spark):
         rows = materialized(finite(vectors, key, body), "ann-rows")
         n = rows.count()
-        centres = trained(rows, cells or min(MOST_CELLS, max(1, round(n**0.5)))) if n else np.zeros((1, 1))
-        kept = spark.createDataFrame([(0, i, c.tolist()) for i, c in enumerate(centres)], "collection long, doc long, v array<double>")
+        centres, part = trained(rows, cells or min(MOST_CELLS, max(1, round(n**0.5)))) if n else (np.zeros((1, 1)), 1.0)
+        # collection 0 has the centres, 1 the part of them that a search needs
+        kept = spark.createDataFrame([(0, i, c.tolist()) for i, c in enumerate(centres)] + [(1, 0, [part])], "collection long, doc long, v array<double>")
         own = materialized(assigned(rows, centres), "ann-cells")
         snapshots.commit(spark, path, lambda base: {CENTRES: kept, VECTORS: own})
 
@@ -112,11 +125,14 @@ def remove(spark: SparkSession, path: str, docs: DataFrame) -> None:
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int = retrieval.RETRIEVED, probes: int | None = None, where: Column | None = None, at: snapshots.Version | None = None) -> DataFrame:
-    """query, doc, score, rank: the best k by cosine among the vectors in each query's `probes` nearest cells (PROBED of all by
-    default) that pass the filter. queries: query, vector."""
+    """query, doc, score, rank: the best k by cosine among the vectors in each query's `probes` nearest cells (by default as many
+    as the sample needed for RECALL) that pass the filter. queries: query, vector."""
     at = snapshots.version(spark, path) if at is None else at
     centres = centres_of(spark, path, at)
-    probes = min(len(centres), probes or max(1, round(PROBED * len(centres))))
+    if not probes:
+        part = snapshots.live(spark, path, CENTRES, at, collections=[1]).first()["v"][0]
+        probes = int(np.ceil(part * len(centres)))
+    probes = min(len(centres), probes)
     asked = materialized(queries.select("query", F.col("vector").cast("array<double>").alias("v")), "ann-queries")
     number = max(1, -(-asked.count() // QUERY_BLOCK))
     found = None

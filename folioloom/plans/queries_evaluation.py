@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from folioloom.functions import patterns as P
 from folioloom.functions import text as T
 from folioloom.operators import evaluation as E
 from folioloom.operators import history
+from folioloom.operators.tables import materialized, shared_folder
 from folioloom.plans import fixtures as X
 from folioloom.plans import pipelines
 from folioloom.plans.fixtures import Rows
@@ -256,18 +259,73 @@ def sse_reassemble(spark: SparkSession, d: str) -> DataFrame:
     return live.reassembled(_events(spark, d))
 
 
-@query("""WITH RECURSIVE r AS (SELECT user_id AS worker, event_id AS request_id, floor(epoch(ts))::DOUBLE AS arrived, CASE WHEN event_id % 50 = 0 THEN 300.0 ELSE 6.0 END::DOUBLE AS duration,
+_GATE = """WITH RECURSIVE r AS (SELECT user_id AS worker, event_id AS request_id, floor(epoch(ts))::DOUBLE AS arrived, CASE WHEN event_id % 50 = 0 THEN 300.0 ELSE 6.0 END::DOUBLE AS duration,
   row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM events),
 g AS (SELECT worker, n, request_id, arrived AS start, true AS accepted, duration > 120 AS cut, arrived + least(duration, 120) AS free FROM r WHERE n = 1 UNION ALL
   SELECT r.worker, r.n, r.request_id, greatest(g.free, r.arrived), greatest(g.free, r.arrived) - r.arrived <= 29, r.duration > 120,
     CASE WHEN greatest(g.free, r.arrived) - r.arrived <= 29 THEN greatest(g.free, r.arrived) + least(r.duration, 120) ELSE g.free END
   FROM g JOIN r ON r.worker = g.worker AND r.n = g.n + 1)
-SELECT worker, request_id, start, accepted, CASE WHEN NOT accepted THEN 'busy' WHEN cut THEN 'timeout' END AS reason FROM g""")
-def queue_gate(spark: SparkSession, d: str) -> DataFrame:
+SELECT worker, request_id, start, accepted, CASE WHEN NOT accepted THEN 'busy' WHEN cut THEN 'timeout' END AS reason FROM g"""
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
     at = F.unix_seconds(F.col("ts").cast("timestamp")).cast("double")
     duration = F.when(F.col("event_id") % 50 == 0, 300.0).otherwise(6.0)
-    rows = table(spark, d, "events").select(F.col("user_id").alias("worker"), F.col("event_id").alias("request_id"), at.alias("arrived"), duration.alias("duration"))
-    return live.waiting(rows)
+    return table(spark, d, "events").select(F.col("user_id").alias("worker"), F.col("event_id").alias("request_id"), at.alias("arrived"), duration.alias("duration"))
+
+
+@query(_GATE)
+def queue_gate(spark: SparkSession, d: str) -> DataFrame:
+    return live.waiting(_requests(spark, d))
+
+
+def _streamed(rows: DataFrame, at: str, late: float, parts: int, end: DataFrame, through) -> DataFrame:
+    """What a stream gives: rows in `parts` files, each row up to `late` seconds (by its hash) behind its time, then the rows of
+    end, whose times are past all others."""
+    spark, place = rows.sparkSession, f"{shared_folder(rows.sparkSession)}/stream-{uuid.uuid4().hex}"
+    first, last = rows.agg(F.min(at), F.max(at)).first()
+    width = max(1.0, (last - first + late) / parts)
+    behind = F.pmod(F.xxhash64(*rows.columns), F.lit(int(late * 1000) - 1)) / 1000
+    dealt = materialized(rows.withColumn("part", F.floor((F.col(at) + behind - first) / width)), "stream-rows")
+    for part in range(parts):
+        dealt.filter(F.col("part") == part).drop("part").write.parquet(f"{place}/in/{part}")
+    end.select(*rows.columns).coalesce(1).write.parquet(f"{place}/in/{parts}")
+    source = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    out = through(source)
+    query_ = out.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/check").outputMode("append").trigger(availableNow=True).start()
+    query_.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{place}/out")
+
+
+@query(_GATE)
+def gate_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The gate over a shuffled stream: the same as over the table."""
+    rows = _requests(spark, d).coalesce(1)
+    last = rows.agg(F.max("arrived")).first()[0] + 86_400.0
+    end = spark.createDataFrame([(-1, -1, last, 1.0)], "worker long, request_id long, arrived double, duration double")
+    return _streamed(rows, "arrived", 600.0, 5, end, lambda s: live.waiting(s, late="10 minutes")).filter("worker >= 0")
+
+
+def _timed_events(spark: SparkSession, d: str) -> DataFrame:
+    """The events of answers with their times, some lost: the third of every fifth answer, all after it of the next ones; some twice."""
+    events = _events(spark, d).withColumn("happened", F.col("query_id") * 0.5 + F.col("seq") * 0.1)
+    kept = events.filter(~((F.col("query_id") % 5 == 0) & (F.col("seq") == 2)) & ~((F.col("query_id") % 5 == 1) & (F.col("seq") >= 3)))
+    return kept.unionByName(kept.filter((F.col("query_id") + F.col("seq")) % 7 == 0).withColumn("happened", F.col("happened") + 0.05)).coalesce(1)
+
+
+@query(f"""WITH {_PIECES}, n AS (SELECT query_id, text, (length(text) + 23) // 24 + 1 AS last FROM a),
+u AS (SELECT *, CASE WHEN query_id % 5 = 0 AND last >= 2 THEN 2 WHEN query_id % 5 = 1 AND last >= 3 THEN 3 ELSE last END AS upto FROM n)
+SELECT query_id, substr(text, 1, ((upto - 1) * 24)::INT) AS answer, upto = last AS complete FROM u""")
+def answers_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Answers put together from a shuffled stream of events, repeated and broken off."""
+    rows = _timed_events(spark, d)
+    last = rows.agg(F.max("happened")).first()[0] + 86_400.0
+    end = spark.createDataFrame([(-1, 0, "done", "{}", last)], "query_id long, seq int, event string, payload string, happened double")
+
+    def through(source: DataFrame) -> DataFrame:
+        return live.reassembled_stream(source.withColumn("ts", F.timestamp_seconds("happened")), late="1 minute", silence=120.0)
+
+    return _streamed(rows, "happened", 60.0, 4, end, through).filter("query_id >= 0")
 
 
 @query("SELECT role AS kind, count(*) AS n FROM conversations GROUP BY role")

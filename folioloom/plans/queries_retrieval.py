@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.operators import ann, chunking, context, decoding, retrieval
+from folioloom.operators import ann, chunking, context, decoding, pruned, retrieval
 from folioloom.operators.tables import shared_folder
 from folioloom.plans import pipelines
 from folioloom.plans.queries_text import _WINDOWS
@@ -75,6 +75,13 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return benchmark_hits(spark, d)
 
 
+@query(f"WITH {_bm25(_BENCH)} SELECT query, doc, score, rank FROM bm")
+def bm25_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of bm25_topk from fewer postings."""
+    blocks = pruned.blocks_of(retrieval.index_of(table(spark, d, "documents")))
+    return pruned.search(blocks, table(spark, d, "benchmark")).hits
+
+
 @query(
     f"WITH {_bm25(_BENCH, 20)}, held AS (SELECT query, count(*) AS n FROM bm GROUP BY query), "
     "first AS (SELECT doc_id AS doc FROM documents ORDER BY doc_id LIMIT 40), "

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -56,8 +57,8 @@ def over_limit(counts: DataFrame, limit: int) -> DataFrame:
     return counts.filter(F.col("n") > limit)
 
 
-#: State of a worker between batches: when it is free.
-_FREE = "free double"
+#: State of a worker between batches: when it is free, and the requests that wait until none before them can come.
+_WORKER = "free double, arrived array<double>, request_id array<long>, duration array<double>"
 _GATED = "worker long, request_id long, start double, accepted boolean, reason string"
 
 
@@ -76,16 +77,17 @@ def gated(requests: list[tuple[float, int, float]], free: float, seconds: float,
     return out, free
 
 
-def waiting(requests: DataFrame, seconds: float = 29.0, longest: float = 120.0) -> DataFrame:
+def waiting(requests: DataFrame, seconds: float = 29.0, longest: float = 120.0, late: str = "10 minutes") -> DataFrame:
     """worker, request_id, start, accepted and reason (busy, timeout or null) of requests (worker, request_id, arrived,
     duration), each through its worker in order of arrival (ties by request_id).
 
     Whether one is refused depends on all before it, so a worker's requests are read one after another: sorted within a
     partition by the shuffle and passed in batches, with one number kept between them, never as one row. Over a
-    stream, that number is the worker's state.
+    stream, requests may come up to `late` behind others: a worker's wait in its state until the watermark has passed them, so
+    the results are those of the whole table. Its state goes when it is free and none waits.
     """
     if requests.isStreaming:
-        return _waiting_stream(requests, seconds, longest)
+        return _waiting_stream(requests, seconds, longest, late)
 
     def replayed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, free = None, 0.0
@@ -102,16 +104,68 @@ def waiting(requests: DataFrame, seconds: float = 29.0, longest: float = 120.0)
     return kept.repartition("worker").sortWithinPartitions("worker", "arrived", "request_id").mapInPandas(replayed, _GATED)
 
 
-def _waiting_stream(requests: DataFrame, seconds: float, longest: float) -> DataFrame:
+def _waiting_stream(requests: DataFrame, seconds: float, longest: float, late: str) -> DataFrame:
+    names = [c.split()[0] for c in _GATED.split(", ")]
+
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["arrived", "request_id"])
-        free = state.get[0] if state.exists else 0.0
-        found, free = gated(list(zip(rows["arrived"], rows["request_id"], rows["duration"], strict=True)), free, seconds, longest)
-        state.update((free,))
-        yield pd.DataFrame([(key[0], *x) for x in found], columns=[c.split()[0] for c in _GATED.split(", ")])
+        free, *held = state.get if state.exists else (0.0, [], [], [])
+        rows = list(zip(*held, strict=True))
+        for part in [] if state.hasTimedOut else parts:
+            rows += list(zip(part["arrived"], part["request_id"], part["duration"], strict=True))
+        rows.sort()
+        passed = state.getCurrentWatermarkMs()
+        ready = [r for r in rows if r[0] * 1000 <= passed]  # none before these can come any more
+        open_ = rows[len(ready) :]
+        found, free = gated(ready, free, seconds, longest)
+        if open_ or free * 1000 > passed:
+            state.update((free, [r[0] for r in open_], [r[1] for r in open_], [r[2] for r in open_]))
+            state.setTimeoutTimestamp(int(max(passed, (open_[0][0] if open_ else free) * 1000)) + 1)
+        elif state.exists:
+            state.remove()
+        if found:
+            yield pd.DataFrame([(key[0], *x) for x in found], columns=names)
 
     kept = requests.select(F.col("worker").cast("long"), F.col("request_id").cast("long"), "arrived", "duration")
-    return kept.groupBy("worker").applyInPandasWithState(step, _GATED, _FREE, "append", GroupStateTimeout.NoTimeout)
+    kept = kept.withColumn("at", F.timestamp_seconds("arrived")).withWatermark("at", late)
+    return kept.groupBy("worker").applyInPandasWithState(step, _GATED, _WORKER, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+#: State of an answer: when its last event happened, whether it was given out, and its events so far.
+_ANSWER = "last double, given boolean, seq array<int>, event array<string>, payload array<string>"
+
+
+def reassembled_stream(events: DataFrame, key: str = "query_id", at: str = "ts", late: str = "1 minute", silence: float = 60.0) -> DataFrame:
+    """key, answer, complete of a stream of events (key, seq, event, payload, and when they happened), each answer once: as soon
+    as it is whole, that is its last event and all before it are there; or, when none has come for `silence` seconds, with the
+    pieces up to the first gap. Events may come in any order up to `late` behind, and more than once; those that come for an
+    answer that was given out are passed over. An answer's state goes after the silence."""
+
+    def step(own: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last, given, *held = state.get if state.exists else (0.0, False, [], [], [])
+        rows = {q: (e, p) for q, e, p in zip(*held, strict=True)}
+        for part in [] if state.hasTimedOut else parts:
+            for q, e, p, t in zip(part["seq"], part["event"], part["payload"], part["at_"], strict=True):
+                rows.setdefault(int(q), (e, p))
+                last = max(last, float(t))
+        upto = 0
+        while upto in rows and rows[upto][0] != "done":
+            upto += 1
+        whole = upto in rows
+        if not given and (whole or state.hasTimedOut):
+            given = True
+            pieces = [json.loads(rows[i][1])["content"] for i in range(upto) if rows[i][0] == "token"]
+            yield pd.DataFrame([(own[0], "".join(pieces), whole)], columns=[key, "answer", "complete"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = [] if given else sorted(rows)  # what was given out is remembered without its pieces
+        state.update((last, given, kept, [rows[q][0] for q in kept], [rows[q][1] for q in kept]))
+        state.setTimeoutTimestamp(int(max(state.getCurrentWatermarkMs(), (last + silence) * 1000)) + 1)
+
+    kind = events.schema[key].dataType.simpleString()
+    kept = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
+    kept = kept.select(key, F.col("seq").cast("int").alias("seq"), "event", "payload", at, F.col(at).cast("double").alias("at_"))
+    return kept.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, answer string, complete boolean", _ANSWER, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ingest(texts: DataFrame, path: str, checkpoint: str, indexed: bool = False):

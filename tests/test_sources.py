@@ -244,14 +244,36 @@ def test_gate_keeps_its_place_between_batches(spark, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
-def test_gate_over_a_stream(spark, tmp_path):
-    for name, rows in (("1", [(1, 1, 0.0, 40.0), (1, 2, 1.0, 5.0)]), ("2", [(1, 3, 20.0, 5.0), (2, 4, 0.0, 1.0)])):
-        spark.createDataFrame(rows, REQUESTS).coalesce(1).write.parquet(str(tmp_path / "in" / name))
-    source = spark.readStream.schema(REQUESTS).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = live.waiting(source).writeStream.format("memory").queryName("gate").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+def streamed(spark, tmp_path, name, parts, kind, through):
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / name / str(i)))
+    source = spark.readStream.schema(kind).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    q = through(source).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}-cp")).start()
     q.processAllAvailable()
+    held = q.lastProgress["stateOperators"][0]["numRowsTotal"]
     q.stop()
-    assert {(r.request_id, r.start, r.accepted) for r in spark.table("gate").collect()} == {(1, 0.0, True), (2, 40.0, False), (3, 40.0, True), (4, 0.0, True)}
+    return spark.table(name).collect(), held
+
+
+def test_gate_over_a_stream(spark, tmp_path):
+    """Requests that come late, but within the watermark, are taken in their order; the state goes."""
+    parts = [[(1, 2, 30.0, 5.0), (1, 1, 0.0, 40.0)], [(2, 4, 31.0, 1.0), (1, 3, 20.0, 5.0), (1, 5, 85.0, 1.0)], [(3, 9, 9000.0, 1.0)], [(3, 10, 19000.0, 1.0)]]
+    rows, held = streamed(spark, tmp_path, "gate", parts, REQUESTS, lambda s: live.waiting(s, late="1 minute"))
+    whole = live.waiting(spark.createDataFrame([r for p in parts for r in p], REQUESTS)).collect()
+    assert sorted(map(tuple, rows)) == sorted(tuple(r) for r in whole if r.request_id != 10) and len(rows) == 6
+    assert held == 1  # the last worker's only
+
+
+def test_answers_over_a_stream(spark, tmp_path):
+    token = lambda q, n, text, t: (q, n, "token", json.dumps({"content": text}), t)
+    kind = "query_id int, seq int, event string, payload string, happened double"
+    parts = [
+        [token(1, 2, "b", 2.0), (1, 3, "done", "{}", 3.0), token(2, 1, "x", 1.0)], [(1, 0, "metadata", "{}", 0.5), token(1, 1, "a", 1.0), token(1, 1, "a", 1.0)],
+        [token(1, 2, "b", 4.0), (2, 0, "metadata", "{}", 0.4), token(2, 3, "z", 5.0), (2, 4, "done", "{}", 6.0)], [(9, 0, "metadata", "{}", 900.0)], [(9, 1, "done", "{}", 2000.0)],
+    ]
+    through = lambda s: live.reassembled_stream(s.withColumn("ts", F.timestamp_seconds("happened")), late="1 minute", silence=30.0)
+    rows, held = streamed(spark, tmp_path, "answers", parts, kind, through)
+    assert sorted(map(tuple, rows)) == [(1, "ab", True), (2, "x", False), (9, "", True)] and held == 1
 
 
 def test_repair(spark):
