@@ -283,8 +283,8 @@ def excerpts(chunks: DataFrame, papers: DataFrame, k: int = 5, models: Providers
         queries = names.select(F.col("document").alias("query"), F.format_string(words.replace("{}", "%s"), "document").alias("query_text"))
         hits = hybrid_within(held, queries, names.withColumn("query", F.col("document")), k, models)
         own = hits.select(F.lit(label).alias("label"), F.col("query.document").alias("paper"), F.lit("general").alias("section"), F.lit(no).alias("no"), "rank", "doc")
-        held = found.select("label", "paper").distinct()
-        found = found.unionByName(own.join(held, ["label", "paper"], "left_anti"))
+        sampled = found.select("label", "paper").distinct()
+        found = found.unionByName(own.join(sampled, ["label", "paper"], "left_anti"))
     texts = held.chunks.select(F.col("chunk").alias("doc"), F.substring("text", 1, PREVIEW).alias("preview"))
     rows = found.join(texts, "doc").groupBy("label", "paper", "preview").agg(F.min(F.struct("no", "rank", "section")).alias("x"))
     return rows.select("label", "paper", "x.section", (F.col("x.rank") + 1).alias("n"), "preview", F.col("x.no").alias("no"))

@@ -257,7 +257,7 @@ def streamed(spark, tmp_path, name, parts, kind, through):
 
 def test_gate_over_a_stream(spark, tmp_path):
     """Requests that come late, but within the watermark, are taken in their order; the state goes."""
-    parts = [[(1, 2, 30.0, 5.0), (1, 1, 0.0, 40.0)], [(2, 4, 31.0, 1.0), (1, 3, 20.0, 5.0), (1, 5, 85.0, 1.0)], [(3, 9, 9000.0, 1.0)], [(3, 10, 19000.0, 1.0)]]
+    parts = [[(1, 2, 30.0, 5.0), (1, 1, 1.0, 40.0)], [(2, 4, 31.0, 1.0), (1, 3, 20.0, 5.0), (1, 5, 85.0, 1.0)], [(3, 9, 9000.0, 1.0)], [(3, 10, 19000.0, 1.0)]]
     rows, held = streamed(spark, tmp_path, "gate", parts, REQUESTS, lambda s: live.waiting(s, late="1 minute"))
     whole = live.waiting(spark.createDataFrame([r for p in parts for r in p], REQUESTS)).collect()
     assert sorted(map(tuple, rows)) == sorted(tuple(r) for r in whole if r.request_id != 10) and len(rows) == 6
