@@ -404,7 +404,38 @@ def rag_answer_c(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.compare(_chunks(spark, d), _items(spark, d), best)
 
 
-@query()
+def _within_sql(name: str, by: str, k: int, near: str, bm: str) -> str:
+    """Lists inside the targets' documents, for each query and `by`, fused: a table name (query, doc, by, n)."""
+    own = f", {by}" if by else ""
+    return f"""
+{name}_d AS (SELECT n.query, n.doc{', n.' + by if by else ''}, row_number() OVER (PARTITION BY n.query{', n.' + by if by else ''} ORDER BY n.score DESC, n.doc) - 1 AS rank
+  FROM {near} n JOIN targets t ON t.query = n.query AND t.document = n.document QUALIFY rank < {k}),
+{name}_s AS (SELECT b.query, b.doc{', ck.' + by if by else ''}, b.rank FROM {bm} b JOIN ck ON ck.doc_id = b.doc JOIN targets t ON t.query = b.query AND t.document = ck.document),
+{name}_f AS (SELECT query, doc{own}, round(sum(part), 8) AS rrf, max(dr) AS dr, max(sr) AS sr FROM (
+  SELECT query, doc{own}, 0.6::DOUBLE / (61 + rank) AS part, rank AS dr, NULL AS sr FROM {name}_d UNION ALL SELECT query, doc{own}, 0.4::DOUBLE / (61 + rank), NULL, rank FROM {name}_s) GROUP BY ALL),
+{name} AS (SELECT query, doc{own} FROM {name}_f QUALIFY row_number() OVER (PARTITION BY query{own} ORDER BY rrf DESC, dr NULLS LAST, sr NULLS LAST) <= {k})"""
+
+
+_SEARCH_TEXT = f"'{pipelines.SUMMARY_SEARCH}'"
+_SUMMARY_SQL = rf"""WITH {_CHUNK_TABLES.replace("section, content AS text FROM ids", "CASE section WHEN 'en' THEN 'method' WHEN 'fr' THEN 'result' WHEN 'de' THEN 'abstract' ELSE 'conclusion' END AS section, content AS text FROM ids")},
+targets AS (WITH {_bm25(_BENCH, 1)} SELECT query, doc::VARCHAR AS document FROM bm),
+bm3 AS (WITH {_chunk_bm25(3)} SELECT query, doc, rank FROM bm),
+bm10 AS (WITH {_bm25(f'(SELECT item_id AS query, {_SEARCH_TEXT} AS body FROM benchmark)', 10).replace('FROM documents', 'FROM ck')} SELECT query, doc, rank FROM bm),
+{_within_sql('inside', 'section', 3, 'near', 'bm3')},
+gu AS (SELECT b, n::DOUBLE / sqrt(sum(n * n) OVER ()::DOUBLE) AS x FROM (SELECT ('0x' || substr(md5(w), 1, 6))::INT % 64 AS b, count(*) AS n
+  FROM (SELECT unnest(regexp_extract_all({_SEARCH_TEXT}, '[\p{{L}}\p{{N}}_]+')) AS w) GROUP BY b)),
+gd AS (SELECT id AS doc, sum(gu.x * u.x) AS dot FROM units u JOIN gu ON gu.b = u.b WHERE side = 'c' GROUP BY id),
+gn AS (SELECT item_id AS query, ck.doc_id AS doc, document, round(coalesce(dot, 0::DOUBLE), 6) AS score FROM benchmark JOIN ck ON true LEFT JOIN gd ON gd.doc = ck.doc_id),
+{_within_sql('general', '', 10, 'gn', 'bm10')},
+held AS (SELECT query, count(*) AS n FROM inside GROUP BY query),
+both_lists AS (SELECT query, doc FROM inside UNION ALL SELECT query, doc FROM general WHERE coalesce((SELECT n FROM held WHERE held.query = general.query), 0) < 5
+  AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.query = general.query AND i.doc = general.doc)),
+{_reranked_sql('both_lists', 8).replace(_WORDS.format('lower(qt)'), _WORDS.format(f"lower('{pipelines.SUMMARY_QUERY}')")).replace('best AS', 'best_8 AS')},
+best AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query ORDER BY CASE section WHEN 'abstract' THEN 0 WHEN 'method' THEN 2 WHEN 'result' THEN 3 WHEN 'conclusion' THEN 4 ELSE 99 END, position) AS position) FROM best_8),
+""" + _answer_sql(_SUMMARY_PROMPT)
+
+
+@query(_SUMMARY_SQL)
 def rag_answer_e(spark: SparkSession, d: str) -> DataFrame:
     """Each passage asks for a summary of the document that it fits best; languages stand for sections."""
     named = F.when(F.col("section") == "en", "method").when(F.col("section") == "fr", "result").when(F.col("section") == "de", "abstract").otherwise("conclusion")
