@@ -106,8 +106,13 @@ def fitting(places: DataFrame, rules: DataFrame) -> DataFrame:
     names = written(rules.select(F.explode("tokens").alias("token")).distinct(), "url-tokens")
     # partial counts; a row for each of the rules' tokens
     held = written(each.select("token").join(small(names), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n")), "url-held")
-    index = small(written(filed(rules, held), "url-index"), RULES)
-    pairs = each.join(index, "token")
+    index = written(filed(rules, held), "url-index")
+    if index.limit(RULES + 1).count() <= RULES:
+        pairs = each.join(F.broadcast(index), "token")
+    else:  # only page numbers and tokens that a rule is filed under meet the rules; the texts come back by page
+        used = small(written(index.select("token").distinct(), "url-used"))
+        slim = places.select("page_no", F.explode("tokens").alias("token")).join(used, "token", "left_semi")
+        pairs = slim.join(index, "token").join(places.select("page_no", "exact", "place"), "page_no")
     fits = pairs.filter(F.when(F.col("site"), F.regexp(F.col("exact"), F.col("regex"))).otherwise(F.regexp(F.col("place"), F.col("regex"))))
     rank = F.struct(F.length("text").alias("length"), "text", "action")
     return written(

@@ -171,9 +171,13 @@ def plainly_kept(text):
     data = (text or "").encode()
 
     def limits(x):
-        wide = 16 * sum(0x80 <= b < 0xC0 for b in x) >= len(x)
+        share = sum(0x80 <= b < 0xC0 for b in x) / max(1, len(x))
         low, high, wider = [b[1:] for b in quality.BANDS if b[0] <= len(x)][-1]
-        return low, wider if wide else high
+        mixed = 0.0
+        for (a, y), (b, z) in zip(quality.MIXED, quality.MIXED[1:]):
+            if a <= share <= b:
+                mixed = y + (z - y) * (share - a) / (b - a)
+        return low, high + (wider - high) * min(1.0, 16 * share) + mixed
 
     parts, at = [], 0
     while at < len(data) or not parts:
