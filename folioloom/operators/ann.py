@@ -22,6 +22,8 @@ from folioloom.operators.tables import materialized, scratch
 from folioloom.sources import snapshots
 
 VECTORS, CENTRES = "vectors", "centres"
+#: Collections of the table of centres: these, and the part of them that a search needs.
+CENTRE, PART = -1, -2
 #: Vectors that centres are trained on, rounds of training, and cells at most.
 SAMPLE, ROUNDS, MOST_CELLS = 50_000, 10, 4096
 #: Recall that a search has on the sample, for its number of cells if nothing else is said; the sample's queries that it is
@@ -87,14 +89,14 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, key: str = "v
         rows = materialized(finite(vectors, key, body), "ann-rows")
         n = rows.count()
         centres, part = trained(rows, cells or min(MOST_CELLS, max(1, round(n**0.5)))) if n else (np.zeros((1, 1)), 1.0)
-        # collection 0 has the centres, 1 the part of them that a search needs
-        kept = spark.createDataFrame([(0, i, c.tolist()) for i, c in enumerate(centres)] + [(1, 0, [part])], "collection long, doc long, v array<double>")
+        # no cell has these numbers, so no vector that goes takes a centre along
+        kept = spark.createDataFrame([(CENTRE, i, c.tolist()) for i, c in enumerate(centres)] + [(PART, 0, [part])], "collection long, doc long, v array<double>")
         own = materialized(assigned(rows, centres), "ann-cells")
         snapshots.commit(spark, path, lambda base: {CENTRES: kept, VECTORS: own})
 
 
 def centres_of(spark: SparkSession, path: str, at: snapshots.Version) -> np.ndarray:
-    found = snapshots.live(spark, path, CENTRES, at, collections=[0]).orderBy("doc").select("v").toArrow()  # MOST_CELLS rows
+    found = snapshots.live(spark, path, CENTRES, at, collections=[CENTRE]).orderBy("doc").select("v").toArrow()  # MOST_CELLS rows
     return matrix(found.column("v").combine_chunks())
 
 
@@ -130,7 +132,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = retrieva
     at = snapshots.version(spark, path) if at is None else at
     centres = centres_of(spark, path, at)
     if not probes:
-        part = snapshots.live(spark, path, CENTRES, at, collections=[1]).first()["v"][0]
+        part = snapshots.live(spark, path, CENTRES, at, collections=[PART]).first()["v"][0]
         probes = int(np.ceil(part * len(centres)))
     probes = min(len(centres), probes)
     asked = materialized(queries.select("query", F.col("vector").cast("array<double>").alias("v")), "ann-queries")

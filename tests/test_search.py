@@ -51,8 +51,8 @@ def test_cells_follow_changes(spark, tmp_path):
     ann.build(frame(rows.items()).unionByName(spark.createDataFrame([(900, None, 0), (901, [], 0), (902, [float("nan")] * 8, 0)], "vec_id long, embedding array<double>, label int")), path, cells=9)
     new = {i: x / np.linalg.norm(x) for i, x in zip((5, 6, 400), rng.normal(size=(3, 8)), strict=True)}
     ann.upsert(frame(new.items()), path)
-    ann.remove(spark, path, spark.createDataFrame([(7,), (999,)], "doc long"))
-    rows = {i: x for i, x in (rows | new).items() if i != 7}
+    ann.remove(spark, path, spark.createDataFrame([(i,) for i in (*range(10, 60), 1, 2, 3, 4, 7, 999)], "doc long"))
+    rows = {i: x for i, x in (rows | new).items() if i not in (*range(10, 60), 1, 2, 3, 4, 7)}
     asked = spark.createDataFrame([(f"q{i}", rows[i].tolist()) for i in (0, 5, 400)], "query string, vector array<double>")
     exact = hits(retrieval.dense(frame(rows.items()), asked, 6, F.col("label") != 1))
     assert hits(ann.search(spark, path, asked, 6, probes=9, where=F.col("label") != 1)) == exact
