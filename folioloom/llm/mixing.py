@@ -206,7 +206,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, s
 
     Null and empty texts have size 0 and take no words. A null source is a source, ranked last. Rows of one doc_id in
     a source share a place in the order and are taken together, those of one size where the rest is filled. What a source
-    takes differs from its target by less than the smallest of its documents that is not taken once more would. An empty table gives an empty result; a source without
+    takes is short of its target by less than any of its documents that isn't taken once more, or above it by less than it was
+    short before the last one. An empty table gives an empty result; a source without
     words has target 0. Extra columns are ignored. The same rows and seed give the same result.
     """
     with working(docs.sparkSession) as tables:
