@@ -398,12 +398,6 @@ def rag_answer_b(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.section_qa(_chunks(spark, d), _items(spark, d), "fr")
 
 
-@query()
-def rag_answer_c(spark: SparkSession, d: str) -> DataFrame:
-    best = benchmark_hits(spark, d, 2).groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"].cast("string")).alias("targets"))
-    return pipelines.compare(_chunks(spark, d), _items(spark, d), best)
-
-
 def _within_sql(name: str, by: str, k: int, near: str, bm: str) -> str:
     """Lists inside the targets' documents, for each query and `by`, fused: a table name (query, doc, by, n)."""
     own = f", {by}" if by else ""
@@ -416,6 +410,37 @@ def _within_sql(name: str, by: str, k: int, near: str, bm: str) -> str:
 {name} AS (SELECT query, doc{own} FROM {name}_f QUALIFY row_number() OVER (PARTITION BY query{own} ORDER BY rrf DESC, dr NULLS LAST, sr NULLS LAST) <= {k})"""
 
 
+_COMPARE_SQL = rf"""WITH {_CHUNK_TABLES},
+targets AS (WITH {_bm25(_BENCH, 2)} SELECT query, doc::VARCHAR AS document, rank AS side FROM bm),
+bm20 AS (WITH {_chunk_bm25(20)} SELECT query, doc, rank FROM bm),
+{_within_sql('inside', 'document', 20, 'near', 'bm20')},
+lex AS (SELECT i.query, i.doc, i.document, d.text, d.section, b.text AS qt, round(len(list_filter(list_distinct({_WORDS.format('lower(d.text)')}), lambda w: list_contains({_WORDS.format('lower(b.text)')}, w)))
+  / greatest(len(list_distinct({_WORDS.format('lower(d.text)')})), 1)::DOUBLE, 6) AS score FROM inside i JOIN ck d ON d.doc_id = i.doc JOIN benchmark b ON b.item_id = i.query),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query, document ORDER BY score DESC, doc) - 1 AS rank FROM lex QUALIFY rank < 5),
+placed AS (SELECT *, CASE WHEN n <= 2 THEN rank WHEN rank % 2 = 0 THEN rank // 2 ELSE n - 1 - (rank - 1) // 2 END AS position
+  FROM (SELECT ranked.*, side, count(*) OVER (PARTITION BY ranked.query, ranked.document) AS n FROM ranked JOIN targets t ON t.query = ranked.query AND t.document = ranked.document)),
+lined AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY side, position) AS i FROM placed),
+sides AS (SELECT query, string_agg(text, chr(10) || chr(10) ORDER BY position) FILTER (side = 0) AS context_a, string_agg(text, chr(10) || chr(10) ORDER BY position) FILTER (side = 1) AS context_b,
+  string_agg('[' || i || '] ' || doc || ' - ' || section || ' (p.1)', chr(10) ORDER BY i) AS sources FROM lined GROUP BY query),
+asked AS (SELECT query, list(document ORDER BY side) AS targets FROM targets GROUP BY query),
+whole AS (SELECT a.query, a.targets, context_a, context_b, sources, b.text AS query_text, CASE WHEN len(a.targets) < 2 THEN 'insufficient_docs'
+  WHEN context_a IS NULL AND context_b IS NULL THEN 'no_doc_contexts' WHEN context_a IS NULL OR context_b IS NULL THEN 'insufficient_contexts' END AS error
+  FROM asked a JOIN benchmark b ON b.item_id = a.query LEFT JOIN sides s ON s.query = a.query),
+said AS (SELECT query, generate_subscripts(x, 1) AS pos, unnest(x) AS s, asked FROM (
+  SELECT query, {_SENTENCES.format("concat_ws(chr(10) || chr(10), context_a, context_b)")} AS x, {_WORDS.format('lower(query_text)')} AS asked FROM whole WHERE error IS NULL)),
+first_two AS (SELECT query, string_agg(s, ' ' ORDER BY no) AS answer FROM (
+  SELECT query, s, row_number() OVER (PARTITION BY query ORDER BY len(list_filter(own, lambda w: list_contains(asked, w))) / greatest(len(own), 1)::DOUBLE DESC, pos) AS no
+  FROM (SELECT *, list_distinct({_WORDS.format('lower(s)')}) AS own FROM said) QUALIFY no <= 2) GROUP BY query)
+SELECT whole.*, CASE WHEN error IS NULL THEN 'Compare the two documents on the question.{_LF}[A]' || chr(10) || context_a || '{_LF}[B]' || chr(10) || context_b || '{_LF}[Question]' || chr(10) || query_text END AS prompt, answer
+FROM whole LEFT JOIN first_two USING (query)"""
+
+
+@query(_COMPARE_SQL)
+def rag_answer_c(spark: SparkSession, d: str) -> DataFrame:
+    best = benchmark_hits(spark, d, 2).groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"].cast("string")).alias("targets"))
+    return pipelines.compare(_chunks(spark, d), _items(spark, d), best)
+
+
 _SEARCH_TEXT = f"'{pipelines.SUMMARY_SEARCH}'"
 _SUMMARY_SQL = rf"""WITH {_CHUNK_TABLES.replace("section, content AS text FROM ids", "CASE section WHEN 'en' THEN 'method' WHEN 'fr' THEN 'result' WHEN 'de' THEN 'abstract' ELSE 'conclusion' END AS section, content AS text FROM ids")},
 targets AS (WITH {_bm25(_BENCH, 1)} SELECT query, doc::VARCHAR AS document FROM bm),
