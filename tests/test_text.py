@@ -146,7 +146,7 @@ def test_ids_and_names(spark):
 def test_sections(spark):
     from folioloom.operators import sections
 
-    rows = sections.with_sections(X.BLOCKS.df(spark)).collect()
+    rows = sections.with_sections(X.BLOCKS.forms.df(spark)).collect()
     got = {(r["doc"], r["block_idx"]): r["section_type"] for r in rows}
     assert [got["p1", i] for i in (1, 3, 5, 7, 8, 10)] == ["abstract", "introduction", "method", "method", "result", "conclusion"]
     assert [got["p1", i] for i in (12, 13, 14)] == ["references"] * 3 and got["p1", 15] != "references"
