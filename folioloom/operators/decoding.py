@@ -15,6 +15,11 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def rounded(scores: Column, digits: int = 6) -> Column:
+    """Scores rounded half away from zero; what rounds to zero keeps its sign, as in IEEE arithmetic (round() drops it)."""
+    return F.transform(scores, lambda x: F.signum(x) * F.round(F.abs(x), digits))
+
+
 def softmax(scores: Column) -> Column:
     top = F.array_max(scores)
     powers = F.transform(scores, lambda x: F.exp(x.cast("double") - top.cast("double")))
