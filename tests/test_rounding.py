@@ -25,3 +25,7 @@ def same_text(spark, folder, name):
 
 def test_contrast_keeps_the_sign_of_zero(spark, tmp_path):
     same_text(spark, tmp_path, "cad_logits")
+
+
+def test_decoder_steps_keep_the_sign_of_zero(spark, tmp_path):
+    same_text(spark, tmp_path, "decoder_steps")
