@@ -29,3 +29,7 @@ def test_contrast_keeps_the_sign_of_zero(spark, tmp_path):
 
 def test_decoder_steps_keep_the_sign_of_zero(spark, tmp_path):
     same_text(spark, tmp_path, "decoder_steps")
+
+
+def test_penalized_scores_keep_the_sign_of_zero(spark, tmp_path):
+    same_text(spark, tmp_path, "scd_penalty")
