@@ -7,8 +7,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from folioloom.functions import patterns as P
 from folioloom.functions import text as T
-from folioloom.operators import chunking, context, decoding, evaluation, retrieval, routing
+from folioloom.operators import chunking, context, decoding, evaluation, retrieval, routing, sections
 from folioloom.plans import fixtures as X
 
 DIR = "/root/testdata/sf0.001"
@@ -172,3 +173,21 @@ def test_fusion_is_a_permutation(spark):
     out = retrieval.fuse(d, s).orderBy("rank").collect()
     assert [r["doc"] for r in out] == ["a", "b", "c"]
     assert out[0]["rrf_score"] == pytest.approx(0.6 / 61 + 0.4 / 62, abs=1e-8)
+
+
+def test_sections_need_one_sort_and_few_tables_a_task(spark):
+    """Types and fonts were joined back over two sorts of all blocks, and trees and cited works made all of it anew for each branch."""
+    rows = sections.with_sections(X.BLOCKS.forms.df(spark))
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Sort [") == 1 and "SortMergeJoin" not in plan
+    tree = chunking.summary_tree(chunking.by_section(rows, least=3))
+    assert "Window" not in tree.filter("chunk_level < 2")._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("text", ["a  b", " 참 고\n문 헌 ", "US 1234567", "us12345678", "KR 10-2020-0012345", "EBNF", "제 3 장", "Claim 7", "nothing here", "가 나 다"])
+def test_signals_need_no_more_than_their_patterns(spark, text):
+    row = spark.createDataFrame([(text,)], "sample string").withColumn("lower", F.lower("sample"))
+    got = row.select(*(sections.signals(k).alias(k) for k in P.SIGNALS)).first().asDict()
+    assert got == row.select(*(F.regexp_count("sample", F.lit(p)).alias(k) for k, p in P.SIGNALS.items())).first().asDict()
+    plain = F.regexp_replace(F.trim(F.regexp_replace("sample", r"\s+", " ")), T.BETWEEN_HANGUL, "")
+    assert row.select(T.match_text(F.col("sample")) == plain).first()[0]
