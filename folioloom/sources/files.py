@@ -96,6 +96,29 @@ def span_blocks(spans: DataFrame) -> DataFrame:
     return rows.withColumn("block_type", F.when(F.col("share") >= 0.5, "math").otherwise("text")).drop("share")
 
 
+def page_span_blocks(pages: DataFrame) -> DataFrame:
+    """span_blocks() of whole pages (doc, page, spans: array of block_no, span_no, text, font, size, bold), as a parser gives them:
+    a page's spans are sorted and cut into blocks within its row, so nothing is shuffled."""
+
+    def of_sorted(s: Column) -> Column:
+        every = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(every, lambda i: (i == 0) | ~F.get(s, i)["block_no"].eqNullSafe(F.get(s, i - 1)["block_no"]))
+        return F.transform(F.array(starts), lambda own: F.transform(own, lambda at, j: F.slice(s, at + 1, F.coalesce(F.get(own, j + 1), F.size(s)) - at)))[0]
+
+    def block(s: Column) -> Column:
+        total = lambda of: F.aggregate(s, F.lit(0.0), lambda sum_, x: sum_ + of(x))
+        math = lambda x: (x["font"].rlike(T.MATH_FONT) | (T.math_density(x["text"]) >= 0.25)).cast("double")
+        return F.struct(
+            F.get(s, F.lit(0))["block_no"].alias("block_no"), F.trim(F.array_join(F.transform(s, lambda x: x["text"]), " ")).alias("content"),
+            F.round(total(lambda x: x["size"]) / F.size(s), 6).alias("font_size"), F.exists(s, lambda x: x["bold"]).alias("is_bold"),
+            F.when(total(math) / F.size(s) >= 0.5, "math").otherwise("text").alias("block_type"),
+        )
+
+    held = F.array_sort(F.filter("spans", lambda x: F.trim(x["text"]) != ""))
+    blocks = F.transform(F.transform(F.array(held), of_sorted)[0], block)
+    return pages.select("doc", "page", F.inline(F.filter(blocks, lambda b: F.length(b["content"]) >= LEAST_TEXT)))
+
+
 def merged_blocks(raw: DataFrame, structured: DataFrame) -> DataFrame:
     """Structured blocks (doc, page, idx, content, ...) with font and bold of the raw block of their page whose first ten
     words share most with theirs (two at least, the first on a tie); formulas that only the raw ones have; and raw pages

@@ -280,3 +280,15 @@ def test_repair(spark):
     kind = "user_id int, collection string, doc string, doc_type string, updated_at int"
     rows = spark.createDataFrame([(1, "c", "d", None, 1), (1, "c", "d", "patent", 2), (None, "c", "d", "paper", 3)], kind)
     assert [tuple(r) for r in history.repaired(rows).select("user_id", "doc_type", "updated_at").collect()] == [(1, "patent", 2)]
+
+
+def test_blocks_of_whole_pages_equal_those_of_spans(spark):
+    """Spans were shuffled one row a word; a page's are cut into blocks within its row."""
+    rows = [(1, 1, b, s, t, f, 9.0 + s, s == 1) for b, s, t, f in [(0, 0, "one two", "Times"), (0, 1, "three", "CMSY10"), (1, 3, "zz", "CMSY10"), (1, 2, "yyyyy", "Times"), (2, 4, "abc", "Times"), (7, 5, " ", "Times")]]
+    spans = spark.createDataFrame(rows, "doc int, page int, block_no int, span_no int, text string, font string, size double, bold boolean")
+    pages = spans.groupBy("doc", "page").agg(F.collect_list(F.struct("block_no", "span_no", "text", "font", "size", "bold")).alias("spans"))
+    made = files.page_span_blocks(pages)
+    assert sorted(made.collect()) == sorted(files.span_blocks(spans).select(*made.columns).collect())
+    from folioloom.plans import queries_library
+
+    assert "Exchange" not in queries_library.span_blocks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
