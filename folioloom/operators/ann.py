@@ -143,9 +143,8 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = retrieva
         names, vectors = block.column("query").combine_chunks(), matrix(block.column("v").combine_chunks())
         if not len(names):
             continue
-        near = np.argsort(-np.round(vectors @ centres.T, 9), axis=1, kind="stable")[:, :probes]
-        asking = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
-        rows = snapshots.live(spark, path, VECTORS, at, collections=None if len(asking) == len(centres) else sorted(asking))
+        asking = None if probes == len(centres) else asked_cells(vectors, centres, probes)
+        rows = snapshots.live(spark, path, VECTORS, at, collections=None if asking is None or len(asking) == len(centres) else sorted(asking))
         rows = (rows if where is None else rows.filter(where)).select("doc", "v", "collection")
         schema = StructType([StructField("query", asked.schema["query"].dataType), StructField("doc", rows.schema["doc"].dataType), StructField("score", DoubleType())])
         best = rows.mapInArrow(_scored(spark.sparkContext.broadcast((names, vectors, asking)), k), schema)
@@ -156,11 +155,22 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = retrieva
     return retrieval.top(found, ["query"], k, "rank", F.col("score").desc(), F.col("doc"))
 
 
+def asked_cells(vectors: np.ndarray, centres: np.ndarray, probes: int) -> dict[int, np.ndarray]:
+    """The queries, by number, that look into each cell: one sort of all pairs."""
+    near = np.argsort(-np.round(vectors @ centres.T, 9), axis=1, kind="stable")[:, :probes].ravel()
+    order = np.argsort(near, kind="stable")
+    cells, first = np.unique(near[order], return_index=True)
+    return {int(c): own for c, own in zip(cells, np.split(order // probes, first[1:]), strict=True)}
+
+
 def _scored(shared, k: int):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, vectors, asking = shared.value
         best = Best(names, k)
         for batch in batches:
+            if asking is None:  # all queries look into all cells
+                best.add(batch.column("doc"), matrix(batch.column("v")), vectors, np.arange(len(names)))
+                continue
             cells = batch.column("collection").to_numpy()
             for cell in np.unique(cells):
                 queries = asking.get(int(cell))

@@ -86,3 +86,13 @@ def test_pruned_reads_less(spark):
     same(found.hits, retrieval.bm25(index, asked, 5))
     read = {r["step"]: r["n"] for r in found.read.groupBy("step").agg(F.sum("postings").alias("n")).collect()}
     assert read["first"] + read["second"] + read["third"] < 0.5 * read["all"], read
+
+
+def test_cells_of_queries_by_one_sort():
+    """All pairs of queries and cells were compared once for each cell."""
+    rng = np.random.default_rng(1)
+    vectors, centres = rng.normal(size=(50, 8)), rng.normal(size=(12, 8))
+    near = np.argsort(-np.round(vectors @ centres.T, 9), axis=1, kind="stable")[:, :5]
+    found = ann.asked_cells(vectors, centres, 5)
+    assert sorted(found) == np.unique(near).tolist()
+    assert all(np.array_equal(own, np.flatnonzero((near == c).any(axis=1))) for c, own in found.items())
