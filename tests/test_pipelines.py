@@ -124,3 +124,17 @@ def test_results_are_kept(spark, tmp_path):
     assert rows["c0"]["status"] == "completed" and rows["c0"]["average"] == {"faithfulness": 0.5} and rows["c0"]["n_samples"] == 1
     assert rows["c1"]["status"] == "failed" and rows["c1"]["error"] == "down"
     assert [r["config"] for r in evaluation.remaining(planned, evaluation.load_results(spark, str(tmp_path / "r")), ["mode", "paper", "config"]).collect()] == ["c1"]
+
+
+def test_texts_that_nothing_found_are_not_shuffled(spark, chunks):
+    """All chunks with their texts were dealt by id and sorted to meet a few hits, three times for an answer."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        held, queries = pipelines.searchable(chunks), asked(spark, "tables and words")
+        targets = spark.createDataFrame([(0, ["b", "a"])], "query int, targets array<string>")
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(doc" not in plan(pipelines.reranked(pipelines.hybrid(held, queries), held.chunks, queries))
+        assert all("hashpartitioning(doc" not in plan(f) and "Scan parquet" in plan(f) and "/chunks-" not in plan(f) for f in (pipelines.simple_qa(held, queries), pipelines.quiz(held, queries), pipelines.compare(held, queries, targets)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
