@@ -138,3 +138,31 @@ def test_texts_that_nothing_found_are_not_shuffled(spark, chunks):
         assert all("hashpartitioning(doc" not in plan(f) and "Scan parquet" in plan(f) and "/chunks-" not in plan(f) for f in (pipelines.simple_qa(held, queries), pipelines.quiz(held, queries), pipelines.compare(held, queries, targets)))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_a_batch_is_embedded_together():
+    """Each row's words were sorted, counted and hashed by expressions; now each distinct word of a batch once."""
+    import pyarrow as pa
+
+    from folioloom.operators import providers
+
+    rows = providers.bucket_counts(pa.array([["a", "b", "a"], [], None, ["é"] * 5], pa.list_(pa.string())), 16).to_pylist()
+    at = lambda w: int(providers.hashlib.md5(w.encode()).hexdigest()[:6], 16) % 16
+    assert at("a") != at("b") and rows[0][at("a")] == pytest.approx(2 / 5**0.5) and rows[0][at("b")] == pytest.approx(1 / 5**0.5)
+    assert rows[1] == rows[2] == [0.0] * 16 and rows[3][at("é")] == 1.0 and providers.bucket_counts(pa.array([], pa.list_(pa.string())), 16).to_pylist() == []
+
+
+def test_cited_works_are_found_once(spark, chunks):
+    """Works were looked for anew for the catalogue, the new chunks and the listed citations."""
+    works = spark.createDataFrame([("c", "reference", 1, "Attention", "id:1")], "doc string, kind string, no int, title string, key string")
+    known = spark.createDataFrame([("id:1", "Attention", "https://arxiv.org/pdf/1", True, None)], "key string, title string, pdf_url string, fetched boolean, fetch_error string")
+    taken = spark.createDataFrame([("https://arxiv.org/pdf/1", "application/pdf", "%PDF-1.4", "transformer heads " * 40)], "url string, content_type string, head string, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(title):
+        seen.add(1)
+        return title
+
+    pipelines.citation_qa(chunks, spark.createDataFrame([(0, "heads", "c")], "query int, query_text string, document string"), works.withColumn("title", counted("title")), known, taken).collect()
+    assert seen.value == 1
