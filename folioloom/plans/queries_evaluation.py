@@ -288,7 +288,7 @@ def _streamed(rows: DataFrame, at: str, late: float, parts: int, end: DataFrame,
     behind = F.pmod(F.xxhash64(*rows.columns), F.lit(int(late * 1000) - 1)) / 1000
     dealt = materialized(rows.withColumn("part", F.floor((F.col(at) + behind - first) / width)), "stream-rows")
     for part in range(parts):
-        dealt.filter(F.col("part") == part).drop("part").write.parquet(f"{place}/in/{part}")
+        dealt.filter(F.col("part") == part).drop("part").coalesce(1).write.parquet(f"{place}/in/{part}")
     end.select(*rows.columns).coalesce(1).write.parquet(f"{place}/in/{parts}")
     source = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
     out = through(source)
@@ -300,7 +300,7 @@ def _streamed(rows: DataFrame, at: str, late: float, parts: int, end: DataFrame,
 @query(_GATE)
 def gate_stream(spark: SparkSession, d: str) -> DataFrame:
     """The gate over a shuffled stream: the same as over the table."""
-    rows = _requests(spark, d).coalesce(1)
+    rows = _requests(spark, d)
     last = rows.agg(F.max("arrived")).first()[0] + 86_400.0
     end = spark.createDataFrame([(-1, -1, last, 1.0)], "worker long, request_id long, arrived double, duration double")
     return _streamed(rows, "arrived", 600.0, 5, end, lambda s: live.waiting(s, late="10 minutes")).filter("worker >= 0")

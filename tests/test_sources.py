@@ -292,3 +292,24 @@ def test_blocks_of_whole_pages_equal_those_of_spans(spark):
     from folioloom.plans import queries_library
 
     assert "Exchange" not in queries_library.span_blocks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_of_a_chunk_are_one_row(spark, tmp_path):
+    """Each posting was a row with its chunk's keys, written twice and shuffled at every commit."""
+    path = str(tmp_path / "s")
+    rows = [("a", "1", "k1", "sea and sea"), ("a", "2", "k2", ""), ("b", "2", "k3", "old")]
+    store.store_chunks(spark.createDataFrame(rows, KIND), path, indexed=True)
+    store.store_chunks(spark.createDataFrame(rows[:1], KIND), path)
+    assert [s.rows[store.POSTINGS] for s in snapshots.version(spark, path).segments] == [3, 1]
+    index = store.index_in(spark, path)
+    assert index.bags.count() == 3 and {(r.doc, r.term, r.tf) for r in index.postings.collect()} == {("k1", "sea", 2), ("k1", "and", 1), ("k3", "old", 1)}
+    same_index(spark, path, rows)
+
+
+def test_gate_keeps_workers_together(spark, tmp_path, monkeypatch):
+    """Each worker had its own state and its own call in each batch."""
+    monkeypatch.setattr(live, "WORKER_GROUPS", 2)
+    parts = [[(w, 1000 * n + 10 * w + i, 1.0 + 3.0 * i + w % 7 + 1000.0 * n, 9.0 if i else 200.0) for w in range(40) for i in range(5)] for n in range(3)] + [[(99, 9999, 9000.0, 1.0)], [(99, 10000, 19000.0, 1.0)]]
+    rows, held = streamed(spark, tmp_path, "groups", parts, REQUESTS, lambda s: live.waiting(s, late="1 minute"))
+    whole = live.waiting(spark.createDataFrame([r for p in parts for r in p], REQUESTS)).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted((tuple(r) for r in whole if r.request_id != 10000), key=str) and held == 1
