@@ -34,6 +34,10 @@ TRIES, SEGMENTS = 10, 16
 NAMED = 1000
 
 
+#: A table's rows, or how they are made of the segment's tables before it, which are written by then.
+Rows = DataFrame | Callable[[dict[str, DataFrame]], DataFrame]
+
+
 class Conflict(Exception):
     """Another writer has made the version already."""
 
@@ -128,11 +132,12 @@ def placed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({AT_COLLECTION: folder_of(F.col("collection")), AT_BUCKET: bucket})
 
 
-def put(path: str, segment: str, tables: dict[str, DataFrame]) -> tuple[dict[str, int], dict[str, str]]:
-    """Writes a segment's tables; their numbers of rows and schemas. Rows are dealt by folder and by hash within a folder, so a
+def put(path: str, segment: str, tables: dict[str, Rows]) -> tuple[dict[str, int], dict[str, str]]:
+    """Writes a segment's tables in order; their numbers of rows and schemas. Rows are dealt by folder and by hash within a folder, so a
     collection that holds most rows isn't one task's."""
-    rows, schemas = {}, {}
-    for name, df in tables.items():
+    rows, schemas, written = {}, {}, {}
+    for name, own in tables.items():
+        df = own(written) if callable(own) else own
         spread = F.pmod(F.xxhash64(*(c for c in ("doc", "term") if c in df.columns)), F.lit(SPREAD))
         own = placed(df).repartition(AT_COLLECTION, AT_BUCKET, spread)
         writer = own.write.partitionBy(AT_COLLECTION, AT_BUCKET)
@@ -141,7 +146,8 @@ def put(path: str, segment: str, tables: dict[str, DataFrame]) -> tuple[dict[str
         place = f"{path}/{name}/{AT_SEGMENT}={segment}"
         writer.parquet(place)
         schemas[name] = df.schema.json()
-        rows[name] = df.sparkSession.read.schema(StructType([*df.schema, *_FOLDERS[1:]])).parquet(place).count()  # from the files' footers
+        written[name] = df.sparkSession.read.schema(StructType([*df.schema, *_FOLDERS[1:]])).parquet(place)
+        rows[name] = written[name].count()  # from the files' footers
     return rows, schemas
 
 
@@ -207,7 +213,7 @@ def reduced(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(keys, same, "left_semi")
 
 
-def commit(spark: SparkSession, path: str, build: Callable[[Version], dict[str, DataFrame]], added: tuple[str, ...] = ()) -> Version:
+def commit(spark: SparkSession, path: str, build: Callable[[Version], dict[str, Rows]], added: tuple[str, ...] = ()) -> Version:
     """Adds a segment of the tables that build(version) gives: on conflict they are built again on the newer version. The table
     `gone` (collection, doc) takes away all older rows of its keys, but not from tables in `added`."""
     for _ in range(TRIES):

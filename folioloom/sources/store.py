@@ -14,6 +14,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioloom.functions import text as T
 from folioloom.operators import retrieval
 from folioloom.operators.tables import materialized, scratch
 from folioloom.sources import snapshots
@@ -29,40 +30,45 @@ def chunks_in(spark: SparkSession, path: str, at: Version | None = None, collect
 
 
 def chunk_postings(chunks: DataFrame, body: str) -> DataFrame:
-    """collection, doc, chunk_id, term, tf and dl of chunks; a row with the empty term stands for each chunk itself."""
-    named = chunks.select(F.struct("collection", "doc", "chunk_id").alias("own"), F.col(body).alias("text"))
-    each = retrieval.entries(named, "own", "text")
-    return each.select("doc.collection", "doc.doc", "doc.chunk_id", "term", "tf", F.col("dl").cast("long").alias("dl"))
+    """collection, doc, chunk_id, dl and words (array of term and n) of chunks: a chunk's postings stay in one row."""
+    split = chunks.select("collection", "doc", "chunk_id", T.tokens(F.col(body)).alias("words"))
+    return split.select("collection", "doc", "chunk_id", F.size("words").cast("long").alias("dl"), T.counted(F.col("words")).alias("words"))
 
 
 def changes(posted: DataFrame, sign: int) -> DataFrame:
-    """collection, term, df and words that postings add to the merged numbers, or take away."""
+    """collection, term, df and words that postings add to the merged numbers, or take away. The empty term, which no word is,
+    stands for each chunk itself."""
+    own = F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("n")))
+    posted = posted.select("collection", "dl", F.explode(F.concat(own, "words")).alias("x")).select("collection", "dl", "x.term")
     words = F.sum(F.when(F.col("term") == "", F.col("dl")).otherwise(0))
     return posted.groupBy("collection", "term").agg((F.count(F.lit(1)) * sign).alias("df"), (words * sign).alias("words"))
 
 
-def _segment(spark: SparkSession, path: str, base: Version, new: DataFrame | None, gone: DataFrame, indexed: bool, body: str) -> dict[str, DataFrame]:
+def _segment(spark: SparkSession, path: str, base: Version, new: DataFrame | None, gone: DataFrame, indexed: bool, body: str) -> dict[str, snapshots.Rows]:
     tables = {} if new is None else {CHUNKS: new}
     if base.no:
         tables[GONE] = gone
     if indexed:
-        parts = []
         if new is not None:
-            tables[POSTINGS] = materialized(chunk_postings(new, body), "store-postings")
-            parts.append(changes(tables[POSTINGS], 1))
-        if POSTINGS in base.schemas:
-            parts.append(changes(snapshots.live(spark, path, POSTINGS, base, wanted=gone), -1))
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionByName(part)
-        tables[FREQUENCIES] = snapshots.summed(every)
+            tables[POSTINGS] = chunk_postings(new, body)
+
+        def frequencies(written: dict[str, DataFrame]) -> DataFrame:
+            parts = [changes(written[POSTINGS], 1)] if POSTINGS in written else []
+            if POSTINGS in base.schemas:
+                parts.append(changes(snapshots.live(spark, path, POSTINGS, base, wanted=gone), -1))
+            every = parts[0]
+            for part in parts[1:]:
+                every = every.unionByName(part)
+            return snapshots.summed(every)
+
+        tables[FREQUENCIES] = frequencies
     return tables
 
 
 def changed(spark: SparkSession, path: str, new: DataFrame | None, gone: DataFrame, indexed: bool = False, body: str = "content") -> Version:
     """The version without the documents of gone (collection, doc), and with new chunks."""
 
-    def build(base: Version) -> dict[str, DataFrame]:
+    def build(base: Version) -> dict[str, snapshots.Rows]:
         return _segment(spark, path, base, new, gone, POSTINGS in base.schemas or (indexed and not base.no), body)
 
     now = snapshots.commit(spark, path, build, (FREQUENCIES,))
@@ -103,10 +109,12 @@ def index_in(spark: SparkSession, path: str, at: Version | None = None, collecti
     """The index of a store's chunks (doc is the chunk's id), as one index over these collections, all by default. Nothing is
     counted anew: what scores need comes from the merged numbers."""
     at = snapshots.version(spark, path) if at is None else at
-    every = snapshots.live(spark, path, POSTINGS, at, collections).select(F.col("chunk_id").alias("doc"), "term", "tf", "dl")
+    bags = snapshots.live(spark, path, POSTINGS, at, collections).select(F.col("chunk_id").alias("doc"), "dl", "words")
+    each = bags.select("doc", "dl", F.explode("words").alias("x"))
+    posted = each.select("doc", "x.term", F.col("x.n").cast("long").alias("tf"), "dl")
     merged = frequencies_in(spark, path, at, collections).groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
     totals = merged.filter("term = ''").select(F.col("df").alias("n_docs"), (F.col("words") / F.col("df")).alias("avg_dl"))
-    return retrieval.Index(every.filter("term <> ''"), every.filter("term = ''").select("doc", "dl"), merged.filter("term <> ''").select("term", "df"), totals)
+    return retrieval.Index(posted, bags.select("doc", "dl"), merged.filter("term <> ''").select("term", "df"), totals, bags)
 
 
 def index_place(path: str, collection: str) -> str:
