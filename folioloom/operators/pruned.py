@@ -54,21 +54,28 @@ def blocks_of(index: Index, documents: int = DOCUMENTS) -> Blocks:
     stats = (index.documents.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl")) if index.totals is None else index.totals).first()
     n, avg = (stats["n_docs"], float(stats["avg_dl"] or 0.0)) if stats else (0, 0.0)
     blocks = max(1, -(-n // documents))
-    posted = index.postings.withColumn("block", block_of(F.col("doc"), blocks))
+    own = block_of(F.col("doc"), blocks).alias("block")
+    if index.bags is None:
+        posted = index.postings.select("*", own).repartition("block")
+    else:  # a document is dealt as one row, and its postings grouped where it lies
+        dealt = index.bags.select("doc", "dl", F.col("words.term").alias("terms"), F.col("words.n").alias("ns"), own).repartition("block")
+        each = dealt.select("doc", "dl", "block", F.explode(F.arrays_zip("terms", "ns")).alias("x"))
+        posted = each.select("doc", "dl", "block", F.col("x.terms").alias("term"), F.col("x.ns").cast("long").alias("tf"))
     lists = posted.groupBy("term", "block").agg(
         F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sort_array(F.collect_list(F.struct("doc", "tf", "dl"))).alias("docs")
     )
-    lists = materialized(lists.repartition("block").sortWithinPartitions("term"), "blocks")
+    lists = materialized(lists.sortWithinPartitions("term"), "blocks")
     frequencies = document_frequencies(index.postings) if index.frequencies is None else index.frequencies
     return Blocks(lists, materialized(frequencies, "frequencies"), n, avg, blocks)
 
 
 def _scores(blocks: Blocks, lists: DataFrame, terms: DataFrame) -> DataFrame:
-    """query, block, doc and score over the postings of lists for the terms (query, term, w). Blocks are dealt by block already."""
+    """query, block, doc and score over the postings of lists for the terms (query, term, w). Blocks lie together in their files,
+    so sums are made before the shuffle."""
     each = lists.join(small(terms.select("query", F.col("term").alias("own_term"), "w")), F.col("term") == F.col("own_term"))
     each = each.select("query", "block", "w", F.inline("docs"))
     score = F.sum(F.col("w") * term_weight(F.col("tf"), F.col("dl"), F.lit(blocks.avg_dl)))
-    return each.repartition("block").groupBy("query", "block", "doc").agg(score.alias("score"))
+    return each.groupBy("query", "block", "doc").agg(score.alias("score"))
 
 
 def _least(scores: DataFrame, k: int, name: str) -> DataFrame:

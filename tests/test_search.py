@@ -96,3 +96,15 @@ def test_cells_of_queries_by_one_sort():
     found = ann.asked_cells(vectors, centres, 5)
     assert sorted(found) == np.unique(near).tolist()
     assert all(np.array_equal(own, np.flatnonzero((near == c).any(axis=1))) for c, own in found.items())
+
+
+def test_postings_are_shuffled_by_document(spark, monkeypatch):
+    """Every posting was a row of two shuffles on its way into a block, and of one more for each query that read it."""
+    seen = {}
+    kept = pruned.materialized
+    monkeypatch.setattr(pruned, "materialized", lambda df, name: (seen.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), kept(df, name))[1])
+    docs = spark.createDataFrame([(i, f"a b c{i}") for i in range(50)], "doc_id long, text string")
+    blocks = pruned.blocks_of(retrieval.index_of(docs), 8)
+    assert seen["blocks"].count("Exchange") == 1 and seen["blocks"].index("Generate") < seen["blocks"].index("Exchange")
+    pruned.search(blocks, spark.createDataFrame([(1, "a c1")], "item_id int, text string"), 5)
+    assert "REPARTITION_BY_COL" not in seen["pruned-scores"] and "partial_sum" in seen["pruned-scores"]
