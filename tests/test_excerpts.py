@@ -18,3 +18,12 @@ def test_excerpts_search_twice(spark, monkeypatch):
     got = {(r["label"], r["paper"]): r["section"] for r in found.collect()}
     assert asked == [6, 4]
     assert got == {("main", "a"): "method", ("citation-only", "a"): "general", ("main", "b"): "general", ("citation-only", "b"): "references", ("main", "c"): "general", ("citation-only", "c"): "general"}
+
+
+def test_excerpts_embed_the_papers_only(spark):
+    """All chunks were embedded, though the dense lists are made inside the papers."""
+    rows = [(f"{d}_0", d, "method", 1, f"{d} method algorithm", 0) for d in "abc"]
+    chunks = spark.createDataFrame(rows, "chunk string, document string, section string, page int, text string, chunk_level int")
+    held = pipelines.searchable_within(chunks, chunks.filter("document = 'b'").select("document"))
+    assert [r["chunk"] for r in held.chunks.filter("embedding IS NOT NULL").collect()] == ["b_0"]
+    assert held.index.documents.count() == 3
